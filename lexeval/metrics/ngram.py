@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lexeval.functions.text import chrf_chars, chrf_words, tok_13a
 from lexeval.operators import kernels
+from lexeval.operators.sizing import spread
 
 
 def usable_refs(col: str | Column = "references") -> Column:
@@ -36,10 +37,11 @@ def usable_refs(col: str | Column = "references") -> Column:
 
 def by_example(pairs: DataFrame, partitioned: bool = True) -> DataFrame:
     """Per-example work needs no co-location beyond the row itself (prediction
-    and references are already aligned in one row), so by default the rows are
-    scored where they are.  ``partitioned=False`` forces a hash-partitioning
-    on ``example_id`` (useful when the input is a few huge files)."""
-    return pairs if partitioned else pairs.repartition("example_id")
+    and references are already aligned in one row), so rows are scored where
+    they are — unless there are fewer partitions than task slots, in which case
+    they are spread on ``example_id`` (see ``sizing.spread``).
+    ``partitioned=False`` always hash-partitions on ``example_id``."""
+    return spread(pairs, "example_id") if partitioned else pairs.repartition("example_id")
 
 
 # ------------------------------------------------------------------ BLEU

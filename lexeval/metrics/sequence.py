@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexeval.functions.text import meteor_tokens, rouge_tokens, ter_tokens
-from lexeval.metrics.ngram import usable_refs
+from lexeval.metrics.ngram import by_example, usable_refs
 from lexeval.operators import kernels
 
 
@@ -28,7 +28,7 @@ def rouge_l_per_example(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Per example: LCS precision, recall and F1 of the reference with the
     highest F1 (lower-case ``[a-z0-9]+`` tokens; empty side → 0)."""
     refs = F.filter(F.coalesce("references", F.array().cast("array<string>")), lambda r: r.isNotNull())
-    base = pairs.select(*keys, "example_id", rouge_tokens("prediction").alias("h"),
+    base = by_example(pairs).select(*keys, "example_id", rouge_tokens("prediction").alias("h"),
                         F.transform(refs, lambda r: rouge_tokens(r)).alias("rs"))
     st = base.select(*keys, "example_id", "h", "rs", kernels.lcs_udf("h", "rs").alias("lcs"))
     hl = F.size("h")
@@ -56,7 +56,7 @@ def rouge_l(pairs: DataFrame, keys: list[str], name: str = "rougeL") -> DataFram
 def edit_stats(pairs: DataFrame, keys: list[str], shifts: bool = True, case_sensitive: bool = False) -> DataFrame:
     """Per example: ``edits`` (fewest edits over references) and ``ref_len``
     (mean reference length in words)."""
-    base = pairs.select(*keys, "example_id", ter_tokens("prediction", case_sensitive).alias("h"),
+    base = by_example(pairs).select(*keys, "example_id", ter_tokens("prediction", case_sensitive).alias("h"),
                         F.transform(usable_refs(), lambda r: ter_tokens(r, case_sensitive)).alias("rs"))
     udf = kernels.ter_udf if shifts else kernels.word_edit_udf
     st = base.select(*keys, "example_id", "rs", udf("h", "rs").alias("e"))
@@ -89,7 +89,7 @@ def meteor_per_example(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Per example: best exact-match METEOR over the references
     (α = 0.9, β = 3, γ = 0.5)."""
     refs = F.filter(F.coalesce("references", F.array().cast("array<string>")), lambda r: r.isNotNull())
-    base = pairs.select(*keys, "example_id", meteor_tokens("prediction").alias("h"),
+    base = by_example(pairs).select(*keys, "example_id", meteor_tokens("prediction").alias("h"),
                         F.transform(refs, lambda r: meteor_tokens(r)).alias("rs"))
     st = base.select(*keys, "example_id", kernels.meteor_udf("h", "rs").alias("s"))
     return st.select(*keys, "example_id", F.array_max("s").alias("meteor"))

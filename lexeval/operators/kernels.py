@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,48 @@ def _clip(h: Counter, r: Counter) -> int:
     return sum(min(c, r[g]) for g, c in h.items() if g in r)
 
 
+# ----------------------------------------------------------------- packed n-grams
+# Tokens (or characters) of one row are mapped to dense ids 0..d-1; an n-gram
+# of ids is packed into one int64 with ceil(log2(d)) bits per id.  This is
+# exact (no hashing); rows whose n-grams would not fit in 62 bits use the
+# Counter path instead.
+
+def _dense_words(seqs):
+    ids: dict = {}
+    out = [np.fromiter((ids.setdefault(t, len(ids)) for t in q), dtype=np.int64, count=len(q)) for q in seqs]
+    return out, len(ids)
+
+
+def _dense_chars(texts):
+    codes = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in texts]
+    allc = np.concatenate(codes) if codes else np.empty(0, np.uint32)
+    uniq, inv = np.unique(allc, return_inverse=True)
+    out, i = [], 0
+    for c in codes:
+        out.append(inv[i:i + len(c)].astype(np.int64))
+        i += len(c)
+    return out, len(uniq)
+
+
+def _bits(d: int) -> int:
+    return max(1, int(d - 1).bit_length())
+
+
+def _packed(ids: np.ndarray, n: int, bits: int):
+    m = len(ids) - n + 1
+    if m <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    x = ids[:m].copy()
+    for k in range(1, n):
+        x = (x << bits) | ids[k:k + m]
+    return np.unique(x, return_counts=True)
+
+
+def _clip_np(hu, hc, ru, rc) -> int:
+    _, ih, ir = np.intersect1d(hu, ru, assume_unique=True, return_indices=True)
+    return int(np.minimum(hc[ih], rc[ir]).sum())
+
+
 # ----------------------------------------------------------------- BLEU
 BLEU_STATS = T.StructType([
     T.StructField("hyp_len", T.LongType()),
@@ -39,11 +82,7 @@ BLEU_STATS = T.StructType([
 ])
 
 
-def bleu_row(hyp, refs, max_order: int = 4):
-    hyp = list(hyp)
-    refs = [list(r) for r in refs]
-    hl = len(hyp)
-    ref_len = min(((abs(len(r) - hl), len(r)) for r in refs), default=(0, 0))[1]
+def _bleu_matches_counter(hyp, refs, max_order):
     matches = []
     for n in range(1, max_order + 1):
         h = _grams(hyp, n)
@@ -56,6 +95,35 @@ def bleu_row(hyp, refs, max_order: int = 4):
                 if c > best[g]:
                     best[g] = c
         matches.append(_clip(h, best))
+    return matches
+
+
+def bleu_row(hyp, refs, max_order: int = 4):
+    """(hyp_len, closest ref_len, clipped matches per order); counts are
+    clipped by the largest count of the n-gram in any single reference."""
+    hyp = list(hyp)
+    refs = [list(r) for r in refs]
+    hl = len(hyp)
+    ref_len = min(((abs(len(r) - hl), len(r)) for r in refs), default=(0, 0))[1]
+    if not refs or hl == 0:
+        return hl, ref_len, [0] * max_order
+    ids, d = _dense_words([hyp] + refs)
+    bits = _bits(d)
+    if bits * max_order > 62:
+        return hl, ref_len, _bleu_matches_counter(hyp, refs, max_order)
+    matches = []
+    for n in range(1, max_order + 1):
+        hu, hc = _packed(ids[0], n, bits)
+        parts = [_packed(r, n, bits) for r in ids[1:]]
+        ru = np.concatenate([p[0] for p in parts])
+        rc = np.concatenate([p[1] for p in parts])
+        if len(hu) == 0 or len(ru) == 0:
+            matches.append(0)
+            continue
+        u, inv = np.unique(ru, return_inverse=True)
+        best = np.zeros(len(u), np.int64)
+        np.maximum.at(best, inv, rc)
+        matches.append(_clip_np(hu, hc, u, best))
     return hl, ref_len, matches
 
 
@@ -66,23 +134,45 @@ def bleu_stats_udf(hyp: pd.Series, refs: pd.Series) -> pd.DataFrame:
 
 
 # ----------------------------------------------------------------- chrF
-def chrf_row(hyp_chars: str, hyp_words, ref_chars, ref_words, char_order: int = 6, word_order: int = 2):
-    """Per reference: flat list ``[h, r, m] * (char_order + word_order)``."""
-    hyp_words = list(hyp_words)
+def _chrf_row_counter(hyp_chars, hyp_words, ref_chars, ref_words, char_order, word_order):
     hc = [_chars(hyp_chars, n) for n in range(1, char_order + 1)]
     hw = [_grams(hyp_words, n) for n in range(1, word_order + 1)]
-    hyp_tot = [max(len(hyp_chars) - n + 1, 0) for n in range(1, char_order + 1)] + \
-              [max(len(hyp_words) - n + 1, 0) for n in range(1, word_order + 1)]
     out = []
     for rc_s, rw in zip(ref_chars, ref_words):
         rw = list(rw)
         stats = []
         for i, n in enumerate(range(1, char_order + 1)):
-            r = _chars(rc_s, n)
-            stats += [hyp_tot[i], max(len(rc_s) - n + 1, 0), _clip(hc[i], r)]
+            stats += [max(len(hyp_chars) - n + 1, 0), max(len(rc_s) - n + 1, 0), _clip(hc[i], _chars(rc_s, n))]
+        for j, n in enumerate(range(1, word_order + 1)):
+            stats += [max(len(hyp_words) - n + 1, 0), max(len(rw) - n + 1, 0), _clip(hw[j], _grams(rw, n))]
+        out.append(stats)
+    return out
+
+
+def chrf_row(hyp_chars: str, hyp_words, ref_chars, ref_words, char_order: int = 6, word_order: int = 2):
+    """Per reference: flat list ``[h, r, m] * (char_order + word_order)``
+    (hypothesis n-grams, reference n-grams, clipped matches per order)."""
+    hyp_words = list(hyp_words)
+    ref_chars = list(ref_chars)
+    ref_words = [list(w) for w in ref_words]
+    cids, cd = _dense_chars([hyp_chars] + ref_chars)
+    wids, wd = _dense_words([hyp_words] + ref_words)
+    cb, wb = _bits(cd), _bits(wd)
+    if cb * char_order > 62 or wb * word_order > 62:
+        return _chrf_row_counter(hyp_chars, hyp_words, ref_chars, ref_words, char_order, word_order)
+    hc = [_packed(cids[0], n, cb) for n in range(1, char_order + 1)]
+    hw = [_packed(wids[0], n, wb) for n in range(1, word_order + 1)]
+    out = []
+    for k in range(len(ref_chars)):
+        stats = []
+        for i, n in enumerate(range(1, char_order + 1)):
+            ru, rc = _packed(cids[k + 1], n, cb)
+            stats += [max(len(cids[0]) - n + 1, 0), max(len(cids[k + 1]) - n + 1, 0),
+                      _clip_np(hc[i][0], hc[i][1], ru, rc)]
         for j, n in enumerate(range(1, word_order + 1)):
-            r = _grams(rw, n)
-            stats += [hyp_tot[char_order + j], max(len(rw) - n + 1, 0), _clip(hw[j], r)]
+            ru, rc = _packed(wids[k + 1], n, wb)
+            stats += [max(len(wids[0]) - n + 1, 0), max(len(wids[k + 1]) - n + 1, 0),
+                      _clip_np(hw[j][0], hw[j][1], ru, rc)]
         out.append(stats)
     return out
 
@@ -147,28 +237,33 @@ def edit_distance(a, b) -> int:
 
 
 def _alignment(h, r):
-    """Minimum-edit alignment by dynamic programming with back-trace.
-    Returns (hyp_matched, ref_matched, ref_to_hyp) where ref_to_hyp[j] is the
-    hypothesis index at which reference word j is aligned or would be inserted."""
+    """Minimum-edit alignment by dynamic programming with back-trace (rows
+    computed with NumPy: substitution/deletion step, then insertions as a
+    running minimum).  Returns (hyp_matched, ref_matched, ref_to_hyp) where
+    ref_to_hyp[j] is the hypothesis index at which reference word j is aligned
+    or would be inserted."""
     n, m = len(h), len(r)
-    d = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        d[i][0] = i
-    for j in range(m + 1):
-        d[0][j] = j
+    ids: dict = {}
+    ra = np.fromiter((ids.setdefault(t, len(ids)) for t in r), dtype=np.int64, count=m)
+    ha = [ids.get(t, -1) for t in h]
+    d = np.empty((n + 1, m + 1), dtype=np.int64)
+    d[0] = np.arange(m + 1)
+    ar = np.arange(m + 1)
     for i in range(1, n + 1):
-        hi, row, prev = h[i - 1], d[i], d[i - 1]
-        for j in range(1, m + 1):
-            row[j] = min(prev[j] + 1, row[j - 1] + 1, prev[j - 1] + (hi != r[j - 1]))
+        prev = d[i - 1]
+        t = np.empty(m + 1, dtype=np.int64)
+        t[0] = i
+        t[1:] = np.minimum(prev[1:] + 1, prev[:-1] + (ra != ha[i - 1]))
+        d[i] = np.minimum.accumulate(t - ar) + ar
     hm, rm, r2h = [False] * n, [False] * m, [0] * m
     i, j = n, m
     while i > 0 or j > 0:
-        if i > 0 and j > 0 and d[i][j] == d[i - 1][j - 1] + (h[i - 1] != r[j - 1]):
+        if i > 0 and j > 0 and d[i, j] == d[i - 1, j - 1] + (h[i - 1] != r[j - 1]):
             if h[i - 1] == r[j - 1]:
                 hm[i - 1] = rm[j - 1] = True
             r2h[j - 1] = i - 1
             i, j = i - 1, j - 1
-        elif j > 0 and d[i][j] == d[i][j - 1] + 1:
+        elif j > 0 and d[i, j] == d[i, j - 1] + 1:
             r2h[j - 1] = i
             j -= 1
         else:

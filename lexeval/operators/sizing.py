@@ -38,3 +38,19 @@ def checked_small(df: DataFrame, max_rows: int, what: str) -> DataFrame:
     if n > max_rows:
         raise ValueError(f"{what} has more than {max_rows} rows; refusing to broadcast it")
     return df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """CPU-heavy per-row work (kernels, tokenisation) needs at least as many
+    partitions as task slots.  Large inputs already have that and pass through
+    untouched (no extra shuffle); an input with fewer partitions than the
+    session's parallelism (e.g. one small file) is hash-partitioned on
+    ``keys`` across all slots."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # pragma: no cover
+        return df
+    if n >= slots:
+        return df
+    return df.repartition(slots * 2, *keys) if keys else df.repartition(slots * 2)

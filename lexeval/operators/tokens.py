@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexeval.functions.text import split_ws, strip_ws
-from lexeval.operators.sizing import checked_small
+from lexeval.operators.sizing import checked_small, spread
 
 # --- fixed values -----------------------------------------------------------
 # Reserved ids, in id order, before the learned vocabulary.
@@ -127,7 +127,10 @@ def encode(df: DataFrame, vocab: DataFrame, max_source_length: int = 1024, max_t
     lengths; then label pads become -100 if ``ignore_pad_token_for_loss``.
     Whole texts are looked up; truncation to the max length follows."""
     keys = list(keys)
-    base = df.select(*keys, tokenizer("input").alias("_ti"), tokenizer("target").alias("_tt"))
+    # Lookup is per token and keeps positions, so truncating the token arrays
+    # first gives the same ids as looking up every token and truncating after.
+    base = spread(df, *keys).select(*keys, F.slice(tokenizer("input"), 1, max_source_length - 1).alias("_ti"),
+                     F.slice(tokenizer("target"), 1, max_target_length - 1).alias("_tt"))
     if vocab.limit(LITERAL_VOCAB_MAX + 1).count() <= LITERAL_VOCAB_MAX:
         vmap = vocab_map(vocab)
         ids = base.select(*keys, lookup(F.col("_ti"), vmap).alias("_i"), lookup(F.col("_tt"), vmap).alias("_t"))

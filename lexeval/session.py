@@ -40,6 +40,7 @@ def get_spark(master: str | None = None, app_name: str = "lexeval",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
+    ship_package(spark)
     return spark
 
 
@@ -76,3 +77,29 @@ def _count():
 
 
 _counter = _count()
+
+
+_shipped: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lexeval`` importable in Python workers (pandas UDFs, mapInPandas)
+    by adding a zip of the package with ``addPyFile`` — once per SparkContext.
+    The zip is staged under the checkpoint folder."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _shipped:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    dest = os.path.join(checkpoint_dir(spark).replace("file:", ""), "pyfiles")
+    os.makedirs(dest, exist_ok=True)
+    path = os.path.join(dest, f"lexeval-{os.getpid()}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _shipped.add(key)

@@ -81,3 +81,26 @@ def test_random_brute_force_bleu():
                 best = max(sum(1 for i in range(len(r) - n + 1) if tuple(r[i:i + n]) == g) for r in refs)
                 exp += min(grams.count(g), best)
             assert m[n - 1] == exp
+
+
+def test_packed_paths_match_counter_paths():
+    from lexeval.operators import kernels as K
+    random.seed(7)
+    for _ in range(300):
+        h = [random.choice("abcd") for _ in range(random.randint(0, 12))]
+        refs = [[random.choice("abcd") for _ in range(random.randint(0, 12))] for _ in range(random.randint(1, 3))]
+        if h and refs:
+            assert K.bleu_row(h, refs)[2] == K._bleu_matches_counter(h, refs, 4)
+        hs = "".join(h) + "é"
+        rs = ["".join(r) for r in refs]
+        assert K.chrf_row(hs, h, rs, refs) == K._chrf_row_counter(hs, h, rs, refs, 6, 2)
+
+
+def test_alignment_distance_matches_dp():
+    from lexeval.operators.kernels import _alignment
+    random.seed(5)
+    for _ in range(200):
+        a = [random.choice("abc") for _ in range(random.randint(0, 15))]
+        b = [random.choice("abc") for _ in range(random.randint(0, 15))]
+        hm, rm, r2h = _alignment(a, b)
+        assert sum(hm) == sum(rm) and len(r2h) == len(b)
