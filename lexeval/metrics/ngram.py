@@ -152,10 +152,12 @@ def chrf_stats(pairs: DataFrame, keys: list[str], char_order: int = CHAR_ORDER,
 def corpus_chrf(pairs: DataFrame, keys: list[str], char_order: int = CHAR_ORDER, word_order: int = WORD_ORDER,
                 beta: float = BETA, name: str = "chrf_pp", partitioned: bool = True) -> DataFrame:
     """Corpus chrF++ per group: sums of the best-reference statistics of every
-    example, then the same F formula."""
+    example (one partial aggregation of 3 × orders integers), then the same F
+    formula."""
     orders = char_order + word_order
     st = chrf_stats(pairs, keys, char_order, word_order, beta, partitioned)
-    e = st.select(*keys, F.explode("stats").alias("s")).select(*keys, "s.o", "s.h", "s.r", "s.m")
-    sums = e.groupBy(*keys, "o").agg(F.sum("h").alias("h"), F.sum("r").alias("r"), F.sum("m").alias("m"))
-    per = sums.groupBy(*keys).agg(F.collect_list(F.struct("o", "h", "r", "m")).alias("stats"))
-    return per.select(*keys, _f_score(F.col("stats"), orders, beta).alias(name))
+    sums = st.groupBy(*keys).agg(*[F.sum(F.col("stats")[o][f]).alias(f"{f}{o}")
+                                   for o in range(orders) for f in ("h", "r", "m")])
+    agg = F.array(*[F.struct(F.lit(o + 1).alias("o"), F.col(f"h{o}").alias("h"), F.col(f"r{o}").alias("r"),
+                             F.col(f"m{o}").alias("m")) for o in range(orders)])
+    return sums.select(*keys, _f_score(agg, orders, beta).alias(name))
