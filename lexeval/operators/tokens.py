@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexeval.functions.text import split_ws, strip_ws
-from lexeval.operators.sizing import checked_small, spread
+from lexeval.operators.sizing import spread
 
 # --- fixed values -----------------------------------------------------------
 # Reserved ids, in id order, before the learned vocabulary.
@@ -72,19 +72,30 @@ def build_vocab(texts: DataFrame, col: str = "text", k: int = 500, tokenizer=spl
 LITERAL_VOCAB_MAX = 5000
 
 
-def _literal_map(vocab: DataFrame, key: str, value: str) -> Column:
-    """Small vocabularies become a map literal in the plan (no shuffle, no
-    join).  The collect is bounded by ``LITERAL_VOCAB_MAX`` and checked."""
-    rows = checked_small(vocab, LITERAL_VOCAB_MAX, "literal vocabulary").select(key, value).collect()
-    return F.map_from_arrays(F.lit([r[0] for r in rows]), F.lit([r[1] for r in rows]))
+def _small_rows(vocab: DataFrame):
+    """The vocabulary rows if there are at most ``LITERAL_VOCAB_MAX`` of them
+    (one bounded collect), else None."""
+    rows = vocab.select("token", "id").limit(LITERAL_VOCAB_MAX + 1).collect()
+    return rows if len(rows) <= LITERAL_VOCAB_MAX else None
+
+
+def _literal_map(rows, key: int, value: int) -> Column:
+    """Small vocabularies become a map literal in the plan (no shuffle, no join)."""
+    return F.map_from_arrays(F.lit([r[key] for r in rows]), F.lit([r[value] for r in rows]))
 
 
 def vocab_map(vocab: DataFrame) -> Column:
-    return _literal_map(vocab, "token", "id")
+    rows = _small_rows(vocab)
+    if rows is None:
+        raise ValueError(f"vocabulary has more than {LITERAL_VOCAB_MAX} entries; use the join lookup")
+    return _literal_map(rows, 0, 1)
 
 
 def reverse_map(vocab: DataFrame) -> Column:
-    return _literal_map(vocab, "id", "token")
+    rows = _small_rows(vocab)
+    if rows is None:
+        raise ValueError(f"vocabulary has more than {LITERAL_VOCAB_MAX} entries; decode with a join")
+    return _literal_map(rows, 1, 0)
 
 
 def lookup(tokens: Column, vmap: Column) -> Column:
@@ -131,8 +142,9 @@ def encode(df: DataFrame, vocab: DataFrame, max_source_length: int = 1024, max_t
     # first gives the same ids as looking up every token and truncating after.
     base = spread(df, *keys).select(*keys, F.slice(tokenizer("input"), 1, max_source_length - 1).alias("_ti"),
                      F.slice(tokenizer("target"), 1, max_target_length - 1).alias("_tt"))
-    if vocab.limit(LITERAL_VOCAB_MAX + 1).count() <= LITERAL_VOCAB_MAX:
-        vmap = vocab_map(vocab)
+    rows = _small_rows(vocab)
+    if rows is not None:
+        vmap = _literal_map(rows, 0, 1)
         ids = base.select(*keys, lookup(F.col("_ti"), vmap).alias("_i"), lookup(F.col("_tt"), vmap).alias("_t"))
     else:
         ids = lookup_join(lookup_join(base, keys, "_ti", "_i", vocab), keys, "_tt", "_t", vocab)
