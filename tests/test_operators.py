@@ -124,3 +124,19 @@ def test_alignment_guard(spark):
     align.check_alignment(same, inputs)
     with pytest.raises(ValueError):
         align.check_alignment(spark.createDataFrame([(1, "x")], "example_id long, source string"), inputs)
+
+
+def test_dedup_split_runs_match_sequential(spark):
+    import random
+    random.seed(11)
+    rows = []
+    for run in range(3):
+        alphabet = "abcdefgh"[: 2 + run * 3]
+        for i in range(400 if run == 2 else 60):
+            rows.append((run, i, random.choice(alphabet), f"{run}-{i}"))
+    rows += [(9, i, "z", f"9-{i}") for i in range(50)]  # one source only
+    df = spark.createDataFrame(rows, "run long, pos long, source string, prediction string")
+    want = sorted(r.prediction for r in align.dedup_recent_sources_sequential(df).collect())
+    for parts, head in ((2, 2048), (16, 2048), (64, 3)):
+        got = sorted(r.prediction for r in align.dedup_recent_sources(df, partitions=parts, head_rows=head, split_run_rows=0).collect())
+        assert got == want, (parts, head)
