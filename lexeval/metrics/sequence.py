@@ -85,15 +85,30 @@ def word_edit_rate(pairs: DataFrame, keys: list[str], name: str = "word_edit_rat
 
 
 # ------------------------------------------------------------ METEOR
-def meteor_per_example(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Per example: best exact-match METEOR over the references
-    (α = 0.9, β = 3, γ = 0.5)."""
+def meteor_per_example(pairs: DataFrame, keys: list[str], classes: DataFrame | None = None) -> DataFrame:
+    """Per example: best METEOR over the references (α = 0.9, β = 3, γ = 0.5).
+    Exact word matches first; with ``classes`` — a ``(token, cls)`` table such
+    as stems or synonym sets — remaining words with equal classes match in a
+    second stage.  The class table is bounded and checked (map literal)."""
     refs = F.filter(F.coalesce("references", F.array().cast("array<string>")), lambda r: r.isNotNull())
     base = by_example(pairs).select(*keys, "example_id", meteor_tokens("prediction").alias("h"),
-                        F.transform(refs, lambda r: meteor_tokens(r)).alias("rs"))
-    st = base.select(*keys, "example_id", kernels.meteor_udf("h", "rs").alias("s"))
+                                    F.transform(refs, lambda r: meteor_tokens(r)).alias("rs"))
+    if classes is None:
+        st = base.select(*keys, "example_id", kernels.meteor_udf("h", "rs").alias("s"))
+    else:
+        from lexeval.operators.tokens import LITERAL_VOCAB_MAX
+        rows = classes.select("token", "cls").limit(LITERAL_VOCAB_MAX + 1).collect()
+        if len(rows) > LITERAL_VOCAB_MAX:
+            raise ValueError(f"class table has more than {LITERAL_VOCAB_MAX} entries")
+        cmap = F.map_from_arrays(F.lit([r[0] for r in rows]), F.lit([r[1] for r in rows]))
+
+        def cls_of(toks):
+            return F.transform(toks, lambda t: F.try_element_at(cmap, t))
+
+        st = base.select(*keys, "example_id", kernels.meteor_cls_udf(
+            "h", "rs", cls_of(F.col("h")), F.transform("rs", lambda r: cls_of(r))).alias("s"))
     return st.select(*keys, "example_id", F.array_max("s").alias("meteor"))
 
 
-def meteor(pairs: DataFrame, keys: list[str], name: str = "meteor") -> DataFrame:
-    return meteor_per_example(pairs, keys).groupBy(*keys).agg(F.avg("meteor").alias(name))
+def meteor(pairs: DataFrame, keys: list[str], name: str = "meteor", classes: DataFrame | None = None) -> DataFrame:
+    return meteor_per_example(pairs, keys, classes).groupBy(*keys).agg(F.avg("meteor").alias(name))

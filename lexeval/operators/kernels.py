@@ -344,20 +344,35 @@ def word_edit_udf(hyp: pd.Series, refs: pd.Series) -> pd.Series:
 
 
 # ----------------------------------------------------------------- METEOR
-def meteor_row(hyp, ref, alpha=0.9, beta=3.0, gamma=0.5) -> float:
-    """Exact-match METEOR of one hypothesis against one reference.  Alignment:
-    scanning the hypothesis from its end, each word takes the last unused
-    equal reference word.  Chunks = maximal runs adjacent in both."""
-    hyp = list(hyp)
-    ref = list(ref)
+def _match_stage(h_keys, r_keys, h_used, r_used, pairs):
+    """Scanning the hypothesis from its end, each unused word takes the last
+    unused reference word with the same key (None never matches)."""
     positions: dict = {}
-    for j, w in enumerate(ref):
-        positions.setdefault(w, []).append(j)
-    pairs = []
-    for i in range(len(hyp) - 1, -1, -1):
-        p = positions.get(hyp[i])
+    for j, k in enumerate(r_keys):
+        if not r_used[j] and k is not None:
+            positions.setdefault(k, []).append(j)
+    for i in range(len(h_keys) - 1, -1, -1):
+        if h_used[i] or h_keys[i] is None:
+            continue
+        p = positions.get(h_keys[i])
         if p:
-            pairs.append((i, p.pop()))
+            j = p.pop()
+            h_used[i] = r_used[j] = True
+            pairs.append((i, j))
+
+
+def meteor_row(hyp, ref, alpha=0.9, beta=3.0, gamma=0.5, hyp_cls=None, ref_cls=None) -> float:
+    """METEOR of one hypothesis against one reference.  Stage 1 aligns equal
+    words; an optional stage 2 aligns the remaining words whose classes (stems,
+    synonym sets — any user table) are equal.  Chunks = maximal runs adjacent
+    in both; score = (1 − γ·(chunks/matches)^β) · P·R / (α·P + (1 − α)·R)."""
+    hyp = list(hyp)
+    ref = list(ref)
+    h_used, r_used = [False] * len(hyp), [False] * len(ref)
+    pairs: list = []
+    _match_stage(hyp, ref, h_used, r_used, pairs)
+    if hyp_cls is not None and ref_cls is not None:
+        _match_stage(list(hyp_cls), list(ref_cls), h_used, r_used, pairs)
     m = len(pairs)
     if m == 0:
         return 0.0
@@ -372,3 +387,9 @@ def meteor_row(hyp, ref, alpha=0.9, beta=3.0, gamma=0.5) -> float:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def meteor_udf(hyp: pd.Series, refs: pd.Series) -> pd.Series:
     return pd.Series([[meteor_row(h, r) for r in rs] for h, rs in zip(hyp, refs)])
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def meteor_cls_udf(hyp: pd.Series, refs: pd.Series, hyp_cls: pd.Series, ref_cls: pd.Series) -> pd.Series:
+    return pd.Series([[meteor_row(h, r, hyp_cls=hc, ref_cls=rc) for r, rc in zip(rs, rcs)]
+                      for h, rs, hc, rcs in zip(hyp, refs, hyp_cls, ref_cls)])

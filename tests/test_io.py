@@ -95,3 +95,28 @@ def test_incremental_scoring_available_now(spark, tmp):
     write_step(20, ["a b x d", "e f g h"])
     third = run()
     assert sorted(r.step for r in third.collect()) == [10, 20]
+
+
+def test_metric_log_append_and_registry(spark, tmp):
+    from lexeval.plans import evaluate as EV
+    pairs = spark.createDataFrame([(1, 0, "a b c d", ["a b c d"]), (2, 0, "a b", ["a b c d"])],
+                                  "step int, example_id long, prediction string, references array<string>")
+    EV.register_metric("n_rows", lambda p, k, n: p.groupBy(*k).agg(F.count("*").cast("double").alias(n)))
+    wide = EV.evaluate(pairs, ["step"], ["BLEU", "n_rows"])
+    path = os.path.join(tmp, "log")
+    io.append_metric_log(wide, path, ["step"], ["BLEU", "n_rows"])
+    io.append_metric_log(wide, path, ["step"], ["BLEU", "n_rows"])
+    got = spark.read.parquet(path)
+    assert got.count() == 8 and {r.metric for r in got.collect()} == {"eval/BLEU", "eval/n_rows"}
+    with pytest.raises(KeyError):
+        EV.evaluate(pairs, ["step"], ["NOPE"])
+
+
+def test_tuple_predictions_and_batched_row_function(spark):
+    from lexeval.operators import tokens
+    from lexeval.operators.rowfn import map_batches
+    df = spark.createDataFrame([((["x"], [1]),)], "p struct<ids:array<string>,scores:array<int>>")
+    assert tokens.first_of_tuple(df, "p").first().p == ["x"]
+    nums = spark.range(10)
+    out = map_batches(nums, lambda pdf: pdf.assign(id=pdf["id"] * 2), "id long")
+    assert sorted(r.id for r in out.collect()) == list(range(0, 20, 2))

@@ -61,3 +61,24 @@ def test_ter_and_rouge_queries_match_brute_force(spark):
         assert abs(got_rouge[(p.step, p.example_id)] - round(best, 6)) < 1e-6
     for s in edits:
         assert abs(got_ter[s] - round(100 * edits[s] / lens[s], 6)) < 1e-6
+
+
+def test_meteor_class_stage(spark):
+    df = _one(spark, "the cats sat", ["the cat sat"])
+    exact = sequence.meteor(df, ["step"]).first().meteor
+    classes = spark.createDataFrame([("cats", "cat"), ("cat", "cat")], "token string, cls string")
+    staged = sequence.meteor(df, ["step"], classes=classes).first().meteor
+    assert staged > exact
+    # all three words aligned in one chunk: (1 - 0.5 * (1/3)^3) * 1
+    assert abs(staged - (1 - 0.5 * (1 / 3) ** 3)) < 1e-12
+
+
+def test_evaluate_ids_decodes_and_scores(spark):
+    from lexeval.operators import tokens
+    from lexeval.plans.evaluate import evaluate_ids
+    vocab = spark.createDataFrame([(t, i) for i, t in enumerate(tokens.SPECIALS + ["a", "b", "c", "d"])],
+                                  "token string, id int")
+    gen = spark.createDataFrame([(1, 0, [3, 4, 5, 6, 7, 1, 0, 0])], "step int, example_id long, pred_ids array<int>")
+    refs = spark.createDataFrame([(0, ["a b c d"])], "example_id long, references array<string>")
+    r = evaluate_ids(gen, refs, vocab, metrics=["BLEU"]).first()
+    assert abs(r.BLEU - 100) < 1e-9 and r.gen_len == 6
