@@ -442,3 +442,21 @@ FROM (SELECT *, {[f for f in _fams]}[example_id % {len(_fams)} + 1] AS family FR
 JOIN (SELECT * FROM (VALUES {", ".join(f"('{f}', '{_T.lang_token(f, t)}')" for f, (s, t) in _T.LANG_CODES.items())})
       x(family, tgt)) f USING (family)
 JOIN vocab v ON v.token = f.tgt""", extra=_encode_ctes(_TR_SRC))
+
+ORACLE["rouge_l_per_example"] = with_views(["eval_pairs"], """
+SELECT step::BIGINT AS step, example_id::BIGINT AS example_id, round(p, 6) AS rougeL_precision,
+       round(r, 6) AS rougeL_recall, round(f, 6) AS rougeL
+FROM (SELECT *, row_number() OVER (PARTITION BY step, example_id ORDER BY round(f, 9) DESC, k) AS rn
+      FROM (SELECT step, example_id, k,
+                   CASE WHEN la > 0 THEN l / la ELSE 0.0 END AS p, CASE WHEN lb > 0 THEN l / lb ELSE 0.0 END AS r,
+                   CASE WHEN la > 0 AND lb > 0 AND l > 0 THEN 2.0 * (l / la) * (l / lb) / (l / la + l / lb)
+                        ELSE 0.0 END AS f
+            FROM (SELECT *, len(a) AS lb, len(b) AS la,
+                         CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE """ + _LCS + """ END AS l
+                  FROM (SELECT step, example_id, k, """ + S.rouge_tokens("rt") + """ AS a,
+                               """ + S.rouge_tokens("prediction") + """ AS b
+                        FROM (SELECT step, example_id, prediction,
+                                     unnest(list_filter("references", lambda x: x IS NOT NULL)) AS rt,
+                                     generate_subscripts(list_filter("references", lambda x: x IS NOT NULL), 1) AS k
+                              FROM eval_pairs)))))
+WHERE rn = 1""")
