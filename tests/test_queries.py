@@ -28,3 +28,16 @@ def test_every_query_runs(spark):
 def test_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["step", "bleu"] and df.count() == 3
+
+
+def test_plans_have_no_unbounded_single_partition_steps(spark):
+    """Scale check on every registered plan: a single-partition exchange may
+    only carry partial aggregates (one row per task), and no plan may contain
+    a cartesian product or a nested-loop join."""
+    for name, q in E.queries().items():
+        lines = q(spark, SF)._jdf.queryExecution().executedPlan().toString().split("\n")
+        for i, line in enumerate(lines):
+            assert "CartesianProduct" not in line and "BroadcastNestedLoopJoin" not in line, (name, line)
+            if "Exchange SinglePartition" in line:
+                nxt = lines[i + 1]
+                assert "Aggregate" in nxt and "partial_" in nxt, (name, line, nxt)
