@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexeval.metrics import ngram, sequence
+from lexeval.metrics.fused import FUSABLE, evaluate_fused
 from lexeval.operators import tokens
 
 MetricFn = Callable[[DataFrame, list[str], str], DataFrame]
@@ -35,21 +36,29 @@ register_metric("word_edit_rate", lambda p, k, n: sequence.word_edit_rate(p, k,
 register_metric("rougeL", lambda p, k, n: sequence.rouge_l(p, k, name=n))
 register_metric("meteor", lambda p, k, n: sequence.meteor(p, k, name=n))
 
+BUILTIN = dict(METRICS)
 LIGHT = ["BLEU", "BLEU_lower", "chrF++", "TER", "rougeL", "meteor"]
 # the light set minus TER (whose shift search has no SQL twin)
 SQL_CHECKED = ["BLEU", "BLEU_lower", "chrF++", "rougeL", "meteor"]
 
 
 def evaluate(pairs: DataFrame, keys: list[str] | tuple = ("step",), metrics: list[str] | None = None,
-             cache: bool = True) -> DataFrame:
-    """Wide summary: one row per group, one column per metric.  The aligned
-    rows are read once per metric family; with ``cache`` they are persisted
-    for the duration of the plan so the text is not re-derived per family."""
+             cache: bool = True, fused: bool = True) -> DataFrame:
+    """Wide summary: one row per group, one column per metric.
+
+    When every requested metric is a built-in light metric (and ``fused``),
+    all of them are computed in one pass (``metrics.fused``): one projection,
+    one kernel call per row, one aggregation.  Otherwise each family is planned
+    separately and the per-group results are joined on the keys; with
+    ``cache`` the aligned rows are then persisted so the text is not
+    re-derived per family."""
     keys = list(keys)
     metrics = list(metrics or LIGHT)
     unknown = [m for m in metrics if m not in METRICS]
     if unknown:
         raise KeyError(f"unknown metrics {unknown}; registered: {sorted(METRICS)}")
+    if fused and all(m in FUSABLE and METRICS[m] is BUILTIN[m] for m in metrics):
+        return evaluate_fused(pairs, keys, metrics)
     src = pairs.persist() if cache else pairs
     out = None
     for m in metrics:

@@ -82,3 +82,15 @@ def test_evaluate_ids_decodes_and_scores(spark):
     refs = spark.createDataFrame([(0, ["a b c d"])], "example_id long, references array<string>")
     r = evaluate_ids(gen, refs, vocab, metrics=["BLEU"]).first()
     assert abs(r.BLEU - 100) < 1e-9 and r.gen_len == 6
+
+
+def test_fused_evaluation_equals_separate_families(spark):
+    from lexeval.plans import evaluate as EV
+    p = views.eval_pairs(spark, "/root/testdata/sf0.001")
+    ms = ["BLEU", "BLEU_lower", "chrF++", "TER", "word_edit_rate", "rougeL", "meteor"]
+    a = sorted(EV.evaluate(p, ["step"], ms).collect())
+    b = sorted(EV.evaluate(p, ["step"], ms, fused=False).collect())
+    assert len(a) == 3
+    for x, y in zip(a, b):
+        for m in ms:
+            assert abs(x[m] - y[m]) < 1e-9, m
