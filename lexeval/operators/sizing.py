@@ -40,17 +40,30 @@ def checked_small(df: DataFrame, max_rows: int, what: str) -> DataFrame:
     return df
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """CPU-heavy per-row work (kernels, tokenisation) needs at least as many
-    partitions as task slots.  Large inputs already have that and pass through
-    untouched (no extra shuffle); an input with fewer partitions than the
-    session's parallelism (e.g. one small file) is hash-partitioned on
-    ``keys`` across all slots."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
+SPREAD_MAX_BYTES = 1 << 30
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Total size of the relations a plan reads (its leaves: files, local
+    data) — planning only.  Unlike the estimate for the whole plan it does not
+    inflate through explodes and joins."""
     try:
-        n = df.rdd.getNumPartitions()
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:  # pragma: no cover
+        return None
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """CPU-heavy per-row work (kernels, tokenisation) needs at least as many
+    partitions as task slots.  A small input (one file, one row group) can
+    arrive as a single partition, so plans whose input size is at most
+    ``SPREAD_MAX_BYTES`` are hash-partitioned on ``keys`` across all slots —
+    a cheap shuffle at that size.  Larger inputs pass through untouched: their
+    files already give enough tasks.  Decided from optimizer statistics
+    (planning only; nothing is executed to find out)."""
+    size = input_bytes(df)
+    if size is None or size > SPREAD_MAX_BYTES:
         return df
-    if n >= slots:
-        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots * 2, *keys) if keys else df.repartition(slots * 2)
