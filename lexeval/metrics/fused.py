@@ -157,3 +157,34 @@ def evaluate_fused(pairs: DataFrame, keys: list[str], metrics: list[str]) -> Dat
     rows = st.select(*per_row)
     sums = rows.groupBy(*keys).agg(*aggs)
     return sums.select(*keys, *[final[m].alias(m) for m in metrics])
+
+
+def per_example_fused(pairs: DataFrame, keys: list[str], carry=("source", "prediction", "references")) -> DataFrame:
+    """Per-example rows with sentence chrF++ (best reference) and METEOR
+    computed in the same narrow pass that carries the example columns — no
+    join back to the examples."""
+    sel = frozenset({"chrF++", "meteor"})
+    empty_s = F.array().cast("array<string>")
+    empty_ss = F.array().cast("array<array<string>>")
+    refs = usable_refs()
+    all_refs = F.filter(F.coalesce("references", empty_s), lambda r: r.isNotNull())
+    cols = [empty_s.alias("bh"), empty_ss.alias("br"), empty_s.alias("lh"), empty_ss.alias("lr"),
+            chrf_chars("prediction").alias("ch"), chrf_words("prediction").alias("cw"),
+            F.transform(refs, lambda r: chrf_chars(r)).alias("crc"),
+            F.transform(refs, lambda r: chrf_words(r)).alias("crw"),
+            empty_s.alias("th"), empty_ss.alias("tr"), empty_s.alias("rh"), empty_ss.alias("rr"),
+            meteor_tokens("prediction").alias("mh"),
+            F.transform(all_refs, lambda r: meteor_tokens(r)).alias("mr")]
+    names = ["bh", "br", "lh", "lr", "ch", "cw", "crc", "crw", "th", "tr", "rh", "rr", "mh", "mr"]
+    carried = [c for c in carry if c in pairs.columns]
+    base = by_example(pairs).select(*keys, "example_id", *carried, *cols)
+    st = base.select(*keys, "example_id", *carried, _kernel(sel)(*names).alias("s"))
+
+    def f_of(flat):
+        return _f_score(F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda o: F.struct(
+            (o + 1).alias("o"), flat[o * 3].alias("h"), flat[o * 3 + 1].alias("r"), flat[o * 3 + 2].alias("m"))),
+            ORDERS)
+
+    return st.select(*keys, "example_id", *carried,
+                     F.array_max(F.transform(F.col("s")["c"], f_of)).alias("chrf"),
+                     F.array_max(F.col("s")["mt"]).alias("meteor"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexeval.metrics import ngram, sequence
-from lexeval.metrics.fused import FUSABLE, evaluate_fused
+from lexeval.metrics.fused import FUSABLE, evaluate_fused, per_example_fused
 from lexeval.operators import tokens
 
 MetricFn = Callable[[DataFrame, list[str], str], DataFrame]
@@ -75,12 +75,9 @@ def metric_log(wide: DataFrame, keys: list[str], metrics: list[str], prefix: str
 
 def per_example(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Per-example rows: source, prediction, references and per-example
-    chrF++ and METEOR (joined on keys + example_id)."""
-    keys = list(keys)
-    base = pairs.select(*keys, "example_id", "source", "prediction", "references")
-    c = ngram.chrf_stats(pairs, keys).select(*keys, "example_id", "chrf")
-    m = sequence.meteor_per_example(pairs, keys)
-    return base.join(c, [*keys, "example_id"], "left").join(m, [*keys, "example_id"], "left")
+    chrF++ and METEOR, computed in one narrow pass that carries the example
+    columns (no join back)."""
+    return per_example_fused(pairs, list(keys))
 
 
 def evaluate_ids(generated: DataFrame, references: DataFrame, vocab: DataFrame, keys=("step",),
