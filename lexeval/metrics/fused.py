@@ -155,8 +155,9 @@ def evaluate_fused(pairs: DataFrame, keys: list[str], metrics: list[str]) -> Dat
         final["meteor"] = F.col("meteor_avg")
     per_row.append("s")
     rows = st.select(*per_row)
-    sums = rows.groupBy(*keys).agg(*aggs)
-    return sums.select(*keys, *[final[m].alias(m) for m in metrics])
+    sums = rows.groupBy(*keys).agg(*aggs, F.count("*").alias("_rows"))
+    # an empty input (global summary, no keys) gives one row of NULL metrics
+    return sums.select(*keys, *[F.when(F.col("_rows") > 0, final[m]).alias(m) for m in metrics])
 
 
 def per_example_fused(pairs: DataFrame, keys: list[str], carry=("source", "prediction", "references")) -> DataFrame:

@@ -94,3 +94,10 @@ def test_fused_evaluation_equals_separate_families(spark):
     for x, y in zip(a, b):
         for m in ms:
             assert abs(x[m] - y[m]) < 1e-9, m
+
+
+def test_empty_input_gives_one_row_of_nulls(spark):
+    from lexeval.plans import evaluate as EV
+    empty = spark.createDataFrame([], SCHEMA)
+    rows = EV.evaluate(empty, [], ["BLEU", "chrF++", "TER", "rougeL", "meteor"]).collect()
+    assert len(rows) == 1 and all(v is None for v in rows[0])
