@@ -92,13 +92,15 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray):
         lo = hi
 
 
-def words(column, lut: np.ndarray, spans: bool = False):
-    """(hashes, bounds[, starts, ends]) of a string column: row ``i`` has the
-    word hashes ``hashes[bounds[i]:bounds[i + 1]]``; starts and ends are byte
-    positions in :func:`text_buffer`."""
+def words(column, lut: np.ndarray, spans: bool = False, prefixes: tuple[int, ...] = ()):
+    """(hashes, bounds[, starts, ends][, prefix hashes]) of a string column: row
+    ``i`` has the word hashes ``hashes[bounds[i]:bounds[i + 1]]``; starts and
+    ends are byte positions in :func:`text_buffer`.  For each length in
+    ``prefixes`` one more array has the hashes of the words' first bytes, 0
+    where a word is not longer."""
     data, offsets = text_buffer(column)
     row_starts = np.unique(offsets[:-1][offsets[:-1] < offsets[1:]])
-    hashes, starts, ends = [], [], []
+    hashes, starts, ends, heads = [], [], [], [[] for _ in prefixes]
     for lo, hi in _pieces(data, offsets, lut):
         power, inverse = _tables_for(hi - lo)
         value = lut[data[lo:hi]]
@@ -117,12 +119,17 @@ def words(column, lut: np.ndarray, spans: bool = False):
         total = np.add.accumulate(value)
         h = (total[e] - total[s] + value[s]) * inverse[s]
         hashes.append(mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        for k, out in zip(prefixes, heads):
+            longer = e - s >= k
+            part = (total[np.minimum(s + k - 1, e)] - total[s] + value[s]) * inverse[s]
+            out.append(np.where(longer, mix(part + np.uint64(k)), np.uint64(0)))
         starts.append(s + lo)
         ends.append(e + 1 + lo)
     join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
     hashes, starts, ends = join(hashes, np.uint64), join(starts, np.int64), join(ends, np.int64)
     bounds = np.searchsorted(starts, offsets)
-    return (hashes, bounds, starts, ends) if spans else (hashes, bounds)
+    out = (hashes, bounds, starts, ends) if spans else (hashes, bounds)
+    return (*out, *(join(h, np.uint64) for h in heads)) if prefixes else out
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
