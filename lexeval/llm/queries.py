@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexeval.llm import quality
 from lexeval.llm.common import prepare, table
 
 
@@ -16,6 +17,14 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexeval.llm.quality import quality_rules
+
+    return quality_rules(table(prepare(spark), sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_lines", "n_upper")
+
+
 def _tokenizer() -> str:
     import public_tokenizers
 
@@ -64,6 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
     "op8_language": op8_language,
@@ -74,6 +84,7 @@ QUERIES = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE: dict[str, str] = {
+    "op1_quality": quality.oracle_sql(),
     "op6_decontamination": f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
