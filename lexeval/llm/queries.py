@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexeval.llm import quality
+from lexeval.llm import quality, urlfilter
 from lexeval.llm.common import prepare, table
 
 
@@ -50,6 +50,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(prepare(spark), sf_dir, "pages"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexeval.llm.langid import fit, held_out, predictor
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
+    "op7_url_filter": op7_url_filter,
     "op8_language": op8_language,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
@@ -84,6 +89,7 @@ QUERIES = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE: dict[str, str] = {
+    "op7_url_filter": urlfilter.oracle_sql(),
     "op1_quality": quality.oracle_sql(),
     "op6_decontamination": f"""
 WITH d AS (
