@@ -12,12 +12,15 @@ from lexeval.session import checkpoint_dir, configure, ship_package
 
 #: Rows of one Arrow batch sent to Python; texts can be long, so batches are short.
 ARROW_ROWS = 1000
+#: And no longer than this in bytes, where Spark knows the setting.
+ARROW_BYTES = 32 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     configure(spark)
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
@@ -25,12 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder of ``spark.checkpoint.dir``."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet below the shared folder of
     ``spark.checkpoint.dir`` and read it back.  Every executor sees the files,
     so a lost executor costs nothing that is already staged."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexeval.llm import quality, urlfilter
+from lexeval.llm import archives, quality, sharding, urlfilter
 from lexeval.llm.common import prepare, table
 
 
@@ -25,6 +25,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_lines", "n_upper")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    out = sharding.assign(docs, F.col("doc_id"), F.col("bytes"), sharding.SHARD_BYTES)
+    return out.select("doc_id", "shard", F.length("shard").alias("depth"), "bytes", "shard_bytes", "shard_rows",
+                      (F.col("shard_bytes") > sharding.SHARD_BYTES).alias("oversized"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.pages_round_trip(table(prepare(spark), sf_dir, "pages"), least=0)
+
+
 def _tokenizer() -> str:
     import public_tokenizers
 
@@ -78,6 +90,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_sharding": op3_sharding,
+    "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
     "op7_url_filter": op7_url_filter,
@@ -89,6 +103,7 @@ QUERIES = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE: dict[str, str] = {
+    "op3_sharding": sharding.oracle_sql(sharding.SHARD_BYTES),
     "op7_url_filter": urlfilter.oracle_sql(),
     "op1_quality": quality.oracle_sql(),
     "op6_decontamination": f"""
