@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexeval.llm import archives, quality, sharding, urlfilter
+from lexeval.llm import archives, linededup, quality, sharding, urlfilter
 from lexeval.llm.common import prepare, table
 
 
@@ -25,6 +25,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_lines", "n_upper")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dropped_lines(table(prepare(spark), sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
@@ -90,6 +94,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_line_dedup": op2_line_dedup,
     "op3_sharding": op3_sharding,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
