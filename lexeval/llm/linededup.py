@@ -5,8 +5,9 @@ other punctuation and white space; lines without words are left alone.  Lines
 with equal word sequences are copies of one another and are one vertex from
 here on.  Two different lines are linked if the 64-bit SimHashes of their
 distinct words agree in at least ``AGREE`` of ``BLOCKS`` blocks and the edit
-similarity of their normalised texts, 1 - distance / longer length, reaches
-``SIMILARITY``.  By the pigeonhole principle every pair within Hamming distance
+similarity of their word sequences, 1 - distance / longer length, reaches
+``SIMILARITY``; each word counts as one of ``SYMBOLS`` characters by its hash.
+By the pigeonhole principle every pair within Hamming distance
 BLOCKS - AGREE = 3 shares that many blocks; pairs farther than ``FAR`` apart are
 not compared.  Of each connected group the first occurrence stays, by (doc_id,
 line number); all others go.
@@ -38,6 +39,8 @@ from lexeval.llm.common import fresh, let, stage
 from lexeval.llm.components import components, shared_buckets
 
 BLOCKS, AGREE, FAR = 5, 2, 10
+#: Characters that stand for words in the edit distance.
+SYMBOLS = 55_000
 SIMILARITY = 0.8
 _WIDTHS = [64 // BLOCKS + (1 if i < 64 % BLOCKS else 0) for i in range(BLOCKS)]
 _PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF -⁯　-〃]+"
@@ -93,13 +96,31 @@ def block_keys(sim: Column) -> Column:
     return F.array(*keys)
 
 
+def symbols(words: Column) -> Column:
+    """One character for each word, so that edit distance counts words."""
+    code = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(SYMBOLS)) + 256), 4, "0"))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+
+
 def similar(a: Column, b: Column, least: float) -> Column:
-    """Edit similarity of at least ``least``; a narrow band is tried first."""
+    """Edit similarity of at least ``least`` of two symbol texts.  Spark's
+    distance takes quadratic time, so long texts are first compared place by
+    place and by their common beginning and end: what differs there bounds the
+    distance from above."""
     longer = F.greatest(F.length(a), F.length(b))
-    wide = F.floor(longer * (1 - least) + 1e-9).cast("int")
-    narrow = F.least(wide, F.floor(longer * 0.03).cast("int") + 4)
-    within = lambda band: F.call_function("levenshtein", a, b, band) >= 0
-    return (F.abs(F.length(a) - F.length(b)) <= wide) & (within(narrow) | within(wide))
+    most = F.floor(longer * (1 - least) + 1e-9).cast("int")
+    exact = F.levenshtein(a, b) <= most
+
+    def bounded(pair):
+        x, y = pair[0], pair[1]
+        backward = lambda v: F.reverse(v)
+        apart = lambda p, q: F.size(F.filter(F.zip_with(p, q, lambda u, v: ~u.eqNullSafe(v)), lambda d: d))
+        same = lambda p, q: F.array_position(F.zip_with(p, q, lambda u, v: ~u.eqNullSafe(v)), F.lit(True)).cast("int") - 1
+        ends = longer - same(x, y) - same(backward(x), backward(y))
+        return F.when(F.least(apart(x, y), ends) <= most, F.lit(True)).otherwise(exact)
+
+    return F.when(F.abs(F.length(a) - F.length(b)) > most, F.lit(False)).when(longer <= 512, exact).otherwise(
+        let(F.array(F.split(a, ""), F.split(b, "")), bounded))
 
 
 def _doc_key() -> Column:
@@ -157,7 +178,7 @@ def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, least: flo
     if wanted.count() <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
     texts = stage(_lines(docs).join(wanted, ["doc", "line"]).dropDuplicates(["id"])
-                  .select("id", F.array_join(line_words(F.col("raw")), " ").alias("t")), "line-texts")
+                  .select("id", symbols(line_words(F.col("raw"))).alias("t")), "line-texts")
     ta, tb = texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
     return pairs.join(ta, "a").join(tb, "b").where(similar(F.col("ta"), F.col("tb"), least)).select("a", "b")
 

@@ -23,6 +23,10 @@ def distance(a, b):
     return row[-1]
 
 
+def near(a, b):
+    return distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+
+
 def brute(docs, sims):
     """docs: (doc_id, text) in order of rank; sims: normalised line -> SimHash."""
     first = {}
@@ -47,7 +51,7 @@ def brute(docs, sims):
 
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if agree(sims[a], sims[b]) and distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+            if agree(sims[a], sims[b]) and near(a.split(), b.split()):
                 x, y = find(a), find(b)
                 if x != y:
                     parent[max(x, y, key=first.get)] = min(x, y, key=first.get)
@@ -96,6 +100,21 @@ def test_against_brute_force(spark):
             assert d not in texts
 
 
+def test_similarity_of_long_lines_is_exact(spark):
+    rng = random.Random(5)
+    pairs = []
+    for n in (513, 700, 900):
+        w = ["w%d" % rng.randrange(50) for _ in range(n)]
+        for changes in (0, 1, n // 10, n // 5, n // 5 + 1, n // 4):
+            v = list(w)
+            for i in rng.sample(range(n), changes):
+                v[i] = "x"
+            pairs += [(w, v), (w, v[changes:]), (w[:-1], v[1:]), (w, v[n // 2:] + v[:n // 2])]
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    got = [r[0] for r in df.select(L.similar(L.symbols(F.col("a")), L.symbols(F.col("b")), 0.8)).collect()]
+    assert got == [near(a, b) for a, b in pairs]
+
+
 @pytest.mark.parametrize("n", [1, 2, 127, 128, 1000, 40000])
 def test_simhash_is_the_majority_of_the_word_hashes(spark, n):
     df = spark.range(n).select(F.concat(F.lit("w"), "id").alias("w"))
