@@ -28,7 +28,10 @@ RULES_13A = [
 CHRF_PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # -----------------------------------------------------------------------------
 
-WS = r"\s+"
+# White space as Python's ``str.split`` knows it, as the inside of a character
+# class that Java and RE2 both read (their own ``\s`` is ASCII only).
+WS_CLASS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS = f"[{WS_CLASS}]+"
 
 
 def _c(c) -> Column:
@@ -40,12 +43,9 @@ def split_ws(c) -> Column:
     return F.filter(F.split(_c(c), WS), lambda x: x != "")
 
 
-words = split_ws
-
-
 def strip_ws(c) -> Column:
     """Strip leading/trailing whitespace of any kind (``str.strip()``)."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_c(c), f"^{WS}|{WS}$", "")
 
 
 def normalize_13a(c) -> Column:
@@ -104,22 +104,7 @@ def ter_tokens(c, case_sensitive: bool = False) -> Column:
 
 def meteor_tokens(c) -> Column:
     """Lower-cased word and punctuation tokens."""
-    return F.regexp_extract_all(F.lower(_c(c)), F.lit(r"[^\s\p{P}\p{S}]+|[\p{P}\p{S}]"), 0)
-
-
-def ngrams(tokens: Column, n: int) -> Column:
-    """``array<string>`` of the space-joined n-grams of a token array, in order."""
-    return F.filter(
-        F.transform(tokens, lambda t, i: F.when(i + n <= F.size(tokens),
-                                                F.array_join(F.slice(tokens, i + 1, n), " "))),
-        lambda g: g.isNotNull())
-
-
-def char_ngrams(s: Column, n: int) -> Column:
-    """``array<string>`` of character n-grams of a string."""
-    return F.filter(
-        F.transform(F.split(s, ""), lambda ch, i: F.when(i + n <= F.length(s), F.substring(s, i + 1, n))),
-        lambda g: g.isNotNull())
+    return F.regexp_extract_all(F.lower(_c(c)), F.lit(rf"[^{WS_CLASS}\p{{P}}\p{{S}}]+|[\p{{P}}\p{{S}}]"), 0)
 
 
 def step_from_name(c) -> Column:

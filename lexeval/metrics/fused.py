@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexeval.functions.text import chrf_chars, chrf_words, meteor_tokens, rouge_tokens, ter_tokens, tok_13a
-from lexeval.metrics.ngram import _f_score, bleu_from_sums, by_example, usable_refs
-from lexeval.metrics.sequence import ter_from_sums
+from lexeval.metrics.ngram import best_chrf, bleu_from_sums, by_example, chrf_from_sums, over, usable_refs
+from lexeval.metrics.sequence import rouge_scores, ter_from_sums
 from lexeval.operators import kernels
 
 FUSABLE = ("BLEU", "BLEU_lower", "chrF++", "TER", "word_edit_rate", "rougeL", "meteor")
@@ -44,10 +44,10 @@ def _kernel(sel: frozenset):
         n = len(bh)
         out = {k: [None] * n for k in ("b", "bl", "c", "t", "w", "l", "mt")}
         for i in range(n):
-            if "BLEU" in sel:
+            if "BLEU" in sel and len(br.iat[i]):
                 hl, rl, m = kernels.bleu_row(bh.iat[i], br.iat[i])
                 out["b"][i] = [hl, rl, *m]
-            if "BLEU_lower" in sel:
+            if "BLEU_lower" in sel and len(lr.iat[i]):
                 hl, rl, m = kernels.bleu_row(lh.iat[i], lr.iat[i])
                 out["bl"][i] = [hl, rl, *m]
             if "chrF++" in sel:
@@ -76,7 +76,6 @@ def evaluate_fused(pairs: DataFrame, keys: list[str], metrics: list[str]) -> Dat
     empty_s = F.array().cast("array<string>")
     empty_ss = F.array().cast("array<array<string>>")
     refs = usable_refs()
-    all_refs = F.filter(F.coalesce("references", empty_s), lambda r: r.isNotNull())
 
     def pick(name, expr, empty):
         return (expr if name in sel else empty)
@@ -93,9 +92,9 @@ def evaluate_fused(pairs: DataFrame, keys: list[str], metrics: list[str]) -> Dat
         (ter_tokens("prediction") if sel & {"TER", "word_edit_rate"} else empty_s).alias("th"),
         (F.transform(refs, lambda r: ter_tokens(r)) if sel & {"TER", "word_edit_rate"} else empty_ss).alias("tr"),
         pick("rougeL", rouge_tokens("prediction"), empty_s).alias("rh"),
-        pick("rougeL", F.transform(all_refs, lambda r: rouge_tokens(r)), empty_ss).alias("rr"),
+        pick("rougeL", F.transform(refs, lambda r: rouge_tokens(r)), empty_ss).alias("rr"),
         pick("meteor", meteor_tokens("prediction"), empty_s).alias("mh"),
-        pick("meteor", F.transform(all_refs, lambda r: meteor_tokens(r)), empty_ss).alias("mr"),
+        pick("meteor", F.transform(refs, lambda r: meteor_tokens(r)), empty_ss).alias("mr"),
     ]
     base = by_example(pairs).select(*keys, "example_id", *cols)
     names = ["bh", "br", "lh", "lr", "ch", "cw", "crc", "crw", "th", "tr", "rh", "rr", "mh", "mr"]
@@ -111,24 +110,14 @@ def evaluate_fused(pairs: DataFrame, keys: list[str], metrics: list[str]) -> Dat
             v = F.col("s")[f]
             aggs += [F.sum(v[0]).alias(f"{f}_sys"), F.sum(v[1]).alias(f"{f}_ref")]
             aggs += [F.sum(v[2 + n]).alias(f"{f}_m{n}") for n in range(4)]
-            aggs += [F.sum(F.greatest(v[0] - n, F.lit(0))).alias(f"{f}_t{n}") for n in range(4)]
+            aggs += [F.sum(over(v[0], n)).alias(f"{f}_t{n}") for n in range(4)]
             final[m] = bleu_from_sums(F.col(f"{f}_sys"), F.col(f"{f}_ref"),
                                       [F.col(f"{f}_m{n}") for n in range(4)],
                                       [F.col(f"{f}_t{n}") for n in range(4)])
     if "chrF++" in sel:
-        def as_structs(flat):
-            return F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda o: F.struct(
-                (o + 1).alias("o"), flat[o * 3].alias("h"), flat[o * 3 + 1].alias("r"), flat[o * 3 + 2].alias("m")))
-        scored = F.transform(F.col("s")["c"], lambda flat, k: F.struct(
-            k.alias("k"), flat.alias("flat"), _f_score(as_structs(flat), ORDERS).alias("f")))
-        best = F.element_at(F.array_sort(scored, lambda a, b: F.when(a["f"] > b["f"], -1).when(a["f"] < b["f"], 1)
-                                         .otherwise(a["k"] - b["k"])), 1)["flat"]
-        per_row.append(best.alias("chrf_best"))
-        aggs += [F.sum(F.col("chrf_best")[i]).alias(f"c{i}") for i in range(ORDERS * 3)]
-        final["chrF++"] = _f_score(F.array(*[F.struct(F.lit(o + 1).alias("o"), F.col(f"c{3 * o}").alias("h"),
-                                                      F.col(f"c{3 * o + 1}").alias("r"),
-                                                      F.col(f"c{3 * o + 2}").alias("m")) for o in range(ORDERS)]),
-                                   ORDERS)
+        per_row.append(best_chrf(F.col("s")["c"], ORDERS)["stats"].alias("chrf_best"))
+        aggs += [F.sum(F.col("chrf_best")[o][f]).alias(f"c{f}{o}") for o in range(ORDERS) for f in "hrm"]
+        final["chrF++"] = chrf_from_sums(*[[F.col(f"c{f}{o}") for o in range(ORDERS)] for f in "hrm"])
     n_refs = F.size("tr")
     ref_len = F.aggregate("tr", F.lit(0).cast("long"), lambda a, r: a + F.size(r)) / n_refs
     for m, f in (("TER", "t"), ("word_edit_rate", "w")):
@@ -138,15 +127,8 @@ def evaluate_fused(pairs: DataFrame, keys: list[str], metrics: list[str]) -> Dat
             aggs += [F.sum(f"{f}_e").alias(f"{f}_E"), F.sum(f"{f}_l").alias(f"{f}_L")]
             final[m] = ter_from_sums(F.col(f"{f}_E"), F.col(f"{f}_L"))
     if "rougeL" in sel:
-        hl = F.size("rh")
-
-        def f1(r, k):
-            lcs = F.col("s")["l"][k]
-            p = F.when(hl > 0, lcs / hl).otherwise(0.0)
-            rc = F.when(F.size(r) > 0, lcs / F.size(r)).otherwise(0.0)
-            return F.when((p + rc > 0) & (hl > 0) & (F.size(r) > 0), 2 * p * rc / (p + rc)).otherwise(0.0)
-
-        per_row.append(F.array_max(F.transform("rr", f1)).alias("rouge_f"))
+        scores = rouge_scores(F.col("rh"), F.col("rr"), F.col("s")["l"])
+        per_row.append(F.array_max(F.transform(scores, lambda x: x["f"])).alias("rouge_f"))
         aggs.append(F.avg("rouge_f").alias("rouge_avg"))
         final["rougeL"] = F.col("rouge_avg")
     if "meteor" in sel:
@@ -168,24 +150,17 @@ def per_example_fused(pairs: DataFrame, keys: list[str], carry=("source", "predi
     empty_s = F.array().cast("array<string>")
     empty_ss = F.array().cast("array<array<string>>")
     refs = usable_refs()
-    all_refs = F.filter(F.coalesce("references", empty_s), lambda r: r.isNotNull())
     cols = [empty_s.alias("bh"), empty_ss.alias("br"), empty_s.alias("lh"), empty_ss.alias("lr"),
             chrf_chars("prediction").alias("ch"), chrf_words("prediction").alias("cw"),
             F.transform(refs, lambda r: chrf_chars(r)).alias("crc"),
             F.transform(refs, lambda r: chrf_words(r)).alias("crw"),
             empty_s.alias("th"), empty_ss.alias("tr"), empty_s.alias("rh"), empty_ss.alias("rr"),
             meteor_tokens("prediction").alias("mh"),
-            F.transform(all_refs, lambda r: meteor_tokens(r)).alias("mr")]
+            F.transform(refs, lambda r: meteor_tokens(r)).alias("mr")]
     names = ["bh", "br", "lh", "lr", "ch", "cw", "crc", "crw", "th", "tr", "rh", "rr", "mh", "mr"]
     carried = [c for c in carry if c in pairs.columns]
     base = by_example(pairs).select(*keys, "example_id", *carried, *cols)
     st = base.select(*keys, "example_id", *carried, _kernel(sel)(*names).alias("s"))
 
-    def f_of(flat):
-        return _f_score(F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda o: F.struct(
-            (o + 1).alias("o"), flat[o * 3].alias("h"), flat[o * 3 + 1].alias("r"), flat[o * 3 + 2].alias("m"))),
-            ORDERS)
-
-    return st.select(*keys, "example_id", *carried,
-                     F.array_max(F.transform(F.col("s")["c"], f_of)).alias("chrf"),
+    return st.select(*keys, "example_id", *carried, best_chrf(F.col("s")["c"], ORDERS)["f"].alias("chrf"),
                      F.array_max(F.col("s")["mt"]).alias("meteor"))

@@ -28,8 +28,9 @@ from lexeval.operators.sizing import spread
 
 
 def usable_refs(col: str | Column = "references") -> Column:
-    """References that take part in scoring: NULL and empty strings are dropped
-    (padding a ragged list with "" therefore changes nothing)."""
+    """References that take part in scoring, in every metric: NULL and empty
+    strings are dropped, so padding a ragged list with "" changes nothing.  An
+    example that has none left gets NULL scores and counts in no corpus score."""
     c = F.col(col) if isinstance(col, str) else col
     return F.filter(F.coalesce(c, F.array().cast("array<string>")),
                     lambda r: r.isNotNull() & (r != ""))
@@ -56,17 +57,22 @@ def bleu_stats(pairs: DataFrame, keys: list[str], lowercase: bool = False, max_o
     hyp = tok_13a("prediction", lowercase)
     refs = F.transform(usable_refs(), lambda r: tok_13a(r, lowercase))
     base = by_example(pairs, partitioned).select(*keys, "example_id", hyp.alias("hyp"), refs.alias("refs"))
-    st = base.select(*keys, "example_id", kernels.bleu_stats_udf("hyp", "refs").alias("s"))
+    st = base.select(*keys, "example_id", F.when(F.size("refs") > 0, kernels.bleu_stats_udf("hyp", "refs")).alias("s"))
     return st.select(*keys, "example_id", F.col("s.hyp_len").alias("hyp_len"), F.col("s.ref_len").alias("ref_len"),
                      *[F.col("s.matches")[n - 1].alias(f"match_{n}") for n in range(1, max_order + 1)],
-                     *[F.greatest(F.col("s.hyp_len") - (n - 1), F.lit(0)).alias(f"total_{n}")
+                     *[over(F.col("s.hyp_len"), n - 1).alias(f"total_{n}")
                        for n in range(1, max_order + 1)])
 
 
+def over(length: Column, less: int) -> Column:
+    """``length - less``, at least 0; NULL stays NULL (``greatest`` skips it)."""
+    return F.when(length > less, length - less).when(length.isNotNull(), F.lit(0))
+
+
 def bleu_from_sums(sys_len: Column, ref_len: Column, matches: list[Column], totals: list[Column]) -> Column:
     """Corpus BLEU (0-100) from summed statistics, "exp" smoothing: the k-th
     order with zero matches gets precision 100 / (2^k · total); an order with no
-    n-grams at all, or no match at any order, gives 0."""
+    n-grams at all, or no match at any order, gives 0; no statistics give NULL."""
     bp = F.when(sys_len >= ref_len, F.lit(1.0)).when(sys_len > 0, F.exp(1 - ref_len / sys_len)).otherwise(0.0)
     log_sum = F.lit(0.0)
     zeros = F.lit(0)
@@ -80,7 +86,7 @@ def bleu_from_sums(sys_len: Column, ref_len: Column, matches: list[Column], tota
     for m in matches:
         any_match = any_match | (m > 0)
     score = bp * F.exp(log_sum / len(matches))
-    return F.when(~any_match | any_zero_total, F.lit(0.0)).otherwise(score)
+    return F.when(sys_len.isNotNull(), F.when(~any_match | any_zero_total, F.lit(0.0)).otherwise(score))
 
 
 def corpus_bleu(pairs: DataFrame, keys: list[str], lowercase: bool = False, name: str = "bleu",
@@ -117,6 +123,28 @@ def _f_score(stats: Column, n_orders: int, beta: float = BETA) -> Column:
     return F.when(p + r > 0, 100.0 * (1 + f2) * p * r / (f2 * p + r)).otherwise(0.0)
 
 
+def order_stats(flat: Column, orders: int) -> Column:
+    """The kernel's flat ``[h, r, m] * orders`` as ``array<struct<o,h,r,m>>``."""
+    return F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), lambda o: F.struct(
+        (o + 1).alias("o"), flat[o * 3].alias("h"), flat[o * 3 + 1].alias("r"), flat[o * 3 + 2].alias("m")))
+
+
+def best_chrf(per_ref: Column, orders: int, beta: float = BETA) -> Column:
+    """``struct<k,stats,f>`` of the reference with the highest sentence chrF,
+    the first on ties; NULL without references."""
+    scored = F.transform(per_ref, lambda flat, k: F.struct(
+        k.alias("k"), order_stats(flat, orders).alias("stats"), _f_score(order_stats(flat, orders), orders, beta).alias("f")))
+    return F.get(F.array_sort(scored, lambda a, b: F.when(a["f"] > b["f"], -1).when(a["f"] < b["f"], 1)
+                              .otherwise(a["k"] - b["k"])), F.lit(0))
+
+
+def chrf_from_sums(h: list[Column], r: list[Column], m: list[Column], beta: float = BETA) -> Column:
+    """Corpus chrF from the summed statistics of every order; NULL without any."""
+    stats = F.array(*[F.struct(F.lit(o + 1).alias("o"), a.alias("h"), b.alias("r"), c.alias("m"))
+                      for o, (a, b, c) in enumerate(zip(h, r, m))])
+    return F.when(h[0].isNotNull(), _f_score(stats, len(h), beta))
+
+
 def chrf_stats(pairs: DataFrame, keys: list[str], char_order: int = CHAR_ORDER, word_order: int = WORD_ORDER,
                beta: float = BETA, partitioned: bool = True) -> DataFrame:
     """Per example: statistics of the best reference (highest sentence chrF,
@@ -125,8 +153,6 @@ def chrf_stats(pairs: DataFrame, keys: list[str], char_order: int = CHAR_ORDER,
     Character/word splitting is JVM; per-reference counting and clipping is an
     Arrow-batched kernel; choosing the best reference is a higher-order
     expression over the few references of the row."""
-    if (char_order, word_order) != (CHAR_ORDER, WORD_ORDER):
-        raise ValueError("only chrF++ (char order 6, word order 2) is provided")
     orders = char_order + word_order
     refs = usable_refs()
     base = by_example(pairs, partitioned).select(
@@ -134,17 +160,9 @@ def chrf_stats(pairs: DataFrame, keys: list[str], char_order: int = CHAR_ORDER,
         chrf_chars("prediction").alias("hc"), chrf_words("prediction").alias("hw"),
         F.transform(refs, lambda r: chrf_chars(r)).alias("rc"),
         F.transform(refs, lambda r: chrf_words(r)).alias("rw"))
-    st = base.select(*keys, "example_id", kernels.chrf_stats_udf("hc", "hw", "rc", "rw").alias("per_ref"))
-
-    def as_structs(flat):
-        return F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), lambda o: F.struct(
-            (o + 1).alias("o"), flat[o * 3].alias("h"), flat[o * 3 + 1].alias("r"), flat[o * 3 + 2].alias("m")))
+    st = base.select(*keys, "example_id", kernels.chrf_stats_udf(char_order, word_order)("hc", "hw", "rc", "rw").alias("per_ref"))
 
-    scored = F.transform("per_ref", lambda flat, k: F.struct(
-        k.alias("k"), as_structs(flat).alias("stats"), _f_score(as_structs(flat), orders, beta).alias("f")))
-    best = F.element_at(F.array_sort(scored, lambda a, b: F.when(a["f"] > b["f"], -1).when(a["f"] < b["f"], 1)
-                                     .otherwise(a["k"] - b["k"])), 1)
-    out = st.select(*keys, "example_id", F.when(F.size("per_ref") > 0, best).alias("best"))
+    out = st.select(*keys, "example_id", best_chrf(F.col("per_ref"), orders, beta).alias("best"))
     return out.select(*keys, "example_id", F.col("best.k").alias("best_ref"),
                       F.col("best.stats").alias("stats"), F.col("best.f").alias("chrf"))
 
@@ -158,6 +176,5 @@ def corpus_chrf(pairs: DataFrame, keys: list[str], char_order: int = CHAR_ORDER,
     st = chrf_stats(pairs, keys, char_order, word_order, beta, partitioned)
     sums = st.groupBy(*keys).agg(*[F.sum(F.col("stats")[o][f]).alias(f"{f}{o}")
                                    for o in range(orders) for f in ("h", "r", "m")])
-    agg = F.array(*[F.struct(F.lit(o + 1).alias("o"), F.col(f"h{o}").alias("h"), F.col(f"r{o}").alias("r"),
-                             F.col(f"m{o}").alias("m")) for o in range(orders)])
-    return sums.select(*keys, _f_score(agg, orders, beta).alias(name))
+    column = lambda f: [F.col(f"{f}{o}") for o in range(orders)]
+    return sums.select(*keys, chrf_from_sums(column("h"), column("r"), column("m"), beta).alias(name))

@@ -14,33 +14,39 @@ from pyspark.sql import functions as F
 from lexeval.functions.text import meteor_tokens, rouge_tokens, ter_tokens
 from lexeval.metrics.ngram import by_example, usable_refs
 from lexeval.operators import kernels
+from lexeval.operators.tokens import lookup
 
 
 def _best(arr, better):
     """First element of ``arr`` (array of structs with field ``k``) that is best
     under the ``better(a, b)`` boolean; ties keep the earlier reference."""
-    return F.element_at(F.array_sort(arr, lambda a, b: F.when(better(a, b), -1).when(better(b, a), 1)
-                                     .otherwise(a["k"] - b["k"])), 1)
+    return F.get(F.array_sort(arr, lambda a, b: F.when(better(a, b), -1).when(better(b, a), 1)
+                              .otherwise(a["k"] - b["k"])), F.lit(0))
+
+
+def rouge_scores(hyp, refs, lcs):
+    """``array<struct<k,p,r,f>>``: precision, recall and F1 of each reference's
+    token array from its LCS length with the prediction's; an empty side gives 0."""
+    hl = F.size(hyp)
+
+    def score(r, k):
+        n = F.get(lcs, k)
+        p = F.when(hl > 0, n / hl).otherwise(0.0)
+        rc = F.when(F.size(r) > 0, n / F.size(r)).otherwise(0.0)
+        f = F.when(p + rc > 0, 2 * p * rc / (p + rc)).otherwise(0.0)
+        return F.struct(k.alias("k"), p.alias("p"), rc.alias("r"), f.alias("f"))
+
+    return F.transform(refs, score)
 
 
 # ------------------------------------------------------------ ROUGE-L
 def rouge_l_per_example(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Per example: LCS precision, recall and F1 of the reference with the
     highest F1 (lower-case ``[a-z0-9]+`` tokens; empty side → 0)."""
-    refs = F.filter(F.coalesce("references", F.array().cast("array<string>")), lambda r: r.isNotNull())
     base = by_example(pairs).select(*keys, "example_id", rouge_tokens("prediction").alias("h"),
-                        F.transform(refs, lambda r: rouge_tokens(r)).alias("rs"))
+                                    F.transform(usable_refs(), lambda r: rouge_tokens(r)).alias("rs"))
     st = base.select(*keys, "example_id", "h", "rs", kernels.lcs_udf("h", "rs").alias("lcs"))
-    hl = F.size("h")
-
-    def score(r, k):
-        lcs = F.col("lcs")[k]
-        p = F.when(hl > 0, lcs / hl).otherwise(0.0)
-        rc = F.when(F.size(r) > 0, lcs / F.size(r)).otherwise(0.0)
-        f = F.when((p + rc > 0) & (hl > 0) & (F.size(r) > 0), 2 * p * rc / (p + rc)).otherwise(0.0)
-        return F.struct(k.alias("k"), p.alias("p"), rc.alias("r"), f.alias("f"))
-
-    best = _best(F.transform("rs", score), lambda a, b: a["f"] > b["f"])
+    best = _best(rouge_scores(F.col("h"), F.col("rs"), F.col("lcs")), lambda a, b: a["f"] > b["f"])
     out = st.select(*keys, "example_id", best.alias("b"))
     return out.select(*keys, "example_id", F.col("b.p").alias("rougeL_precision"),
                       F.col("b.r").alias("rougeL_recall"), F.col("b.f").alias("rougeL"))
@@ -68,7 +74,7 @@ def edit_stats(pairs: DataFrame, keys: list[str], shifts: bool = True, case_sens
 
 
 def ter_from_sums(edits, ref_len):
-    return F.when(ref_len > 0, 100.0 * edits / ref_len).when(edits > 0, F.lit(100.0)).otherwise(F.lit(0.0))
+    return F.when(edits.isNotNull(), F.when(ref_len > 0, 100.0 * edits / ref_len).when(edits > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
 
 
 def ter(pairs: DataFrame, keys: list[str], name: str = "ter", shifts: bool = True,
@@ -87,26 +93,18 @@ def word_edit_rate(pairs: DataFrame, keys: list[str], name: str = "word_edit_rat
 # ------------------------------------------------------------ METEOR
 def meteor_per_example(pairs: DataFrame, keys: list[str], classes: DataFrame | None = None) -> DataFrame:
     """Per example: best METEOR over the references (α = 0.9, β = 3, γ = 0.5).
-    Exact word matches first; with ``classes`` — a ``(token, cls)`` table such
-    as stems or synonym sets — remaining words with equal classes match in a
-    second stage.  The class table is bounded and checked (map literal)."""
-    refs = F.filter(F.coalesce("references", F.array().cast("array<string>")), lambda r: r.isNotNull())
+    Exact word matches first; with ``classes`` — a ``(token, cls)`` table of any
+    size, such as stems or synonym sets — remaining words with equal classes
+    match in a second stage."""
     base = by_example(pairs).select(*keys, "example_id", meteor_tokens("prediction").alias("h"),
-                                    F.transform(refs, lambda r: meteor_tokens(r)).alias("rs"))
+                                    F.transform(usable_refs(), lambda r: meteor_tokens(r)).alias("rs"))
     if classes is None:
         st = base.select(*keys, "example_id", kernels.meteor_udf("h", "rs").alias("s"))
-    else:
-        from lexeval.operators.tokens import LITERAL_VOCAB_MAX
-        rows = classes.select("token", "cls").limit(LITERAL_VOCAB_MAX + 1).collect()
-        if len(rows) > LITERAL_VOCAB_MAX:
-            raise ValueError(f"class table has more than {LITERAL_VOCAB_MAX} entries")
-        cmap = F.map_from_arrays(F.lit([r[0] for r in rows]), F.lit([r[1] for r in rows]))
-
-        def cls_of(toks):
-            return F.transform(toks, lambda t: F.try_element_at(cmap, t))
-
-        st = base.select(*keys, "example_id", kernels.meteor_cls_udf(
-            "h", "rs", cls_of(F.col("h")), F.transform("rs", lambda r: cls_of(r))).alias("s"))
+    else:  # array 0 is the prediction, array k + 1 reference k
+        part = lambda a, c: F.transform(a, lambda t, i: F.struct(c.alias("c"), i.alias("p"), t.alias("t")))
+        texts = F.concat(part(F.col("h"), F.lit(0)), F.flatten(F.transform("rs", lambda r, k: part(r, k + 1))))
+        found = lookup(base.withColumn("n", F.size("rs")), [*keys, "example_id", "n"], texts, classes, "token", "cls")
+        st = found.select(*keys, "example_id", kernels.meteor_found_udf("found", "n").alias("s"))
     return st.select(*keys, "example_id", F.array_max("s").alias("meteor"))
 
 

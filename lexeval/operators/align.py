@@ -6,7 +6,8 @@ Identity is always the explicit ``example_id`` — never row position.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def check_alignment(outputs: DataFrame, inputs: DataFrame, **kw) -> None:
     bad = alignment_report(outputs, inputs, **kw)
     sample = bad.limit(5).collect()
     if sample:
-        raise ValueError(f"mismatch between sources and dataset inputs, e.g. {sample}")
+        raise ValueError(f"outputs do not belong to these examples: {sample}")
 
 
 # A1
@@ -75,187 +76,111 @@ def best_per_owner(scores: DataFrame, keys=(), owner: str = "example_id", score:
 
 
 # D1
-def _fifo_pass(sources, runs, window, state_for):
-    """Run the keep-if-not-in-last-``window``-kept state machine over rows in
-    order; ``state_for(run)`` gives the incoming state of each new run."""
-    keep = [False] * len(sources)
-    cur = object()
-    recent: list = []
-    for i, (rk, s) in enumerate(zip(runs, sources)):
-        if rk != cur:
-            cur, recent = rk, list(state_for(rk))
-        if s not in recent:
-            keep[i] = True
-            recent.append(s)
-            if len(recent) > window:
-                recent.pop(0)
-    return keep
-
-
-def dedup_recent_sources_sequential(df: DataFrame, run_cols=("run",), order_col: str = "pos",
-                                    source_col: str = "source", window: int = 3) -> DataFrame:
-    """One task per run: rows hash-partitioned by run, sorted, streamed through
-    an Arrow kernel carrying ``window`` values (O(1) memory, no split of a run)."""
-    keys = list(run_cols)
-
-    def fn(batches):
-        cur, recent = object(), []
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            runs = list(pdf[keys].itertuples(index=False, name=None))
-            keep = [False] * len(pdf)
-            for i, (rk, s) in enumerate(zip(runs, pdf[source_col].tolist())):
-                if rk != cur:
-                    cur, recent = rk, []
-                if s not in recent:
-                    keep[i] = True
-                    recent.append(s)
-                    if len(recent) > window:
-                        recent.pop(0)
-            yield pdf[pd.Series(keep, index=pdf.index)]
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, order_col).mapInPandas(fn, df.schema)
-
-
-HEAD_ROWS = 2048
-SPLIT_RUN_ROWS = 2_000_000
-
-
-def dedup_recent_sources(df: DataFrame, run_cols=("run",), order_col: str = "pos",
-                         source_col: str = "source", window: int = 3, partitions: int | None = None,
-                         head_rows: int = HEAD_ROWS, split_run_rows: int | None = SPLIT_RUN_ROWS) -> DataFrame:
+class _Recent:
+    """The last ``window`` kept sources of the current run, over rows in order."""
+
+    def __init__(self, window: int, incoming=None):
+        self.window, self.run, self.state = window, incoming and incoming[0], list(incoming[1]) if incoming else []
+
+    def keep(self, runs, sources):
+        out = []
+        for run, source in zip(runs, sources):
+            if run != self.run:
+                self.run, self.state = run, []
+            new = source not in self.state
+            if new:
+                self.state.append(source)
+                del self.state[:-self.window]
+            out.append(new)
+        return out
+
+
+def _rows_of(batch, keys, source_col):
+    runs = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+    return runs, batch.column(source_col).to_pylist()
+
+
+def dedup_recent_sources(df: DataFrame, run_cols=("run",), order_col: str = "pos", source_col: str = "source",
+                         window: int = 3) -> DataFrame:
     """Order-preserving de-duplication of older outputs files: a row is dropped
     when its source is among the last ``window`` *kept* sources of the same run
     (first occurrence wins; an older repeat is kept again once it left the
-    window).
-
-    The rule is a sequential state machine per run, yet a single run may hold
-    a large share of all rows, so runs are split:
-
-    1. rows are range-partitioned on (run, position) and checkpointed — a hot
-       run becomes contiguous segments in consecutive partitions;
-    2. pass A runs every segment from an empty state (speculatively); for the
-       first and last segment of each partition (the only ones that can
-       continue across a boundary) it emits a small summary: the speculative
-       final state and the first ``head_rows`` sources;
-    3. per run, a grouped job walks the segment summaries in order: from the
-       true incoming state it re-simulates a segment's head next to the
-       speculative trajectory; once both states agree the rest of the segment
-       is identical, so the true outgoing state is the speculative one;
-    4. pass B re-runs each segment from its true incoming state.
-
-    A run whose trajectories do not meet within a head (a long stretch of
-    only a few distinct sources) is handled exactly by the sequential path.
-
-    Which path runs is decided from the data: one map-side count per run
-    gives the largest run; when no run exceeds ``split_run_rows`` rows, every
-    run fits one task and the single-pass sequential plan is used."""
-    keys = list(run_cols)
-    if split_run_rows is not None:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if largest <= split_run_rows:
-            return dedup_recent_sources_sequential(df, keys, order_col, source_col, window)
+    window).  NULL runs form one run and NULL sources are equal.
+
+    The rule is a sequential state machine per run, yet one run may hold most
+    rows, so rows are range-partitioned on (run, position) and a run may span
+    partitions.  What a partition needs from its predecessor is the state of the
+    run that crosses the border, at most ``window`` sources.  All partitions are
+    first run from an empty state; a partition whose predecessor then leaves
+    another state than it was run from is run again, until nothing changes.
+    That fixed point is the sequential result, whatever the data.  A partition
+    inside one run that holds at most ``window`` different sources needs no
+    second run: where they and the incoming ones fit the window together, the
+    outgoing state follows without its rows.  Only the border states, one small
+    row a partition, reach the driver; the rows stay in the checkpoint."""
     from lexeval.session import checkpoint_dir
-    spark = df.sparkSession
+    spark, keys = df.sparkSession, list(run_cols)
     checkpoint_dir(spark)
-    keys = list(run_cols)
-    n = partitions or max(2 * spark.sparkContext.defaultParallelism, 2)
-    ranged = (df.repartitionByRange(n, *keys, order_col).sortWithinPartitions(*keys, order_col)
-              .withColumn("_pid", F.spark_partition_id()))
-    ranged = ranged.checkpoint(eager=True)
-    run_type = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    src_type = df.schema[source_col].dataType.simpleString()
-    summary_schema = (f"{run_type}, _pid int, n long, spec array<{src_type}>, head array<{src_type}>")
-
-    def pass_a(batches):
-        rows: dict = {}
-        order = []
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pid = int(pdf["_pid"].iloc[0])
-            for rk, s in zip(pdf[keys].itertuples(index=False, name=None), pdf[source_col].tolist()):
-                if rk not in rows:
-                    rows[rk] = {"n": 0, "state": [], "head": []}
-                    order.append(rk)
-                st = rows[rk]
-                st["n"] += 1
-                if len(st["head"]) < head_rows:
-                    st["head"].append(s)
-                if s not in st["state"]:
-                    st["state"].append(s)
-                    if len(st["state"]) > window:
-                        st["state"].pop(0)
-        # only a partition's first and last run can continue across a
-        # partition boundary; runs inside one partition need no summary
-        order = list(dict.fromkeys([order[0], order[-1]])) if order else []
-        if order:
-            out = {k: [rk[i] for rk in order] for i, k in enumerate(keys)}
-            out.update(_pid=[pid] * len(order), n=[rows[rk]["n"] for rk in order],
-                       spec=[rows[rk]["state"] for rk in order], head=[rows[rk]["head"] for rk in order])
-            yield pd.DataFrame(out)
-
-    summaries = ranged.select(*keys, "_pid", source_col).mapInPandas(pass_a, summary_schema)
-    incoming_schema = f"{run_type}, _pid int, incoming array<{src_type}>, ok boolean"
-
-    def reconcile(pdf):
-        pdf = pdf.sort_values("_pid")
-        state: list = []
-        ok = True
-        inc = []
-        for _, r in pdf.iterrows():
-            inc.append(list(state))
-            head = list(r["head"])
-            true_s, spec_s = list(state), []
-            met = true_s == spec_s
-            for s in head:
-                for st in (true_s, spec_s):
-                    if s not in st:
-                        st.append(s)
-                        if len(st) > window:
-                            st.pop(0)
-                if true_s == spec_s:
-                    met = True
-                    break
-            if met:
-                state = list(r["spec"])
-            elif r["n"] <= len(head):
-                state = true_s
-            else:
-                ok = False
-        out = pdf[keys + ["_pid"]].copy()
-        out["incoming"] = inc
-        out["ok"] = ok
-        return out
-
-    plan = summaries.groupBy(*keys).applyInPandas(reconcile, incoming_schema)
-    # at most two rows per partition, each holding at most ``window`` sources
-    plan_rows = plan.where((F.size("incoming") > 0) | ~F.col("ok")).collect()
-    incoming = {(tuple(r[k] for k in keys), r["_pid"]): list(r["incoming"]) for r in plan_rows}
-    bad_runs = sorted({tuple(r[k] for k in keys) for r in plan_rows if not r["ok"]})
-
-    def pass_b(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pid = int(pdf["_pid"].iloc[0])
-            runs = list(pdf[keys].itertuples(index=False, name=None))
-            keep = _fifo_pass(pdf[source_col].tolist(), runs, window,
-                              lambda rk: incoming.get((rk, pid), []))
-            yield pdf[pd.Series(keep, index=pdf.index)].drop(columns=["_pid"])
-
-    split_ok = ranged
-    if bad_runs:
-        cond = F.lit(False)
-        for br in bad_runs:
-            one = F.lit(True)
-            for k, v in zip(keys, br):
-                one = one & (F.col(k) == F.lit(v))
-            cond = cond | one
-        split_ok = ranged.where(~cond)
-    out = split_ok.mapInPandas(pass_b, df.schema)
-    if bad_runs:
-        rest = ranged.where(cond).drop("_pid")
-        out = out.unionByName(dedup_recent_sources_sequential(rest, keys, order_col, source_col, window))
-    return out
+    ranged = df.repartitionByRange(*keys, order_col).sortWithinPartitions(*keys, order_col).checkpoint(eager=True)
+    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    run_type = "struct<" + ",".join(f"k{i}:{fields[k]}" for i, k in enumerate(keys)) + ">"
+    border = (f"part int, first {run_type}, last {run_type}, state array<{fields[source_col]}>, "
+              f"few array<{fields[source_col]}>")
+    arrow = pa_schema(border)
+
+    def ends(incoming, wanted):
+        def run(batches):
+            part = TaskContext.get().partitionId()
+            if wanted is not None and part not in wanted:
+                return
+            recent, first, seen = _Recent(window, incoming.get(part)), None, []
+            for batch in batches:
+                runs, sources = _rows_of(batch, keys, source_col)
+                if not runs:
+                    continue
+                first = runs[0] if first is None else first
+                recent.keep(runs, sources)
+                for s in sources if len(seen) <= window else ():
+                    if s not in seen:
+                        seen.append(s)
+            if first is not None:
+                named = lambda r: {f"k{i}": v for i, v in enumerate(r)}
+                few = seen if len(seen) <= window and first == recent.run else None
+                yield pa.RecordBatch.from_pylist([{"part": part, "first": named(first), "last": named(recent.run),
+                                                   "state": recent.state, "few": few}], schema=arrow)
+        return run
+
+    narrow = ranged.select(*keys, source_col)
+    parts, used, incoming, wanted = {}, {}, {}, None
+    while wanted is None or wanted:
+        for r in narrow.mapInArrow(ends(incoming, wanted), border).collect():
+            parts[r.part] = (tuple(r.first), tuple(r.last), list(r.state), r.few)
+            used[r.part] = incoming.get(r.part)
+        incoming, wanted, before = {}, set(), None
+        for p in sorted(parts):
+            first, last, state, few = parts[p]
+            if before is not None and before[0] == first and before[1]:
+                incoming[p] = before
+            if incoming.get(p) != used[p] and first == last:  # its outgoing state may depend on what comes in
+                came = incoming[p][1] if p in incoming else []
+                if few is not None and len(set(came) | set(few)) <= window:
+                    state = came + [s for s in few if s not in came]
+                else:
+                    wanted.add(p)
+            before = (last, state)
+
+    def final(batches):
+        recent = _Recent(window, incoming.get(TaskContext.get().partitionId()))
+        for batch in batches:
+            runs, sources = _rows_of(batch, keys, source_col)
+            if runs:
+                yield batch.filter(pa.array(recent.keep(runs, sources), pa.bool_()))
+
+    return ranged.mapInArrow(final, df.schema)
+
+
+def pa_schema(ddl: str):
+    """Arrow schema of a DDL text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+    return to_arrow_schema(StructType.fromDDL(ddl))

@@ -177,9 +177,11 @@ def chrf_row(hyp_chars: str, hyp_words, ref_chars, ref_words, char_order: int =
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
-def chrf_stats_udf(hc: pd.Series, hw: pd.Series, rc: pd.Series, rw: pd.Series) -> pd.Series:
-    return pd.Series([chrf_row(a, b, c, d) for a, b, c, d in zip(hc, hw, rc, rw)])
+def chrf_stats_udf(char_order: int = 6, word_order: int = 2):
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+    def run(hc: pd.Series, hw: pd.Series, rc: pd.Series, rw: pd.Series) -> pd.Series:
+        return pd.Series([chrf_row(a, b, c, d, char_order, word_order) for a, b, c, d in zip(hc, hw, rc, rw)])
+    return run
 
 
 # ----------------------------------------------------------------- LCS
@@ -236,25 +238,32 @@ def edit_distance(a, b) -> int:
     return score
 
 
-def _alignment(h, r):
-    """Minimum-edit alignment by dynamic programming with back-trace (rows
-    computed with NumPy: substitution/deletion step, then insertions as a
-    running minimum).  Returns (hyp_matched, ref_matched, ref_to_hyp) where
-    ref_to_hyp[j] is the hypothesis index at which reference word j is aligned
-    or would be inserted."""
+def _rows(h, r):
+    """Edit-distance rows of ``h`` (ids) against ``r`` (id array): ``rows[i, j]``
+    is the distance of the first ``i`` words to the first ``j``."""
+    m = len(r)
+    ar = np.arange(m + 1, dtype=np.int32)
+    d = np.empty((len(h) + 1, m + 1), np.int32)
+    d[0] = ar
+    for i, w in enumerate(h, 1):
+        _next_row(d[i - 1], w, r, ar, d[i])
+    return d
+
+
+def _next_row(prev, w, r, ar, out):
+    """One more word: substitution and deletion, then insertions as a running minimum."""
+    out[0] = prev[0] + 1
+    np.minimum(prev[1:] + 1, prev[:-1] + (r != w), out=out[1:])
+    out -= ar
+    np.minimum.accumulate(out, out=out)
+    out += ar
+
+
+def _alignment(d, h, r):
+    """Back-trace of the edit-distance rows: (hyp_matched, ref_matched,
+    ref_to_hyp), the last the hypothesis index at which a reference word is
+    aligned or would be inserted."""
     n, m = len(h), len(r)
-    ids: dict = {}
-    ra = np.fromiter((ids.setdefault(t, len(ids)) for t in r), dtype=np.int64, count=m)
-    ha = [ids.get(t, -1) for t in h]
-    d = np.empty((n + 1, m + 1), dtype=np.int64)
-    d[0] = np.arange(m + 1)
-    ar = np.arange(m + 1)
-    for i in range(1, n + 1):
-        prev = d[i - 1]
-        t = np.empty(m + 1, dtype=np.int64)
-        t[0] = i
-        t[1:] = np.minimum(prev[1:] + 1, prev[:-1] + (ra != ha[i - 1]))
-        d[i] = np.minimum.accumulate(t - ar) + ar
     hm, rm, r2h = [False] * n, [False] * m, [0] * m
     i, j = n, m
     while i > 0 or j > 0:
@@ -275,54 +284,79 @@ MAX_SHIFT_SIZE = 10
 MAX_SHIFT_DIST = 50
 
 
-def ter_edits(hyp, ref) -> int:
+def ter_edits(hyp, ref, max_size: int = MAX_SHIFT_SIZE, max_dist: int = MAX_SHIFT_DIST) -> int:
     """Edits of the translation edit rate (Snover et al. 2006): repeatedly
     apply the block shift of the hypothesis that lowers the word edit distance
     the most, then count shifts + remaining edit distance.  Candidate shifts
-    follow the published rules: the span (≤ 10 words) starts at a hypothesis
-    word not matched by the current alignment, equals the reference at a
-    position whose first word is unmatched, and moves to the hypothesis index
-    aligned with that reference position, at most 50 words away.  Ties: larger
-    gain, then longer span, then earlier start, then earlier target."""
-    hyp = list(hyp)
-    ref = list(ref)
-    if not ref:
-        return len(hyp)
+    follow the published rules: the span (at most ``max_size`` words) starts at
+    a hypothesis word not matched by the current alignment, equals the
+    reference at a position whose first word is unmatched, and moves to the
+    hypothesis index aligned with that reference position, at most ``max_dist``
+    words away.  Ties: larger gain, then longer span, then earlier start, then
+    earlier target.
+
+    Moving ``n`` words takes ``n`` deletions and ``n`` insertions, so it lowers
+    the distance by 2n at most and gains 2n - 1 at most: spans are tried longest
+    first, and the search ends when the bound falls to the best gain.  A
+    candidate shares its words before the moved part with the hypothesis and
+    its words after it with the reversed one, so only the part between is
+    computed anew, from stored rows."""
+    ids: dict = {}
+    r = np.fromiter((ids.setdefault(t, len(ids)) for t in ref), np.int64, len(ref))
+    h = [ids.get(t, -1) for t in hyp]
+    if not len(r):
+        return len(h)
+    m = len(r)
+    ar = np.arange(m + 1, dtype=np.int32)
     starts: dict = {}
-    for j in range(len(ref)):
-        starts.setdefault(ref[j], []).append(j)
-    cur = edit_distance(ref, hyp)
+    for j, w in enumerate(r.tolist()):
+        starts.setdefault(w, []).append(j)
+    ref_ids = r.tolist()
     shifts = 0
-    while cur > 0:
-        hm, rm, r2h = _alignment(hyp, ref)
-        best = None
-        for s in range(len(hyp)):
+    while True:
+        ahead = _rows(h, r)
+        cur = int(ahead[-1, -1])
+        if cur == 0:
+            break
+        hm, rm, r2h = _alignment(ahead, h, ref_ids)
+        spans: dict[int, list] = {}
+        for s, w in enumerate(h):
             if hm[s]:
                 continue
-            for j in starts.get(hyp[s], ()):
-                if rm[j]:
+            for j in starts.get(w, ()):
+                t = r2h[j]
+                if rm[j] or abs(t - s) > max_dist:
                     continue
-                for n in range(1, MAX_SHIFT_SIZE + 1):
-                    if s + n > len(hyp) or j + n > len(ref) or hyp[s + n - 1] != ref[j + n - 1]:
-                        break
-                    t = r2h[j]
-                    if s <= t <= s + n or abs(t - s) > MAX_SHIFT_DIST:
-                        continue
-                    span = hyp[s:s + n]
-                    if t > s:
-                        cand = hyp[:s] + hyp[s + n:t] + span + hyp[t:]
-                    else:
-                        cand = hyp[:t] + span + hyp[t:s] + hyp[s + n:]
-                    d = edit_distance(ref, cand)
-                    gain = cur - d - 1
-                    if gain <= 0:
-                        continue
-                    key = (gain, n, -s, -t)
-                    if best is None or key > best[0]:
-                        best = (key, cand, d)
+                n = 0
+                while n < max_size and s + n < len(h) and j + n < m and h[s + n] == ref_ids[j + n]:
+                    n += 1
+                    if not s <= t <= s + n:
+                        spans.setdefault(n, []).append((s, t))
+        if not spans:
+            break
+        behind = _rows(h[::-1], r[::-1])[:, ::-1]  # behind[k, j]: the last k words against the reference from j
+        best, scored = None, {}
+        for n in sorted(spans, reverse=True):
+            if best is not None and 2 * n - 1 <= best[0][0]:
+                break
+            for s, t in sorted(set(spans[n])):
+                if best is not None and best[0][:2] == (2 * n - 1, n):
+                    break  # as good as this length gets, and the earliest
+                lo, hi = min(s, t), max(s + n, t)
+                moved = h[s + n:t] + h[s:s + n] if t > s else h[s:s + n] + h[t:s]
+                if (lo, hi, n, t > s) not in scored:
+                    row, spare = ahead[lo].copy(), np.empty(m + 1, np.int32)
+                    for w in moved:
+                        _next_row(row, w, r, ar, spare)
+                        row, spare = spare, row
+                    scored[lo, hi, n, t > s] = int((row + behind[len(h) - hi]).min())
+                d = scored[lo, hi, n, t > s]
+                gain = cur - d - 1
+                if gain > 0 and (best is None or (gain, n, -s, -t) > best[0]):
+                    best = ((gain, n, -s, -t), h[:lo] + moved + h[hi:])
         if best is None:
             break
-        hyp, cur = best[1], best[2]
+        h = best[1]
         shifts += 1
     return shifts + cur
 
@@ -390,6 +424,14 @@ def meteor_udf(hyp: pd.Series, refs: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def meteor_cls_udf(hyp: pd.Series, refs: pd.Series, hyp_cls: pd.Series, ref_cls: pd.Series) -> pd.Series:
-    return pd.Series([[meteor_row(h, r, hyp_cls=hc, ref_cls=rc) for r, rc in zip(rs, rcs)]
-                      for h, rs, hc, rcs in zip(hyp, refs, hyp_cls, ref_cls)])
+def meteor_found_udf(found: pd.Series, n_refs: pd.Series) -> pd.Series:
+    """METEOR with classes from looked-up items: array 0 is the prediction,
+    array k + 1 reference k; ``t`` the words, ``v`` their classes."""
+    out = []
+    for rows, n in zip(found, n_refs):
+        texts = [([], []) for _ in range(n + 1)]
+        for x in rows:
+            texts[x["c"]][0].append(x["t"])
+            texts[x["c"]][1].append(x["v"])
+        out.append([meteor_row(texts[0][0], w, hyp_cls=texts[0][1], ref_cls=c) for w, c in texts[1:]])
+    return pd.Series(out)

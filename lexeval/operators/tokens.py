@@ -8,9 +8,12 @@ truncation (A4), padding and attention masks (A5), label masking (A6), dynamic
 per-batch padding (A7), decoder inputs (A8), decoding (T3), strip (T4),
 generated length (T5) and language-code ids (T7).
 
-A vocabulary of at most ``LITERAL_VOCAB_MAX`` entries (checked) becomes a map
-literal inside the plan; larger ones are joined (broadcast only under a
-measured size limit, otherwise sort-merge) and regrouped by position.
+Lookups have one plan for a vocabulary of any size: tokens leave their row with
+its number and their place, meet the vocabulary in a join, and are gathered
+again by row number, so rows may share ids.  No job runs while a query is
+built.  A vocabulary cut to its ``k`` has a known bound and is broadcast below
+the size limit; then the tokens of a row meet again in the task they came from
+and the shuffle moves one array a row.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexeval.functions.text import split_ws, strip_ws
-from lexeval.operators.sizing import spread
+from lexeval.operators.sizing import DEFAULT_BROADCAST_BYTES, estimated_bytes, spread
 
 # --- fixed values -----------------------------------------------------------
 # Reserved ids, in id order, before the learned vocabulary.
@@ -58,6 +61,8 @@ def build_vocab(texts: DataFrame, col: str = "text", k: int = 500, tokenizer=spl
     (map-side) aggregation, so very frequent tokens do not skew the shuffle;
     only the top-k rows reach a single task."""
     counts = texts.select(F.explode(tokenizer(col)).alias("token")).groupBy("token").count()
+    # a corpus word that equals a reserved token must not get a second id
+    counts = counts.where(~F.col("token").isin(SPECIALS + lang_tokens()))
     top = counts.orderBy(F.desc("count"), F.asc("token")).limit(k)
     spark = texts.sparkSession
     specials = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIALS)], "token string, id int")
@@ -69,88 +74,87 @@ def build_vocab(texts: DataFrame, col: str = "text", k: int = 500, tokenizer=spl
     return specials.unionByName(ranked).unionByName(langs)
 
 
-LITERAL_VOCAB_MAX = 5000
+# J3
+def items(*arrays: Column) -> Column:
+    """Elements of arrays as ``array<struct<c,p,t>>``: array number, place, value."""
+    def placed(c):
+        return lambda t, i: F.struct(F.lit(c).alias("c"), i.alias("p"), t.alias("t"))
+    return F.concat(*[F.transform(a, placed(c)) for c, a in enumerate(arrays)])
 
 
-def _small_rows(vocab: DataFrame):
-    """The vocabulary rows if there are at most ``LITERAL_VOCAB_MAX`` of them
-    (one bounded collect), else None."""
-    rows = vocab.select("token", "id").limit(LITERAL_VOCAB_MAX + 1).collect()
-    return rows if len(rows) <= LITERAL_VOCAB_MAX else None
+def lookup(df: DataFrame, keys, found: Column, table: DataFrame, key: str, value: str) -> DataFrame:
+    """``(keys..., found)``: for each row the :func:`items` with the ``value``
+    that ``table`` has for them as ``v`` (NULL where it has none; the smallest
+    of several), in order.  Rows without items stay."""
+    known = table.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_t")).agg(F.min(value).alias("_v"))
+    if estimated_bytes(table) is not None and estimated_bytes(table) <= DEFAULT_BROADCAST_BYTES:
+        known = F.broadcast(known)
+    rows = df.select(*keys, F.monotonically_increasing_id().alias("_row"), found.alias("_items"))
+    each = rows.select(*keys, "_row", F.explode_outer("_items").alias("_x"))
+    each = each.withColumn("_t", F.col("_x.t")).join(known, "_t", "left")
+    one = F.struct(F.col("_x.c").alias("c"), F.col("_x.p").alias("p"), F.col("_t").alias("t"), F.col("_v").alias("v"))
+    out = each.groupBy("_row").agg(*[F.any_value(k).alias(k) for k in keys],
+                                   F.sort_array(F.collect_list(F.when(F.col("_x").isNotNull(), one))).alias("found"))
+    return out.select(*keys, "found")
 
 
-def _literal_map(rows, key: int, value: int) -> Column:
-    """Small vocabularies become a map literal in the plan (no shuffle, no join)."""
-    return F.map_from_arrays(F.lit([r[key] for r in rows]), F.lit([r[value] for r in rows]))
+def values(found: Column, array: int, default: Column | None = None) -> Column:
+    """The looked-up values of one of the arrays, in order."""
+    of = lambda x: x["v"] if default is None else F.coalesce(x["v"], default)
+    return F.transform(F.filter(found, lambda x: x["c"] == array), of)
 
 
-def vocab_map(vocab: DataFrame) -> Column:
-    rows = _small_rows(vocab)
-    if rows is None:
-        raise ValueError(f"vocabulary has more than {LITERAL_VOCAB_MAX} entries; use the join lookup")
-    return _literal_map(rows, 0, 1)
-
-
-def reverse_map(vocab: DataFrame) -> Column:
-    rows = _small_rows(vocab)
-    if rows is None:
-        raise ValueError(f"vocabulary has more than {LITERAL_VOCAB_MAX} entries; decode with a join")
-    return _literal_map(rows, 1, 0)
-
-
-def lookup(tokens: Column, vmap: Column) -> Column:
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(vmap, t), F.lit(UNK_ID)))
-
-
-def lookup_join(df: DataFrame, keys, col: str, out: str, vocab: DataFrame) -> DataFrame:
-    """Large-vocabulary lookup: explode tokens with positions, join the
-    vocabulary (broadcast only if its measured size is small, else
-    sort-merge), regroup per row by position."""
-    from lexeval.operators.sizing import broadcast_if_small
-    e = df.select(*keys, F.posexplode(col).alias("pos", "token"))
-    j = e.join(broadcast_if_small(vocab.select("token", "id")), "token", "left")
-    g = j.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID))
-                                                                   .alias("id")))).alias("_p"))
-    r = g.select(*keys, F.transform("_p", lambda x: x["id"]).alias(out))
-    return df.join(r, list(keys), "left").withColumn(out, F.coalesce(out, F.array().cast("array<int>")))
+# A4 / A5 / A6 / T2
+def truncate(ids: Column, max_length: int | None) -> Column:
+    """Keep room for the end-of-sequence id, then append it; no limit: all ids."""
+    return F.concat(ids if max_length is None else F.slice(ids, 1, max_length - 1), F.array(F.lit(EOS_ID)))
 
 
-# A4 / A5 / A6 / T2
-def truncate(ids: Column, max_length: int) -> Column:
-    """Keep room for the end-of-sequence id, then append it."""
-    return F.concat(F.slice(ids, 1, max_length - 1), F.array(F.lit(EOS_ID)))
+def _lit(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
 
 
 def pad_to(ids: Column, length, pad_id: int = PAD_ID) -> Column:
-    return F.concat(ids, F.array_repeat(F.lit(pad_id), F.greatest(F.lit(length) - F.size(ids), F.lit(0))))
+    return F.concat(ids, F.array_repeat(F.lit(pad_id), F.greatest(_lit(length) - F.size(ids), F.lit(0))))
 
 
 def mask_of(ids: Column, length) -> Column:
     n = F.size(ids)
-    return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.greatest(F.lit(length) - n, F.lit(0))))
+    return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.greatest(_lit(length) - n, F.lit(0))))
 
 
-def encode(df: DataFrame, vocab: DataFrame, max_source_length: int = 1024, max_target_length: int = 128,
+def encode(df: DataFrame, vocab: DataFrame, max_source_length: int | None = 1024, max_target_length: int | None = 128,
            padding: str | bool = False, ignore_pad_token_for_loss: bool = True, keys=("example_id",),
-           tokenizer=split_ws) -> DataFrame:
+           tokenizer=split_ws, target_vocab: DataFrame | None = None, target_tokenizer=None) -> DataFrame:
     """``input → input_ids, attention_mask``; ``target → labels``; every other
-    column is dropped except ``keys``.  ``padding="max_length"`` pads to the max
-    lengths; then label pads become -100 if ``ignore_pad_token_for_loss``.
-    Whole texts are looked up; truncation to the max length follows."""
-    keys = list(keys)
-    # Lookup is per token and keeps positions, so truncating the token arrays
-    # first gives the same ids as looking up every token and truncating after.
-    base = spread(df, *keys).select(*keys, F.slice(tokenizer("input"), 1, max_source_length - 1).alias("_ti"),
-                     F.slice(tokenizer("target"), 1, max_target_length - 1).alias("_tt"))
-    rows = _small_rows(vocab)
-    if rows is not None:
-        vmap = _literal_map(rows, 0, 1)
-        ids = base.select(*keys, lookup(F.col("_ti"), vmap).alias("_i"), lookup(F.col("_tt"), vmap).alias("_t"))
-    else:
-        ids = lookup_join(lookup_join(base, keys, "_ti", "_i", vocab), keys, "_tt", "_t", vocab)
-    out = ids.select(*keys, truncate(F.col("_i"), max_source_length).alias("ids"),
-                     truncate(F.col("_t"), max_target_length).alias("lab"))
+    column is dropped except ``keys`` (and ``split``, if there is one).  Rows
+    are encoded one by one, so ids may repeat.  ``padding="max_length"`` pads to
+    the max lengths; then label pads become -100 if
+    ``ignore_pad_token_for_loss``.  Tokens beyond a max length, which cannot
+    reach the result, are not looked up.  Targets use their own vocabulary and
+    tokenizer where given."""
+    keys = list(keys) + [c for c in ("split",) if c in df.columns and c not in keys]
+
+    def tokens(col, split, limit):
+        t = split(F.coalesce(F.col(col), F.lit("")))
+        return t if limit is None else F.slice(t, 1, limit - 1)
+
+    source, target = tokens("input", tokenizer, max_source_length), tokens("target", target_tokenizer or tokenizer, max_target_length)
+    vocab = vocab.select("token", "id")
+    if target_vocab is None:
+        both = lookup(spread(df), keys, items(source, target), vocab, "token", "id")
+        parts = (values(F.col("found"), 0, F.lit(UNK_ID)), values(F.col("found"), 1, F.lit(UNK_ID)))
+    else:  # a token of each side has its own vocabulary
+        sides = vocab.select(F.struct(F.lit(0).alias("c"), "token").alias("token"), "id").union(
+            target_vocab.select(F.struct(F.lit(1).alias("c"), "token").alias("token"), "id"))
+        marked = [F.transform(source, lambda t: F.struct(F.lit(0).alias("c"), t.alias("token"))),
+                  F.transform(target, lambda t: F.struct(F.lit(1).alias("c"), t.alias("token")))]
+        both = lookup(spread(df), keys, items(*marked), sides, "token", "id")
+        parts = (values(F.col("found"), 0, F.lit(UNK_ID)), values(F.col("found"), 1, F.lit(UNK_ID)))
+    out = both.select(*keys, truncate(parts[0], max_source_length).alias("ids"), truncate(parts[1], max_target_length).alias("lab"))
     if padding == "max_length":
+        if max_source_length is None or max_target_length is None:
+            raise ValueError("padding to the max length needs both lengths")
         labels = pad_to(F.col("lab"), max_target_length)
         if ignore_pad_token_for_loss:
             labels = F.transform(labels, lambda x: F.when(x == PAD_ID, F.lit(LABEL_IGNORE_ID)).otherwise(x))
@@ -166,21 +170,17 @@ def encode(df: DataFrame, vocab: DataFrame, max_source_length: int = 1024, max_t
 def collate(encoded: DataFrame, batch_col: str = "batch_id", pad_to_multiple_of: int | None = None,
             label_pad_id: int = LABEL_IGNORE_ID) -> DataFrame:
     """Dynamic padding: every row is padded to the longest row of its batch
-    (rounded up to a multiple when asked).  The batch width is a grouped max
-    joined back on the batch id (batches are small and bounded by size)."""
-    w_in = encoded.groupBy(batch_col).agg(F.max(F.size("input_ids")).alias("w_in"),
-                                          F.max(F.size("labels")).alias("w_lab"))
-    if pad_to_multiple_of:
-        m = pad_to_multiple_of
-        w_in = w_in.select(batch_col, (F.ceil(F.col("w_in") / m) * m).cast("int").alias("w_in"),
-                           (F.ceil(F.col("w_lab") / m) * m).cast("int").alias("w_lab"))
-    j = encoded.join(w_in, batch_col)
+    (rounded up to a multiple when asked).  One shuffle on the batch id; a
+    batch is small by definition."""
+    w = Window.partitionBy(batch_col)
+    width = lambda c: F.max(F.size(c)).over(w)
+    up = lambda n: (F.ceil(n / pad_to_multiple_of) * pad_to_multiple_of).cast("int") if pad_to_multiple_of else n
+    j = encoded.withColumns({"w_in": up(width("input_ids")), "w_lab": up(width("labels"))})
     return j.select(
         *[c for c in encoded.columns if c not in ("input_ids", "attention_mask", "labels")],
-        F.concat("input_ids", F.array_repeat(F.lit(PAD_ID), F.col("w_in") - F.size("input_ids"))).alias("input_ids"),
-        F.concat("attention_mask", F.array_repeat(F.lit(0), F.col("w_in") - F.size("attention_mask")))
-        .alias("attention_mask"),
-        F.concat("labels", F.array_repeat(F.lit(label_pad_id), F.col("w_lab") - F.size("labels"))).alias("labels"))
+        pad_to(F.col("input_ids"), F.col("w_in")).alias("input_ids"),
+        pad_to(F.col("attention_mask"), F.col("w_in"), 0).alias("attention_mask"),
+        pad_to(F.col("labels"), F.col("w_lab"), label_pad_id).alias("labels"))
 
 
 # A8
@@ -191,12 +191,16 @@ def decoder_inputs(labels: Column, start_id: int = EOS_ID, pad_id: int = PAD_ID)
 
 
 # T3 / T4
-def decode(ids: Column, rmap: Column, skip_special: bool = True) -> Column:
+def decode(df: DataFrame, col: str, vocab: DataFrame, keys=("example_id",), out: str = "text", skip_special: bool = True,
+           carry: dict[str, Column] | None = None) -> DataFrame:
+    """``(keys..., out)``: ids back to text, ignored and (if asked) reserved ids
+    left out, stripped.  ``carry`` adds small columns computed from the row."""
     special = F.array(*[F.lit(i) for i in range(len(SPECIALS))])
-    keep = F.filter(ids, lambda x: (x != LABEL_IGNORE_ID) & (~F.array_contains(special, x) if skip_special
-                                                             else F.lit(True)))
-    return strip_ws(F.array_join(F.transform(keep, lambda x: F.coalesce(F.try_element_at(rmap, x),
-                                                                         F.lit(SPECIALS[UNK_ID]))), " "))
+    keep = F.filter(F.col(col), lambda x: (x != LABEL_IGNORE_ID) & (~F.array_contains(special, x) if skip_special else F.lit(True)))
+    rows = df.select(*keys, keep.alias("_ids"), *[c.alias(n) for n, c in (carry or {}).items()])
+    found = lookup(rows, [*keys, *(carry or {})], items(F.col("_ids")), vocab.select("id", "token"), "id", "token")
+    text = strip_ws(F.array_join(values(F.col("found"), 0, F.lit(SPECIALS[UNK_ID])), " "))
+    return found.select(*keys, *(carry or {}), text.alias(out))
 
 
 # T5
@@ -227,5 +231,5 @@ def force_target_language(df: DataFrame, langs: DataFrame, family_col: str = "fa
                           col: str = "labels") -> DataFrame:
     """Prefix the target-language id (the forced first generated id, which is
     also the decoder start id when the model has none)."""
-    j = df.join(F.broadcast(langs.select(F.col("family").alias(family_col), "tgt_lang_id")), family_col)
+    j = df.join(langs.select(F.col("family").alias(family_col), "tgt_lang_id"), family_col)
     return j.withColumn(col, F.concat(F.array("tgt_lang_id"), F.col(col)))

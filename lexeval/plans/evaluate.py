@@ -86,9 +86,7 @@ def evaluate_ids(generated: DataFrame, references: DataFrame, vocab: DataFrame,
     ``gen_len`` (mean count of non-pad ids)."""
     keys = list(keys)
     g = tokens.first_of_tuple(generated, ids_col)
-    rmap = tokens.reverse_map(vocab)
-    preds = g.select(*keys, "example_id", tokens.decode(F.col(ids_col), rmap).alias("prediction"),
-                     tokens.gen_len(F.col(ids_col)).alias("_len"))
+    preds = tokens.decode(g, ids_col, vocab, [*keys, "example_id"], "prediction", carry={"_len": tokens.gen_len(F.col(ids_col))})
     pairs = preds.join(references, "example_id")
     wide = evaluate(pairs, keys, metrics)
     gl = preds.groupBy(*keys).agg(F.avg("_len").alias("gen_len"))

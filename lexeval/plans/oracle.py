@@ -49,7 +49,8 @@ FROM (
       GROUP BY step)))"""
     return with_views(["eval_pairs"], body, extra=[
         ("p", f"""SELECT step, example_id, {S.tok13a('prediction', lower)} AS hyp,
-                  list_transform({S.usable_refs()}, lambda r: {S.tok13a('r', lower)}) AS refs FROM eval_pairs"""),
+                  list_transform({S.usable_refs()}, lambda r: {S.tok13a('r', lower)}) AS refs FROM eval_pairs
+                  WHERE len({S.usable_refs()}) > 0"""),
         ("q", """SELECT step, example_id, hyp, refs, len(hyp) AS hyp_len,
                  coalesce(list_sort(list_transform(refs, lambda r: {'d': abs(len(r) - len(hyp)), 'l': len(r)}))[1].l, 0)
                    AS ref_len FROM p"""),
@@ -109,7 +110,8 @@ def _chrf_cte() -> list[tuple[str, str]]:
 
 
 ORACLE["chrf_per_example"] = with_views(
-    ["eval_pairs"], "SELECT step, example_id, best_ref, round(chrf, 6) AS chrf FROM best", extra=_chrf_cte())
+    ["eval_pairs"], """SELECT step, example_id, best_ref, round(chrf, 6) AS chrf
+FROM eval_pairs LEFT JOIN best USING (step, example_id)""", extra=_chrf_cte())
 
 ORACLE["chrf_pp"] = with_views(["eval_pairs"], """
 SELECT step, round(CASE WHEN p + rr > 0 THEN 100.0 * 5 * p * rr / (4 * p + rr) ELSE 0.0 END, 6) AS chrf_pp
@@ -242,17 +244,17 @@ FROM (SELECT step, example_id, max(CASE WHEN la > 0 AND lb > 0 AND l > 0 THEN 2.
       FROM (SELECT *, len(a) AS lb, len(b) AS la, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE """ + _LCS + """ END AS l
             FROM (SELECT step, example_id, """ + S.rouge_tokens("r") + """ AS a, """ + S.rouge_tokens("prediction") + """ AS b
                   FROM (SELECT step, example_id, prediction,
-                               unnest(list_filter("references", lambda x: x IS NOT NULL)) AS r FROM eval_pairs)))
+                               unnest(""" + S.usable_refs() + """) AS r FROM eval_pairs)))
       GROUP BY ALL)
 GROUP BY step""")
 
-_MTOK = "regexp_extract_all(lower({x}), '[^\\s\\p{{P}}\\p{{S}}]+|[\\p{{P}}\\p{{S}}]')"
+_MTOK = "regexp_extract_all(lower({x}), '[^" + S.WS_CLASS.replace("{", "{{").replace("}", "}}") + "\\p{{P}}\\p{{S}}]+|[\\p{{P}}\\p{{S}}]')"
 
 
 def _meteor_ctes():
     return [
-        ("mr", """SELECT step, example_id, prediction, unnest(list_filter("references", lambda x: x IS NOT NULL)) AS rt,
-                         generate_subscripts(list_filter("references", lambda x: x IS NOT NULL), 1) AS k
+        ("mr", """SELECT step, example_id, prediction, unnest(""" + S.usable_refs() + """) AS rt,
+                         generate_subscripts(""" + S.usable_refs() + """, 1) AS k
                   FROM eval_pairs"""),
         ("mr2", f"""SELECT step, example_id, k, {_MTOK.format(x='prediction')} AS h, {_MTOK.format(x='rt')} AS r
                    FROM mr"""),
@@ -280,7 +282,8 @@ ORACLE["meteor"] = with_views(["eval_pairs"], """
 SELECT step::BIGINT AS step, round(avg(meteor), 6) AS meteor FROM mex GROUP BY step""", extra=_meteor_ctes())
 
 ORACLE["meteor_per_example"] = with_views(["eval_pairs"], """
-SELECT step::BIGINT AS step, example_id::BIGINT AS example_id, round(meteor, 6) AS meteor FROM mex""",
+SELECT step::BIGINT AS step, example_id::BIGINT AS example_id, round(meteor, 6) AS meteor
+FROM eval_pairs LEFT JOIN mex USING (step, example_id)""",
                                           extra=_meteor_ctes())
 
 _EMB = [
@@ -353,11 +356,13 @@ from lexeval.operators import tokens as _T  # noqa: E402
 _K = 500
 _specials = ", ".join(f"('{t}', {i})" for i, t in enumerate(_T.SPECIALS))
 _langs = ", ".join(f"('{t}', {len(_T.SPECIALS) + _K + i})" for i, t in enumerate(_T.lang_tokens()))
+_reserved = ", ".join(f"'{t}'" for t in _T.SPECIALS + _T.lang_tokens())
 _VOCAB = ("vocab", f"""
 SELECT * FROM (VALUES {_specials}) v(token, id)
 UNION ALL
 SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) + {len(_T.SPECIALS) - 1}) AS id FROM (
   SELECT token, count(*) AS cnt FROM (SELECT unnest({S.words('text')}) AS token FROM documents)
+  WHERE token NOT IN ({_reserved})
   GROUP BY token ORDER BY cnt DESC, token LIMIT {_K})
 UNION ALL
 SELECT * FROM (VALUES {_langs}) l(token, id)""")
@@ -365,7 +370,10 @@ SELECT * FROM (VALUES {_langs}) l(token, id)""")
 ORACLE["vocab"] = with_views([], "SELECT token, id::BIGINT AS id FROM vocab", extra=[_VOCAB])
 
 
-def _encode_ctes(src_sql: str, max_src: int = 64, max_tgt: int = 32) -> list[tuple[str, str]]:
+_ALL = 1 << 31  # no truncation
+
+
+def _encode_ctes(src_sql: str, max_src: int = 1024, max_tgt: int = 128) -> list[tuple[str, str]]:
     """``enc(example_id, ids, lab)``: looked-up, truncated ids (+ end id)."""
     return [
         _VOCAB,
@@ -390,12 +398,12 @@ def _pad(x: str, n: int, v: int) -> str:
 _TR_SRC = (f"SELECT example_id, {S.words('translation.en')} AS wi, {S.words('translation.cs')} AS wt "
            f"FROM translations")
 _DOC_SRC = f"SELECT doc_id AS example_id, {S.words('text')} AS wi, {S.words('text')} AS wt FROM documents"
-_MASKED = f"list_transform({_pad('lab', 32, 0)}, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)"
+_MASKED = f"list_transform({_pad('lab', 128, 0)}, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)"
 
 ORACLE["encode_padded"] = with_views(["translations"], f"""
-SELECT example_id::BIGINT AS example_id, array_to_string({_pad('ids', 64, 0)}, ' ') AS input_ids,
+SELECT example_id::BIGINT AS example_id, array_to_string({_pad('ids', 1024, 0)}, ' ') AS input_ids,
        array_to_string(list_concat(list_transform(range(len(ids)), lambda i: 1),
-                                   list_transform(range(greatest(64 - len(ids), 0)), lambda i: 0)), ' ')
+                                   list_transform(range(greatest(1024 - len(ids), 0)), lambda i: 0)), ' ')
          AS attention_mask,
        array_to_string({_MASKED}, ' ') AS labels
 FROM enc""", extra=_encode_ctes(_TR_SRC))
@@ -422,17 +430,16 @@ SELECT example_id::BIGINT AS example_id,
 FROM (SELECT example_id, {_MASKED} AS m FROM enc)""", extra=_encode_ctes(_TR_SRC))
 
 ORACLE["decode"] = with_views(["translations"], f"""
-SELECT e.example_id::BIGINT AS example_id, coalesce(regexp_replace(d.t, '^\\s+|\\s+$', '', 'g'), '') AS text
+SELECT e.example_id::BIGINT AS example_id, coalesce(regexp_replace(d.t, '^{S.WS}|{S.WS}$', '', 'g'), '') AS text
 FROM enc e LEFT JOIN (
   SELECT u.example_id, array_to_string(list(coalesce(v.token, '<unk>') ORDER BY u.pos), ' ') AS t
-  FROM (SELECT example_id, unnest(m) AS id, generate_subscripts(m, 1) AS pos
-        FROM (SELECT example_id, {_MASKED} AS m FROM enc)) u
+  FROM (SELECT example_id, unnest(lab) AS id, generate_subscripts(lab, 1) AS pos FROM enc) u
   LEFT JOIN vocab v USING (id)
   WHERE u.id <> -100 AND u.id NOT IN (0, 1, 2, 3)
-  GROUP BY u.example_id) d USING (example_id)""", extra=_encode_ctes(_TR_SRC))
+  GROUP BY u.example_id) d USING (example_id)""", extra=_encode_ctes(_TR_SRC, _ALL, _ALL))
 
 ORACLE["gen_len"] = with_views(["eval_preds"], f"""
-SELECT step::BIGINT AS step, round(avg(least(len({S.words('prediction')}), 63) + 1), 6) AS gen_len
+SELECT step::BIGINT AS step, round(avg(len({S.words('prediction')}) + 1), 6) AS gen_len
 FROM eval_preds GROUP BY step""")
 
 _fams = list(_T.LANG_CODES)
@@ -441,12 +448,12 @@ SELECT e.example_id::BIGINT AS example_id, f.family, array_to_string(list_concat
 FROM (SELECT *, {[f for f in _fams]}[example_id % {len(_fams)} + 1] AS family FROM enc) e
 JOIN (SELECT * FROM (VALUES {", ".join(f"('{f}', '{_T.lang_token(f, t)}')" for f, (s, t) in _T.LANG_CODES.items())})
       x(family, tgt)) f USING (family)
-JOIN vocab v ON v.token = f.tgt""", extra=_encode_ctes(_TR_SRC))
+JOIN vocab v ON v.token = f.tgt""", extra=_encode_ctes(_TR_SRC, _ALL, _ALL))
 
 ORACLE["rouge_l_per_example"] = with_views(["eval_pairs"], """
 SELECT step::BIGINT AS step, example_id::BIGINT AS example_id, round(p, 6) AS rougeL_precision,
        round(r, 6) AS rougeL_recall, round(f, 6) AS rougeL
-FROM (SELECT *, row_number() OVER (PARTITION BY step, example_id ORDER BY round(f, 9) DESC, k) AS rn
+FROM eval_pairs LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY step, example_id ORDER BY round(f, 9) DESC, k) AS rn
       FROM (SELECT step, example_id, k,
                    CASE WHEN la > 0 THEN l / la ELSE 0.0 END AS p, CASE WHEN lb > 0 THEN l / lb ELSE 0.0 END AS r,
                    CASE WHEN la > 0 AND lb > 0 AND l > 0 THEN 2.0 * (l / la) * (l / lb) / (l / la + l / lb)
@@ -456,7 +463,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY step, example_id ORDER BY round(
                   FROM (SELECT step, example_id, k, """ + S.rouge_tokens("rt") + """ AS a,
                                """ + S.rouge_tokens("prediction") + """ AS b
                         FROM (SELECT step, example_id, prediction,
-                                     unnest(list_filter("references", lambda x: x IS NOT NULL)) AS rt,
-                                     generate_subscripts(list_filter("references", lambda x: x IS NOT NULL), 1) AS k
+                                     unnest(""" + S.usable_refs() + """) AS rt,
+                                     generate_subscripts(""" + S.usable_refs() + """, 1) AS k
                               FROM eval_pairs)))))
-WHERE rn = 1""")
+WHERE rn = 1) USING (step, example_id)""")

@@ -24,7 +24,7 @@ SEP = " ||| "
 # Fixed query parameters (shared with the SQL twins).
 SUBSET_LIMITS = {"train": 50, "validation": 10, "test": None}
 VOCAB_K = 500
-MAX_SRC, MAX_TGT = 64, 32
+MAX_SRC, MAX_TGT = 1024, 128
 BATCH = 8
 
 
@@ -390,10 +390,8 @@ def q_decoder_inputs(spark, sf_dir):
 def q_decode(spark, sf_dir):
     """T3 + T4: ids back to text without special ids, stripped."""
     voc = _vocab(spark, sf_dir)
-    e = tokens.encode(V.translations(spark, sf_dir).transform(recipes.translation_pairs), voc,
-                      MAX_SRC, MAX_TGT, padding="max_length", ignore_pad_token_for_loss=True)
-    return e.select(L("example_id").alias("example_id"),
-                    tokens.decode(F.col("labels"), tokens.reverse_map(voc)).alias("text"))
+    e = tokens.encode(V.translations(spark, sf_dir).transform(recipes.translation_pairs), voc, None, None)
+    return tokens.decode(e, "labels", voc).select(L("example_id").alias("example_id"), "text")
 
 
 @query("gen_len")
@@ -402,7 +400,7 @@ def q_gen_len(spark, sf_dir):
     voc = _vocab(spark, sf_dir)
     p = V.eval_preds(spark, sf_dir).select("step", "example_id", F.col("prediction").alias("input"),
                                            F.col("prediction").alias("target"))
-    e = tokens.encode(p, voc, MAX_SRC, MAX_TGT, padding="max_length", keys=("step", "example_id"))
+    e = tokens.encode(p, voc, None, None, keys=("step", "example_id"))
     g = e.groupBy("step").agg(F.avg(tokens.gen_len(F.col("input_ids"))).alias("gen_len"))
     return g.select(L("step").alias("step"), r6(F.col("gen_len"), "gen_len"))
 
@@ -413,7 +411,7 @@ def q_lang_tag(spark, sf_dir):
     voc = _vocab(spark, sf_dir)
     fams = list(tokens.LANG_CODES)
     t = V.translations(spark, sf_dir).transform(recipes.translation_pairs)
-    e = tokens.encode(t, voc, MAX_SRC, MAX_TGT, padding=False)
+    e = tokens.encode(t, voc, None, None)
     e = e.withColumn("family", F.element_at(F.array(*[F.lit(f) for f in fams]),
                                             (F.pmod("example_id", F.lit(len(fams))) + 1).cast("int")))
     tagged = tokens.force_target_language(e, tokens.lang_table(spark, voc))

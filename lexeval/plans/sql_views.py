@@ -7,12 +7,12 @@ tables.  ``with_views(names, body)`` prefixes the needed views as CTEs.
 
 from __future__ import annotations
 
-from lexeval.functions.text import CHRF_PUNCT
+from lexeval.functions.text import CHRF_PUNCT, WS, WS_CLASS  # noqa: F401
 
 # ------------------------------------------------------------ expressions
 
 def words(x: str) -> str:
-    return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda t: t <> '')"
+    return f"list_filter(regexp_split_to_array({x}, '{WS}'), lambda t: t <> '')"
 
 
 def tok13a(x: str, lower: bool = False) -> str:
@@ -37,7 +37,7 @@ def char_ngrams(s: str, n: int) -> str:
 
 
 def chrf_chars(x: str) -> str:
-    return f"regexp_replace({x}, '\\s+', '', 'g')"
+    return f"regexp_replace({x}, '{WS}', '', 'g')"
 
 
 _P = CHRF_PUNCT.replace("'", "''")
@@ -72,7 +72,8 @@ def _view(name: str, deps: tuple[str, ...], sql: str) -> None:
 _view("eval_refs", (), f"""
 SELECT conv_id * 100 + turn AS example_id,
        concat_ws(' - ', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), role) AS source,
-       CASE WHEN turn % 3 = 0 THEN [array_to_string(w, ' ')]
+       CASE WHEN conv_id % 10 = 3 AND turn = 1 THEN []::VARCHAR[] WHEN conv_id % 10 = 4 AND turn = 1 THEN ['']
+            WHEN turn % 3 = 0 THEN [array_to_string(w, ' ')]
             ELSE [array_to_string(w, ' '), array_to_string(list_filter(w, lambda x, i: i % 7 <> 0), ' ')] END
          AS "references"
 FROM (SELECT *, {words('text')} AS w FROM conversations)""")

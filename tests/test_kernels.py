@@ -96,11 +96,75 @@ def test_packed_paths_match_counter_paths():
         assert K.chrf_row(hs, h, rs, refs) == K._chrf_row_counter(hs, h, rs, refs, 6, 2)
 
 
-def test_alignment_distance_matches_dp():
-    from lexeval.operators.kernels import _alignment
-    random.seed(5)
-    for _ in range(200):
-        a = [random.choice("abc") for _ in range(random.randint(0, 15))]
-        b = [random.choice("abc") for _ in range(random.randint(0, 15))]
-        hm, rm, r2h = _alignment(a, b)
-        assert sum(hm) == sum(rm) and len(r2h) == len(b)
+def plain_ter(hyp, ref):
+    """The documented greedy rule with a full edit distance for every candidate."""
+    hyp, shifts = list(hyp), 0
+    if not ref:
+        return len(hyp)
+    while True:
+        n, m = len(hyp), len(ref)
+        d = [[i + j if not i * j else 0 for j in range(m + 1)] for i in range(n + 1)]
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (hyp[i - 1] != ref[j - 1]))
+        i, j, hm, rm, to = n, m, set(), set(), {}
+        while i or j:
+            if i and j and d[i][j] == d[i - 1][j - 1] + (hyp[i - 1] != ref[j - 1]):
+                i, j = i - 1, j - 1
+                to[j] = i
+                if hyp[i] == ref[j]:
+                    hm.add(i)
+                    rm.add(j)
+            elif j and d[i][j] == d[i][j - 1] + 1:
+                j -= 1
+                to[j] = i
+            else:
+                i -= 1
+        found = []
+        for s in range(n):
+            for j in range(m):
+                for k in range(1, 11):
+                    t = to[j]
+                    if (s in hm or j in rm or s + k > n or j + k > m or hyp[s:s + k] != ref[j:j + k] or s <= t <= s + k
+                            or abs(t - s) > 50):
+                        continue
+                    rest = hyp[:s] + hyp[s + k:]
+                    at = t if t < s else t - k
+                    new = rest[:at] + hyp[s:s + k] + rest[at:]
+                    gain = d[n][m] - dp_edit(new, ref) - 1
+                    if gain > 0:
+                        found.append((-gain, -k, s, t, new))
+        if not found:
+            return shifts + d[n][m]
+        hyp, shifts = min(found)[4], shifts + 1
+
+
+def test_ter_matches_the_plain_rule():
+    rng = random.Random(5)
+    for _ in range(400):
+        ref = [rng.choice("abcdefghij") for _ in range(rng.randrange(0, 14))]
+        hyp = list(ref)
+        for _ in range(rng.randrange(4)):
+            a, n = rng.randrange(len(hyp) + 1), rng.randrange(1, 5)
+            span = hyp[a:a + n]
+            del hyp[a:a + n]
+            b = rng.randrange(len(hyp) + 1)
+            hyp[b:b] = span
+        if rng.random() < 0.5 and hyp:
+            hyp[rng.randrange(len(hyp))] = rng.choice("abcxyz")
+        assert ter_edits(hyp, ref) == plain_ter(hyp, ref), (hyp, ref)
+
+
+def test_ter_of_long_texts_is_quick():
+    import time
+    rng = random.Random(1)
+    ref = [str(rng.randrange(300)) for _ in range(800)]
+    hyp = list(ref)
+    for _ in range(40):
+        a, b = rng.randrange(800), rng.randrange(760)
+        span = hyp[a:a + 5]
+        del hyp[a:a + 5]
+        hyp[b:b] = span
+    began = time.process_time()
+    ter_edits(hyp, ref)
+    assert time.process_time() - began < 20

@@ -1,5 +1,6 @@
 """Metric identities, edge cases, and brute-force checks of the queries that
 have no SQL twin."""
+import pytest
 from pyspark.sql import functions as F
 
 from lexeval.metrics import ngram, sequence
@@ -45,9 +46,13 @@ def test_ter_and_rouge_queries_match_brute_force(spark):
     got_rouge = {(r.step, r.example_id): r.rougeL for r in queries.QUERIES["rouge_l_per_example"](spark, sf).collect()}
     import re
     edits, lens = {}, {}
+    assert any(not any(p.references) for p in pairs)
     for p in pairs:
         h = p.prediction.lower().split()
         refs = [r.lower().split() for r in p.references if r]
+        if not refs:  # takes part in no score
+            assert got_rouge[(p.step, p.example_id)] is None
+            continue
         edits[p.step] = edits.get(p.step, 0) + min(ter_edits(h, r) for r in refs)
         lens[p.step] = lens.get(p.step, 0) + sum(len(r) for r in refs) / len(refs)
         tok = lambda t: [x for x in re.sub("[^a-z0-9]+", " ", t.lower()).split() if x]
@@ -101,3 +106,45 @@ def test_empty_input_gives_one_row_of_nulls(spark):
     empty = spark.createDataFrame([], SCHEMA)
     rows = EV.evaluate(empty, [], ["BLEU", "chrF++", "TER", "rougeL", "meteor"]).collect()
     assert len(rows) == 1 and all(v is None for v in rows[0])
+
+
+NO_REFERENCES = ([], None, [""], [None, ""])
+
+
+@pytest.mark.parametrize("refs", NO_REFERENCES)
+def test_an_example_without_references_counts_nowhere(spark, refs):
+    from lexeval.plans import evaluate as EV
+    ms = ["BLEU", "BLEU_lower", "chrF++", "TER", "word_edit_rate", "rougeL", "meteor"]
+    text = "a b c d e f"
+    rows = spark.createDataFrame([(1, 0, text, [text]), (1, 1, text, refs), (2, 2, text, refs)], SCHEMA)
+    for fused in (True, False):
+        got = {r.step: r for r in EV.evaluate(rows, ["step"], ms, fused=fused).collect()}
+        perfect = EV.evaluate(rows.where("example_id = 0"), ["step"], ms, fused=fused).first()
+        assert all(abs(got[1][m] - perfect[m]) < 1e-9 for m in ms), fused
+        assert all(got[2][m] is None for m in ms), (fused, got[2])
+    per = {r.example_id: r for r in EV.per_example(rows, ["step"]).collect()}
+    assert per[1].chrf is None and per[1].meteor is None and per[0].chrf == 100
+
+
+def test_chrf_of_other_orders(spark):
+    from lexeval.operators.kernels import _chrf_row_counter
+    p = _one(spark, "abc d", ["abd c"])
+    r = ngram.chrf_stats(p, ["step"], char_order=2, word_order=1).first()
+    want = _chrf_row_counter("abcd", ["abc", "d"], ["abdc"], [["abd", "c"]], 2, 1)[0]
+    assert [x for s in r.stats for x in (s.h, s.r, s.m)] == want
+
+
+def test_unicode_white_space_splits_words(spark):
+    from lexeval.functions import text as TX
+    t = "k\u00a0domu\u3000a\u2009b\x85c\x1cd"
+    row = spark.createDataFrame([(t,)], "t string").select(
+        TX.split_ws("t").alias("w"), TX.chrf_chars("t").alias("c"), TX.strip_ws(F.concat(F.lit("\u00a0"), "t")).alias("s"),
+        TX.meteor_tokens("t").alias("m")).first()
+    assert row.w == t.split() == row.m and row.c == "".join(t.split()) and row.s == t
+
+
+def test_class_tables_of_any_size(spark):
+    many = spark.range(20_000).select(F.concat(F.lit("w"), "id").alias("token"), F.lit("x").alias("cls"))
+    many = many.union(spark.createDataFrame([("cats", "cat"), ("cat", "cat")], "token string, cls string"))
+    df = _one(spark, "the cats sat", ["the cat sat"])
+    assert abs(sequence.meteor(df, ["step"], classes=many).first().meteor - (1 - 0.5 * (1 / 3) ** 3)) < 1e-12

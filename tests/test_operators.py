@@ -93,13 +93,51 @@ def test_label_masking_only_with_flag_and_max_length(spark):
     assert nopad.labels == [4, 1] and nopad.attention_mask == [1, 1, 1]
 
 
-def test_large_vocabulary_join_path_matches_literal_path(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "a b zz", "b"), (2, "", "a a")], "example_id long, input string, target string")
-    v = _vocab(spark)
-    lit = sorted(tokens.encode(df, v, 10, 10).collect())
-    monkeypatch.setattr(tokens, "LITERAL_VOCAB_MAX", 1)
-    joined = sorted(tokens.encode(df, v, 10, 10).collect())
-    assert lit == joined
+def test_rows_that_share_an_id_are_encoded_one_by_one(spark):
+    df = spark.createDataFrame([(1, "train", "a", "b"), (1, "train", "a", "zz zz")], "example_id long, split string, input string, target string")
+    rows = sorted((r.input_ids, r.labels) for r in tokens.encode(df, _vocab(spark), 10, 10).collect())
+    assert rows == [([4, 1], [2, 2, 1]), ([4, 1], [5, 1])]
+    assert "split" in tokens.encode(df, _vocab(spark)).columns
+
+
+def test_vocabularies_of_any_size_have_one_plan(spark):
+    import re
+    n = 60_000
+    big = spark.range(n).select(F.concat(F.lit("w"), "id").alias("token"), (F.col("id") + 4).cast("int").alias("id"))
+    big = big.union(spark.createDataFrame([(t, i) for i, t in enumerate(tokens.SPECIALS)], "token string, id int"))
+    df = spark.createDataFrame([(1, "w0 w59999 nope", "w5")], "example_id long, input string, target string")
+    e = tokens.encode(df, big, 10, 10)
+    assert e.first().input_ids == [4, n + 3, 2, 1]
+    assert tokens.decode(e, "input_ids", big).first().text == "w0 w59999"
+    nodes = lambda d: re.findall(r"(?:Join|Aggregate|Generate)", d._jdf.queryExecution().optimizedPlan().toString())
+    sizes = [tokens.build_vocab(big.withColumnRenamed("token", "text"), k=k) for k in (500, 50_000)]
+    assert nodes(tokens.encode(df, sizes[0])) == nodes(tokens.encode(df, sizes[1]))
+
+
+def test_sides_with_their_own_vocabulary(spark):
+    df = spark.createDataFrame([(1, "a b", "a b")], "example_id long, input string, target string")
+    other = spark.createDataFrame([(t, i) for i, t in enumerate(tokens.SPECIALS + ["b"])], "token string, id int")
+    r = tokens.encode(df, _vocab(spark), target_vocab=other).first()
+    assert (r.input_ids, r.labels) == ([4, 5, 1], [2, 4, 1])
+
+
+def test_reserved_tokens_in_the_corpus_keep_their_ids(spark):
+    texts = spark.createDataFrame([("<s> a <s> <s> __cs__ b",)], "text string")
+    v = tokens.build_vocab(texts, k=5)
+    assert v.count() == v.select("token").distinct().count()
+    df = spark.createDataFrame([(1, "<s> a", "a")], "example_id long, input string, target string")
+    assert tokens.encode(df, v).first().input_ids == [3, 4, 1]
+
+
+def test_building_token_queries_starts_no_job(spark):
+    from lexeval.plans.queries import QUERIES
+    sc = spark.sparkContext
+    for name in ("encode_padded", "collate_batches", "decode", "gen_len", "lang_tag"):
+        sc.setJobGroup("build-" + name, name)
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        jobs = sc.statusTracker().getJobIdsForGroup("build-" + name)
+        assert len(jobs) <= 3, (name, jobs)  # reading Parquet schemas only
+    sc.setJobGroup("default", "default")
 
 
 def test_collate_fp16_width(spark):
@@ -112,10 +150,9 @@ def test_collate_fp16_width(spark):
 
 def test_decoder_inputs_and_decode(spark):
     v = _vocab(spark)
-    df = spark.createDataFrame([([4, 5, 1, -100],)], "labels array<int>")
-    r = df.select(tokens.decoder_inputs(F.col("labels")).alias("d"),
-                  tokens.decode(F.col("labels"), tokens.reverse_map(v)).alias("t")).first()
-    assert r.d == [1, 4, 5, 1] and r.t == "a b"
+    df = spark.createDataFrame([(1, [4, 5, 1, -100])], "example_id long, labels array<int>")
+    assert df.select(tokens.decoder_inputs(F.col("labels")).alias("d")).first().d == [1, 4, 5, 1]
+    assert tokens.decode(df, "labels", v).first().text == "a b"
 
 
 def test_alignment_guard(spark):
@@ -126,17 +163,50 @@ def test_alignment_guard(spark):
         align.check_alignment(spark.createDataFrame([(1, "x")], "example_id long, source string"), inputs)
 
 
-def test_dedup_split_runs_match_sequential(spark):
+def fold(rows, window=3):
+    """(run, pos, source, prediction) rows through the rule, one by one."""
+    kept, state = [], {}
+    for run, pos, source, prediction in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1])):
+        recent = state.setdefault(run, [])
+        if source not in recent:
+            kept.append(prediction)
+            recent.append(source)
+            del recent[:-window]
+    return sorted(kept)
+
+
+def dedup_rows(seed=11):
     import random
-    random.seed(11)
+    rng = random.Random(seed)
     rows = []
-    for run in range(3):
-        alphabet = "abcdefgh"[: 2 + run * 3]
-        for i in range(400 if run == 2 else 60):
-            rows.append((run, i, random.choice(alphabet), f"{run}-{i}"))
-    rows += [(9, i, "z", f"9-{i}") for i in range(50)]  # one source only
+    for run, letters in ((0, "ab"), (1, "abc"), (2, "abcd"), (3, "abcdefgh"), (None, "abcde")):
+        for i in range(800):
+            rows.append((run, i, rng.choice(letters), f"{run}-{i}"))
+    rows += [(9, i, [None, "z", "y", "x", "w"][i * i % 5], f"9-{i}") for i in range(300)]
+    return rows
+
+
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_dedup_equals_the_sequential_rule(spark, parts):
+    rows = dedup_rows()
     df = spark.createDataFrame(rows, "run long, pos long, source string, prediction string")
-    want = sorted(r.prediction for r in align.dedup_recent_sources_sequential(df).collect())
-    for parts, head in ((2, 2048), (16, 2048), (64, 3)):
-        got = sorted(r.prediction for r in align.dedup_recent_sources(df, partitions=parts, head_rows=head, split_run_rows=0).collect())
-        assert got == want, (parts, head)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled",
+                                          "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+        assert sorted(r.prediction for r in align.dedup_recent_sources(df).collect()) == fold(rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_dedup_of_one_long_run(spark):
+    import random
+    rng = random.Random(2)
+    for letters in ("ab", "abc", "abcde"):
+        rows = [(1, i, rng.choice(letters), str(i)) for i in range(60_000)]
+        df = spark.createDataFrame(rows, "run long, pos long, source string, prediction string")
+        assert sorted(r.prediction for r in align.dedup_recent_sources(df).collect()) == fold(rows)
+    assert align.dedup_recent_sources(df.limit(0)).collect() == []
