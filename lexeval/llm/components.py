@@ -58,12 +58,25 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
     return buckets.join(keys, "key")
 
 
+def _with_hubs(rows: DataFrame, hubs: list[str]) -> DataFrame:
+    """(a, b), a < b: every id with the hub that most of its keys name, for each
+    column of hubs; one pair a row, however many keys and ids meet."""
+    best = rows.groupBy("id").agg(*[F.mode(h, True).alias(h) for h in hubs])
+    pairs = best.select("id", F.explode(F.array(*hubs)).alias("hub")).where("id <> hub")
+    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
 def star_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b), a < b: every id with the smallest and the largest id of its key;
-    two pairs a row, so a key with many ids adds no more than it has rows."""
-    low = shared.select(F.col("low").alias("a"), F.col("id").alias("b"))
-    high = shared.select(F.col("id").alias("a"), F.col("high").alias("b"))
-    return low.union(high).where("a <> b").distinct()
+    """Pairs (a, b) of every id with a smallest and a largest id of its keys."""
+    return _with_hubs(shared, ["low", "high"])
+
+
+def bridge_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids of :func:`open_buckets` rows with the smallest id of
+    another component in their key."""
+    hub = rows.groupBy("key").agg(F.min(F.struct("component", "id")).alias("hub"))
+    far = rows.join(hub, "key").where("component <> hub.component").select("id", F.col("hub.id").alias("low"))
+    return _with_hubs(far, ["low"])
 
 
 def open_buckets(shared: DataFrame, label: DataFrame) -> DataFrame:

@@ -8,12 +8,14 @@ distinct words agree in at least ``AGREE`` of ``BLOCKS`` blocks and the edit
 similarity of their word sequences, 1 - distance / longer length, reaches
 ``SIMILARITY``; each word counts as one of ``SYMBOLS`` characters by its hash.
 By the pigeonhole principle every pair within Hamming distance
-BLOCKS - AGREE = 3 shares that many blocks; pairs farther than ``FAR`` apart are
+BLOCKS - AGREE = 2 shares that many blocks; pairs farther than ``FAR`` apart are
 not compared.  Of each connected group the first occurrence stays, by (doc_id,
 line number); all others go.
 
-SimHash: eight-bit counters, eight to a long, count each bit over the words'
-64-bit hashes; texts of more words take wider counters.
+SimHash: the words of a line are summed into 64 counters of 16 bits, four to a
+long, so 16 sums of the words' hashes hold them all; lines of more than
+``LONG`` distinct words are counted inside their row with wider counters.  Two
+blocks of 16 bits make a key, so unrelated lines rarely meet.
 
 Scale: large groups are not paired.  Every line meets the smallest and largest
 line of its block keys first; then only pairs of lines that share a key and
@@ -36,11 +38,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexeval.llm.common import fresh, let, stage
-from lexeval.llm.components import components, shared_buckets
+from lexeval.llm.components import components, open_buckets, shared_buckets
 
-BLOCKS, AGREE, FAR = 5, 2, 10
+BLOCKS, AGREE, FAR = 4, 2, 10
 #: Characters that stand for words in the edit distance.
 SYMBOLS = 55_000
+#: Distinct words that 16-bit counters can hold.
+LONG = 32_000
 SIMILARITY = 0.8
 _WIDTHS = [64 // BLOCKS + (1 if i < 64 % BLOCKS else 0) for i in range(BLOCKS)]
 _PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF -⁯　-〃]+"
@@ -49,36 +53,39 @@ BROADCAST_LINES = 1_000_000
 
 
 def line_words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), _PUNCTUATION), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), _PUNCTUATION), "")
 
 
-def _majority(hashes: Column, width: int) -> Column:
-    """Bits set in more than half of the hashes; counters of ``width`` bits."""
-    ones = sum(1 << (width * i) for i in range(64 // width))
-    half, top = (1 << (width - 1)) - 1, 64 - width
-    start = F.struct(*[F.lit(0).cast("long").alias(f"c{j}") for j in range(width)])
-    counts = F.aggregate(hashes, start, lambda a, h: F.struct(*[
-        (a[f"c{j}"] + (F.shiftright(h, j) if j else h).bitwiseAND(F.lit(ones))).alias(f"c{j}") for j in range(width)]))
+def _ones(width: int) -> int:
+    return sum(1 << (width * i) for i in range(64 // width))
 
-    def bits(c):
-        # a counter above half the words reaches its highest bit; the top one is added apart, so no sum overflows
-        more = (F.lit(half) - F.shiftright(F.size(hashes), 1)).cast("long")
-        out = None
-        for j in range(width):
-            count = c[f"c{j}"]
-            total = (count.bitwiseAND(F.lit((1 << top) - 1)) + more * F.lit(ones & (1 << top) - 1)).bitwiseOR(
-                F.shiftleft(F.shiftrightunsigned(count, top) + more, top))
-            bit = F.shiftrightunsigned(total, width - 1).bitwiseAND(F.lit(ones))
-            bit = F.shiftleft(bit, j) if j else bit
-            out = bit if out is None else out.bitwiseOR(bit)
-        return out
 
-    return let(counts, bits)
+def _part(hashed: Column, j: int, width: int) -> Column:
+    """Every ``width``-th bit of a hash, from bit ``j``, one to a counter."""
+    return (F.shiftright(hashed, j) if j else hashed).bitwiseAND(F.lit(_ones(width)))
 
 
-def simhash(words: Column) -> Column:
-    return let(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), lambda h: F.when(F.size(h) < 128, _majority(h, 8)).when(
-        F.size(h) < 32768, _majority(h, 16)).otherwise(_majority(h, 32)))
+def _majority(counts: list[Column], n: Column, width: int) -> Column:
+    """Bits whose counter holds more than half of ``n``: such a counter reaches
+    its highest bit; the topmost one is added apart, so no sum overflows."""
+    half, top = (1 << (width - 1)) - 1, 64 - width
+    more, out = (F.lit(half) - F.shiftright(n, 1)).cast("long"), None
+    for j, count in enumerate(counts):
+        total = (count.bitwiseAND(F.lit((1 << top) - 1)) + more * F.lit(_ones(width) & (1 << top) - 1)).bitwiseOR(
+            F.shiftleft(F.shiftrightunsigned(count, top) + more, top))
+        bit = F.shiftrightunsigned(total, width - 1).bitwiseAND(F.lit(_ones(width)))
+        bit = F.shiftleft(bit, j) if j else bit
+        out = bit if out is None else out.bitwiseOR(bit)
+    return out
+
+
+def simhash(words: Column, width: int = 32) -> Column:
+    """SimHash of an array of distinct words, inside its row."""
+    start = F.struct(*[F.lit(0).cast("long").alias(f"c{j}") for j in range(width)])
+    counts = lambda h: F.aggregate(h, start, lambda a, x: F.struct(*[
+        (a[f"c{j}"] + _part(x, j, width)).alias(f"c{j}") for j in range(width)]))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(
+        counts(h), lambda c: _majority([c[f"c{j}"] for j in range(width)], F.size(h), width)))
 
 
 def block_keys(sim: Column) -> Column:
@@ -137,59 +144,70 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "doc", F.posexplode("lines").alias("line", "raw"))
 
 
+def signed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, line, h1, h2, sim) of every line with words: its words'
+    128-bit hash and their SimHash.  Words are counted where they are read; the
+    shuffle moves one row a line."""
+    rows = _named(docs).select("doc_id", _doc_key().alias("doc"), F.monotonically_increasing_id().alias("row"),
+                               F.split("text", "\n", -1).alias("lines"))
+    lines = rows.select("doc_id", "doc", "row", F.posexplode("lines").alias("line", "raw"))
+    words = lines.select("doc_id", "doc", "row", "line", let(line_words(F.col("raw")), lambda w: F.struct(
+        F.xxhash64(F.lit(1), w).alias("h1"), F.xxhash64(F.lit(2), w).alias("h2"), F.array_distinct(w).alias("w"))).alias("l"))
+    many = F.size("l.w") > LONG
+    own = ["doc_id", "doc", "h1", "h2", "n", "wide"]
+    words = words.select("doc_id", "doc", "row", "line", "l.h1", "l.h2", F.size("l.w").alias("n"), F.when(many, simhash(F.col("l.w"))).alias("wide"),
+                         F.when(many, F.slice("l.w", 1, 1)).otherwise(F.col("l.w")).alias("w"))
+    words = words.select("row", "line", *own, F.explode("w").alias("word")).withColumn("word", F.xxhash64("word"))
+    counted = words.groupBy("row", "line").agg(*[F.any_value(c).alias(c) for c in own],
+                                               *[F.sum(_part(F.col("word"), j, 16)).alias(f"c{j}") for j in range(16)])
+    sim = F.coalesce("wide", _majority([F.col(f"c{j}") for j in range(16)], F.col("n"), 16))
+    return counted.select("doc_id", "doc", "line", "h1", "h2", sim.alias("sim"))
+
+
 def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, doc, line, keeper) of every occurrence of a line that goes;
     ``doc`` is the document's key, ``keeper`` the (doc_id, doc, line) that stays."""
-    words = _lines(docs).select("doc_id", "doc", "line", line_words(F.col("raw")).alias("w")).where(F.size("w") > 0)
-    seen = stage(words.select("doc_id", "doc", "line", F.xxhash64(F.lit(1), "w").alias("h1"), F.xxhash64(F.lit(2), "w").alias("h2"),
-                              simhash(F.col("w")).alias("sim")), "lines")
+    seen = stage(signed_lines(docs), "lines")
     place = F.struct("doc_id", "doc", "line")
     distinct = stage(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"))
                      .withColumn("id", F.monotonically_increasing_id()), "distinct")
-    node = F.struct("id", "sim")
-    shared = stage(shared_buckets(distinct.select(F.explode(block_keys(F.col("sim"))).alias("key"), node.alias("id"))), "buckets")
-    near = lambda x, y: F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= FAR
-
-    def ordered(rows, x, y):
-        return rows.where(near(x, y) & (x["id"] != y["id"])).select(
-            F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))
-
-    me = F.col("id")
-    stars = stage(ordered(shared, me, F.col("low")).union(ordered(shared, me, F.col("high"))).distinct(), "stars")
-    links = stage(_verified(docs, distinct, stars, least), "links")
-    label = components(links)
-    left = (shared.select("key", "id.id", "id.sim").join(label, "id", "left")
-            .select("key", "id", "sim", F.coalesce("component", "id").alias("component")))
+    shared = stage(shared_buckets(distinct.select(F.explode(block_keys(F.col("sim"))).alias("key"), "id")), "buckets")
+    met = stage(shared.select("id").distinct().join(distinct, "id").select("id", "sim", "first.doc", "first.line"), "met")
+    wanted = met.select("id", "doc", "line")
+    if wanted.count() <= BROADCAST_LINES:
+        wanted = F.broadcast(wanted)
+    texts = stage(_lines(docs).join(wanted, ["doc", "line"]).dropDuplicates(["id"])
+                  .select("id", symbols(line_words(F.col("raw"))).alias("t")).join(met.select("id", "sim"), "id"), "line-texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose SimHashes are near and whose texts are similar."""
+        one = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("sim").alias("sa"))
+        two = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("sim").alias("sb"))
+        near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= FAR
+        return pairs.join(one, "a").join(two, "b").where(near & similar(F.col("ta"), F.col("tb"), least)).select("a", "b")
+
+    stars = shared.select(F.least("id", "low").alias("a"), F.greatest("id", "low").alias("b")).union(
+        shared.select(F.least("id", "high").alias("a"), F.greatest("id", "high").alias("b"))).where("a < b").distinct()
+    links = stage(verified(stars), "links")
+    left = open_buckets(shared, components(links)).join(met.select("id", "sim"), "id").select("key", "id", "sim", "component")
     right = left.select("key", F.col("id").alias("b"), F.col("sim").alias("bsim"), F.col("component").alias("bc"))
     rest = left.join(right, "key").where((F.col("component") < F.col("bc")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("bsim"))) <= FAR))
-    rest = rest.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    label = components(links.union(_verified(docs, distinct, stage(rest, "rest"), least)))
+    rest = stage(rest.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "rest")
+    label = components(links.union(verified(rest)))
     grouped = distinct.join(label, "id", "left").where("n > 1 or component is not null").select(
         "h1", "h2", "first", F.coalesce("component", "id").alias("component"))
     keeper = grouped.groupBy("component").agg(F.min("first").alias("keeper"))
     grouped = stage(grouped.join(keeper, "component").select("h1", "h2", "keeper"), "groups")
-    return (seen.join(grouped, ["h1", "h2"]).where(~place.eqNullSafe(F.col("keeper"))).select("doc_id", "doc", "line", "keeper").distinct())
-
-
-def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of line ids whose normalised texts are similar enough."""
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct, "id")
-                   .select("id", "first.doc", "first.line"), "wanted")
-    if wanted.count() <= BROADCAST_LINES:
-        wanted = F.broadcast(wanted)
-    texts = stage(_lines(docs).join(wanted, ["doc", "line"]).dropDuplicates(["id"])
-                  .select("id", symbols(line_words(F.col("raw"))).alias("t")), "line-texts")
-    ta, tb = texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(ta, "a").join(tb, "b").where(similar(F.col("ta"), F.col("tb"), least)).select("a", "b")
+    return seen.join(grouped, ["h1", "h2"]).where(~place.eqNullSafe(F.col("keeper"))).select("doc_id", "doc", "line", "keeper")
 
 
 def dropped_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_lines, n_dropped, dropped), the
     latter an array of (line, keeper_doc, keeper_line)."""
-    gone = line_groups(docs, least).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(
+    gone = line_groups(docs, least).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct(
         "line", F.col("keeper.doc_id").alias("keeper_doc"), F.col("keeper.line").alias("keeper_line")))).alias("dropped"))
     rows = _named(docs).select("doc_id", _doc_key().alias("doc"), F.when(F.col("text") == "", 0).otherwise(
-        F.size(F.split("text", "\n", -1))).alias("n_lines"))
+        F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
     return rows.join(gone, "doc", "left").select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.coalesce(
         "dropped", F.array().cast("array<struct<line:int,keeper_doc:bigint,keeper_line:int>>")).alias("dropped"))
 

@@ -41,7 +41,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.pages_round_trip(table(prepare(spark), sf_dir, "pages"), least=0)
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -50,7 +50,7 @@ def _tokenizer() -> str:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexeval.llm.packing import pack
 
-    return pack(table(prepare(spark), sf_dir, "documents"), _tokenizer())
+    return pack(table(prepare(spark), sf_dir, "documents"), tokenizer_path())
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
