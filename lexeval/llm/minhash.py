@@ -13,9 +13,9 @@ Rows with a null ``doc_id`` take part in no link; their component is null and
 they are kept.  An empty table gives an empty result.  Other columns are not
 read.
 
-Recall.  BANDS bands of ROWS hashes miss a pair at the 0.85 threshold with
-probability (1 - 0.85 ** 7) ** 28 = 2e-5, and less above it.  The sequential
-test prunes a pair only when P(similarity >= threshold | matches so far) under
+Recall.  ``banding`` takes the longest bands that miss a pair at the threshold
+with a probability of at most ``BAND_MISS`` (28 bands of 7 hashes at 0.85, 39 of
+5 at 0.8), and less above it.  The sequential test prunes a pair only when P(similarity >= threshold | matches so far) under
 a uniform prior is below ``MISS``.  Survivors are compared on full sets.
 """
 
@@ -32,22 +32,31 @@ from lexeval.llm import components as C
 from lexeval.llm.common import stage
 from lexeval.llm.words import SPACED, mix, windows, words
 
-BANDS, ROWS = 28, 7
-HASHES = BANDS * ROWS
-#: Signature positions that one step of the sequential test looks at.
-STEP = 28
+#: Hashes that bands are made of, and the chosen probability that no band of a pair at the threshold agrees.
+BAND_HASHES, BAND_MISS = 196, 3e-5
+#: Length of the verification signature, and how much of it one step of the sequential test looks at.
+HASHES, STEP = 512, 32
 #: Chosen probability to prune a pair that does reach the threshold.
-MISS = 1e-6
+MISS = 1e-5
 #: Members of one side of a comparison tile.
 TILE = 512
 #: Candidate ids up to this many (16 bytes each) are broadcast to pick their texts.
 BROADCAST_IDS = 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))
-_B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-_BAND_SEED = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
-_BAND_MUL = _rng.integers(0, 1 << 62, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_A = _rng.integers(0, 1 << 31, BAND_HASHES + HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, BAND_HASHES + HASHES, dtype=np.uint32)
+#: The band hashes and, independent of them, those of the verification signature.
+_BAND, _VERIFY = slice(0, BAND_HASHES), slice(BAND_HASHES, None)
+_BAND_SEED = _rng.integers(0, 1 << 63, BAND_HASHES, dtype=np.uint64)
+_BAND_MUL = _rng.integers(0, 1 << 62, BAND_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows a band)."""
+    miss = lambda r: (1 - (percent / 100) ** r) ** (BAND_HASHES // r)
+    rows = max([r for r in range(1, 33) if miss(r) <= BAND_MISS], default=1)
+    return BAND_HASHES // rows, rows
 
 
 def shingle_sets(column, size: int):
@@ -64,17 +73,25 @@ def shingle_sets(column, size: int):
             yield hashes[:0]
 
 
-def signature(values: np.ndarray) -> np.ndarray:
-    x = (values >> np.uint64(32)).astype(np.uint32)
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+def signature(values: np.ndarray, part: slice) -> np.ndarray:
+    x, a, b = (values >> np.uint64(32)).astype(np.uint32), _A[part], _B[part]
+    out = np.full(len(a), 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 256):
-        np.minimum(out, (x[i:i + 256, None] * _A + _B).min(axis=0), out=out)
+        np.minimum(out, (x[i:i + 256, None] * a + b).min(axis=0), out=out)
     return out
 
 
-def _sign(size: int):
+def band_keys(sigs: list[np.ndarray], percent: int) -> np.ndarray:
+    """One key for each band of each band signature."""
+    n_bands, n_rows = banding(percent)
+    sig = np.stack(sigs)[:, :n_bands * n_rows].reshape(-1, n_bands, n_rows).astype(np.uint64)
+    return mix((sig * _BAND_MUL[:n_rows]).sum(axis=2, dtype=np.uint64) + _BAND_SEED[:n_bands])
+
+
+def _sign(size: int, percent: int):
+    n_bands, _ = banding(percent)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()),
-                        ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+                        ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -83,23 +100,33 @@ def _sign(size: int):
                 n.append(len(u))
                 s1.append(int(u.sum(dtype=np.uint64)))
                 s2.append(int(mix(u).sum(dtype=np.uint64)))
-                sigs.append(signature(u))
+                sigs.append(signature(u, _BAND))
             if not n:
                 continue
-            sig = np.stack(sigs)
-            key = mix((sig.reshape(-1, BANDS, ROWS).astype(np.uint64) * _BAND_MUL).sum(axis=2, dtype=np.uint64)
-                      + _BAND_SEED)
-            low = (sig >> np.uint32(8)).astype(np.uint8)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS),
+            key = band_keys(sigs, percent)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * n_bands),
                                              pa.array(key.view(np.int64).reshape(-1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()),
                  pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)),
-                 lists, pa.array([r.tobytes() for r in low], pa.binary())], schema=schema)
+                 lists], schema=schema)
 
     return run
 
 
+def _signatures(size: int, percent: int):
+    """(id, sig, bands) of (id, text): one byte of each verification hash, and the band keys."""
+    def run(batches):
+        for batch in batches:
+            sets = list(shingle_sets(batch.column("text"), size))
+            if sets:
+                sigs = [(signature(u, _VERIFY) >> np.uint32(8)).astype(np.uint8).tobytes() for u in sets]
+                keys = [k.tobytes() for k in band_keys([signature(u, _BAND) for u in sets], percent)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary())],
+                                                 names=["id", "sig", "bands"])
+    return run
+
+
 def least_matches(percent: int) -> np.ndarray:
     """For each step of the sequential test the fewest matches that keep a
     pair: with ``m`` of ``n`` matching, similarity has the posterior
@@ -154,20 +181,25 @@ def _exact(size: int, percent: int):
 
 def _tiles(percent: int):
     """Survivors among the pairs of a tile's members that lie in different
-    components; rows arrive sorted by (key, ti, tj), one tile after the other."""
-    least = least_matches(percent)
+    components; rows arrive sorted by (key, ti, tj), one tile after the other.
+    A pair that shares several keys is looked at under its first band only."""
+    least, n_bands = least_matches(percent), banding(percent)[0]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(t):
-        ids, comp, block = t["id"], t["component"], t["block"]
-        ti, tj = t["ti"], t["tj"]
-        left = np.flatnonzero(block == ti[0])
-        right = np.flatnonzero(block == tj[0])
-        sig = t["sig"]
+        own = t["bands"] == t["key"][0]
+        t = {c: v[own.any(axis=1)] for c, v in t.items()}  # an id with several texts has a row for each
+        if not len(t["id"]):
+            return np.zeros((2, 0), np.int64)
+        band = int(own[own.any(axis=1)][0].argmax())
+        ids, comp, block, bands, sig = t["id"], t["component"], t["block"], t["bands"], t["sig"]
+        left, right = np.flatnonzero(block == t["ti"][0]), np.flatnonzero(block == t["tj"][0])
         found = []
         for i in left:
-            other = right[right > i] if ti[0] == tj[0] else right
+            other = right[right > i] if t["ti"][0] == t["tj"][0] else right
             other = other[comp[other] != comp[i]]
+            if band and len(other):
+                other = other[~(bands[other, :band] == bands[i, :band]).any(axis=1)]
             if len(other):
                 ok = other[_survives(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other], least)]
                 found.append(np.stack([np.full(len(ok), ids[i]), ids[ok]]))
@@ -175,7 +207,8 @@ def _tiles(percent: int):
 
     def columns(batch):
         out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "ti", "tj", "id", "component", "block")}
-        return out | {"sig": _matrix(batch.column("sig"))}
+        bands = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64).reshape(-1, n_bands)
+        return out | {"sig": _matrix(batch.column("sig")), "bands": bands}
 
     def run(batches):
         held = None
@@ -201,18 +234,17 @@ def _tiles(percent: int):
     return run
 
 
-def _cross_pairs(shared: DataFrame, label: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(rows: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Surviving pairs (a, b) of ids that share a key but no component.  A key
     with many ids is cut into blocks of about TILE, and each pair of blocks is
     one unit of work, so no task holds a whole hot key."""
-    rows = C.open_buckets(shared, label)
     blocks = F.ceil(F.col("members") / TILE).cast("int")
     rows = rows.join(sigs, "id").select(
-        "key", "id", "component", "sig", blocks.alias("blocks"),
+        "key", "id", "component", "sig", "bands", blocks.alias("blocks"),
         F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"),
-                       "id", "component", "block", "sig")
+                       "id", "component", "block", "sig", "bands")
     rows = rows.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
     found = rows.mapInArrow(_tiles(percent), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -222,12 +254,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id,
     text)``.  ``component_id`` is the smallest doc_id reachable over links."""
     signed = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                   .mapInArrow(_sign(shingle), "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary"),
+                   .mapInArrow(_sign(shingle, percent), "doc_id long, n long, s1 long, s2 long, bands array<long>"),
                    "signed")
     full = signed.where("n > 0 and doc_id is not null")
-    # equal sets have equal bands and signatures: one row stands for all copies
-    same = stage(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"),
-                                                   F.any_value("sig").alias("sig")), "sets")
+    # equal sets have equal bands: one row stands for all copies
+    same = stage(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "sets")
     buckets = same.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
     shared = stage(C.shared_buckets(buckets), "buckets")
     ids = stage(shared.select("id").distinct(), "candidates")
@@ -236,7 +267,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     # one row an id, also where an id came with several texts
     texts = stage(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
                   .where("text is not null").join(ids, "id").dropDuplicates(["id", "text"]), "texts")
-    sigs = same.select(F.col("rep").alias("id"), "sig")
+    sigs = stage(texts.mapInArrow(_signatures(shingle, percent), "id long, sig binary, bands binary"), "signatures")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
@@ -244,21 +275,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         return (pairs.join(ta, "a").join(tb, "b").where(_exact(shingle, percent)(F.col("ta"), F.col("tb")))
                 .select("a", "b").distinct())
 
-    sa = sigs.select(F.col("id").alias("a"), F.col("sig").alias("ga"))
-    sb = sigs.select(F.col("id").alias("b"), F.col("sig").alias("gb"))
-    stars = (C.star_pairs(shared).join(sa, "a").join(sb, "b")
-             .where(_tested(percent)(F.col("ga"), F.col("gb"))).select("a", "b").distinct())
-    first = stage(confirmed(stars), "star-links")
-    label = C.components(first)
-    second = confirmed(_cross_pairs(shared, label, sigs, percent))
+    def likely(pairs: DataFrame) -> DataFrame:
+        sa = sigs.select(F.col("id").alias("a"), F.col("sig").alias("ga"))
+        sb = sigs.select(F.col("id").alias("b"), F.col("sig").alias("gb"))
+        return (pairs.join(sa, "a").join(sb, "b").where(_tested(percent)(F.col("ga"), F.col("gb")))
+                .select("a", "b").distinct())
+
+    # large groups collapse on a few hubs first, so few pairs of different components are left to compare
+    links = stage(confirmed(likely(C.star_pairs(shared))), "links")
+    label = C.components(links)
+    still = stage(C.open_buckets(shared, label), "open")
+    links = stage(links.union(confirmed(likely(C.bridge_pairs(still)))), "links")
+    label = C.components(links)
+    links = links.union(confirmed(_cross_pairs(C.open_buckets(still.select("key", "id"), label), sigs, percent)))
     # documents that share an id are one vertex, so the sets an id holds are linked through it
     several = full.groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi")
     repeated = (full.join(several, "doc_id", "left_semi").select("doc_id", "s1", "s2", "n").distinct()
                 .join(same, ["s1", "s2", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    label = C.components(first.union(second).union(repeated))
+    label = C.components(links.union(repeated))
     of_set = same.select("s1", "s2", "n", "rep")
     named = (signed.select("doc_id", "n", "s1", "s2").join(of_set, ["s1", "s2", "n"], "left")
              .join(label.withColumnRenamed("id", "rep"), "rep", "left"))
     return named.select("doc_id", F.col("n").alias("n_shingles"),
                         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
                         .alias("component_id"))
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the documents that a link connects with a smaller
+    doc_id, and with rows of equal doc_id and text once; all columns pass."""
+    found = stage(near_duplicates(docs, shingle, percent), "found")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    again = stage(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "repeated")
+    if again.isEmpty():
+        return kept
+    once = F.col("doc_id").cast("long").eqNullSafe(F.col("__again"))
+    return kept.join(again, once, "left_anti").union(kept.join(again, once, "left_semi").dropDuplicates(["doc_id", "text"]))

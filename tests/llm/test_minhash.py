@@ -62,4 +62,4 @@ def test_empty_table(spark):
 
 def test_least_matches_keep_similar_pairs():
     low = least_matches(85)
-    assert all(b > a for a, b in zip(low, low[1:])) and low[-1] < 0.85 * 196
+    assert all(b > a for a, b in zip(low, low[1:])) and low[-1] < 0.85 * 512
