@@ -108,9 +108,9 @@ def meteor_tokens(c) -> Column:
 
 
 def step_from_name(c) -> Column:
-    """Training step from an outputs file name: ``outputs_validation_1145.csv`` and
-    ``outputs_eval-1145.csv`` both give 1145."""
-    return F.regexp_extract(_c(c), r"[-_](\d+)\.csv$", 1).cast("int")
+    """Training step from an outputs file's name or path: ``outputs_validation_1145.csv``
+    and ``outputs_eval-1145.csv`` both give 1145, also as folders of part files."""
+    return F.regexp_extract(_c(c), r"[-_](\d+)\.csv(?:/[^/]*)?$", 1).cast("int")
 
 
 def file_suffix(c) -> Column:

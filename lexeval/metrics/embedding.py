@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,39 +46,44 @@ def _unit(c):
     return F.transform(c, lambda x: x.cast("double") / norm)
 
 
-def embedding_match_per_example(tokens: DataFrame, block: int = 256) -> DataFrame:
-    t = tokens.select("example_id", "side", F.coalesce("ref_idx", F.lit(-1)).alias("ref_idx"), "tok",
-                      _unit(F.col("embedding")).alias("u"))
-    w = Window.partitionBy("example_id", "side", "ref_idx").orderBy("tok")
-    t = t.withColumn("blk", F.floor((F.row_number().over(w) - 1) / block))
-    blocks = (t.groupBy("example_id", "side", "ref_idx", "blk")
-              .agg(F.sort_array(F.collect_list(F.struct("tok", "u"))).alias("items")))
-    cand = blocks.where(F.col("side") == "cand").select(
-        "example_id", F.col("blk").alias("cb"), F.col("items").alias("ci"))
-    ref = blocks.where(F.col("side") == "ref").select(
-        "example_id", "ref_idx", F.col("blk").alias("rb"), F.col("items").alias("ri"))
-    tiles = cand.join(ref, "example_id")
-    tiles = tiles.select("example_id", "ref_idx", "ci", "ri",
-                         _tile_max(F.transform("ci", lambda x: x["u"]), F.transform("ri", lambda x: x["u"]))
-                         .alias("m"))
-    cmax = (tiles.select("example_id", "ref_idx",
-                         F.posexplode(F.transform("ci", lambda x: x["tok"])).alias("i", "tok"), "m")
-            .select("example_id", "ref_idx", "tok", F.col("m.cand_max")[F.col("i")].alias("s"))
-            .groupBy("example_id", "ref_idx", "tok").agg(F.max("s").alias("s"))
-            .groupBy("example_id", "ref_idx").agg(F.avg("s").alias("P")))
-    rmax = (tiles.select("example_id", "ref_idx",
-                         F.posexplode(F.transform("ri", lambda x: x["tok"])).alias("i", "tok"), "m")
-            .select("example_id", "ref_idx", "tok", F.col("m.ref_max")[F.col("i")].alias("s"))
-            .groupBy("example_id", "ref_idx", "tok").agg(F.max("s").alias("s"))
-            .groupBy("example_id", "ref_idx").agg(F.avg("s").alias("R")))
-    pr = cmax.join(rmax, ["example_id", "ref_idx"])
-    pr = pr.withColumn("F", F.when(F.col("P") + F.col("R") != 0,
-                                   2 * F.col("P") * F.col("R") / (F.col("P") + F.col("R"))).otherwise(0.0))
-    return pr.groupBy("example_id").agg(F.max("P").alias("emb_precision"), F.max("R").alias("emb_recall"),
-                                        F.max("F").alias("emb_f1"))
+def embedding_match_per_example(tokens: DataFrame, block: int = 256, keys=()) -> DataFrame:
+    """Per ``(keys..., example_id)`` of ``tokens``: best P, R and F over the
+    references; an example without candidate or reference tokens has NULLs.
+    Candidates differ by ``keys`` (a run, a step), references may be shared:
+    rows of side 'ref' with NULL keys serve all of them."""
+    keys = list(keys)
+    one = [*keys, "example_id"]
+    t = tokens.select(*one, "side", F.coalesce("ref_idx", F.lit(-1)).alias("ref_idx"), "tok", _unit(F.col("embedding")).alias("u"))
+    # blocks by hash: their number follows the size of the side, so a block holds about ``block`` tokens
+    size = t.groupBy(*one, "side", "ref_idx").agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))
+    on = [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*one, "side", "ref_idx")]
+    t = t.alias("t").join(size.alias("s"), on).select("t.*", F.pmod(F.xxhash64("t.tok"), F.col("s.n")).alias("blk"))
+    blocks = t.groupBy(*one, "side", "ref_idx", "blk").agg(F.sort_array(F.collect_list(F.struct("tok", "u"))).alias("items"))
+    cand = blocks.where(F.col("side") == "cand").select(*one, F.col("items").alias("ci"))
+    ref = blocks.where(F.col("side") == "ref").select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("example_id").alias("r_example"),
+                                                      "ref_idx", F.col("items").alias("ri"))
+    same = F.col("example_id") == F.col("r_example")
+    for k in keys:
+        same = same & (F.col(f"r_{k}").isNull() | (F.col(k) == F.col(f"r_{k}")))
+    tiles = cand.join(ref, same).select(*one, "ref_idx", "ci", "ri", _tile_max(
+        F.transform("ci", lambda x: x["u"]), F.transform("ri", lambda x: x["u"])).alias("m"))
+    # both directions of a tile as rows (side, token, best in the tile): the tile is computed once
+    of = lambda side, toks, best: F.transform(F.arrays_zip(F.transform(toks, lambda x: x["tok"]).alias("tok"), best.alias("s")),
+                                              lambda x: F.struct(F.lit(side).alias("side"), x["tok"].alias("tok"), x["s"].alias("s")))
+    rows = tiles.select(*one, "ref_idx", F.explode(F.concat(of("cand", F.col("ci"), F.col("m.cand_max")),
+                                                            of("ref", F.col("ri"), F.col("m.ref_max")))).alias("x"))
+    best = rows.groupBy(*one, "ref_idx", "x.side", "x.tok").agg(F.max("x.s").alias("s"))
+    side = lambda name: F.avg(F.when(F.col("side") == name, F.col("s")))
+    pr = best.groupBy(*one, "ref_idx").agg(side("cand").alias("P"), side("ref").alias("R"))
+    pr = pr.withColumn("F", F.when(F.col("P") + F.col("R") != 0, 2 * F.col("P") * F.col("R") / (F.col("P") + F.col("R"))).otherwise(0.0))
+    found = pr.groupBy(*one).agg(F.max("P").alias("emb_precision"), F.max("R").alias("emb_recall"), F.max("F").alias("emb_f1"))
+    every = tokens.select(*one).distinct()
+    for k in keys:  # shared reference rows are no group of their own
+        every = every.where(F.col(k).isNotNull())
+    return every.join(found, one, "left")
 
 
-def embedding_match(tokens: DataFrame, block: int = 256) -> DataFrame:
-    e = embedding_match_per_example(tokens, block)
-    return e.agg(F.avg("emb_precision").alias("emb_precision"), F.avg("emb_recall").alias("emb_recall"),
-                 F.avg("emb_f1").alias("emb_f1"))
+def embedding_match(tokens: DataFrame, block: int = 256, keys=()) -> DataFrame:
+    e = embedding_match_per_example(tokens, block, keys)
+    return e.groupBy(*keys).agg(F.avg("emb_precision").alias("emb_precision"), F.avg("emb_recall").alias("emb_recall"),
+                                F.avg("emb_f1").alias("emb_f1"))

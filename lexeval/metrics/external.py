@@ -14,6 +14,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexeval.operators.align import best_per_owner, flatten_references
 
@@ -24,7 +25,7 @@ def score_pairs(pairs: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], k
     ``(prediction, reference[, source])`` rows; returns one score per pair."""
     flat = flatten_references(pairs, keys)
     cols = ["prediction", "reference"] + (["source"] if with_sources else [])
-    schema = flat.schema.add("score", "double")
+    schema = StructType(flat.schema.fields + [StructField("score", DoubleType())])
 
     def fn(batches):
         for pdf in batches:

@@ -30,40 +30,25 @@ def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     return df
 
 
-def checked_small(df: DataFrame, max_rows: int, what: str) -> DataFrame:
-    """Guard for tables that are broadcast or collected by design (a
-    vocabulary, a language-code table): fail loudly instead of growing past the
-    bound."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"{what} has more than {max_rows} rows; refusing to broadcast it")
-    return df
-
-
-SPREAD_MAX_BYTES = 1 << 30
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Total size of the relations a plan reads (its leaves: files, local
-    data) — planning only.  Unlike the estimate for the whole plan it does not
-    inflate through explodes and joins."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:  # pragma: no cover
-        return None
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """CPU-heavy per-row work (kernels, tokenisation) needs at least as many
-    partitions as task slots.  A small input (one file, one row group) can
-    arrive as a single partition, so plans whose input size is at most
-    ``SPREAD_MAX_BYTES`` are hash-partitioned on ``keys`` across all slots —
-    a cheap shuffle at that size.  Larger inputs pass through untouched: their
-    files already give enough tasks.  Decided from optimizer statistics
-    (planning only; nothing is executed to find out)."""
-    size = input_bytes(df)
-    if size is None or size > SPREAD_MAX_BYTES:
-        return df
+    tasks as there are task slots.  Where the plan's leaves give fewer — one
+    file, one row group, an unsplittable multi-line CSV — rows are dealt anew
+    over all slots; with enough input partitions they stay where they are.  The
+    number of partitions is read from the planned scan; nothing is executed."""
     slots = df.sparkSession.sparkContext.defaultParallelism
+    parts = scan_partitions(df)
+    if parts is None or parts >= slots:
+        return df
     return df.repartition(slots * 2, *keys) if keys else df.repartition(slots * 2)
+
+
+def scan_partitions(df: DataFrame) -> int | None:
+    """Partitions of the largest file scan of the plan; None without one."""
+    try:
+        leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+        found = [leaves.apply(i) for i in range(leaves.size())]
+        sizes = [x.inputRDDs().head().getNumPartitions() for x in found if x.getClass().getSimpleName() == "FileSourceScanExec"]
+        return max(sizes) if sizes else None
+    except Exception:  # pragma: no cover - a plan without file scans
+        return None

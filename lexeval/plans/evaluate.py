@@ -38,56 +38,82 @@ register_metric("meteor", lambda p, k, n: sequence.meteor(p, k, name=n))
 
 BUILTIN = dict(METRICS)
 LIGHT = ["BLEU", "BLEU_lower", "chrF++", "TER", "rougeL", "meteor"]
-# the light set minus TER (whose shift search has no SQL twin)
-SQL_CHECKED = ["BLEU", "BLEU_lower", "chrF++", "rougeL", "meteor"]
 
 
-def evaluate(pairs: DataFrame, keys: list[str] | tuple = ("step",), metrics: list[str] | None = None,
-             cache: bool = True, fused: bool = True) -> DataFrame:
+def evaluate(pairs: DataFrame, keys: list[str] | tuple = ("step",), metrics: list[str] | None = None, fused: bool = True,
+             heavy: dict[str, DataFrame] | None = None) -> DataFrame:
     """Wide summary: one row per group, one column per metric.
 
-    When every requested metric is a built-in light metric (and ``fused``),
-    all of them are computed in one pass (``metrics.fused``): one projection,
-    one kernel call per row, one aggregation.  Otherwise each family is planned
-    separately and the per-group results are joined on the keys; with
-    ``cache`` the aligned rows are then persisted so the text is not
-    re-derived per family."""
+    The built-in light metrics among the requested ones are computed in one pass
+    (``metrics.fused``): one projection, one kernel call per row, one
+    aggregation.  User metrics are planned one by one and joined on the keys, a
+    row a group.  ``heavy`` adds families whose per-example scores come from
+    their own tables (see :func:`heavy_per_example`): the mean of each score
+    column per group."""
     keys = list(keys)
-    metrics = list(metrics or LIGHT)
+    metrics = list(LIGHT if metrics is None else metrics)
     unknown = [m for m in metrics if m not in METRICS]
     if unknown:
         raise KeyError(f"unknown metrics {unknown}; registered: {sorted(METRICS)}")
-    if fused and all(m in FUSABLE and METRICS[m] is BUILTIN[m] for m in metrics):
-        return evaluate_fused(pairs, keys, metrics)
-    src = pairs.persist() if cache else pairs
-    out = None
-    for m in metrics:
-        r = METRICS[m](src, keys, m)
-        out = r if out is None else out.join(r, keys, "full_outer")
+    built_in = [m for m in metrics if fused and m in FUSABLE and METRICS[m] is BUILTIN[m]]
+    parts = [evaluate_fused(pairs, keys, built_in)] if built_in else []
+    parts += [METRICS[m](pairs, keys, m) for m in metrics if m not in built_in]
+    if heavy:
+        parts.append(heavy_summary(heavy_per_example(pairs.select(*keys, "example_id"), heavy, keys), keys))
+    one = keys or ["_group"]  # without keys each part is one row
+    parts = parts if keys else [p.withColumn("_group", F.lit(1)) for p in parts]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, one, "full_outer")
+    return out.drop("_group").select(*keys, *[F.col(f"`{m}`") for m in metrics], *[F.col(f"`{c}`") for c in out.columns if c not in (*one, *metrics)])
+
+
+def heavy_per_example(examples: DataFrame, heavy: dict[str, DataFrame], keys) -> DataFrame:
+    """Per-example scores of the heavy families beside each example of
+    ``examples(keys..., example_id)``; an example that a family could not score
+    stays, with NULLs.  A family is a table with ``example_id``, those of the
+    keys it depends on, score columns and optionally ``scorer``, the version
+    that made it: each scorer has columns of its own, so two never mix."""
+    out = examples
+    for family, scores in heavy.items():
+        on = [k for k in (*keys, "example_id") if k in scores.columns]
+        values = [c for c in scores.columns if c not in (*on, "scorer")]
+        if "scorer" in scores.columns:
+            names = sorted(r.scorer for r in scores.select("scorer").distinct().collect())  # a handful of versions
+            scores = scores.groupBy(*on).agg(*[F.max(F.when(F.col("scorer") == s, F.col(v))).alias(f"{v}@{s}")
+                                               for s in names for v in values])
+        out = out.join(scores, on, "left")
     return out
 
 
+def heavy_summary(per: DataFrame, keys) -> DataFrame:
+    keys = list(keys)
+    return per.groupBy(*keys).agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in per.columns if c not in (*keys, "example_id")])
+
+
 def metric_log(wide: DataFrame, keys: list[str], metrics: list[str], prefix: str = "eval/") -> DataFrame:
     """Long form ``(keys..., metric, value)`` with the metric-name prefix."""
     long = wide.unpivot(keys, metrics, "metric", "value")
     return long.withColumn("metric", F.concat(F.lit(prefix), F.col("metric")))
 
 
-def per_example(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def per_example(pairs: DataFrame, keys: list[str], heavy: dict[str, DataFrame] | None = None) -> DataFrame:
     """Per-example rows: source, prediction, references and per-example
     chrF++ and METEOR, computed in one narrow pass that carries the example
-    columns (no join back)."""
-    return per_example_fused(pairs, list(keys))
+    columns (no join back); the scores of heavy families follow."""
+    light = per_example_fused(pairs, list(keys))
+    return heavy_per_example(light, heavy, list(keys)) if heavy else light
 
 
 def evaluate_ids(generated: DataFrame, references: DataFrame, vocab: DataFrame, keys=("step",),
                  metrics: list[str] | None = None, ids_col: str = "pred_ids") -> DataFrame:
     """Generated ids → decoded, stripped predictions → metrics, plus
-    ``gen_len`` (mean count of non-pad ids)."""
+    ``gen_len`` (mean count of non-pad ids).  A prediction whose example has no
+    row in ``references`` counts as one without references."""
     keys = list(keys)
     g = tokens.first_of_tuple(generated, ids_col)
     preds = tokens.decode(g, ids_col, vocab, [*keys, "example_id"], "prediction", carry={"_len": tokens.gen_len(F.col(ids_col))})
-    pairs = preds.join(references, "example_id")
+    pairs = preds.join(references, "example_id", "left")
     wide = evaluate(pairs, keys, metrics)
     gl = preds.groupBy(*keys).agg(F.avg("_len").alias("gen_len"))
     return wide.join(gl, keys, "full_outer")

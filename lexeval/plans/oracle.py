@@ -337,12 +337,6 @@ SELECT p.step::BIGINT AS step, p.example_id::BIGINT AS example_id, p.source, p.p
 FROM eval_pairs p LEFT JOIN best b USING (step, example_id) LEFT JOIN mex m USING (step, example_id)""",
                                    extra=_chrf_cte() + _meteor_ctes())
 
-ORACLE["step_files"] = """
-SELECT name, regexp_extract(name, '[-_](\\d+)\\.csv$', 1)::BIGINT AS step FROM (
-  SELECT unnest(['outputs_validation_' || CAST(turn * 1145 AS VARCHAR) || '.csv',
-                 'outputs_eval-' || CAST(turn * 1145 + 1 AS VARCHAR) || '.csv']) AS name
-  FROM (SELECT DISTINCT turn FROM conversations))"""
-
 ORACLE["run_keys"] = """
 SELECT doc_id::BIGINT AS doc_id, translate('org-' || source || '/model-' || lang, '/', '_') AS run_key,
        regexp_extract(path, '([^.]*)$', 1) AS suffix,

@@ -24,6 +24,8 @@ SEP = " ||| "
 # Fixed query parameters (shared with the SQL twins).
 SUBSET_LIMITS = {"train": 50, "validation": 10, "test": None}
 VOCAB_K = 500
+# Metrics of the summary queries that have an SQL twin here; TER has its own query.
+SUMMARY = ["BLEU", "BLEU_lower", "chrF++", "rougeL", "meteor"]
 MAX_SRC, MAX_TGT = 1024, 128
 BATCH = 8
 
@@ -49,14 +51,6 @@ def L(c):
 
 
 # ============================================================ sources / recipes
-@query("dataset_split")
-def q_dataset_split(spark, sf_dir):
-    """S3: one split of a named dataset (a partition filter)."""
-    d = V.splits(spark, sf_dir)
-    return d.where(recipes.split_filter("validation")).select(L("example_id").alias("example_id"), "split",
-                                                              "input", "lang")
-
-
 @query("subset_head")
 def q_subset_head(spark, sf_dir):
     """First n examples per split, before any flattening."""
@@ -227,7 +221,7 @@ def q_chrf_ex(spark, sf_dir):
 
 @query("ter")
 def q_ter(spark, sf_dir):
-    """M4: corpus TER with block shifts (no SQL twin: greedy shift search)."""
+    """M4: corpus TER with block shifts (brute-force twin in the tests: greedy shift search)."""
     t = sequence.ter(V.eval_pairs(spark, sf_dir), KEYS, name="ter")
     return t.select(L("step").alias("step"), r6(F.col("ter"), "ter"))
 
@@ -285,15 +279,15 @@ def q_emb_ex(spark, sf_dir):
 @query("summary_wide")
 def q_summary(spark, sf_dir):
     """One row per step, one column per selected metric."""
-    w = EV.evaluate(V.eval_pairs(spark, sf_dir), KEYS, EV.SQL_CHECKED)
-    return w.select(L("step").alias("step"), *[r6(F.col(m), m) for m in EV.SQL_CHECKED])
+    w = EV.evaluate(V.eval_pairs(spark, sf_dir), KEYS, SUMMARY)
+    return w.select(L("step").alias("step"), *[r6(F.col(m), m) for m in SUMMARY])
 
 
 @query("metric_log")
 def q_metric_log(spark, sf_dir):
     """Step-keyed long metric log with the 'eval/' prefix."""
-    w = EV.evaluate(V.eval_pairs(spark, sf_dir), KEYS, EV.SQL_CHECKED)
-    lg = EV.metric_log(w, KEYS, EV.SQL_CHECKED)
+    w = EV.evaluate(V.eval_pairs(spark, sf_dir), KEYS, SUMMARY)
+    lg = EV.metric_log(w, KEYS, SUMMARY)
     return lg.select(L("step").alias("step"), "metric", r6(F.col("value"), "value"))
 
 
@@ -307,17 +301,6 @@ def q_per_example(spark, sf_dir):
                      r6(F.col("meteor"), "meteor"))
 
 
-@query("step_files")
-def q_step_files(spark, sf_dir):
-    """Step numbers from outputs file names of both naming
-    dialects, in ascending step order."""
-    c = V.table(spark, sf_dir, "conversations", ["turn"]).select("turn").distinct()
-    names = c.select(F.explode(F.array(
-        F.concat(F.lit("outputs_validation_"), (F.col("turn") * 1145).cast("string"), F.lit(".csv")),
-        F.concat(F.lit("outputs_eval-"), (F.col("turn") * 1145 + 1).cast("string"), F.lit(".csv")))).alias("name"))
-    return names.select("name", L(TX.step_from_name("name")).alias("step")).orderBy("step", "name")
-
-
 @query("run_keys")
 def q_run_keys(spark, sf_dir):
     """Run key from a model name, file suffix, heavy-output path."""

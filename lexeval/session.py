@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,9 +54,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder used to cut lineage (``DataFrame.checkpoint``) and to
-    stage intermediate tables.  Read from the session; set only where unset."""
+    stage intermediate tables.  Read from the session; a folder of this machine
+    is made only for a local master, where it is the shared one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="lexeval-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -65,18 +69,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path under the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
-
-
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _count()
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 _shipped: set = set()
@@ -84,16 +77,14 @@ _shipped: set = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``lexeval`` importable in Python workers (pandas UDFs, mapInPandas)
-    by adding a zip of the package with ``addPyFile`` — once per SparkContext.
-    The zip is staged under the checkpoint folder."""
+    by adding a zip of the package with ``addPyFile`` — once per SparkContext."""
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _shipped:
         return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
-    dest = os.path.join(checkpoint_dir(spark).replace("file:", ""), "pyfiles")
-    os.makedirs(dest, exist_ok=True)
+    dest = tempfile.mkdtemp(prefix="lexeval-zip-")  # read by the driver only, which serves it to the executors
     path = os.path.join(dest, f"lexeval-{os.getpid()}.zip")
     with zipfile.ZipFile(path, "w") as z:
         for root, _, files in os.walk(pkg):

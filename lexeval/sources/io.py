@@ -4,7 +4,7 @@
   its own file, and every file is read with the reader for its own suffix.
 * CSV text holds embedded newlines and doubled quotes, so CSV is always read
   with ``header, multiLine, quote='"', escape='"'``.  A multi-line CSV file is
-  one input split, so positions inside a file are well defined.
+  one input split; JSON lines are split, and positions are counted over splits.
 * Lists cannot be stored in CSV: list columns are written as JSON text and
   parsed back on read.
 * Writes never silently replace their own input: overwriting a path that is
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,7 @@ def check_files(files: dict[str, str | None], allowed=("csv", "json")) -> dict[s
         raise ValueError("need at least one of train_file, validation_file, test_file")
     for k, v in given.items():
         if _suffix(v) not in allowed:
-            raise ValueError(f"`{k}_file` should be a {' or a '.join(allowed)} file: {v}")
+            raise ValueError(f"{k}_file has an unsupported suffix ({', '.join(allowed)} can be read): {v}")
     return given
 
 
@@ -55,20 +55,41 @@ def read_file(spark: SparkSession, path: str, schema: T.StructType | str | None
     return r.parquet(path)
 
 
+def dense_index(df: DataFrame, name: str, groups: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with column ``name``: 0, 1, 2, … in reading order, from 0 again in
+    each group (a file or a split), whatever the size of the input splits.
+
+    Rows are numbered inside their task, the tasks' row counts are added up in
+    task order — one row per task and group — and joined back.  Nothing is sorted
+    and no single task sees all rows."""
+    task, within = "__task", "__within"
+    marked = df.withColumn(task, F.spark_partition_id()).withColumn(within, F.monotonically_increasing_id())
+    own = [task, *groups]
+    counts = marked.groupBy(*own).agg(F.count(F.lit(1)).alias("__n"), F.min(within).alias("__low"))
+    before = Window.partitionBy(*groups, F.lit(0)).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"__s{c}") for c in own], "__low", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    same = [F.col(c).eqNullSafe(F.col(f"__s{c}")) for c in own]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    # the rows of one group lie together in a task: a file is read in one go
+    return marked.join(starts, on).select(*df.columns, (F.col("__start") + F.col(within) - F.col("__low")).alias(name))
+
+
 def with_example_id(df: DataFrame, id_col: str | None = None) -> DataFrame:
-    """Explicit identity: a source key when there is one, else a unique
-    increasing id (partition index, position) — stable for a given file set
-    because multi-line text files are read one file per partition."""
+    """Explicit identity: a source key when there is one, else the dense
+    position in reading order."""
     if id_col and id_col in df.columns:
         return df.withColumn("example_id", F.col(id_col).cast("long"))
-    return df.withColumn("example_id", F.monotonically_increasing_id())
+    return dense_index(df, "example_id")
 
 
 # S1 / S2
 def load_custom_dataset(spark: SparkSession, train_file: str | None = None, validation_file: str | None = None,
                         test_file: str | None = None, schema=None, id_col: str | None = None) -> DataFrame:
     """Split files (csv or json-lines, each read by its own suffix) stacked into
-    one DataFrame with a ``split`` column; columns missing in a split are NULL."""
+    one DataFrame with a ``split`` column; columns missing in a split are NULL.
+    Ids are dense per split, so a row is known by ``(split, example_id)``."""
     files = check_files({"train": train_file, "validation": validation_file, "test": test_file})
     out = None
     for split, path in files.items():
@@ -96,45 +117,75 @@ def write_dataset(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 # S5 / S6
-OUTPUTS_SCHEMA = "source string, sources string, prediction string, reference string"
+OUTPUTS = "outputs_*.csv"
+
 
+def _headers(spark: SparkSession, paths: list[str], pattern: str | None) -> list:
+    """(header, paths) of the files, one row per distinct header line."""
+    reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
+    lines = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+    first = lines.where("at = 0").groupBy("path").agg(F.first("value").alias("header"))
+    return sorted(first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect(), key=lambda r: r.header)
 
-def read_outputs(spark: SparkSession, directory: str, pattern: str = "outputs_*.csv",
-                 schema: str | None = None) -> DataFrame:
-    """Every outputs file of a directory in one read: ``step`` parsed from the
-    file name (both naming dialects), ``pos`` = position inside the file,
-    ``source`` from either ``source`` or ``sources``, blank predictions as ''."""
-    r = spark.read.options(**CSV_OPTIONS).option("pathGlobFilter", pattern)
-    df = r.schema(schema).csv(directory) if schema else r.csv(directory)
-    return normalize_outputs(df.select("*", F.col("_metadata.file_name").alias("file_name"),
-                                       F.col("_metadata.file_path").alias("path")))
+
+def read_output_files(spark: SparkSession, paths: list[str], pattern: str | None = None) -> DataFrame:
+    """Outputs files as one table.  Files are grouped by their header line and
+    each group is read with its own column names, so files whose columns differ
+    in order or number can lie side by side; columns that a file lacks are NULL."""
+    out = None
+    for row in _headers(spark, paths, pattern):  # a handful of column layouts
+        df = spark.read.options(**CSV_OPTIONS).option("enforceSchema", "false").csv(row.paths)
+        df = normalize_outputs(df.select("*", F.col("_metadata.file_path").alias("path")))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no outputs files in {paths}")
+    return out
+
+
+def read_outputs(spark: SparkSession, directory: str, pattern: str = OUTPUTS) -> DataFrame:
+    """Every outputs file of a directory, and of folders of that name written by
+    Spark: ``step`` parsed from the name (both dialects), ``pos`` = position
+    inside the file, ``source`` from either ``source`` or ``sources``, blank
+    predictions as '', ``older`` true for files of the older dialect."""
+    return read_output_files(spark, [f"{directory.rstrip('/')}/{pattern}"])
+
+
+def write_outputs(df: DataFrame, directory: str, step: int, order: str = "example_id", older: bool = False) -> None:
+    """One outputs file of a step, rows in the order of the examples: the format
+    is one file, so its rows pass through one task."""
+    name = f"outputs_eval-{step}.csv" if older else f"outputs_validation_{step}.csv"
+    _csv_ready(df.orderBy(order).drop(order).coalesce(1)).write.options(**CSV_OPTIONS).csv(f"{directory.rstrip('/')}/{name}")
 
 
 def normalize_outputs(df: DataFrame) -> DataFrame:
     """``source`` from ``source`` or ``sources`` (both dialects), blank
     prediction → '', ``references`` parsed from the JSON ``reference`` column,
-    ``step`` from the file name when absent, ``pos`` = position in the file."""
+    ``step`` from the file name when absent, ``pos`` = dense position in the file."""
+    if "path" in df.columns:
+        df = dense_index(df, "pos", ("path",))
     src = [F.col(c) for c in ("source", "sources") if c in df.columns]
     cols = {"source": F.coalesce(*src) if src else F.lit(None).cast("string"),
             "prediction": F.coalesce(F.col("prediction"), F.lit(""))}
     if "step" not in df.columns:
-        cols["step"] = step_from_name(F.col("file_name"))
+        cols["step"] = step_from_name(F.col("path"))
     if "reference" in df.columns:
         cols["references"] = F.from_json(F.col("reference"), "array<string>")
-    out = df.withColumns(cols)
-    if "sources" in df.columns:
-        out = out.drop("sources")
-    return out.withColumn("pos", F.monotonically_increasing_id())
+    out = df.withColumns(cols | {"older": F.lit("sources" in df.columns)})
+    return out.drop("sources") if "sources" in df.columns else out
 
 
 # S7 / S8 / S9 / S10 / S11
 def guarded_writer(df: DataFrame, path: str, mode: str = "errorifexists", inputs: list[str] | None = None):
-    """Refuse to overwrite a path that the job is reading."""
-    norm = os.path.normpath(path.replace("file:", ""))
-    for p in inputs or []:
-        q = os.path.normpath(p.replace("file:", ""))
-        if mode == "overwrite" and (norm == q or q.startswith(norm + os.sep)):
-            raise ValueError(f"refusing to overwrite {path}: it is an input of this job")
+    """Refuse to overwrite a path that the job reads: the files of the plan
+    itself, and any ``inputs`` named besides; a folder above or below counts."""
+    def norm(p):
+        return os.path.normpath(p.removeprefix("file:")).replace("//", "/") + os.sep
+
+    if mode == "overwrite":
+        files = df.inputFiles()
+        for p in {*files, *(os.path.dirname(f) for f in files), *(inputs or [])}:
+            if norm(p).startswith(norm(path)) or norm(path).startswith(norm(p)):
+                raise ValueError(f"refusing to overwrite {path}: it is an input of this job")
     return df.write.mode(mode)
 
 
@@ -166,8 +217,16 @@ def heavy_paths(path: str) -> tuple[str, str]:
     return base + "_heavy_overall.csv", base + "_heavy_scores.csv"
 
 
+def write_heavy(overall: DataFrame, scores: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
+    """The heavy summary and the per-example heavy scores beside ``path``."""
+    for df, target in zip((overall, scores), heavy_paths(path)):
+        write_results(df, target, fmt, mode)
+
+
 def append_metric_log(wide: DataFrame, path: str, keys: list[str], metrics: list[str],
                       prefix: str = "eval/") -> None:
-    """Append ``(keys..., metric, value)`` rows to the metric log table."""
+    """``(keys..., metric, value)`` rows into the metric log table, one
+    partition per key; a step that is logged again replaces its rows."""
     from lexeval.plans.evaluate import metric_log
-    metric_log(wide, keys, metrics, prefix).write.mode("append").parquet(path)
+    (metric_log(wide, keys, metrics, prefix).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*keys).parquet(path))

@@ -1,46 +1,40 @@
 """Incremental scoring of outputs files as training writes them.
 
-A training run writes one outputs file per evaluation step.  A streaming file
-source picks up only files it has not seen (tracked in the checkpoint), every
-micro-batch is scored with the batch evaluator, and the summary rows of the
-steps in that batch are written with dynamic partition overwrite, so a replay
-of a batch rewrites the same ``(run, step)`` partitions (idempotent).  With
-``trigger(availableNow=True)`` a run processes everything new and stops; a
-run with no new file writes nothing.  A file rewritten in place under a name
+A training run writes one outputs file per evaluation step.  The stream is one
+of file names: a streaming file source picks up only files it has not seen
+(tracked in the checkpoint), and every micro-batch reads its files with the
+batch reader — by their own headers — aligns them by position, checks them
+against the dataset and scores them.  Rows are written with dynamic partition
+overwrite, so a replay of a batch rewrites the same ``(run, step)`` partitions.
+With ``trigger(availableNow=True)`` a run processes everything new and stops; a
+run with no new file writes nothing.  A file that does not belong to the
+dataset stops the stream with an error.  A file rewritten in place under a name
 already seen is not picked up again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lexeval.plans.evaluate import evaluate, metric_log
-from lexeval.sources.io import CSV_OPTIONS, normalize_outputs
+from lexeval.plans.posthoc import score_files
+from lexeval.sources.io import OUTPUTS
 
+#: Files of one micro-batch.
+FILES_PER_BATCH = 64
 
-def score_new_outputs(spark: SparkSession, outputs_dir: str, references: DataFrame, summary_path: str,
-                      checkpoint: str, run: str = "run", metrics: list[str] | None = None,
-                      log_path: str | None = None, pattern: str = "outputs_*.csv",
-                      schema: str = "source string, prediction string, example_id long"):
+
+def score_new_outputs(spark: SparkSession, outputs_dir: str, dataset: DataFrame, summary_path: str, checkpoint: str, run: str = "run",
+                      metrics: list[str] | None = None, log_path: str | None = None, scores_path: str | None = None,
+                      pattern: str = OUTPUTS):
     """Start an ``availableNow`` streaming query; returns the StreamingQuery.
-    ``schema`` lists the outputs-file columns in file order (CSV columns are
-    matched by position)."""
-    stream = (spark.readStream.options(**CSV_OPTIONS).option("pathGlobFilter", pattern)
-              .schema(schema).csv(outputs_dir)
-              .select("*", F.col("_metadata.file_name").alias("file_name")))
-    keys = ["run", "step"]
+    ``dataset`` is the split that was decoded: (example_id dense from 0, input,
+    references)."""
+    names = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+             .option("maxFilesPerTrigger", FILES_PER_BATCH).load(f"{outputs_dir.rstrip('/')}/{pattern}").select("path"))
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        out = normalize_outputs(df).withColumn("run", F.lit(run))
-        pairs = out.select("run", "step", "example_id", "prediction").join(references, "example_id")
-        wide = evaluate(pairs, keys, metrics, cache=False)
-        (wide.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("run", "step").parquet(summary_path))
-        if log_path:
-            ms = [c for c in wide.columns if c not in keys]
-            (metric_log(wide, keys, ms).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("run", "step").parquet(log_path))
-
-    return (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+        paths = sorted(r.path for r in df.collect())  # FILES_PER_BATCH names at most
+        if paths:
+            score_files(spark, paths, dataset, metrics, run, summary_path, scores_path, log_path)
+
+    return (names.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -72,18 +72,57 @@ def test_dataset_partition_pruning(spark, tmp):
     assert "PartitionFilters" in plan and "validation" in plan
 
 
+def test_ids_are_dense_over_input_splits(spark, tmp):
+    p = os.path.join(tmp, "train.json")
+    pd.DataFrame({"input": [f"row {i} " + "x" * 200 for i in range(2000)], "target": "t"}).to_json(p, orient="records", lines=True)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+        df = io.load_custom_dataset(spark, train_file=p, validation_file=p)
+        assert df.rdd.getNumPartitions() > 4
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len({(r.split, r.example_id) for r in rows}) == 4000
+    assert all(r.input.startswith(f"row {r.example_id} ") for r in rows)
+
+
+def test_files_of_different_columns_side_by_side(spark, tmp):
+    pd.DataFrame({"source": ["s0", "s1"], "prediction": ["p0", "p1"], "reference": ['["a"]', '["b"]'], "score": [1, 2]}).to_csv(
+        os.path.join(tmp, "outputs_validation_10.csv"), index=False)
+    pd.DataFrame({"prediction": ["q0", "q0", "q1"], "sources": ["s0", "s0", "s1"]}).to_csv(
+        os.path.join(tmp, "outputs_eval-20.csv"), index=False)
+    rows = sorted((r.step, r.pos, r.source, r.prediction, r.references, r.older) for r in io.read_outputs(spark, tmp).collect())
+    assert rows == [(10, 0, "s0", "p0", ["a"], False), (10, 1, "s1", "p1", ["b"], False), (20, 0, "s0", "q0", None, True),
+                    (20, 1, "s0", "q0", None, True), (20, 2, "s1", "q1", None, True)]
+
+
+def _dataset(spark):
+    return spark.createDataFrame([(0, "s0", ["a b c d"]), (1, "s1", ["e f g h"])], "example_id long, input string, references array<string>")
+
+
+def test_post_hoc_scoring_guards_its_input(spark, tmp):
+    from lexeval.plans.posthoc import evaluate_outputs
+    pd.DataFrame({"sources": ["s0", "s0", "s1"], "prediction": ["a b c d", "x", "e f g h"]}).to_csv(
+        os.path.join(tmp, "outputs_eval-20.csv"), index=False)
+    assert [(r.step, round(r.BLEU, 6)) for r in evaluate_outputs(spark, tmp, _dataset(spark), ["BLEU"]).collect()] == [(20, 100.0)]
+    for bad in (["s1", "s0"], ["s0"], ["s0", None]):
+        pd.DataFrame({"source": bad, "prediction": ["x"] * len(bad)}).to_csv(os.path.join(tmp, "outputs_validation_5.csv"), index=False)
+        with pytest.raises(ValueError):
+            evaluate_outputs(spark, tmp, _dataset(spark), ["BLEU"])
+
+
 def test_incremental_scoring_available_now(spark, tmp):
     outdir = os.path.join(tmp, "outs")
     os.makedirs(outdir)
-    refs = spark.createDataFrame([(0, ["a b c d"]), (1, ["e f g h"])], "example_id long, references array<string>")
-    summary, ckpt = os.path.join(tmp, "summary"), os.path.join(tmp, "ckpt")
+    summary, log, ckpt = (os.path.join(tmp, x) for x in ("summary", "log", "ckpt"))
 
-    def write_step(step, preds):
-        pd.DataFrame({"source": ["s0", "s1"], "prediction": preds, "example_id": [0, 1]}).to_csv(
+    def write_step(step, preds, sources=("s0", "s1")):
+        pd.DataFrame({"source": list(sources), "prediction": preds, "reference": ['["a"]'] * 2}).to_csv(
             os.path.join(outdir, f"outputs_validation_{step}.csv"), index=False)
 
     def run():
-        q = score_new_outputs(spark, outdir, refs, summary, ckpt, run="r1", metrics=["BLEU", "chrF++"])
+        q = score_new_outputs(spark, outdir, _dataset(spark), summary, ckpt, run="r1", metrics=["BLEU", "chrF++"], log_path=log)
         q.awaitTermination()
         return spark.read.parquet(summary)
 
@@ -95,6 +134,25 @@ def test_incremental_scoring_available_now(spark, tmp):
     write_step(20, ["a b x d", "e f g h"])
     third = run()
     assert sorted(r.step for r in third.collect()) == [10, 20]
+    assert spark.read.parquet(log).count() == 4
+    write_step(30, ["a", "b"], ("s1", "s0"))
+    with pytest.raises(Exception, match="do not belong"):
+        run()
+
+
+def test_overwriting_a_folder_that_is_read_is_refused(spark, tmp):
+    path = os.path.join(tmp, "table")
+    spark.range(3).withColumn("step", F.lit(1)).write.parquet(path)
+    df = spark.read.parquet(path)
+    for target in (path, path + "/step=1", tmp):
+        with pytest.raises(ValueError):
+            io.write_results(df, target, mode="overwrite")
+
+
+def test_heavy_tables(spark, tmp):
+    per = spark.createDataFrame([(1, 0, 0.5)], "step int, example_id long, score double")
+    io.write_heavy(per.drop("example_id"), per, os.path.join(tmp, "outputs_eval-1.csv"))
+    assert spark.read.options(**io.CSV_OPTIONS).csv(os.path.join(tmp, "outputs_eval-1_heavy_scores.csv")).count() == 1
 
 
 def test_metric_log_append_and_registry(spark, tmp):
@@ -107,7 +165,7 @@ def test_metric_log_append_and_registry(spark, tmp):
     io.append_metric_log(wide, path, ["step"], ["BLEU", "n_rows"])
     io.append_metric_log(wide, path, ["step"], ["BLEU", "n_rows"])
     got = spark.read.parquet(path)
-    assert got.count() == 8 and {r.metric for r in got.collect()} == {"eval/BLEU", "eval/n_rows"}
+    assert got.count() == 4 and {r.metric for r in got.collect()} == {"eval/BLEU", "eval/n_rows"}
     with pytest.raises(KeyError):
         EV.evaluate(pairs, ["step"], ["NOPE"])
 
