@@ -141,7 +141,7 @@ def _named(docs: DataFrame) -> DataFrame:
 def _lines(docs: DataFrame) -> DataFrame:
     # the text itself must not travel with every line that is made of it
     split = _named(docs).select("doc_id", _doc_key().alias("doc"), F.split("text", "\n", -1).alias("lines"))
-    return split.select("doc_id", "doc", F.posexplode("lines").alias("line", "raw"))
+    return split.select("doc_id", "doc", F.posexplode_outer("lines").alias("line", "raw"))
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
@@ -150,14 +150,16 @@ def signed_lines(docs: DataFrame) -> DataFrame:
     shuffle moves one row a line."""
     rows = _named(docs).select("doc_id", _doc_key().alias("doc"), F.monotonically_increasing_id().alias("row"),
                                F.split("text", "\n", -1).alias("lines"))
-    lines = rows.select("doc_id", "doc", "row", F.posexplode("lines").alias("line", "raw"))
+    lines = rows.select("doc_id", "doc", "row", F.posexplode_outer("lines").alias("line", "raw"))
     words = lines.select("doc_id", "doc", "row", "line", let(line_words(F.col("raw")), lambda w: F.struct(
         F.xxhash64(F.lit(1), w).alias("h1"), F.xxhash64(F.lit(2), w).alias("h2"), F.array_distinct(w).alias("w"))).alias("l"))
     many = F.size("l.w") > LONG
     own = ["doc_id", "doc", "h1", "h2", "n", "wide"]
     words = words.select("doc_id", "doc", "row", "line", "l.h1", "l.h2", F.size("l.w").alias("n"), F.when(many, simhash(F.col("l.w"))).alias("wide"),
                          F.when(many, F.slice("l.w", 1, 1)).otherwise(F.col("l.w")).alias("w"))
-    words = words.select("row", "line", *own, F.explode("w").alias("word")).withColumn("word", F.xxhash64("word"))
+    # the outer forms of explode: before the plain ones Spark puts a filter that computes the array a second time
+    words = words.select("row", "line", *own, F.explode_outer("w").alias("word")).where("word is not null")
+    words = words.withColumn("word", F.xxhash64("word"))
     counted = words.groupBy("row", "line").agg(*[F.any_value(c).alias(c) for c in own],
                                                *[F.sum(_part(F.col("word"), j, 16)).alias(f"c{j}") for j in range(16)])
     sim = F.coalesce("wide", _majority([F.col(f"c{j}") for j in range(16)], F.col("n"), 16))
