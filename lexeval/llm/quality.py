@@ -44,7 +44,7 @@ LEAST = 100
 WIDTH = 3.0
 #: Statistic, its least spread, whether low values fail as well.
 RULES = (("word_length", 0.5, True), ("symbol_share", 0.03, False), ("upper_share", 0.03, False),
-         ("dup_line_share", 0.08, False), ("repeat_share", 0.05, False))
+         ("dup_line_share", 0.2, False), ("repeat_share", 0.1, False))
 
 
 def words_of(text: Column) -> Column:
