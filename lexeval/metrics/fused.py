@@ -43,15 +43,13 @@ def _kernel(sel: frozenset):
             mh: pd.Series, mr: pd.Series) -> pd.DataFrame:
         n = len(bh)
         out = {k: [None] * n for k in ("b", "bl", "c", "t", "w", "l", "mt")}
+        for m, key, hyps, refs in (("BLEU", "b", bh, br), ("BLEU_lower", "bl", lh, lr)):
+            if m in sel:
+                out[key] = [[hl, rl, *match] if len(r) else None
+                            for (hl, rl, match), r in zip(kernels.bleu_batch(hyps.tolist(), refs.tolist()), refs)]
+        if "chrF++" in sel:
+            out["c"] = kernels.chrf_batch(ch.tolist(), cw.tolist(), crc.tolist(), crw.tolist())
         for i in range(n):
-            if "BLEU" in sel and len(br.iat[i]):
-                hl, rl, m = kernels.bleu_row(bh.iat[i], br.iat[i])
-                out["b"][i] = [hl, rl, *m]
-            if "BLEU_lower" in sel and len(lr.iat[i]):
-                hl, rl, m = kernels.bleu_row(lh.iat[i], lr.iat[i])
-                out["bl"][i] = [hl, rl, *m]
-            if "chrF++" in sel:
-                out["c"][i] = kernels.chrf_row(ch.iat[i], cw.iat[i], crc.iat[i], crw.iat[i])
             if "TER" in sel:
                 h = list(th.iat[i])
                 out["t"][i] = [kernels.ter_edits(h, r) for r in tr.iat[i]]

@@ -10,68 +10,153 @@ no shuffle: they run in whatever partitioning the aligned rows already have.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _grams(toks, n):
-    return Counter(tuple(toks[i:i + n]) for i in range(len(toks) - n + 1))
-
-
-def _chars(s, n):
-    return Counter(s[i:i + n] for i in range(len(s) - n + 1))
-
-
-def _clip(h: Counter, r: Counter) -> int:
-    if len(h) > len(r):
-        h, r = r, h
-    return sum(min(c, r[g]) for g, c in h.items() if g in r)
-
-
-# ----------------------------------------------------------------- packed n-grams
-# Tokens (or characters) of one row are mapped to dense ids 0..d-1; an n-gram
-# of ids is packed into one int64 with ceil(log2(d)) bits per id.  This is
-# exact (no hashing); rows whose n-grams would not fit in 62 bits use the
-# Counter path instead.
-
-def _dense_words(seqs):
-    ids: dict = {}
-    out = [np.fromiter((ids.setdefault(t, len(ids)) for t in q), dtype=np.int64, count=len(q)) for q in seqs]
-    return out, len(ids)
-
-
-def _dense_chars(texts):
-    codes = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in texts]
-    allc = np.concatenate(codes) if codes else np.empty(0, np.uint32)
-    uniq, inv = np.unique(allc, return_inverse=True)
-    out, i = [], 0
-    for c in codes:
-        out.append(inv[i:i + len(c)].astype(np.int64))
-        i += len(c)
-    return out, len(uniq)
+# ----------------------------------------------------------------- n-grams of a batch
+# All texts of an Arrow batch are counted together: tokens (or characters) get
+# dense ids, an n-gram of ids is packed into one integer beside its text's
+# number, and one sort per order counts every n-gram of every text.  This is
+# exact: ids are made dense again where packing would not fit, nothing is hashed.
+
+#: Tokens or characters that are counted at once.
+BATCH_TOKENS = 1 << 20
+
+
+class _Texts:
+    """Texts of a batch as one array of dense token ids with text bounds."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray):
+        self.ids, self.sizes = ids, sizes
+        self.v = int(ids.max()) + 1 if len(ids) else 1
+        self.text = np.repeat(np.arange(len(sizes)), sizes)
+        self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(ids))  # tokens to the text's end
+        self.grams, self.span = ids.astype(np.int64), self.v
+        self.n = 1
+
+    @staticmethod
+    def of_tokens(lists) -> _Texts:
+        sizes = np.fromiter((len(x) for x in lists), np.int64, len(lists))
+        flat = np.concatenate([np.asarray(x, object) for x in lists]) if sizes.sum() else np.zeros(0, object)
+        return _Texts(pd.factorize(flat)[0] if len(flat) else np.zeros(0, np.int64), sizes)
+
+    @staticmethod
+    def of_chars(texts) -> _Texts:
+        sizes = np.fromiter((len(x) for x in texts), np.int64, len(texts))
+        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        table = np.zeros(int(code.max()) + 1 if len(code) else 1, np.int64)
+        table[code] = 1
+        return _Texts((np.cumsum(table) - 1)[code], sizes)
+
+    def next_order(self) -> None:
+        """From n-grams to (n + 1)-grams, by their first token's place."""
+        if self.span * self.v * (len(self.sizes) + 1) >= 1 << 62:
+            kept, inverse = np.unique(self.grams, return_inverse=True)
+            self.grams, self.span = inverse, len(kept) + 1
+        after = np.zeros_like(self.grams)
+        after[:-self.n] = self.ids[self.n:]
+        self.grams = self.grams * self.v + after
+        self.span *= self.v
+        self.n += 1
+
+    def counts(self, texts: slice):
+        """(text, gram, count) of the n-grams of a range of texts, sorted."""
+        lo, hi = np.searchsorted(self.text, [texts.start, texts.stop])
+        part = slice(lo, hi)
+        whole = self.left[part] >= self.n
+        key = np.sort(self.text[part][whole] * self.span + self.grams[part][whole])
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(key)))
+        return key[first] // self.span, key[first] % self.span, count
+
+
+def _chunks(sizes):
+    """Row ranges of about BATCH_TOKENS tokens."""
+    lo, held = 0, 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= BATCH_TOKENS:
+            yield lo, i + 1
+            lo, held = i + 1, 0
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def _looked_up(keys, counts, wanted):
+    """Counts of the wanted keys in sorted unique keys, 0 where missing."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, counts[at], 0)
+
+
+def _clipped_per_ref(texts: _Texts, rows: int, owner: np.ndarray, max_order: int) -> list[np.ndarray]:
+    """For each order the clipped matches of every reference with its row's
+    hypothesis; texts are the hypotheses, then the references."""
+    out = []
+    for n in range(1, max_order + 1):
+        if n > 1:
+            texts.next_order()
+        ht, hg, hc = texts.counts(slice(0, rows))
+        rt, rg, rc = texts.counts(slice(rows, rows + len(owner)))
+        m = np.minimum(_looked_up(ht * texts.span + hg, hc, owner[rt - rows] * texts.span + rg), rc)
+        out.append(np.bincount(rt - rows, weights=m, minlength=len(owner)).astype(np.int64))
+    return out
 
 
-def _bits(d: int) -> int:
-    return max(1, int(d - 1).bit_length())
+def _clipped_by_best(texts: _Texts, rows: int, owner: np.ndarray, max_order: int) -> list[np.ndarray]:
+    """For each order the matches of every hypothesis, its n-gram counts clipped
+    by the largest count in any one reference of its row."""
+    out = []
+    for n in range(1, max_order + 1):
+        if n > 1:
+            texts.next_order()
+        ht, hg, hc = texts.counts(slice(0, rows))
+        rt, rg, rc = texts.counts(slice(rows, rows + len(owner)))
+        key = owner[rt - rows] * texts.span + rg
+        order = np.lexsort((rc, key))
+        key, rc = key[order], rc[order]
+        last = np.concatenate([key[1:] != key[:-1], [True]]) if len(key) else np.zeros(0, bool)
+        m = np.minimum(_looked_up(key[last], rc[last], ht * texts.span + hg), hc)
+        out.append(np.bincount(ht, weights=m, minlength=rows).astype(np.int64))
+    return out
 
 
-def _packed(ids: np.ndarray, n: int, bits: int):
-    m = len(ids) - n + 1
-    if m <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    x = ids[:m].copy()
-    for k in range(1, n):
-        x = (x << bits) | ids[k:k + m]
-    return np.unique(x, return_counts=True)
+def bleu_batch(hyps, refs, max_order: int = 4):
+    """Per row (hyp_len, closest ref_len, clipped matches per order)."""
+    out = []
+    for lo, hi in _chunks([len(h) + sum(map(len, r)) for h, r in zip(hyps, refs)]):
+        h, r = hyps[lo:hi], refs[lo:hi]
+        owner = np.repeat(np.arange(hi - lo), [len(x) for x in r])
+        texts = _Texts.of_tokens([*h, *(t for x in r for t in x)])
+        matches = np.stack(_clipped_by_best(texts, hi - lo, owner, max_order), axis=1).tolist()
+        for i in range(hi - lo):
+            n = len(h[i])
+            out.append((n, min(((abs(len(t) - n), len(t)) for t in r[i]), default=(0, 0))[1], matches[i]))
+    return out
 
 
-def _clip_np(hu, hc, ru, rc) -> int:
-    _, ih, ir = np.intersect1d(hu, ru, assume_unique=True, return_indices=True)
-    return int(np.minimum(hc[ih], rc[ir]).sum())
+def chrf_batch(hyp_chars, hyp_words, ref_chars, ref_words, char_order: int = 6, word_order: int = 2):
+    """Per row and reference the flat list ``[h, r, m] * orders`` (hypothesis
+    n-grams, reference n-grams, clipped matches of each order)."""
+    out = []
+    for lo, hi in _chunks([len(h) + sum(map(len, r)) for h, r in zip(hyp_chars, ref_chars)]):
+        rows, refs = hi - lo, [len(x) for x in ref_chars[lo:hi]]
+        owner = np.repeat(np.arange(rows), refs)
+        stats = []
+        for texts, orders in ((_Texts.of_chars([*hyp_chars[lo:hi], *(t for x in ref_chars[lo:hi] for t in x)]), char_order),
+                              (_Texts.of_tokens([*hyp_words[lo:hi], *(t for x in ref_words[lo:hi] for t in x)]), word_order)):
+            size = texts.sizes
+            for n, m in enumerate(_clipped_per_ref(texts, rows, owner, orders)):
+                stats += [np.maximum(size[owner] - n, 0), np.maximum(size[rows:] - n, 0), m]
+        flat, at = np.stack(stats, axis=1).tolist(), 0
+        for n in refs:
+            out.append(flat[at:at + n])
+            at += n
+    return out
 
 
 # ----------------------------------------------------------------- BLEU
@@ -82,105 +167,16 @@ BLEU_STATS = T.StructType([
 ])
 
 
-def _bleu_matches_counter(hyp, refs, max_order):
-    matches = []
-    for n in range(1, max_order + 1):
-        h = _grams(hyp, n)
-        if not h or not refs:
-            matches.append(0)
-            continue
-        best: Counter = Counter()
-        for r in refs:
-            for g, c in _grams(r, n).items():
-                if c > best[g]:
-                    best[g] = c
-        matches.append(_clip(h, best))
-    return matches
-
-
-def bleu_row(hyp, refs, max_order: int = 4):
-    """(hyp_len, closest ref_len, clipped matches per order); counts are
-    clipped by the largest count of the n-gram in any single reference."""
-    hyp = list(hyp)
-    refs = [list(r) for r in refs]
-    hl = len(hyp)
-    ref_len = min(((abs(len(r) - hl), len(r)) for r in refs), default=(0, 0))[1]
-    if not refs or hl == 0:
-        return hl, ref_len, [0] * max_order
-    ids, d = _dense_words([hyp] + refs)
-    bits = _bits(d)
-    if bits * max_order > 62:
-        return hl, ref_len, _bleu_matches_counter(hyp, refs, max_order)
-    matches = []
-    for n in range(1, max_order + 1):
-        hu, hc = _packed(ids[0], n, bits)
-        parts = [_packed(r, n, bits) for r in ids[1:]]
-        ru = np.concatenate([p[0] for p in parts])
-        rc = np.concatenate([p[1] for p in parts])
-        if len(hu) == 0 or len(ru) == 0:
-            matches.append(0)
-            continue
-        u, inv = np.unique(ru, return_inverse=True)
-        best = np.zeros(len(u), np.int64)
-        np.maximum.at(best, inv, rc)
-        matches.append(_clip_np(hu, hc, u, best))
-    return hl, ref_len, matches
-
-
 @F.pandas_udf(BLEU_STATS)
 def bleu_stats_udf(hyp: pd.Series, refs: pd.Series) -> pd.DataFrame:
-    out = [bleu_row(h, r) for h, r in zip(hyp, refs)]
-    return pd.DataFrame(out, columns=["hyp_len", "ref_len", "matches"])
+    return pd.DataFrame(bleu_batch(hyp.tolist(), refs.tolist()), columns=["hyp_len", "ref_len", "matches"])
 
 
 # ----------------------------------------------------------------- chrF
-def _chrf_row_counter(hyp_chars, hyp_words, ref_chars, ref_words, char_order, word_order):
-    hc = [_chars(hyp_chars, n) for n in range(1, char_order + 1)]
-    hw = [_grams(hyp_words, n) for n in range(1, word_order + 1)]
-    out = []
-    for rc_s, rw in zip(ref_chars, ref_words):
-        rw = list(rw)
-        stats = []
-        for i, n in enumerate(range(1, char_order + 1)):
-            stats += [max(len(hyp_chars) - n + 1, 0), max(len(rc_s) - n + 1, 0), _clip(hc[i], _chars(rc_s, n))]
-        for j, n in enumerate(range(1, word_order + 1)):
-            stats += [max(len(hyp_words) - n + 1, 0), max(len(rw) - n + 1, 0), _clip(hw[j], _grams(rw, n))]
-        out.append(stats)
-    return out
-
-
-def chrf_row(hyp_chars: str, hyp_words, ref_chars, ref_words, char_order: int = 6, word_order: int = 2):
-    """Per reference: flat list ``[h, r, m] * (char_order + word_order)``
-    (hypothesis n-grams, reference n-grams, clipped matches per order)."""
-    hyp_words = list(hyp_words)
-    ref_chars = list(ref_chars)
-    ref_words = [list(w) for w in ref_words]
-    cids, cd = _dense_chars([hyp_chars] + ref_chars)
-    wids, wd = _dense_words([hyp_words] + ref_words)
-    cb, wb = _bits(cd), _bits(wd)
-    if cb * char_order > 62 or wb * word_order > 62:
-        return _chrf_row_counter(hyp_chars, hyp_words, ref_chars, ref_words, char_order, word_order)
-    hc = [_packed(cids[0], n, cb) for n in range(1, char_order + 1)]
-    hw = [_packed(wids[0], n, wb) for n in range(1, word_order + 1)]
-    out = []
-    for k in range(len(ref_chars)):
-        stats = []
-        for i, n in enumerate(range(1, char_order + 1)):
-            ru, rc = _packed(cids[k + 1], n, cb)
-            stats += [max(len(cids[0]) - n + 1, 0), max(len(cids[k + 1]) - n + 1, 0),
-                      _clip_np(hc[i][0], hc[i][1], ru, rc)]
-        for j, n in enumerate(range(1, word_order + 1)):
-            ru, rc = _packed(wids[k + 1], n, wb)
-            stats += [max(len(wids[0]) - n + 1, 0), max(len(wids[k + 1]) - n + 1, 0),
-                      _clip_np(hw[j][0], hw[j][1], ru, rc)]
-        out.append(stats)
-    return out
-
-
 def chrf_stats_udf(char_order: int = 6, word_order: int = 2):
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
     def run(hc: pd.Series, hw: pd.Series, rc: pd.Series, rw: pd.Series) -> pd.Series:
-        return pd.Series([chrf_row(a, b, c, d, char_order, word_order) for a, b, c, d in zip(hc, hw, rc, rw)])
+        return pd.Series(chrf_batch(hc.tolist(), hw.tolist(), rc.tolist(), rw.tolist(), char_order, word_order))
     return run
 
 

@@ -4,7 +4,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexeval.operators.kernels import bleu_row, chrf_row, edit_distance, lcs_len, meteor_row, ter_edits
+from lexeval.operators.kernels import bleu_batch, chrf_batch, edit_distance, lcs_len, meteor_row, ter_edits
 
 words = st.lists(st.sampled_from(list("abcdef")), max_size=40)
 
@@ -58,42 +58,53 @@ def test_meteor_exact_and_chunks():
     assert meteor_row("x y".split(), "a b".split()) == 0.0
 
 
-def test_bleu_row_clips_by_best_reference():
-    hl, rl, m = bleu_row("the the the".split(), ["the cat".split(), "the the".split()])
+def test_bleu_clips_by_the_best_reference():
+    [(hl, rl, m)] = bleu_batch(["the the the".split()], [["the cat".split(), "the the".split()]])
     assert (hl, rl, m[0]) == (3, 2, 2)
 
 
-def test_chrf_row_counts():
-    st = chrf_row("ab", ["ab"], ["ab"], [["ab"]])
+def test_chrf_counts():
+    [st] = chrf_batch(["ab"], [["ab"]], [["ab"]], [[["ab"]]])
     assert st[0][:3] == [2, 2, 2] and st[0][3:6] == [1, 1, 1]
 
 
-def test_random_brute_force_bleu():
-    random.seed(3)
-    for _ in range(50):
-        h = [random.choice("ab") for _ in range(random.randint(0, 8))]
-        refs = [[random.choice("ab") for _ in range(random.randint(1, 8))] for _ in range(2)]
-        _, _, m = bleu_row(h, refs)
-        for n in range(1, 5):
-            grams = [tuple(h[i:i + n]) for i in range(len(h) - n + 1)]
-            exp = 0
-            for g in set(grams):
-                best = max(sum(1 for i in range(len(r) - n + 1) if tuple(r[i:i + n]) == g) for r in refs)
-                exp += min(grams.count(g), best)
-            assert m[n - 1] == exp
+def counts(seq, n):
+    from collections import Counter
+    return Counter(tuple(seq[i:i + n]) for i in range(len(seq) - n + 1))
 
 
-def test_packed_paths_match_counter_paths():
+def test_batches_match_brute_force_counts(monkeypatch):
     from lexeval.operators import kernels as K
-    random.seed(7)
-    for _ in range(300):
-        h = [random.choice("abcd") for _ in range(random.randint(0, 12))]
-        refs = [[random.choice("abcd") for _ in range(random.randint(0, 12))] for _ in range(random.randint(1, 3))]
-        if h and refs:
-            assert K.bleu_row(h, refs)[2] == K._bleu_matches_counter(h, refs, 4)
-        hs = "".join(h) + "é"
-        rs = ["".join(r) for r in refs]
-        assert K.chrf_row(hs, h, rs, refs) == K._chrf_row_counter(hs, h, rs, refs, 6, 2)
+    rng = random.Random(3)
+    word = lambda: rng.choice(["a", "b", "é", "cc", "\U0001f600"])
+    hyps = [[word() for _ in range(rng.randrange(9))] for _ in range(120)]
+    refs = [[[word() for _ in range(rng.randrange(9))] for _ in range(rng.randrange(4))] for _ in hyps]
+    for size in (1 << 20, 25):
+        monkeypatch.setattr(K, "BATCH_TOKENS", size)
+        for h, rs, (hl, rl, m) in zip(hyps, refs, bleu_batch(hyps, refs)):
+            assert hl == len(h) and rl == min(((abs(len(r) - hl), len(r)) for r in rs), default=(0, 0))[1]
+            for n in range(1, 5):
+                best = [counts(r, n) for r in rs]
+                assert m[n - 1] == sum(min(c, max((b[g] for b in best), default=0)) for g, c in counts(h, n).items())
+        chars = ["".join(h) for h in hyps], [["".join(r) for r in rs] for rs in refs]
+        got = chrf_batch(chars[0], hyps, chars[1], refs)
+        for i, (h, rs) in enumerate(zip(hyps, refs)):
+            assert len(got[i]) == len(rs)
+            for k, r in enumerate(rs):
+                want = []
+                for a, b, orders in ((chars[0][i], chars[1][i][k], 6), (h, r, 2)):
+                    for n in range(1, orders + 1):
+                        x, y = counts(a, n), counts(b, n)
+                        want += [sum(x.values()), sum(y.values()), sum(min(c, y[g]) for g, c in x.items())]
+                assert got[i][k] == want
+
+
+def test_large_vocabularies_are_packed_exactly():
+    rng = random.Random(4)
+    hyps = [[f"w{rng.randrange(200_000)}" for _ in range(300)] for _ in range(200)]
+    refs = [[h[:150] + h[100:] + ["x"]] for h in hyps]
+    for h, [r], (_, _, m) in zip(hyps, refs, bleu_batch(hyps, refs)):
+        assert m == [sum(min(c, counts(r, n)[g]) for g, c in counts(h, n).items()) for n in range(1, 5)]
 
 
 def plain_ter(hyp, ref):

@@ -127,10 +127,10 @@ def test_an_example_without_references_counts_nowhere(spark, refs):
 
 
 def test_chrf_of_other_orders(spark):
-    from lexeval.operators.kernels import _chrf_row_counter
+    from lexeval.operators.kernels import chrf_batch
     p = _one(spark, "abc d", ["abd c"])
     r = ngram.chrf_stats(p, ["step"], char_order=2, word_order=1).first()
-    want = _chrf_row_counter("abcd", ["abc", "d"], ["abdc"], [["abd", "c"]], 2, 1)[0]
+    want = chrf_batch(["abcd"], [["abc", "d"]], [["abdc"]], [[["abd", "c"]]], 2, 1)[0][0]
     assert [x for s in r.stats for x in (s.h, s.r, s.m)] == want
 
 

@@ -44,3 +44,9 @@ def test_plans_have_no_unbounded_single_partition_steps(spark):
                 nxt = lines[i + 1]
                 per_task = "__task" in nxt  # row counts of the tasks, for dense positions
                 assert "Aggregate" in nxt and ("partial_" in nxt or per_task), (name, line, nxt)
+
+
+def test_ter_matches_sql(spark, con):
+    from tests.ter_sql import TER
+    info = compare(spark, SF, "ter", E.queries()["ter"], TER, con)
+    assert info["ok"], info
