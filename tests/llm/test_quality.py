@@ -54,6 +54,21 @@ def test_thresholds_follow_the_group(spark):
     assert {r.doc_id for r in rows} == kept and rows[0].t_word_length == "x"
 
 
+def test_each_rule_rejects_texts_that_pass_the_base_rules(spark):
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcde") for _ in range(rng.choice([4, 5, 6]))) for _ in range(n)]
+    plain = [" ".join(words(100)) for _ in range(200)]
+    w, few = words(90), words(2)
+    odd = {"word_length": " ".join(x + "ab" for x in words(100)), "symbol_share": " ".join(words(100)) + " #" * 12,
+           "upper_share": " ".join(x.title() if i % 5 == 0 else x for i, x in enumerate(words(100))),
+           "dup_line_share": "\n".join([" ".join(words(20)), *[" ".join(few)] * 2, " ".join(words(40))]),
+           "repeat_share": " ".join(w[:10] + w)}
+    rows = [(i, t, "en", "web") for i, t in enumerate(plain + list(odd.values()))]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {k: got[200 + i] for i, k in enumerate(odd)} == {k: (False, False) for k in odd}
+    assert sum(got[i][1] for i in range(200)) >= 195
+
+
 def test_empty_and_hopeless_tables(spark):
     df = spark.createDataFrame([(1, "too short", "en", "a"), (1, "too short", "en", "a")], "doc_id long, text string, lang string, source string")
     assert quality_rules(df.limit(0)).collect() == []
