@@ -3,24 +3,28 @@
 A line's words are the runs of its lower-cased text without ASCII and common
 other punctuation and white space; lines without words are left alone.  Lines
 with equal word sequences are copies of one another and are one vertex from
-here on.  Two different lines are linked if the 64-bit SimHashes of their
-distinct words agree in at least ``AGREE`` of ``BLOCKS`` blocks and the edit
-similarity of their word sequences, 1 - distance / longer length, reaches
-``SIMILARITY``; each word counts as one of ``SYMBOLS`` characters by its hash.
-By the pigeonhole principle every pair within Hamming distance
-BLOCKS - AGREE = 2 shares that many blocks; pairs farther than ``FAR`` apart are
-not compared.  Of each connected group the first occurrence stays, by (doc_id,
-line number); all others go.
+here on.  Two different lines are linked if the edit similarity of their word
+sequences, 1 - distance / longer length, reaches ``SIMILARITY``; each word
+counts as one of ``SYMBOLS`` characters by its hash.  Of each connected group
+the first occurrence stays, by (doc_id, line number); all others go.
+
+Candidates.  Lines meet if their SimHashes share ``PAIRED`` of ``BLOCKS``
+blocks, and if they share a run of words.  The latter misses no pair: d edits
+cut the longer line of m words into at most d + 1 unchanged runs, so one of them
+has (m - d) / (d + 1) words or more, which is 4 for every m from 16 up and 2 to
+4 below; ``run_lengths`` gives the lengths that a line's keys need.  No link
+asks anything of the SimHashes (``AGREE`` blocks, at most ``FAR`` bits apart).
 
 SimHash: the words of a line are summed into 64 counters of 16 bits, four to a
 long, so 16 sums of the words' hashes hold them all; lines of more than
-``LONG`` distinct words are counted inside their row with wider counters.  Two
-blocks of 16 bits make a key, so unrelated lines rarely meet.
+``LONG`` distinct words are counted inside their row with wider counters.
 
 Scale: large groups are not paired.  Every line meets the smallest and largest
-line of its block keys first; then only pairs of lines that share a key and
-still lie in different components are compared.  Texts of lines that have a
-candidate are fetched by a second scan of the documents.
+line of its keys first; then only pairs of lines that share a key and still lie
+in different components are compared.  Of those, the join drops what cannot be
+similar: an edit changes the length by at most 1 and at most 2 bits of a bitmap
+of the line's words.  Texts of the distinct lines are fetched by a second scan
+of the documents.
 
 Defined cases.  Null and empty texts have no lines.  Rows with the same doc_id
 and text are one document: each of them gets the same lines.  Rows with the
@@ -40,7 +44,13 @@ from pyspark.sql import functions as F
 from lexeval.llm.common import fresh, let, stage
 from lexeval.llm.components import components, open_buckets, shared_buckets
 
-BLOCKS, AGREE, FAR = 4, 2, 10
+BLOCKS, PAIRED = 5, 2
+#: What a link asks of the SimHashes besides the edit similarity: nothing.
+AGREE, FAR = 0, 64
+#: Longest runs that are keys, and the line length from which on one length does for all.
+RUN, TABLE = 4, 256
+#: Longs of a line's bitmap of words.
+MAP = 4
 #: Characters that stand for words in the edit distance.
 SYMBOLS = 55_000
 #: Distinct words that 16-bit counters can hold.
@@ -48,7 +58,7 @@ LONG = 32_000
 SIMILARITY = 0.8
 _WIDTHS = [64 // BLOCKS + (1 if i < 64 % BLOCKS else 0) for i in range(BLOCKS)]
 _PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF -⁯　-〃]+"
-#: Candidate lines up to this many (about 24 bytes each) are broadcast to pick their texts.
+#: Distinct lines up to this many (about 24 bytes each) are broadcast to pick their texts.
 BROADCAST_LINES = 1_000_000
 
 
@@ -89,13 +99,13 @@ def simhash(words: Column, width: int = 32) -> Column:
 
 
 def block_keys(sim: Column) -> Column:
-    """One key for each choice of AGREE blocks: the choice and their bits."""
+    """One key for each choice of PAIRED blocks: the choice and their bits."""
     at, blocks = 0, []
     for width in _WIDTHS:
         blocks.append((F.shiftrightunsigned(sim, at).bitwiseAND((1 << width) - 1), width))
         at += width
     keys = []
-    for i, chosen in enumerate(combinations(blocks, AGREE)):
+    for i, chosen in enumerate(combinations(blocks, PAIRED)):
         key = F.lit(i).cast("long")
         for value, width in chosen:
             key = F.shiftleft(key, width).bitwiseOR(value)
@@ -109,13 +119,60 @@ def symbols(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
+def most_edits(longer: Column, least: float) -> Column:
+    return F.floor(longer * (1 - least) + 1e-9).cast("int")
+
+
+def run_lengths(n: int, least: float) -> set[int]:
+    """Lengths of runs, up to RUN, of which a line of ``n`` words shares one
+    with every similar line that is as long or longer."""
+    out, m = set(), n
+    while True:
+        d = int(m * (1 - least) + 1e-9)
+        if m - d > n:
+            return out
+        if d:
+            out.add(min(RUN, -(-(m - d) // (d + 1))))
+        m += 1
+
+
+def run_keys(t: Column, least: float) -> Column:
+    """Hashes of the runs of a symbol text that similar lines share.  A pair's
+    run length is that of its longer line, so a line has the runs of each length
+    that a longer partner may ask for."""
+    n, table = F.length(t), [run_lengths(k, least) for k in range(TABLE + 1)]
+
+    def grams(code, q):
+        return F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.xxhash64(F.lit(q), code.substr(2 * i - 1, F.lit(2 * q))))
+
+    def keys(code):
+        parts = []
+        for q in sorted(set().union(*table)):
+            asked = n.isin([k for k in range(TABLE) if q in table[k]])
+            if q == min(table[TABLE]):
+                asked = asked | (n >= TABLE)
+            parts.append(F.when(asked & (n >= q), grams(code, q)).otherwise(F.array().cast("array<bigint>")))
+        return F.array_distinct(F.concat(*parts))
+
+    return let(F.encode(t, "UTF-16BE"), keys)
+
+
+def word_map(t: Column) -> Column:
+    """MAP longs, a bit set for each word of a symbol text."""
+    start = F.struct(*[F.lit(0).cast("long").alias(f"b{k}") for k in range(MAP)])
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)))
+    return F.aggregate(F.transform(F.split(t, ""), lambda c: F.hash(c)), start, lambda a, h: F.struct(*[
+        a[f"b{k}"].bitwiseOR(F.when(F.pmod(F.shiftright(h, 6), F.lit(MAP)) == k, bit(h)).otherwise(F.lit(0).cast("long"))).alias(f"b{k}")
+        for k in range(MAP)]))
+
+
 def similar(a: Column, b: Column, least: float) -> Column:
     """Edit similarity of at least ``least`` of two symbol texts.  Spark's
     distance takes quadratic time, so long texts are first compared place by
     place and by their common beginning and end: what differs there bounds the
     distance from above."""
     longer = F.greatest(F.length(a), F.length(b))
-    most = F.floor(longer * (1 - least) + 1e-9).cast("int")
+    most = most_edits(longer, least)
     exact = F.levenshtein(a, b) <= most
 
     def bounded(pair):
@@ -173,27 +230,32 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     place = F.struct("doc_id", "doc", "line")
     distinct = stage(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"))
                      .withColumn("id", F.monotonically_increasing_id()), "distinct")
-    shared = stage(shared_buckets(distinct.select(F.explode(block_keys(F.col("sim"))).alias("key"), "id")), "buckets")
-    met = stage(shared.select("id").distinct().join(distinct, "id").select("id", "sim", "first.doc", "first.line"), "met")
-    wanted = met.select("id", "doc", "line")
+    wanted = distinct.select("id", "first.doc", "first.line")
     if wanted.count() <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
-    texts = stage(_lines(docs).join(wanted, ["doc", "line"]).dropDuplicates(["id"])
-                  .select("id", symbols(line_words(F.col("raw"))).alias("t")).join(met.select("id", "sim"), "id"), "line-texts")
+    texts = stage(_lines(docs).select("doc", "line", symbols(line_words(F.col("raw"))).alias("t")).join(wanted, ["doc", "line"])
+                  .dropDuplicates(["id"]).select("id", "t"), "line-texts")
+    keys = distinct.select(F.explode(block_keys(F.col("sim"))).alias("key"), "id").union(
+        texts.select(F.explode(run_keys(F.col("t"), least)).alias("key"), "id"))
+    # dealt out once: the count of each key and the join back share that exchange
+    shared = stage(shared_buckets(keys.repartition("key")), "buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose SimHashes are near and whose texts are similar."""
-        one = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("sim").alias("sa"))
-        two = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("sim").alias("sb"))
-        near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= FAR
-        return pairs.join(one, "a").join(two, "b").where(near & similar(F.col("ta"), F.col("tb"), least)).select("a", "b")
+        """The pairs (a, b) whose texts are similar."""
+        one = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
+        two = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
+        return pairs.join(one, "a").join(two, "b").where(similar(F.col("ta"), F.col("tb"), least)).select("a", "b")
 
     stars = shared.select(F.least("id", "low").alias("a"), F.greatest("id", "low").alias("b")).union(
         shared.select(F.least("id", "high").alias("a"), F.greatest("id", "high").alias("b"))).where("a < b").distinct()
     links = stage(verified(stars), "links")
-    left = open_buckets(shared, components(links)).join(met.select("id", "sim"), "id").select("key", "id", "sim", "component")
-    right = left.select("key", F.col("id").alias("b"), F.col("sim").alias("bsim"), F.col("component").alias("bc"))
-    rest = left.join(right, "key").where((F.col("component") < F.col("bc")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("bsim"))) <= FAR))
+    still = stage(open_buckets(shared, components(links)), "open")
+    maps = stage(texts.join(still.select("id").distinct(), "id").select("id", F.length("t").alias("n"), word_map(F.col("t")).alias("m")), "maps")
+    left = still.join(maps, "id").select("key", "id", "n", "m", "component")
+    right = left.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("m").alias("bm"), F.col("component").alias("bc"))
+    most = most_edits(F.greatest("n", "bn"), least)
+    apart = sum((F.bit_count(F.col(f"m.b{k}").bitwiseXOR(F.col(f"bm.b{k}"))) for k in range(1, MAP)), F.bit_count(F.col("m.b0").bitwiseXOR(F.col("bm.b0"))))
+    rest = left.join(right, "key").where((F.col("component") < F.col("bc")) & (F.abs(F.col("n") - F.col("bn")) <= most) & (apart <= 2 * most))
     rest = stage(rest.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "rest")
     label = components(links.union(verified(rest)))
     grouped = distinct.join(label, "id", "left").where("n > 1 or component is not null").select(

@@ -157,3 +157,38 @@ def test_query_on_the_given_documents(spark):
             if norm(line) in seen:  # every exact copy goes
                 assert (d, i) in dropped
             seen.add(norm(line))
+
+
+def changed(rng, words, n):
+    """``words`` after ``n`` random replacements, insertions and deletions."""
+    out = list(words)
+    for k in range(n):
+        at = rng.randrange(len(out))
+        out[at:at + rng.choice([0, 1, 1])] = ["new%d" % rng.randrange(10 ** 9)] if rng.random() < 0.7 else []
+    return out
+
+
+def test_every_pair_at_the_stated_similarity_is_found(spark):
+    rng, pairs = random.Random(8), []
+    for n in [*range(4, 26), 30, 40, 60, 100, 255, 256, 300]:
+        for _ in range(4):
+            a = ["w%d" % rng.randrange(10 ** 9) for _ in range(n)]
+            evenly = list(a)  # the farthest apart: the unchanged runs are as short as they can be
+            for i in range(4, n, 5):
+                evenly[i] = "x%d" % rng.randrange(10 ** 9)
+            pairs += [(a, evenly), ([w + "y" for w in a], changed(rng, [w + "y" for w in a], n // 5))]
+    docs = [(2 * i + j, " ".join(w)) for i, p in enumerate(pairs) for j, w in enumerate(p)]
+    got = {r.doc_id: r.dropped for r in L.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        want = [(0, 2 * i, 0)] if near(a, b) else []
+        # the two pairs of one line are unrelated: their words differ
+        assert [tuple(x) for x in got[2 * i + 1]] == want, (len(a), len(b))
+    assert sum(near(a, b) for a, b in pairs) > 150
+
+
+def test_word_map_bounds_the_distance(spark):
+    rng = random.Random(6)
+    pairs = [(a, changed(rng, a, k)) for n in (5, 20, 80, 300) for k in (0, 1, n // 5) for a in [["w%d" % rng.randrange(99) for _ in range(n)]]]
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    for (a, b), r in zip(pairs, df.select(L.word_map(L.symbols(F.col("a"))).alias("x"), L.word_map(L.symbols(F.col("b"))).alias("y")).collect()):
+        assert sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(r.x, r.y)) <= 2 * distance(a, b)
