@@ -6,9 +6,10 @@ Features.  Lower-cased code points; what is not a letter counts as a space.
 N-grams of 1 to 3 are hashed to ``DIMS`` columns, weighted by
 (1 + ln count) * idf and scaled to unit length.  Document frequencies are
 counted over all learning rows.  The classifier is fitted on a bounded sample
-of them: at most about ``SAMPLE`` rows, the same number for each language
-where it has as many, picked by a hash.  A fifth of the sample is kept aside to
-fit the temperature.
+of their distinct (lang, text): at most ``SAMPLE``, the same number for each
+language where it has as many; what a rare language leaves is dealt to the
+others.  Each language's are those of the smallest text hashes.  A fifth of the
+sample is kept aside to fit the temperature.
 
 Defined cases.  A null text or one without a letter is ``und`` with score 0.
 Rows with a null language are not learned from.  With no learning row every
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMS = 1 << 15
@@ -176,6 +177,37 @@ def _trainer(langs: list[str], idf: np.ndarray):
     return run
 
 
+def shares(counts: dict[str, int], total: int) -> dict[str, int]:
+    """Rows of each language: equal shares of ``total``, at most its count; what
+    is left over goes to the languages that have more."""
+    out = {}
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, total // (len(counts) - i))
+        total -= out[lang]
+    return out
+
+
+def sampled(labelled: DataFrame) -> tuple[list[str], DataFrame | None]:
+    """The languages to learn, those with the most distinct texts, and the
+    sample (text, lang, fold) of ``labelled(text, lang)``."""
+    rows = labelled.where("text is not null and lang is not null")
+    pick = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    found = (rows.select("lang", pick.alias("pick")).distinct().groupBy("lang").count()
+             .orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
+    if not found:
+        return [], None
+    counts = {r["lang"]: r["count"] for r in found}
+    share = shares(counts, SAMPLE)
+    # wide enough that each language has its share below the bound; the rest goes by rank
+    bound = {x: min(1.0, (n + 8 * n ** 0.5 + 64) / counts[x]) for x, n in share.items()}
+    below = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(int(b * 2.0 ** 63), (1 << 63) - 1))) for x, b in bound.items()])
+    most = F.coalesce(*[F.when(F.col("lang") == x, F.lit(n)) for x, n in share.items()])
+    near = rows.where(pick <= below).select("lang", "text").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "text"))
+    sample = near.withColumn("pick", pick).withColumn("rank", rank).where(F.col("rank") <= most)
+    return sorted(counts), sample.orderBy("pick", "lang", "text").select("text", "lang", F.pmod(F.xxhash64("lang", "text"), F.lit(5)).alias("fold"))
+
+
 def fit(labelled: DataFrame) -> Model:
     """Model from ``labelled(text, lang)``; rows with a null lang are left out."""
     labelled = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
@@ -186,16 +218,9 @@ def fit(labelled: DataFrame) -> Model:
     idf = np.full(DIMS, np.log(1.0 + total) + 1)
     for g, d in counts.items():
         idf[g] = np.log((1 + total) / (1 + d)) + 1
-    found = (labelled.where("text is not null").groupBy("lang").count()
-             .orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
-    if not found:
+    langs, sample = sampled(labelled)
+    if not langs:
         return Model([], idf, np.zeros((0, DIMS)), np.zeros(0), 1.0)
-    langs = sorted(r["lang"] for r in found)
-    share = SAMPLE / len(langs)
-    pick = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    bound = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, 1.1 * share / r["count"]) * (1 << 30)))) for r in found])
-    sample = (labelled.where("text is not null").where(pick < bound).select("text", "lang", pick.alias("pick"))
-              .orderBy("pick").limit(SAMPLE).select("text", "lang", (F.pmod(F.xxhash64("lang", "text"), F.lit(5))).alias("fold")))
     rows = sample.coalesce(1).mapInArrow(_trainer(langs, idf), "k long, at long, w double").collect()
     weights, bias, temperature = np.zeros((len(langs), DIMS)), np.zeros(len(langs)), 1.0
     for k, at, w in rows:

@@ -42,6 +42,20 @@ def test_language_edge_cases(spark):
     assert model.predict(long)[0] == "en"
 
 
+def test_language_sample_gives_each_language_its_share(spark):
+    n, rare = 1500, 200
+    rows = [(f"text {i} of {la}", f"l{la}") for la in range(12) for i in range(n)] + [(f"rare text {i}", "rare") for i in range(rare)]
+    rows += [("copied text", "l0")] * 5000 + [(None, "l1"), ("no label", None)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    langs, sample = langid.sampled(df)
+    got = sample.collect()
+    assert len(got) == langid.SAMPLE == len({(r.lang, r.text) for r in got}) and langs == sorted({r[1] for r in rows if r[1]})
+    count = {la: sum(r.lang == la for r in got) for la in langs}
+    share = (langid.SAMPLE - rare) / 12
+    assert count.pop("rare") == rare and all(abs(c - share) < 1 for c in count.values())
+    assert langid.shares({"a": 5, "b": 100, "c": 30}, 60) == {"a": 5, "b": 28, "c": 27}
+
+
 def test_toxicity_held_out_accuracy(spark):
     rows = QUERIES["op10_toxicity"](spark, SF).collect()
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
