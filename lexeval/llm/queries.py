@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexeval.llm import archives, linededup, quality, sharding, urlfilter
+from lexeval.llm import archives, divergence, lexical, linededup, quality, sharding, urlfilter
 from lexeval.llm.common import prepare, table
 
 
@@ -92,6 +92,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexeval.llm.divergence import divergence
+
+    return divergence(table(prepare(spark), sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from lexeval.llm.bytebpe import decode, digests, encode
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return digests(decode(encode(table(prepare(spark), sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexeval.llm.lexical import ranked
+
+    prepare(spark)
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -103,6 +124,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,6 +135,8 @@ ORACLE: dict[str, str] = {
     "op3_sharding": sharding.oracle_sql(sharding.SHARD_BYTES),
     "op7_url_filter": urlfilter.oracle_sql(),
     "op1_quality": quality.oracle_sql(),
+    "op11_source_divergence": divergence.oracle_sql(),
+    "op13_lexical_search": lexical.oracle_sql(),
     "op6_decontamination": f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
