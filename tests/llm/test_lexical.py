@@ -74,13 +74,16 @@ def test_very_long_text(spark):
     assert set(run(spark, docs, items)) == brute(docs, items)
 
 
-def local_segment(seed=9, n=3000, terms=300):
+def local_segment(seed=9, n=3000, terms=300, planted=None):
     rng = np.random.default_rng(seed)
     topic = rng.integers(0, 10, n)
     rows = [np.unique(np.concatenate([rng.integers(0, 30, 4), 30 + 27 * t + rng.integers(0, 27, 12)])) for t in topic]
+    if planted is not None:  # a dozen documents hold all of an item
+        for i in range(5, n, n // 12):
+            rows[i] = np.union1d(rows[i], planted)
     start = np.cumsum([0, *map(len, rows)])
     term = np.concatenate(rows)
-    impact = (rng.pareto(1.5, len(term)) * 10 ** 6).astype(np.int64) + 1
+    impact = (rng.pareto(3, len(term)) * 10 ** 6).astype(np.int64) + 1
     return S.Segment(np.arange(n), np.ones(n, bool), start, term, impact, terms), topic
 
 
@@ -116,9 +119,9 @@ def test_blocks_hold_similar_documents():
 
 def test_blocks_are_skipped_and_nothing_is_lost():
     import pyarrow as pa
-    segment, _ = local_segment()
     weight = np.full(300, 10)
-    item = np.unique(np.random.default_rng(1).integers(30, 57, 9))
+    item = np.unique(np.random.default_rng(1).integers(0, 300, 12))
+    segment, _ = local_segment(planted=item)
     full = np.zeros(len(segment.ids), np.int64)
     for t in item:
         docs, impact = segment.posting(t)
