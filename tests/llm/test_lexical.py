@@ -83,7 +83,7 @@ def local_segment(seed=9, n=3000, terms=300, planted=None):
             rows[i] = np.union1d(rows[i], planted)
     start = np.cumsum([0, *map(len, rows)])
     term = np.concatenate(rows)
-    impact = (rng.pareto(3, len(term)) * 10 ** 6).astype(np.int64) + 1
+    impact = rng.integers(10 ** 6, 2 * 10 ** 6, len(term))
     return S.Segment(np.arange(n), np.ones(n, bool), start, term, impact, terms), topic
 
 
