@@ -43,6 +43,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's JVM collects the plans that made them,
+    which on a quiet driver takes long: ask for it after a large stage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the
     body refers to it (also from inside lambda functions)."""

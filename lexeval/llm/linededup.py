@@ -8,23 +8,27 @@ sequences, 1 - distance / longer length, reaches ``SIMILARITY``; each word
 counts as one of ``SYMBOLS`` characters by its hash.  Of each connected group
 the first occurrence stays, by (doc_id, line number); all others go.
 
-Candidates.  Lines meet if their SimHashes share ``PAIRED`` of ``BLOCKS``
-blocks, and if they share a run of words.  The latter misses no pair: d edits
-cut the longer line of m words into at most d + 1 unchanged runs, so one of them
-has (m - d) / (d + 1) words or more, which is 4 for every m from 16 up and 2 to
-4 below; ``run_lengths`` gives the lengths that a line's keys need.  No link
-asks anything of the SimHashes (``AGREE`` blocks, at most ``FAR`` bits apart).
-
-SimHash: the words of a line are summed into 64 counters of 16 bits, four to a
-long, so 16 sums of the words' hashes hold them all; lines of more than
-``LONG`` distinct words are counted inside their row with wider counters.
-
-Scale: large groups are not paired.  Every line meets the smallest and largest
-line of its keys first; then only pairs of lines that share a key and still lie
-in different components are compared.  Of those, the join drops what cannot be
-similar: an edit changes the length by at most 1 and at most 2 bits of a bitmap
-of the line's words.  Texts of the distinct lines are fetched by a second scan
-of the documents.
+Candidates.  First come the SimHashes: lines that share ``PAIRED`` of ``BLOCKS``
+blocks meet the smallest and largest line of the block pair, and the verified
+links give the first components.  What SimHashes cannot promise is closed by
+the rarest word pairs.  An edit destroys at most two of the adjacent word pairs
+of a line, so the second smallest pair that two similar lines share, in any
+order of all pairs, is among the first 2 d + 2 of both (d: edits possible at a
+line's length, see ``prefix``).  The order is by the frequencies of the two
+words, so frequent phrases are keys only of lines without others.  Lines that
+share two keys and still lie in different components are compared; one key
+is enough where both have too few different pairs to promise two.  No link asks
+anything of the SimHashes, so none is lost by them.
+
+SimHash: the distinct words of a line are summed into 64 counters of 8 bits,
+eight to a long; lines of more words have wider counters.
+
+Scale.  One shuffle moves the distinct lines as two bytes a word, one moves the
+keys.  Keys of one line end there.  Members of a key of more than ``HOT`` lines
+meet its smallest line first; what then still lies in several components meets
+by the binary digits of the components' ranks within the key, so that no two
+lines of a component are ever looked at together.  Word frequencies are a table
+of ``SYMBOLS`` rows, whatever the size of the input.
 
 Defined cases.  Null and empty texts have no lines.  Rows with the same doc_id
 and text are one document: each of them gets the same lines.  Rows with the
@@ -36,31 +40,27 @@ empty table gives an empty result.  Only doc_id and text are read;
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexeval.llm.common import fresh, let, stage
-from lexeval.llm.components import components, open_buckets, shared_buckets
+from lexeval.llm.common import fresh, let, release, stage
+from lexeval.llm.components import components
 
-BLOCKS, PAIRED = 5, 2
-#: What a link asks of the SimHashes besides the edit similarity: nothing.
-AGREE, FAR = 0, 64
-#: Longest runs that are keys, and the line length from which on one length does for all.
-RUN, TABLE = 4, 256
+BLOCKS, PAIRED = 4, 2
+#: Members from which on a key is hot.
+HOT = 64
 #: Longs of a line's bitmap of words.
 MAP = 4
-#: Characters that stand for words in the edit distance.
-SYMBOLS = 55_000
-#: Distinct words that 16-bit counters can hold.
-LONG = 32_000
+#: Characters that stand for words in the edit distance, the first of them, and the bytes of the table of their frequencies.
+SYMBOLS, FIRST, TABLE = 55_000, 256, 1 << 16
+#: Distinct words that 8-bit and 16-bit counters can hold.
+SHORT, LONG = 127, 32_000
 SIMILARITY = 0.8
 _WIDTHS = [64 // BLOCKS + (1 if i < 64 % BLOCKS else 0) for i in range(BLOCKS)]
 _PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF -⁯　-〃]+"
-#: Distinct lines up to this many (about 24 bytes each) are broadcast to pick their texts.
-BROADCAST_LINES = 1_000_000
-
 
 def line_words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), _PUNCTUATION), "")
@@ -89,13 +89,16 @@ def _majority(counts: list[Column], n: Column, width: int) -> Column:
     return out
 
 
-def simhash(words: Column, width: int = 32) -> Column:
-    """SimHash of an array of distinct words, inside its row."""
+def _counted(hashes: Column, width: int) -> Column:
     start = F.struct(*[F.lit(0).cast("long").alias(f"c{j}") for j in range(width)])
-    counts = lambda h: F.aggregate(h, start, lambda a, x: F.struct(*[
-        (a[f"c{j}"] + _part(x, j, width)).alias(f"c{j}") for j in range(width)]))
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(
-        counts(h), lambda c: _majority([c[f"c{j}"] for j in range(width)], F.size(h), width)))
+    counts = F.aggregate(hashes, start, lambda a, x: F.struct(*[(a[f"c{j}"] + _part(x, j, width)).alias(f"c{j}") for j in range(width)]))
+    return let(counts, lambda c: _majority([c[f"c{j}"] for j in range(width)], F.size(hashes), width))
+
+
+def simhash(words: Column) -> Column:
+    """SimHash of an array of distinct words, inside its row."""
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) <= SHORT, _counted(h, 8)).when(
+        F.size(h) <= LONG, _counted(h, 16)).otherwise(_counted(h, 32)))
 
 
 def block_keys(sim: Column) -> Column:
@@ -113,48 +116,59 @@ def block_keys(sim: Column) -> Column:
     return F.array(*keys)
 
 
+def codes(words: Column) -> Column:
+    """Two bytes for each word."""
+    code = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(SYMBOLS)) + FIRST), 4, "0"))
+    return F.unhex(F.array_join(code, ""))
+
+
+def text_of(code: Column) -> Column:
+    return F.decode(code, "UTF-16BE")
+
+
 def symbols(words: Column) -> Column:
     """One character for each word, so that edit distance counts words."""
-    code = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(SYMBOLS)) + 256), 4, "0"))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+    return text_of(codes(words))
 
 
 def most_edits(longer: Column, least: float) -> Column:
     return F.floor(longer * (1 - least) + 1e-9).cast("int")
 
 
-def run_lengths(n: int, least: float) -> set[int]:
-    """Lengths of runs, up to RUN, of which a line of ``n`` words shares one
-    with every similar line that is as long or longer."""
-    out, m = set(), n
-    while True:
-        d = int(m * (1 - least) + 1e-9)
-        if m - d > n:
-            return out
-        if d:
-            out.add(min(RUN, -(-(m - d) // (d + 1))))
-        m += 1
+def prefix(n: Column, least: float) -> Column:
+    """How many of its rarest word pairs a line of ``n`` words needs so that it
+    shares one with every similar line: one more than d edits can destroy.  A
+    longer partner has at least as many insertions as it is longer, and each of
+    those destroys one pair; so its own d at n + 1 words bounds both roles."""
+    return 1 + 2 * most_edits(n + 1, least)
 
 
-def run_keys(t: Column, least: float) -> Column:
-    """Hashes of the runs of a symbol text that similar lines share.  A pair's
-    run length is that of its longer line, so a line has the runs of each length
-    that a longer partner may ask for."""
-    n, table = F.length(t), [run_lengths(k, least) for k in range(TABLE + 1)]
+def word_frequencies(lines: DataFrame) -> bytes:
+    """A byte for each character: how often it stands in the distinct lines, in
+    quarters of a power of two.  SYMBOLS rows at most reach the driver."""
+    counts = lines.select(F.explode_outer(F.split(text_of(F.col("code")), "")).alias("c")).groupBy("c").count()
+    table = bytearray([1] * TABLE)
+    for c, n in counts.collect():
+        if c:
+            table[ord(c)] = min(126, 1 + int(4 * math.log2(n)))
+    return bytes(table)
 
-    def grams(code, q):
-        return F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.xxhash64(F.lit(q), code.substr(2 * i - 1, F.lit(2 * q))))
 
-    def keys(code):
-        parts = []
-        for q in sorted(set().union(*table)):
-            asked = n.isin([k for k in range(TABLE) if q in table[k]])
-            if q == min(table[TABLE]):
-                asked = asked | (n >= TABLE)
-            parts.append(F.when(asked & (n >= q), grams(code, q)).otherwise(F.array().cast("array<bigint>")))
-        return F.array_distinct(F.concat(*parts))
+def pair_keys(code: Column, least: float, table: bytes) -> Column:
+    """``struct<keys, weak>``: the rarest word pairs of a line, one more than
+    :func:`prefix`, and whether the line has too few of them to promise two
+    common ones.  A key is the pair's frequency class above its characters."""
+    known = F.lit(table)
+    numbered = F.transform(F.split(text_of(code), ""), lambda c: F.ascii(F.substring(known, F.ascii(c) + 1, 1).cast("string")) * 65536 + F.ascii(c))
 
-    return let(F.encode(t, "UTF-16BE"), keys)
+    def pairs(v):
+        both = F.zip_with(v, F.slice(v, 2, F.size(v)), lambda a, b: F.shiftleft((F.shiftright(a, 16) + F.shiftright(b, 16)).cast("long"), 32)
+                          + F.shiftleft(a.bitwiseAND(65535).cast("long"), 16) + b.bitwiseAND(65535))
+        need = prefix(F.size(v), least) + 1
+        return let(F.sort_array(F.array_distinct(F.slice(both, 1, F.size(v) - 1))), lambda p: F.struct(
+            F.slice(p, 1, need).alias("keys"), (F.size(p) < need).alias("weak")))
+
+    return let(numbered, pairs)
 
 
 def word_map(t: Column) -> Column:
@@ -195,74 +209,92 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def signed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, line, h1, h2, sim, code) of every line with words: its
+    words' 128-bit hash, their SimHash and their two-byte codes."""
     # the text itself must not travel with every line that is made of it
     split = _named(docs).select("doc_id", _doc_key().alias("doc"), F.split("text", "\n", -1).alias("lines"))
-    return split.select("doc_id", "doc", F.posexplode_outer("lines").alias("line", "raw"))
-
-
-def signed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, line, h1, h2, sim) of every line with words: its words'
-    128-bit hash and their SimHash.  Words are counted where they are read; the
-    shuffle moves one row a line."""
-    rows = _named(docs).select("doc_id", _doc_key().alias("doc"), F.monotonically_increasing_id().alias("row"),
-                               F.split("text", "\n", -1).alias("lines"))
-    lines = rows.select("doc_id", "doc", "row", F.posexplode_outer("lines").alias("line", "raw"))
-    words = lines.select("doc_id", "doc", "row", "line", let(line_words(F.col("raw")), lambda w: F.struct(
-        F.xxhash64(F.lit(1), w).alias("h1"), F.xxhash64(F.lit(2), w).alias("h2"), F.array_distinct(w).alias("w"))).alias("l"))
-    many = F.size("l.w") > LONG
-    own = ["doc_id", "doc", "h1", "h2", "n", "wide"]
-    words = words.select("doc_id", "doc", "row", "line", "l.h1", "l.h2", F.size("l.w").alias("n"), F.when(many, simhash(F.col("l.w"))).alias("wide"),
-                         F.when(many, F.slice("l.w", 1, 1)).otherwise(F.col("l.w")).alias("w"))
-    # the outer forms of explode: before the plain ones Spark puts a filter that computes the array a second time
-    words = words.select("row", "line", *own, F.explode_outer("w").alias("word")).where("word is not null")
-    words = words.withColumn("word", F.xxhash64("word"))
-    counted = words.groupBy("row", "line").agg(*[F.any_value(c).alias(c) for c in own],
-                                               *[F.sum(_part(F.col("word"), j, 16)).alias(f"c{j}") for j in range(16)])
-    sim = F.coalesce("wide", _majority([F.col(f"c{j}") for j in range(16)], F.col("n"), 16))
-    return counted.select("doc_id", "doc", "line", "h1", "h2", sim.alias("sim"))
+    lines = split.select("doc_id", "doc", F.posexplode_outer("lines").alias("line", "raw"))
+    # outer explodes: before the plain ones Spark puts a filter that computes the array a second time
+    signed = lines.select("doc_id", "doc", "line", F.explode_outer(F.transform(F.array(line_words(F.col("raw"))), lambda w: F.when(F.size(w) > 0, F.struct(
+        F.xxhash64(F.lit(1), w).alias("h1"), F.xxhash64(F.lit(2), w).alias("h2"), simhash(F.array_distinct(w)).alias("sim"), codes(w).alias("code"))))).alias("l"))
+    return signed.where("l is not null").select("doc_id", "doc", "line", "l.*")
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The rows of ``keys(key, id, ...)`` whose key has two or more ids, with the
+    key's smallest id and its number of rows: one exchange, and a lookup in the
+    partition's keys."""
+    dealt = keys.repartition("key")
+    several = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
+    return dealt.join(several.hint("shuffle_hash"), "key")
+
+
+def cross_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, weak) for each key that two lines of ``rows(key, id, component, n,
+    weak, members)`` share, if they lie in different components and their lengths
+    allow the similarity.  Keys of up to HOT rows are joined with themselves; in
+    others, two components differ first in one binary digit of their ranks, and
+    only there their lines meet."""
+    side = lambda df, less: df.select(*[c for c in df.columns if c not in ("id", "component", "n", "weak")],
+                                      *[F.col(c).alias(less + c) for c in ("id", "component", "n", "weak")])
+    fits = F.abs(F.col("x_n") - F.col("y_n")) <= most_edits(F.greatest("x_n", "y_n"), least)
+    out = [F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), (F.col("x_weak") & F.col("y_weak")).alias("weak")]
+    cold = rows.where(F.col("members") <= HOT).drop("members")
+    few = side(cold, "x_").join(side(cold, "y_"), "key").where((F.col("x_component") < F.col("y_component")) & fits)
+    hot = rows.where(F.col("members") > HOT).drop("members")
+    rank = hot.withColumn("rank", F.dense_rank().over(Window.partitionBy("key").orderBy("component")) - 1)
+    most = rank.groupBy("key").agg(F.max("rank").alias("last")).where("last > 0")
+    digits = F.length(F.bin("last")) - 1
+    digit = rank.join(most, "key").select("key", "id", "component", "n", "weak", "rank", F.explode(F.sequence(F.lit(0), digits)).alias("digit"))
+    digit = digit.withColumns({"above": F.expr("shiftright(rank, digit + 1)"), "bit": F.expr("shiftright(rank, digit) & 1")}).drop("rank")
+    many = side(digit.where("bit = 0").drop("bit"), "x_").join(side(digit.where("bit = 1").drop("bit"), "y_"), ["key", "digit", "above"]).where(fits)
+    return few.select(*out).union(many.select(*out))
 
 
 def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, doc, line, keeper) of every occurrence of a line that goes;
     ``doc`` is the document's key, ``keeper`` the (doc_id, doc, line) that stays."""
+    if least < 0.75:
+        raise ValueError("below a similarity of 0.75 short lines need not share a word pair")
+    spark = docs.sparkSession
     seen = stage(signed_lines(docs), "lines")
     place = F.struct("doc_id", "doc", "line")
-    distinct = stage(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"))
-                     .withColumn("id", F.monotonically_increasing_id()), "distinct")
-    wanted = distinct.select("id", "first.doc", "first.line")
-    if wanted.count() <= BROADCAST_LINES:
-        wanted = F.broadcast(wanted)
-    texts = stage(_lines(docs).select("doc", "line", symbols(line_words(F.col("raw"))).alias("t")).join(wanted, ["doc", "line"])
-                  .dropDuplicates(["id"]).select("id", "t"), "line-texts")
-    keys = distinct.select(F.explode(block_keys(F.col("sim"))).alias("key"), "id").union(
-        texts.select(F.explode(run_keys(F.col("t"), least)).alias("key"), "id"))
-    # dealt out once: the count of each key and the join back share that exchange
-    shared = stage(shared_buckets(keys.repartition("key")), "buckets")
+    lines = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"), F.any_value("code").alias("code"))
+    lines = stage(lines.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    release(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose texts are similar."""
-        one = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
-        two = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-        return pairs.join(one, "a").join(two, "b").where(similar(F.col("ta"), F.col("tb"), least)).select("a", "b")
-
-    stars = shared.select(F.least("id", "low").alias("a"), F.greatest("id", "low").alias("b")).union(
-        shared.select(F.least("id", "high").alias("a"), F.greatest("id", "high").alias("b"))).where("a < b").distinct()
-    links = stage(verified(stars), "links")
-    still = stage(open_buckets(shared, components(links)), "open")
-    maps = stage(texts.join(still.select("id").distinct(), "id").select("id", F.length("t").alias("n"), word_map(F.col("t")).alias("m")), "maps")
-    left = still.join(maps, "id").select("key", "id", "n", "m", "component")
-    right = left.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("m").alias("bm"), F.col("component").alias("bc"))
-    most = most_edits(F.greatest("n", "bn"), least)
-    apart = sum((F.bit_count(F.col(f"m.b{k}").bitwiseXOR(F.col(f"bm.b{k}"))) for k in range(1, MAP)), F.bit_count(F.col("m.b0").bitwiseXOR(F.col("bm.b0"))))
-    rest = left.join(right, "key").where((F.col("component") < F.col("bc")) & (F.abs(F.col("n") - F.col("bn")) <= most) & (apart <= 2 * most))
-    rest = stage(rest.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "rest")
-    label = components(links.union(verified(rest)))
-    grouped = distinct.join(label, "id", "left").where("n > 1 or component is not null").select(
+        one = lines.select(F.col("id").alias("a"), F.col("code").alias("ca"))
+        two = lines.select(F.col("id").alias("b"), F.col("code").alias("cb"))
+        return pairs.join(one, "a").join(two, "b").where(similar(text_of(F.col("ca")), text_of(F.col("cb")), least)).select("a", "b")
+
+    def stars(rows: DataFrame, *hubs: str) -> DataFrame:
+        met = rows.select("id", F.explode(F.array(*hubs)).alias("hub")).where("id <> hub")
+        return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+    blocks = shared_keys(lines.select(F.explode_outer(block_keys(F.col("sim"))).alias("key"), "id"))
+    links = stage(verified(stars(blocks, "low", "high")), "links")
+    release(spark)
+    found = lines.select("id", (F.octet_length("code") / 2).cast("int").alias("n"), "code")
+    found = found.where(most_edits(F.col("n") + 1, least) > 0).select("id", "n", pair_keys(F.col("code"), least, word_frequencies(lines)).alias("p"))
+    keys = found.select("id", "n", "p.weak", F.explode_outer("p.keys").alias("key")).where("key is not null")
+    shared = stage(shared_keys(keys), "keys")
+    release(spark)
+    hot = stage(verified(stars(shared.where(F.col("members") > HOT), "low")), "links")
+    label = components(links.union(hot))
+    known = shared.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "component", "n", "weak", "members")
+    pairs = cross_pairs(known, least).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("weak").alias("weak"))
+    rest = stage(pairs.where("common > 1 or weak").select("a", "b"), "rest")
+    release(spark)
+    label = components(links.union(hot).union(verified(rest)))
+    grouped = lines.join(label, "id", "left").where("n > 1 or component is not null").select(
         "h1", "h2", "first", F.coalesce("component", "id").alias("component"))
     keeper = grouped.groupBy("component").agg(F.min("first").alias("keeper"))
     grouped = stage(grouped.join(keeper, "component").select("h1", "h2", "keeper"), "groups")
-    return seen.join(grouped, ["h1", "h2"]).where(~place.eqNullSafe(F.col("keeper"))).select("doc_id", "doc", "line", "keeper")
+    return seen.select("doc_id", "doc", "line", "h1", "h2").join(grouped, ["h1", "h2"]).where(
+        ~place.eqNullSafe(F.col("keeper"))).select("doc_id", "doc", "line", "keeper")
 
 
 def dropped_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -27,8 +27,8 @@ def near(a, b):
     return distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
 
 
-def brute(docs, sims):
-    """docs: (doc_id, text) in order of rank; sims: normalised line -> SimHash."""
+def brute(docs):
+    """docs: (doc_id, text) in order of rank."""
     first = {}
     for d, text in docs:
         for i, line in enumerate((text or "").split("\n")):
@@ -42,16 +42,9 @@ def brute(docs, sims):
             x = parent[x]
         return x
 
-    def agree(x, y):
-        same, at = 0, 0
-        for w in L._WIDTHS:
-            same += (x ^ y) >> at & ((1 << w) - 1) == 0
-            at += w
-        return same >= L.AGREE and bin(x ^ y).count("1") <= L.FAR
-
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if agree(sims[a], sims[b]) and near(a.split(), b.split()):
+            if near(a.split(), b.split()):
                 x, y = find(a), find(b)
                 if x != y:
                     parent[max(x, y, key=first.get)] = min(x, y, key=first.get)
@@ -75,15 +68,9 @@ def fixture():
     return docs + [(i, "\n".join(line() for _ in range(rng.randrange(6)))) for i in range(4, 130)]
 
 
-def sims_of(spark, docs):
-    lines = sorted({norm(x) for _, t in docs for x in (t or "").split("\n") if norm(x)})
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
-    return {lines[r.doc_id]: r.sim & (1 << 64) - 1 for r in L.signed_lines(df).collect()}
-
-
 def test_against_brute_force(spark):
     docs = fixture()
-    group = brute(docs, sims_of(spark, docs))
+    group = brute(docs)
     want = {k: v for k, v in group.items() if k != v}
     assert any(norm(dict(docs)[a[0]].split("\n")[a[1]]) != norm(dict(docs)[b[0]].split("\n")[b[1]]) for a, b in want.items())
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, doc int").repartition(6)
