@@ -40,7 +40,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    spark = staged.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged._staged_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -1,12 +1,12 @@
-"""Fuzzy line deduplication, in DataFrame functions only.
+"""Fuzzy line deduplication.
 
 A line's words are the runs of its lower-cased text without ASCII and common
 other punctuation and white space; lines without words are left alone.  Lines
 with equal word sequences are copies of one another and are one vertex from
 here on.  Two different lines are linked if the edit similarity of their word
 sequences, 1 - distance / longer length, reaches ``SIMILARITY``; each word
-counts as one of ``SYMBOLS`` characters by its hash.  Of each connected group
-the first occurrence stays, by (doc_id, line number); all others go.
+counts as one of 55,000 characters by its hash.  Of each connected group the
+first occurrence stays, by (doc_id, line number); all others go.
 
 Candidates.  First come the SimHashes: lines that share ``PAIRED`` of ``BLOCKS``
 blocks meet the smallest and largest line of the block pair, and the verified
@@ -14,21 +14,22 @@ links give the first components.  What SimHashes cannot promise is closed by
 the rarest word pairs.  An edit destroys at most two of the adjacent word pairs
 of a line, so the second smallest pair that two similar lines share, in any
 order of all pairs, is among the first 2 d + 2 of both (d: edits possible at a
-line's length, see ``prefix``).  The order is by the frequencies of the two
-words, so frequent phrases are keys only of lines without others.  Lines that
-share two keys and still lie in different components are compared; one key
-is enough where both have too few different pairs to promise two.  No link asks
-anything of the SimHashes, so none is lost by them.
+line's length, see ``linecodes.rarest_pairs``).  The order is by the frequencies
+of the two words, so frequent phrases are keys only of lines without others.
+Lines that share two keys and still lie in different components are compared;
+one key is enough where both have too few different pairs to promise two.  No
+link asks anything of the SimHashes, so none is lost by them.
 
-SimHash: the distinct words of a line are summed into 64 counters of 8 bits,
-eight to a long; lines of more words have wider counters.
+Style.  Signatures and keys are made in Arrow batches (``linecodes``), the joins,
+groups and the edit distance are Spark's.  The form in DataFrame functions alone
+did not fit the limits (README).
 
 Scale.  One shuffle moves the distinct lines as two bytes a word, one moves the
 keys.  Keys of one line end there.  Members of a key of more than ``HOT`` lines
 meet its smallest line first; what then still lies in several components meets
 by the binary digits of the components' ranks within the key, so that no two
 lines of a component are ever looked at together.  Word frequencies are a table
-of ``SYMBOLS`` rows, whatever the size of the input.
+of 55,000 rows, whatever the size of the input.
 
 Defined cases.  Null and empty texts have no lines.  Rows with the same doc_id
 and text are one document: each of them gets the same lines.  Rows with the
@@ -40,67 +41,28 @@ empty table gives an empty result.  Only doc_id and text are read;
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexeval.llm.common import fresh, let, release, stage
+from lexeval.llm import linecodes
+from lexeval.llm.common import discard, fresh, let, release, stage
 from lexeval.llm.components import components
 
 BLOCKS, PAIRED = 4, 2
 #: Members from which on a key is hot.
 HOT = 64
-#: Longs of a line's bitmap of words.
-MAP = 4
-#: Characters that stand for words in the edit distance, the first of them, and the bytes of the table of their frequencies.
-SYMBOLS, FIRST, TABLE = 55_000, 256, 1 << 16
-#: Distinct words that 8-bit and 16-bit counters can hold.
-SHORT, LONG = 127, 32_000
 SIMILARITY = 0.8
 _WIDTHS = [64 // BLOCKS + (1 if i < 64 % BLOCKS else 0) for i in range(BLOCKS)]
 _PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF -⁯　-〃]+"
 
+
 def line_words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), _PUNCTUATION), "")
 
 
-def _ones(width: int) -> int:
-    return sum(1 << (width * i) for i in range(64 // width))
-
-
-def _part(hashed: Column, j: int, width: int) -> Column:
-    """Every ``width``-th bit of a hash, from bit ``j``, one to a counter."""
-    return (F.shiftright(hashed, j) if j else hashed).bitwiseAND(F.lit(_ones(width)))
-
-
-def _majority(counts: list[Column], n: Column, width: int) -> Column:
-    """Bits whose counter holds more than half of ``n``: such a counter reaches
-    its highest bit; the topmost one is added apart, so no sum overflows."""
-    half, top = (1 << (width - 1)) - 1, 64 - width
-    more, out = (F.lit(half) - F.shiftright(n, 1)).cast("long"), None
-    for j, count in enumerate(counts):
-        total = (count.bitwiseAND(F.lit((1 << top) - 1)) + more * F.lit(_ones(width) & (1 << top) - 1)).bitwiseOR(
-            F.shiftleft(F.shiftrightunsigned(count, top) + more, top))
-        bit = F.shiftrightunsigned(total, width - 1).bitwiseAND(F.lit(_ones(width)))
-        bit = F.shiftleft(bit, j) if j else bit
-        out = bit if out is None else out.bitwiseOR(bit)
-    return out
-
-
-def _counted(hashes: Column, width: int) -> Column:
-    start = F.struct(*[F.lit(0).cast("long").alias(f"c{j}") for j in range(width)])
-    counts = F.aggregate(hashes, start, lambda a, x: F.struct(*[(a[f"c{j}"] + _part(x, j, width)).alias(f"c{j}") for j in range(width)]))
-    return let(counts, lambda c: _majority([c[f"c{j}"] for j in range(width)], F.size(hashes), width))
-
-
-def simhash(words: Column) -> Column:
-    """SimHash of an array of distinct words, inside its row."""
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) <= SHORT, _counted(h, 8)).when(
-        F.size(h) <= LONG, _counted(h, 16)).otherwise(_counted(h, 32)))
-
-
 def block_keys(sim: Column) -> Column:
     """One key for each choice of PAIRED blocks: the choice and their bits."""
     at, blocks = 0, []
@@ -116,68 +78,23 @@ def block_keys(sim: Column) -> Column:
     return F.array(*keys)
 
 
-def codes(words: Column) -> Column:
-    """Two bytes for each word."""
-    code = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(SYMBOLS)) + FIRST), 4, "0"))
-    return F.unhex(F.array_join(code, ""))
-
-
 def text_of(code: Column) -> Column:
-    return F.decode(code, "UTF-16BE")
-
-
-def symbols(words: Column) -> Column:
     """One character for each word, so that edit distance counts words."""
-    return text_of(codes(words))
+    return F.decode(code, "UTF-16BE")
 
 
 def most_edits(longer: Column, least: float) -> Column:
     return F.floor(longer * (1 - least) + 1e-9).cast("int")
 
 
-def prefix(n: Column, least: float) -> Column:
-    """How many of its rarest word pairs a line of ``n`` words needs so that it
-    shares one with every similar line: one more than d edits can destroy.  A
-    longer partner has at least as many insertions as it is longer, and each of
-    those destroys one pair; so its own d at n + 1 words bounds both roles."""
-    return 1 + 2 * most_edits(n + 1, least)
-
-
-def word_frequencies(lines: DataFrame) -> bytes:
-    """A byte for each character: how often it stands in the distinct lines, in
-    quarters of a power of two.  SYMBOLS rows at most reach the driver."""
-    counts = lines.select(F.explode_outer(F.split(text_of(F.col("code")), "")).alias("c")).groupBy("c").count()
-    table = bytearray([1] * TABLE)
-    for c, n in counts.collect():
-        if c:
-            table[ord(c)] = min(126, 1 + int(4 * math.log2(n)))
-    return bytes(table)
-
-
-def pair_keys(code: Column, least: float, table: bytes) -> Column:
-    """``struct<keys, weak>``: the rarest word pairs of a line, one more than
-    :func:`prefix`, and whether the line has too few of them to promise two
-    common ones.  A key is the pair's frequency class above its characters."""
-    known = F.lit(table)
-    numbered = F.transform(F.split(text_of(code), ""), lambda c: F.ascii(F.substring(known, F.ascii(c) + 1, 1).cast("string")) * 65536 + F.ascii(c))
-
-    def pairs(v):
-        both = F.zip_with(v, F.slice(v, 2, F.size(v)), lambda a, b: F.shiftleft((F.shiftright(a, 16) + F.shiftright(b, 16)).cast("long"), 32)
-                          + F.shiftleft(a.bitwiseAND(65535).cast("long"), 16) + b.bitwiseAND(65535))
-        need = prefix(F.size(v), least) + 1
-        return let(F.sort_array(F.array_distinct(F.slice(both, 1, F.size(v) - 1))), lambda p: F.struct(
-            F.slice(p, 1, need).alias("keys"), (F.size(p) < need).alias("weak")))
-
-    return let(numbered, pairs)
-
-
-def word_map(t: Column) -> Column:
-    """MAP longs, a bit set for each word of a symbol text."""
-    start = F.struct(*[F.lit(0).cast("long").alias(f"b{k}") for k in range(MAP)])
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)))
-    return F.aggregate(F.transform(F.split(t, ""), lambda c: F.hash(c)), start, lambda a, h: F.struct(*[
-        a[f"b{k}"].bitwiseOR(F.when(F.pmod(F.shiftright(h, 6), F.lit(MAP)) == k, bit(h)).otherwise(F.lit(0).cast("long"))).alias(f"b{k}")
-        for k in range(MAP)]))
+def word_classes(lines: DataFrame) -> np.ndarray:
+    """For each character how often it stands in the distinct lines, in quarters
+    of a power of two.  A row a character reaches the driver, 55,000 at most."""
+    counts = lines.select("code").mapInArrow(linecodes.frequencies, "symbol int, n bigint").groupBy("symbol").agg(F.sum("n").alias("n"))
+    out = np.zeros(linecodes.TABLE, np.uint64)
+    for symbol, n in counts.collect():
+        out[symbol] = min(255, 1 + int(4 * np.log2(n)))
+    return out
 
 
 def similar(a: Column, b: Column, least: float) -> Column:
@@ -212,13 +129,7 @@ def _named(docs: DataFrame) -> DataFrame:
 def signed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, doc, line, h1, h2, sim, code) of every line with words: its
     words' 128-bit hash, their SimHash and their two-byte codes."""
-    # the text itself must not travel with every line that is made of it
-    split = _named(docs).select("doc_id", _doc_key().alias("doc"), F.split("text", "\n", -1).alias("lines"))
-    lines = split.select("doc_id", "doc", F.posexplode_outer("lines").alias("line", "raw"))
-    # outer explodes: before the plain ones Spark puts a filter that computes the array a second time
-    signed = lines.select("doc_id", "doc", "line", F.explode_outer(F.transform(F.array(line_words(F.col("raw"))), lambda w: F.when(F.size(w) > 0, F.struct(
-        F.xxhash64(F.lit(1), w).alias("h1"), F.xxhash64(F.lit(2), w).alias("h2"), simhash(F.array_distinct(w)).alias("sim"), codes(w).alias("code"))))).alias("l"))
-    return signed.where("l is not null").select("doc_id", "doc", "line", "l.*")
+    return _named(docs).select("doc_id", _doc_key().alias("doc"), "text").mapInArrow(linecodes.signed, linecodes.SIGNED)
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -258,10 +169,12 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     if least < 0.75:
         raise ValueError("below a similarity of 0.75 short lines need not share a word pair")
     spark = docs.sparkSession
-    seen = stage(signed_lines(docs), "lines")
+    full = stage(signed_lines(docs), "signed")
     place = F.struct("doc_id", "doc", "line")
-    lines = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"), F.any_value("code").alias("code"))
+    lines = full.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"), F.any_value("code").alias("code"))
     lines = stage(lines.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    seen = stage(full.select("doc_id", "doc", "line", "h1", "h2"), "lines")
+    discard(full)
     release(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -277,14 +190,16 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     blocks = shared_keys(lines.select(F.explode_outer(block_keys(F.col("sim"))).alias("key"), "id"))
     links = stage(verified(stars(blocks, "low", "high")), "links")
     release(spark)
-    found = lines.select("id", (F.octet_length("code") / 2).cast("int").alias("n"), "code")
-    found = found.where(most_edits(F.col("n") + 1, least) > 0).select("id", "n", pair_keys(F.col("code"), least, word_frequencies(lines)).alias("p"))
-    keys = found.select("id", "n", "p.weak", F.explode_outer("p.keys").alias("key")).where("key is not null")
-    shared = stage(shared_keys(keys), "keys")
+    pairs = linecodes.rarest_pairs(word_classes(lines), least)
+    shared = stage(shared_keys(lines.select("id", "code").mapInArrow(pairs, "key bigint, id bigint")), "keys")
     release(spark)
+    weak, length = (F.col("id") % 2 == 1).alias("weak"), (F.octet_length("code") / 2).cast("int").alias("n")
+    half = lambda c: F.shiftright(c, 1)
+    shared = shared.select("key", half("id").alias("id"), weak, half("low").alias("low"), "members")
     hot = stage(verified(stars(shared.where(F.col("members") > HOT), "low")), "links")
     label = components(links.union(hot))
-    known = shared.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "component", "n", "weak", "members")
+    known = lines.select("id", length).join(label, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    known = shared.drop("low").join(known, "id").select("key", "id", "component", "n", "weak", "members")
     pairs = cross_pairs(known, least).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("weak").alias("weak"))
     rest = stage(pairs.where("common > 1 or weak").select("a", "b"), "rest")
     release(spark)
@@ -293,8 +208,7 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         "h1", "h2", "first", F.coalesce("component", "id").alias("component"))
     keeper = grouped.groupBy("component").agg(F.min("first").alias("keeper"))
     grouped = stage(grouped.join(keeper, "component").select("h1", "h2", "keeper"), "groups")
-    return seen.select("doc_id", "doc", "line", "h1", "h2").join(grouped, ["h1", "h2"]).where(
-        ~place.eqNullSafe(F.col("keeper"))).select("doc_id", "doc", "line", "keeper")
+    return seen.join(grouped, ["h1", "h2"]).where(~place.eqNullSafe(F.col("keeper"))).select("doc_id", "doc", "line", "keeper")
 
 
 def dropped_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

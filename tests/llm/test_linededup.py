@@ -2,10 +2,14 @@
 
 import random
 import re
+import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexeval.llm import linecodes
 from lexeval.llm import linededup as L
 from lexeval.llm.queries import QUERIES
 
@@ -97,18 +101,37 @@ def test_similarity_of_long_lines_is_exact(spark):
             for i in rng.sample(range(n), changes):
                 v[i] = "x"
             pairs += [(w, v), (w, v[changes:]), (w[:-1], v[1:]), (w, v[n // 2:] + v[:n // 2])]
-    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
-    got = [r[0] for r in df.select(L.similar(L.symbols(F.col("a")), L.symbols(F.col("b")), 0.8)).collect()]
+    rows = [(i, " ".join(w)) for i, p in enumerate(pairs) for w in p]
+    code = [bytes(r.code) for r in spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).transform(L.signed_lines).collect()]
+    df = spark.createDataFrame([(code[2 * i], code[2 * i + 1]) for i in range(len(pairs))], "a binary, b binary")
+    got = [r[0] for r in df.select(L.similar(L.text_of(F.col("a")), L.text_of(F.col("b")), 0.8)).collect()]
     assert got == [near(a, b) for a, b in pairs]
 
 
-@pytest.mark.parametrize("n", [1, 2, 127, 1000, 32000, 32001])
-def test_simhash_is_the_majority_of_the_word_hashes(spark, n):
-    df = spark.range(n).select(F.concat(F.lit("w"), "id").alias("w"))
-    hashes = [r[0] & (1 << 64) - 1 for r in df.select(F.xxhash64("w")).collect()]
-    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > n)
-    line = df.agg(F.array_join(F.collect_list("w"), " ").alias("t")).select(F.lit(1).alias("doc_id"), F.concat("t", F.lit(" "), "t").alias("text"))
-    assert [r.sim & (1 << 64) - 1 for r in L.signed_lines(line.union(line)).collect()] == [want] * 2
+@pytest.mark.parametrize("n", [1, 2, 127, 1000, 32001, 700_000])
+def test_simhash_is_the_majority_of_the_word_hashes(n):
+    rng = np.random.default_rng(n)
+    hashes = rng.integers(0, 1 << 63, n + 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    got = linecodes.simhash(hashes, np.array([0, n]), np.array([n, 5]))
+    for value, own in zip(got, (hashes[:n], hashes[n:])):
+        ones = [b for b in range(64) if int(((own >> np.uint64(b)) & np.uint64(1)).sum()) * 2 > len(own)]
+        assert int(value) == sum(1 << b for b in ones)
+
+
+def test_rarest_pairs_against_sorting(spark):
+    rng = random.Random(3)
+    lines = [[rng.randrange(256, 300) for _ in range(rng.choice([1, 3, 4, 5, 9, 40]))] for _ in range(200)]
+    classes = np.zeros(linecodes.TABLE, np.uint64)
+    classes[256:300] = [rng.randrange(1, 9) for _ in range(44)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array([struct.pack(f">{len(x)}H", *x) for x in lines], pa.binary())], ["id", "code"])
+    got = {}
+    for out in linecodes.rarest_pairs(classes, 0.8)([batch]):
+        for key, i in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            got.setdefault(i >> 1, [[], i & 1])[0].append(key)
+    for i, x in enumerate(lines):
+        need = 2 + 2 * ((len(x) + 1) // 5)
+        keys = sorted({(int(classes[a] + classes[b]) << 32) + (a << 16) + b for a, b in zip(x, x[1:])})
+        assert got.get(i) == ([keys[:need], int(len(keys) < need)] if len(x) >= 4 else None)
 
 
 def test_repeated_rows_shared_ids_and_empty_table(spark):
@@ -171,11 +194,3 @@ def test_every_pair_at_the_stated_similarity_is_found(spark):
         # the two pairs of one line are unrelated: their words differ
         assert [tuple(x) for x in got[2 * i + 1]] == want, (len(a), len(b))
     assert sum(near(a, b) for a, b in pairs) > 150
-
-
-def test_word_map_bounds_the_distance(spark):
-    rng = random.Random(6)
-    pairs = [(a, changed(rng, a, k)) for n in (5, 20, 80, 300) for k in (0, 1, n // 5) for a in [["w%d" % rng.randrange(99) for _ in range(n)]]]
-    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
-    for (a, b), r in zip(pairs, df.select(L.word_map(L.symbols(F.col("a"))).alias("x"), L.word_map(L.symbols(F.col("b"))).alias("y")).collect()):
-        assert sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(r.x, r.y)) <= 2 * distance(a, b)
