@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from functools import reduce
 
@@ -54,8 +55,10 @@ def discard(staged: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Shuffle files go when the driver's JVM collects the plans that made them,
-    which on a quiet driver takes long: ask for it after a large stage."""
+    which on a quiet driver takes long: ask for it after a large stage.  The
+    files go a moment later, so wait for that moment."""
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def let(value: Column, body) -> Column:

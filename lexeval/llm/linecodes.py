@@ -16,11 +16,14 @@ import numpy as np
 import pyarrow as pa
 
 from lexeval.llm.words import ALNUM, mix, words
+from lexeval.operators.kernels import edit_distance
 
 #: Characters that stand for words, the first of them, and the size of a table over them.
 SYMBOLS, FIRST, TABLE = 55_000, 256, 1 << 16
 #: Characters of text and words that are worked on at once (or one longer line).
 CHARS, WORDS = 1 << 22, 1 << 18
+#: Longs of a line's parity bits.
+MAP = 4
 #: Separators besides ASCII's: C1 and Latin-1 punctuation, general and CJK punctuation.
 _WIDE = re.compile("[\x80-\xbf -⁯　-〃]")
 _ODD = (0xC2B2AE3D27D4EB4F, 0x9E3779B97F4A7C15)
@@ -64,7 +67,16 @@ def simhash(hashes: np.ndarray, starts: np.ndarray, count: np.ndarray) -> np.nda
     return out
 
 
-SIGNED = "doc_id bigint, doc bigint, line int, h1 bigint, h2 bigint, sim bigint, code binary"
+def parities(hashes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """MAP longs of bits, each the parity of how many words of a line fall on
+    it.  An edit changes two bits at most, so two lines differ in no more than
+    twice their distance."""
+    place = (hashes >> np.uint64(40)) % np.uint64(64 * MAP)
+    bit, own = np.uint64(1) << (place & np.uint64(63)), place >> np.uint64(6)
+    return [np.bitwise_xor.reduceat(np.where(own == np.uint64(k), bit, np.uint64(0)), starts) for k in range(MAP)]
+
+
+SIGNED = ("doc_id bigint, doc bigint, line int, h1 bigint, h2 bigint, sim bigint, " + ", ".join(f"m{k} bigint" for k in range(MAP)) + ", code binary")
 
 
 def _signed(ids: list, docs: list, numbers: list, lines: list[str]):
@@ -77,9 +89,9 @@ def _signed(ids: list, docs: list, numbers: list, lines: list[str]):
     offsets = np.append(2 * starts, 2 * len(hashes)).astype(np.int32)
     code = pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(symbols.tobytes())])
     take = lambda x, kind: pa.array([x[i] for i in kept], kind)
-    signed = [pa.array(x.view(np.int64)) for x in (line_hash(hashes, starts, count, 0), line_hash(hashes, starts, count, 1), simhash(hashes, starts, count))]
+    signed = [pa.array(x.view(np.int64)) for x in (line_hash(hashes, starts, count, 0), line_hash(hashes, starts, count, 1), simhash(hashes, starts, count), *parities(symbols.astype(np.uint64) * np.uint64(_ODD[0]), starts))]
     return pa.RecordBatch.from_arrays([take(ids, pa.int64()), take(docs, pa.int64()), take(numbers, pa.int32()), *signed, code],
-                                      ["doc_id", "doc", "line", "h1", "h2", "sim", "code"])
+                                      ["doc_id", "doc", "line", "h1", "h2", "sim", *[f"m{k}" for k in range(MAP)], "code"])
 
 
 def signed(batches):
@@ -159,3 +171,32 @@ def rarest_pairs(classes: np.ndarray, least: float):
             yield pa.RecordBatch.from_arrays([pa.array((packed[kept] & np.uint64((1 << 41) - 1)).astype(np.int64)), pa.array(ids[line] * 2 + weak[line])],
                                              ["key", "id"])
     return pairs
+
+
+def bag_distances(x: np.ndarray, at: np.ndarray, y: np.ndarray, bt: np.ndarray) -> np.ndarray:
+    """For each pair of lines the larger number of words that one has beyond the
+    other's, order aside: no more than their edit distance."""
+    pair = lambda bounds: np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
+    cell = np.concatenate([(pair(at) << np.uint64(16)) | x, (pair(bt) << np.uint64(16)) | y])
+    sign = np.concatenate([np.ones(len(x), np.int64), np.full(len(y), -1, np.int64)])
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+    more = np.add.reduceat(sign[order], first) if len(first) else np.zeros(0, np.int64)
+    own = (cell[first] >> np.uint64(16)).astype(np.int64)
+    beyond = lambda v: np.bincount(own, weights=np.maximum(v, 0), minlength=len(at) - 1)
+    return np.maximum(beyond(more), beyond(-more)).astype(np.int64)
+
+
+def similar_pairs(least: float):
+    """(a, b, ca, cb) to the (a, b) whose codes have an edit similarity of at least ``least``."""
+    def check(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (x, at), (y, bt) = _codes(batch.column(2)), _codes(batch.column(3))
+            most = most_edits(np.maximum(np.diff(at), np.diff(bt)), least)
+            kept = [i for i in np.flatnonzero(bag_distances(x, at, y, bt) <= most)
+                    if edit_distance(x[at[i]:at[i + 1]].tolist(), y[bt[i]:bt[i + 1]].tolist()) <= most[i]]
+            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+    return check

@@ -21,7 +21,7 @@ one key is enough where both have too few different pairs to promise two.  No
 link asks anything of the SimHashes, so none is lost by them.
 
 Style.  Signatures and keys are made in Arrow batches (``linecodes``), the joins,
-groups and the edit distance are Spark's.  The form in DataFrame functions alone
+groups and components are Spark's.  The form in DataFrame functions alone
 did not fit the limits (README).
 
 Scale.  One shuffle moves the distinct lines as two bytes a word, one moves the
@@ -55,6 +55,8 @@ BLOCKS, PAIRED = 4, 2
 #: Members from which on a key is hot.
 HOT = 64
 SIMILARITY = 0.8
+#: Pairs up to this many (16 bytes each) are broadcast to pick their texts.
+BROADCAST_PAIRS = 1_000_000
 _WIDTHS = [64 // BLOCKS + (1 if i < 64 % BLOCKS else 0) for i in range(BLOCKS)]
 _PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF -⁯　-〃]+"
 
@@ -78,11 +80,6 @@ def block_keys(sim: Column) -> Column:
     return F.array(*keys)
 
 
-def text_of(code: Column) -> Column:
-    """One character for each word, so that edit distance counts words."""
-    return F.decode(code, "UTF-16BE")
-
-
 def most_edits(longer: Column, least: float) -> Column:
     return F.floor(longer * (1 - least) + 1e-9).cast("int")
 
@@ -97,27 +94,6 @@ def word_classes(lines: DataFrame) -> np.ndarray:
     return out
 
 
-def similar(a: Column, b: Column, least: float) -> Column:
-    """Edit similarity of at least ``least`` of two symbol texts.  Spark's
-    distance takes quadratic time, so long texts are first compared place by
-    place and by their common beginning and end: what differs there bounds the
-    distance from above."""
-    longer = F.greatest(F.length(a), F.length(b))
-    most = most_edits(longer, least)
-    exact = F.levenshtein(a, b) <= most
-
-    def bounded(pair):
-        x, y = pair[0], pair[1]
-        backward = lambda v: F.reverse(v)
-        apart = lambda p, q: F.size(F.filter(F.zip_with(p, q, lambda u, v: ~u.eqNullSafe(v)), lambda d: d))
-        same = lambda p, q: F.array_position(F.zip_with(p, q, lambda u, v: ~u.eqNullSafe(v)), F.lit(True)).cast("int") - 1
-        ends = longer - same(x, y) - same(backward(x), backward(y))
-        return F.when(F.least(apart(x, y), ends) <= most, F.lit(True)).otherwise(exact)
-
-    return F.when(F.abs(F.length(a) - F.length(b)) > most, F.lit(False)).when(longer <= 512, exact).otherwise(
-        let(F.array(F.split(a, ""), F.split(b, "")), bounded))
-
-
 def _doc_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
@@ -170,18 +146,30 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         raise ValueError("below a similarity of 0.75 short lines need not share a word pair")
     spark = docs.sparkSession
     full = stage(signed_lines(docs), "signed")
-    place = F.struct("doc_id", "doc", "line")
-    lines = full.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"), F.any_value("code").alias("code"))
+    place, maps = F.struct("doc_id", "doc", "line"), [f"m{k}" for k in range(linecodes.MAP)]
+    lines = full.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"),
+                                           *[F.any_value(c).alias(c) for c in (*maps, "code")])
     lines = stage(lines.withColumn("id", F.monotonically_increasing_id()), "distinct")
     seen = stage(full.select("doc_id", "doc", "line", "h1", "h2"), "lines")
     discard(full)
     release(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose texts are similar."""
-        one = lines.select(F.col("id").alias("a"), F.col("code").alias("ca"))
-        two = lines.select(F.col("id").alias("b"), F.col("code").alias("cb"))
-        return pairs.join(one, "a").join(two, "b").where(similar(text_of(F.col("ca")), text_of(F.col("cb")), least)).select("a", "b")
+        """The pairs (a, b) whose texts are similar.  Lengths and parity bits
+        rule most others out before texts are fetched."""
+        print_ = lambda c: lines.select(F.col("id").alias(c), (F.octet_length("code") / 2).cast("int").alias(f"{c}_n"),
+                                        *[F.col(m).alias(f"{c}_{m}") for m in maps])
+        most = most_edits(F.greatest("a_n", "b_n"), least)
+        apart = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in maps[1:]), F.bit_count(F.col("a_m0").bitwiseXOR(F.col("b_m0"))))
+        near = pairs.join(print_("a"), "a").join(print_("b"), "b").where((F.abs(F.col("a_n") - F.col("b_n")) <= most) & (apart <= 2 * most))
+        near = stage(near.select("a", "b"), "near")
+        release(spark)
+        named = near.select(F.explode_outer(F.array("a", "b")).alias("id")).distinct()
+        named = F.broadcast(named) if near.count() <= BROADCAST_PAIRS else named
+        texts = lines.select("id", "code").join(named, "id", "left_semi")
+        both = near.join(texts.select(F.col("id").alias("a"), F.col("code").alias("ca")), "a").join(
+            texts.select(F.col("id").alias("b"), F.col("code").alias("cb")), "b")
+        return both.select("a", "b", "ca", "cb").mapInArrow(linecodes.similar_pairs(least), "a bigint, b bigint")
 
     def stars(rows: DataFrame, *hubs: str) -> DataFrame:
         met = rows.select("id", F.explode(F.array(*hubs)).alias("hub")).where("id <> hub")

@@ -3,6 +3,7 @@
 import random
 import re
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +92,7 @@ def test_against_brute_force(spark):
             assert d not in texts
 
 
-def test_similarity_of_long_lines_is_exact(spark):
+def test_similarity_of_long_lines_is_exact():
     rng = random.Random(5)
     pairs = []
     for n in (513, 700, 900):
@@ -101,11 +102,25 @@ def test_similarity_of_long_lines_is_exact(spark):
             for i in rng.sample(range(n), changes):
                 v[i] = "x"
             pairs += [(w, v), (w, v[changes:]), (w[:-1], v[1:]), (w, v[n // 2:] + v[:n // 2])]
-    rows = [(i, " ".join(w)) for i, p in enumerate(pairs) for w in p]
-    code = [bytes(r.code) for r in spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).transform(L.signed_lines).collect()]
-    df = spark.createDataFrame([(code[2 * i], code[2 * i + 1]) for i in range(len(pairs))], "a binary, b binary")
-    got = [r[0] for r in df.select(L.similar(L.text_of(F.col("a")), L.text_of(F.col("b")), 0.8)).collect()]
-    assert got == [near(a, b) for a, b in pairs]
+    code = lambda w: struct.pack(f">{len(w)}H", *[256 + zlib.crc32(x.encode()) % 55_000 for x in w])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pairs)), pa.int64()), pa.array([0] * len(pairs), pa.int64()),
+                                        pa.array([code(a) for a, _ in pairs], pa.binary()), pa.array([code(b) for _, b in pairs], pa.binary())], ["a", "b", "ca", "cb"])
+    got = {i for out in linecodes.similar_pairs(0.8)([batch]) for i in out.column(0).to_pylist()}
+    assert got == {i for i, (a, b) in enumerate(pairs) if near(a, b)}
+
+
+def test_bounds_of_the_distance():
+    rng = random.Random(6)
+    for n in (1, 5, 20, 80, 300):
+        for k in (0, 1, n // 5):
+            a = ["w%d" % rng.randrange(99) for _ in range(n)]
+            b = changed(rng, a, k) or ["w1"]
+            codes = [np.array([256 + int(w[1:]) if w[0] == "w" else 400 + int(w[3:]) % 50_000 for w in x], np.uint64) for x in (a, [w if w[0] == "w" else "new" + w[3:] for w in b])]
+            x, y = (linecodes.parities(c * np.uint64(linecodes._ODD[0]), np.array([0])) for c in codes)
+            d = distance(codes[0].tolist(), codes[1].tolist())
+            assert sum(bin(int(u[0] ^ v[0])).count("1") for u, v in zip(x, y)) <= 2 * d
+            bag = linecodes.bag_distances(codes[0], np.array([0, len(a)]), codes[1], np.array([0, len(codes[1])]))
+            assert bag[0] <= d
 
 
 @pytest.mark.parametrize("n", [1, 2, 127, 1000, 32001, 700_000])
