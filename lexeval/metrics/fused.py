@@ -66,37 +66,49 @@ def _kernel(sel: frozenset):
     return run
 
 
+#: Kernel arguments: tokens of the prediction and of each reference, family by family.
+NAMES = ["bh", "br", "lh", "lr", "ch", "cw", "crc", "crw", "th", "tr", "rh", "rr", "mh", "mr"]
+_S, _SS = "array<string>", "array<array<string>>"
+
+
+def reference_columns(sel, refs=None) -> dict:
+    """Tokens of the usable references, by argument name: the part of the work
+    that does not depend on a prediction.  A family that is not selected has
+    empty columns."""
+    refs = usable_refs() if refs is None else refs
+    words = sel & {"TER", "word_edit_rate"}
+    each = lambda on, f, kind: F.transform(refs, f) if on else F.array().cast(kind)
+    return {"br": each("BLEU" in sel, lambda r: tok_13a(r), _SS), "lr": each("BLEU_lower" in sel, lambda r: tok_13a(r, True), _SS),
+            "crc": each("chrF++" in sel, lambda r: chrf_chars(r), _S), "crw": each("chrF++" in sel, lambda r: chrf_words(r), _SS),
+            "tr": each(words, lambda r: ter_tokens(r), _SS), "rr": each("rougeL" in sel, lambda r: rouge_tokens(r), _SS),
+            "mr": each("meteor" in sel, lambda r: meteor_tokens(r), _SS)}
+
+
+def prediction_columns(sel) -> dict:
+    words = sel & {"TER", "word_edit_rate"}
+    of = lambda on, c, empty: c if on else empty
+    none = F.array().cast(_S)
+    return {"bh": of("BLEU" in sel, tok_13a("prediction"), none), "lh": of("BLEU_lower" in sel, tok_13a("prediction", True), none),
+            "ch": of("chrF++" in sel, chrf_chars("prediction"), F.lit("")), "cw": of("chrF++" in sel, chrf_words("prediction"), none),
+            "th": of(words, ter_tokens("prediction"), none), "rh": of("rougeL" in sel, rouge_tokens("prediction"), none),
+            "mh": of("meteor" in sel, meteor_tokens("prediction"), none)}
+
+
+def kernel_columns(sel, known=()) -> list:
+    """The kernel's arguments in order.  Reference tokens that the rows already
+    hold (see ``metrics.shared``) are taken as they are."""
+    known = set(known)
+    cols = prediction_columns(sel) | {n: F.col(f"_ref_{n}") if f"_ref_{n}" in known else c for n, c in reference_columns(sel).items()}
+    return [cols[n].alias(n) for n in NAMES]
+
+
 def evaluate_fused(pairs: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     sel = frozenset(metrics)
     unknown = sel - set(FUSABLE)
     if unknown:
         raise KeyError(f"not fusable: {sorted(unknown)}")
-    empty_s = F.array().cast("array<string>")
-    empty_ss = F.array().cast("array<array<string>>")
-    refs = usable_refs()
-
-    def pick(name, expr, empty):
-        return (expr if name in sel else empty)
-
-    cols = [
-        pick("BLEU", tok_13a("prediction"), empty_s).alias("bh"),
-        pick("BLEU", F.transform(refs, lambda r: tok_13a(r)), empty_ss).alias("br"),
-        pick("BLEU_lower", tok_13a("prediction", True), empty_s).alias("lh"),
-        pick("BLEU_lower", F.transform(refs, lambda r: tok_13a(r, True)), empty_ss).alias("lr"),
-        pick("chrF++", chrf_chars("prediction"), F.lit("")).alias("ch"),
-        pick("chrF++", chrf_words("prediction"), empty_s).alias("cw"),
-        pick("chrF++", F.transform(refs, lambda r: chrf_chars(r)), empty_s).alias("crc"),
-        pick("chrF++", F.transform(refs, lambda r: chrf_words(r)), empty_ss).alias("crw"),
-        (ter_tokens("prediction") if sel & {"TER", "word_edit_rate"} else empty_s).alias("th"),
-        (F.transform(refs, lambda r: ter_tokens(r)) if sel & {"TER", "word_edit_rate"} else empty_ss).alias("tr"),
-        pick("rougeL", rouge_tokens("prediction"), empty_s).alias("rh"),
-        pick("rougeL", F.transform(refs, lambda r: rouge_tokens(r)), empty_ss).alias("rr"),
-        pick("meteor", meteor_tokens("prediction"), empty_s).alias("mh"),
-        pick("meteor", F.transform(refs, lambda r: meteor_tokens(r)), empty_ss).alias("mr"),
-    ]
-    base = by_example(pairs).select(*keys, "example_id", *cols)
-    names = ["bh", "br", "lh", "lr", "ch", "cw", "crc", "crw", "th", "tr", "rh", "rr", "mh", "mr"]
-    st = base.select(*keys, "example_id", "tr", "rh", "rr", _kernel(sel)(*names).alias("s"))
+    base = by_example(pairs).select(*keys, "example_id", *kernel_columns(sel, pairs.columns))
+    st = base.select(*keys, "example_id", "tr", "rh", "rr", _kernel(sel)(*NAMES).alias("s"))
 
     per_row = [*keys]
     aggs = []
@@ -145,20 +157,9 @@ def per_example_fused(pairs: DataFrame, keys: list[str], carry=("source", "predi
     computed in the same narrow pass that carries the example columns — no
     join back to the examples."""
     sel = frozenset({"chrF++", "meteor"})
-    empty_s = F.array().cast("array<string>")
-    empty_ss = F.array().cast("array<array<string>>")
-    refs = usable_refs()
-    cols = [empty_s.alias("bh"), empty_ss.alias("br"), empty_s.alias("lh"), empty_ss.alias("lr"),
-            chrf_chars("prediction").alias("ch"), chrf_words("prediction").alias("cw"),
-            F.transform(refs, lambda r: chrf_chars(r)).alias("crc"),
-            F.transform(refs, lambda r: chrf_words(r)).alias("crw"),
-            empty_s.alias("th"), empty_ss.alias("tr"), empty_s.alias("rh"), empty_ss.alias("rr"),
-            meteor_tokens("prediction").alias("mh"),
-            F.transform(refs, lambda r: meteor_tokens(r)).alias("mr")]
-    names = ["bh", "br", "lh", "lr", "ch", "cw", "crc", "crw", "th", "tr", "rh", "rr", "mh", "mr"]
     carried = [c for c in carry if c in pairs.columns]
-    base = by_example(pairs).select(*keys, "example_id", *carried, *cols)
-    st = base.select(*keys, "example_id", *carried, _kernel(sel)(*names).alias("s"))
+    base = by_example(pairs).select(*keys, "example_id", *carried, *kernel_columns(sel, pairs.columns))
+    st = base.select(*keys, "example_id", *carried, _kernel(sel)(*NAMES).alias("s"))
 
     return st.select(*keys, "example_id", *carried, best_chrf(F.col("s")["c"], ORDERS)["f"].alias("chrf"),
                      F.array_max(F.col("s")["mt"]).alias("meteor"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "validation", "test")
@@ -90,26 +90,23 @@ def flatten_by_split(df: DataFrame, column: str = "lex", keys=("example_id", "sp
     return df.select(*keys, "input", F.explode(chosen).alias("target"))
 
 
-# P8
-def keep_columns(df: DataFrame, *cols: str) -> DataFrame:
-    return df.select(*cols)
-
-
 # C1
 def select_subset(df: DataFrame, limits: Mapping[str, int | None], order_by: str = "example_id",
                   split_col: str = "split") -> DataFrame:
     """Per split, the first ``n`` examples in ``order_by`` order (``None`` = all,
-    ``0`` = none).  Each limited split is a top-k plan (no global sort); splits
-    without a limit pass through unchanged."""
-    limited = {s: n for s, n in limits.items() if n is not None}
-    rest = df.where(~F.col(split_col).isin(*limited)) if limited else df
-    parts = [rest]
-    for s, n in limited.items():
-        parts.append(df.where(F.col(split_col) == s).orderBy(order_by).limit(int(n)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    ``0`` = none).  One scan serves all limited splits: each task keeps at most
+    the largest limit of rows a split before they meet.  Splits without a limit,
+    a NULL split among them, pass through unchanged."""
+    limited = {s: int(n) for s, n in limits.items() if n is not None}
+    if not limited:
+        return df
+    of = F.col(split_col)
+    chosen = df.where(of.isin(*[s for s, n in limited.items() if n > 0]))
+    rank = "__rank"
+    first = chosen.withColumn(rank, F.row_number().over(Window.partitionBy(split_col).orderBy(order_by))).where(F.col(rank) <= max(limited.values()))
+    own = F.create_map(*[F.lit(x) for pair in limited.items() for x in pair])
+    first = first.where(F.col(rank) <= own[of]).drop(rank)
+    return first.unionByName(df.where(~F.coalesce(of.isin(*limited), F.lit(False))))
 
 
 # P10 recipe registry -------------------------------------------------------
@@ -151,7 +148,3 @@ def prepare(df: DataFrame, dataset_name: str | None, **kw) -> dict[str, DataFram
     if missing:
         raise ValueError(f"custom dataset needs columns input, target; missing {sorted(missing)}")
     return RECIPES["custom"](df)
-
-
-def split_filter(split: str | None) -> Column:
-    return F.lit(True) if split is None else (F.col("split") == split)

@@ -25,12 +25,16 @@ from lexeval.plans.sql_views import with_views
 from lexeval.session import scratch_path
 from lexeval.sources import io
 
+#: Part files of each written table.
+PARTS = 8
+
+
 # ------------------------------------------------------------ fixtures as files
 def written_dataset(spark, sf_dir) -> DataFrame:
-    """The evaluation split as one CSV file, loaded again: ids are positions."""
+    """The evaluation split as ordered CSV parts, loaded again: ids are positions."""
     path = scratch_path(spark, "dataset") + "/validation.csv"
     refs = V.eval_refs(spark, sf_dir).select("example_id", F.col("source").alias("input"), F.to_json("references").alias("reference"))
-    refs.orderBy("example_id").drop("example_id").coalesce(1).write.options(**io.CSV_OPTIONS).csv(path)
+    io.write_ordered(refs, path, "example_id", PARTS)
     d = io.load_custom_dataset(spark, validation_file=path)
     return d.select("example_id", "input", F.from_json("reference", "array<string>").alias("references"))
 
@@ -42,30 +46,29 @@ def written_outputs(spark, sf_dir) -> str:
     rows = V.eval_preds(spark, sf_dir).join(V.eval_refs(spark, sf_dir), "example_id").select(
         "step", "example_id", "source", "prediction", F.to_json("references").alias("reference"))
     of = lambda s: rows.where(F.col("step") == s).drop("step")
-    io.write_outputs(of(1), folder, 1)
+    io.write_outputs(of(1), folder, 1, parts=PARTS)
     twice = of(2).select("example_id", F.col("source").alias("sources"), "prediction", F.explode(F.array(F.lit(0), F.lit(1))).alias("again"))
-    io.write_outputs(twice.drop("again"), folder, 2, older=True)
-    io.write_outputs(of(3).select("example_id", F.length("prediction").alias("score"), "prediction", "reference", "source"), folder, 3)
+    io.write_outputs(twice.drop("again"), folder, 2, older=True, parts=PARTS)
+    io.write_outputs(of(3).select("example_id", F.length("prediction").alias("score"), "prediction", "reference", "source"), folder, 3, parts=PARTS)
     return folder
 
 
 # ------------------------------------------------------------ S1-S6
 @query("custom_dataset")
 def q_custom(spark, sf_dir):
-    """S1 + S2: a JSON-lines split and a CSV split, each read by its own suffix,
-    dense ids per split."""
+    """S1 + S2: JSON-lines splits and a CSV split, each read by its own suffix,
+    dense ids per split in the order of the part files."""
     base = scratch_path(spark, "custom")
     d = V.splits(spark, sf_dir)
-    order = lambda s: d.where(F.col("split") == s).orderBy("example_id").select("input", "lang").coalesce(1)
-    order("validation").write.json(base + "/validation.json")
-    order("test").write.options(**io.CSV_OPTIONS).csv(base + "/test.csv")
-    out = io.load_custom_dataset(spark, validation_file=base + "/validation.json", test_file=base + "/test.csv")
+    files = {"train": "train.json", "validation": "validation.json", "test": "test.csv"}
+    for split, name in files.items():
+        io.write_ordered(d.where(F.col("split") == split).select("example_id", "input", "lang"), f"{base}/{name}", "example_id", PARTS)
+    out = io.load_custom_dataset(spark, **{f"{split}_file": f"{base}/{name}" for split, name in files.items()})
     return out.select(L("example_id").alias("example_id"), "split", "input", "lang")
 
 
 ORACLE["custom_dataset"] = with_views(["splits"], """
-SELECT (row_number() OVER (PARTITION BY split ORDER BY example_id) - 1)::BIGINT AS example_id, split, input, lang
-FROM splits WHERE split IN ('validation', 'test')""")
+SELECT (row_number() OVER (PARTITION BY split ORDER BY example_id) - 1)::BIGINT AS example_id, split, input, lang FROM splits""")
 
 
 @query("dataset_split")
@@ -297,17 +300,20 @@ def q_generated(spark, sf_dir):
     ids = tokens.encode(p, voc, None, None, keys=(*KEYS, "example_id")).select(*KEYS, "example_id", F.col("input_ids").alias("pred_ids"))
     w = EV.evaluate_ids(ids, V.eval_refs(spark, sf_dir), voc, KEYS, ["word_edit_rate", "mean_words"])
     return w.select(L("step").alias("step"), r6(F.col("mean_words"), "mean_words"), r6(F.col("gen_len"), "gen_len"),
-                    F.col("word_edit_rate").isNotNull().alias("scored"))
-
-
-# reserved ids, the unknown one among them, are not decoded
-ORACLE["generated_ids"] = with_views(["eval_preds"], """
-SELECT step::BIGINT AS step, round(avg(known), 6) AS mean_words, round(avg(n + 1), 6) AS gen_len, true AS scored
-FROM (SELECT p.step, p.example_id, any_value(p.n) AS n, count(v.token) AS known
-      FROM (SELECT step, example_id, n, unnest(CASE WHEN n > 0 THEN w ELSE [NULL] END) AS token
-            FROM (SELECT step, example_id, w, len(w) AS n FROM (SELECT step, example_id, """ + S.words("prediction") + """ AS w FROM eval_preds))) p
-      LEFT JOIN vocab v ON v.token = p.token AND v.id > 3 GROUP BY ALL)
-GROUP BY step""", extra=[O._VOCAB])
+                    r6(F.col("word_edit_rate"), "word_edit_rate"))
+
+
+# reserved ids, the unknown one among them, are not decoded: the predictions that are scored hold the known words alone
+ORACLE["generated_ids"] = with_views(["eval_refs"], """
+SELECT step, mean_words, gen_len, word_edit_rate FROM (""" + O.WORD_EDIT_RATE + """) JOIN (
+  SELECT step::BIGINT AS step, round(avg(known), 6) AS mean_words, round(avg(n + 1), 6) AS gen_len FROM known GROUP BY step) USING (step)""", extra=[
+    O._VOCAB, ("raw_preds", S.VIEWS["eval_preds"][1]), ("placed", """
+SELECT step, example_id, len(w) AS n, unnest(CASE WHEN len(w) > 0 THEN w ELSE [NULL] END) AS token,
+       generate_subscripts(CASE WHEN len(w) > 0 THEN w ELSE [NULL] END, 1) AS pos
+FROM (SELECT step, example_id, """ + S.words("prediction") + """ AS w FROM raw_preds)"""), ("known", """
+SELECT step, example_id, any_value(n) AS n, count(v.token) AS known, coalesce(string_agg(v.token, ' ' ORDER BY pos), '') AS prediction
+FROM placed p LEFT JOIN vocab v ON v.token = p.token AND v.id > 3 GROUP BY step, example_id"""), ("eval_pairs", """
+SELECT k.step, k.example_id, k.prediction, r."references" FROM known k LEFT JOIN eval_refs r USING (example_id)""")])
 
 
 @query("encode_flattened")

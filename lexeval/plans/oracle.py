@@ -225,7 +225,7 @@ _LCS = """list_reduce(a, lambda prev, x: list_reduce(range(1, len(b) + 1),
             lambda cur, j: list_append(cur, CASE WHEN x = b[j] THEN prev[j] + 1 ELSE greatest(prev[j + 1], cur[j]) END),
             [0]), list_transform(range(len(b) + 1), lambda i: 0))[-1]"""
 
-ORACLE["word_edit_rate"] = with_views(["eval_pairs"], """
+WORD_EDIT_RATE = """
 SELECT step::BIGINT AS step,
        round(CASE WHEN sum(rl) > 0 THEN 100.0 * sum(e) / sum(rl) WHEN sum(e) > 0 THEN 100.0 ELSE 0.0 END, 6)
          AS word_edit_rate
@@ -235,7 +235,9 @@ FROM (SELECT step, example_id, min(CASE WHEN len(b) = 0 THEN len(a) ELSE d END)
                      """ + S.words("lower(r)") + """ AS b
               FROM (SELECT step, example_id, prediction, unnest(""" + S.usable_refs() + """) AS r FROM eval_pairs)))
       GROUP BY ALL)
-GROUP BY step""")
+GROUP BY step"""
+
+ORACLE["word_edit_rate"] = with_views(["eval_pairs"], WORD_EDIT_RATE)
 
 ORACLE["rouge_l"] = with_views(["eval_pairs"], """
 SELECT step::BIGINT AS step, round(avg(f), 6) AS rougeL

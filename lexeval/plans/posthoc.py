@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 
 from lexeval.operators.align import dedup_recent_sources
 from lexeval.plans.evaluate import evaluate, metric_log, per_example
+from lexeval.session import scratch_path
 from lexeval.sources.io import dense_index, guarded_writer, read_output_files, read_outputs
 
+#: Ids whose texts share one fingerprint.
+SPAN = 1 << 16
+
 
 def positions(outputs: DataFrame) -> DataFrame:
     """Outputs rows with ``example_id`` = dense position in their file, older
@@ -28,25 +32,52 @@ def positions(outputs: DataFrame) -> DataFrame:
     return new.unionByName(dense_index(old, "example_id", ("path",)))
 
 
+def fingerprints(rows: DataFrame, text: str, keys: tuple[str, ...] = (), span: int = SPAN) -> DataFrame:
+    """``(keys..., span, n, f1, f2)``: for each run of ``span`` ids the number of
+    rows and a 128-bit fingerprint of which id has which text, whatever order
+    the rows come in.  Partial results are combined in each task; no text moves."""
+    has = F.col(text).isNotNull()
+    return rows.groupBy(*keys, F.floor(F.col("example_id") / span).alias("span")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64(F.lit(k), "example_id", has, F.col(text))).alias(f"f{k}") for k in (1, 2)])
+
+
+def differing_rows(outputs: DataFrame, dataset: DataFrame, span: int = SPAN) -> DataFrame:
+    """(path, example_id, expected, got) where a file's source is not the
+    example's input, or the example or the row is missing in a run of ids that
+    the file has.  Texts are joined only for runs whose fingerprints differ."""
+    want = fingerprints(dataset, "input", (), span).select("span", *[F.col(c).alias(f"want_{c}") for c in ("n", "f1", "f2")])
+    same = [F.col(c).eqNullSafe(F.col(f"want_{c}")) for c in ("n", "f1", "f2")]
+    bad = fingerprints(outputs, "source", ("path",), span).join(want, "span", "left").where(~(same[0] & same[1] & same[2])).select("path", "span")
+    run = F.floor(F.col("example_id") / span)
+    got = outputs.withColumn("span", run).join(bad, ["path", "span"]).select("path", "example_id", F.col("source").alias("got"), F.lit(True).alias("here"))
+    expected = dataset.withColumn("span", run).join(bad, "span").select("path", "example_id", F.col("input").alias("expected"), F.lit(True).alias("due"))
+    rows = expected.join(got, ["path", "example_id"], "full_outer")
+    differ = F.col("here").isNull() | F.col("due").isNull() | ~F.col("expected").eqNullSafe(F.col("got"))
+    return rows.where(differ).select("path", "example_id", "expected", "got")
+
+
 def check_positions(outputs: DataFrame, dataset: DataFrame, limit: int = 5) -> None:
-    """Raise where a file has other rows than the dataset: a source that is not
-    the example's input, or another number of rows."""
+    """Raise where a file has other rows than the dataset: another number of
+    rows, or a source that is not the example's input."""
     n = dataset.count()
     sizes = outputs.groupBy("path").count().where(F.col("count") != n).limit(limit).collect()
     if sizes:
         raise ValueError(f"outputs files with other than {n} rows: {[(r.path, r['count']) for r in sizes]}")
-    both = outputs.select("path", "example_id", "source").join(dataset.select("example_id", "input"), "example_id", "left")
-    bad = both.where(~F.col("source").eqNullSafe(F.col("input"))).limit(limit).collect()
+    bad = differing_rows(outputs, dataset).limit(limit).collect()
     if bad:
         raise ValueError(f"outputs do not belong to these examples: {bad}")
 
 
 def aligned_outputs(outputs: DataFrame, dataset: DataFrame) -> DataFrame:
     """(step, example_id, source, prediction, references) of checked outputs.
-    ``dataset`` is one split: (example_id dense from 0, input, references)."""
-    rows = positions(outputs)
+    ``dataset`` is one split: (example_id dense from 0, input, references).  The
+    files are parsed once, into a table that the check and the scores read."""
+    rows = positions(outputs).select("path", "step", "example_id", "source", "prediction")
+    path = scratch_path(rows.sparkSession, "positions")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
     check_positions(rows, dataset)
-    return rows.select("step", "example_id", "source", "prediction").join(dataset.select("example_id", "references"), "example_id")
+    return rows.drop("path").join(dataset.select("example_id", "references"), "example_id")
 
 
 def evaluate_outputs(spark: SparkSession, directory: str, dataset: DataFrame, metrics: list[str] | None = None, run: str | None = None,

@@ -4,7 +4,8 @@
   its own file, and every file is read with the reader for its own suffix.
 * CSV text holds embedded newlines and doubled quotes, so CSV is always read
   with ``header, multiLine, quote='"', escape='"'``.  A multi-line CSV file is
-  one input split; JSON lines are split, and positions are counted over splits.
+  one input split, so tables are written as folders of ordered part files;
+  positions are counted over parts and splits in file order.
 * Lists cannot be stored in CSV: list columns are written as JSON text and
   parsed back on read.
 * Writes never silently replace their own input: overwriting a path that is
@@ -15,13 +16,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexeval.functions.text import step_from_name
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}  # the writer trims texts otherwise
 READERS = {"csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet"}
 SPLIT_FILES = ("train", "validation", "test")
 
@@ -76,12 +78,48 @@ def dense_index(df: DataFrame, name: str, groups: tuple[str, ...] = ()) -> DataF
     return marked.join(starts, on).select(*df.columns, (F.col("__start") + F.col(within) - F.col("__low")).alias(name))
 
 
+def file_of(path: Column) -> Column:
+    """The file a row belongs to: a folder of part files counts as one."""
+    return F.regexp_replace(path, r"(\.(?:csv|json|jsonl))/[^/]*$", "$1")
+
+
+def file_index(df: DataFrame, name: str, file: str | None = None) -> DataFrame:
+    """``df``, read from files, with column ``name``: 0, 1, 2, … in file order,
+    from 0 again in each file (a folder of part files is one, its parts in the
+    order of their numbers), whichever tasks read them.  ``file`` names a column
+    for the file's path.
+
+    The rows of an input split lie together in a task; only the number of rows
+    of each split is gathered, one row a split."""
+    marked = df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__at"),
+                       F.monotonically_increasing_id().alias("__within"))
+    marked = marked.withColumn("__file", file_of(F.col("__path")))
+    part = F.coalesce(F.regexp_extract("__path", r"/part-(\d+)[^/]*$", 1).try_cast("long"), F.lit(0).cast("long"))
+    splits = marked.groupBy("__file", "__path", "__at").agg(F.count(F.lit(1)).alias("__n"), F.min("__within").alias("__low"))
+    before = Window.partitionBy("__file").orderBy(part, "__path", "__at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("__path", "__at", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__low")).alias("__start"))
+    out = marked.join(starts, ["__path", "__at"])
+    return out.select(*df.columns, (F.col("__start") + F.col("__within")).alias(name), *([F.col("__file").alias(file)] if file else []))
+
+
 def with_example_id(df: DataFrame, id_col: str | None = None) -> DataFrame:
     """Explicit identity: a source key when there is one, else the dense
-    position in reading order."""
+    position in file order."""
     if id_col and id_col in df.columns:
         return df.withColumn("example_id", F.col(id_col).cast("long"))
-    return dense_index(df, "example_id")
+    return file_index(df, "example_id")
+
+
+def write_ordered(df: DataFrame, path: str, order: str, parts: int | None = None) -> None:
+    """CSV or JSON lines (by the path's suffix) as a folder of part files whose
+    numbers follow ``order``; the column itself is left out.  Rows are dealt by
+    ranges, so no task sees all of them."""
+    dealt = df.repartitionByRange(parts, order) if parts else df.repartitionByRange(order)
+    w = _csv_ready(dealt.sortWithinPartitions(order).drop(order)).write
+    if READERS[_suffix(path)] == "csv":
+        w.options(**CSV_OPTIONS).csv(path)
+    else:
+        w.json(path)
 
 
 # S1 / S2
@@ -135,7 +173,7 @@ def read_output_files(spark: SparkSession, paths: list[str], pattern: str | None
     out = None
     for row in _headers(spark, paths, pattern):  # a handful of column layouts
         df = spark.read.options(**CSV_OPTIONS).option("enforceSchema", "false").csv(row.paths)
-        df = normalize_outputs(df.select("*", F.col("_metadata.file_path").alias("path")))
+        df = normalize_outputs(file_index(df, "pos", "path"))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"no outputs files in {paths}")
@@ -150,19 +188,17 @@ def read_outputs(spark: SparkSession, directory: str, pattern: str = OUTPUTS) ->
     return read_output_files(spark, [f"{directory.rstrip('/')}/{pattern}"])
 
 
-def write_outputs(df: DataFrame, directory: str, step: int, order: str = "example_id", older: bool = False) -> None:
-    """One outputs file of a step, rows in the order of the examples: the format
-    is one file, so its rows pass through one task."""
+def write_outputs(df: DataFrame, directory: str, step: int, order: str = "example_id", older: bool = False, parts: int | None = None) -> None:
+    """The outputs of a step, rows in the order of the examples: a folder of the
+    file's name with ordered part files."""
     name = f"outputs_eval-{step}.csv" if older else f"outputs_validation_{step}.csv"
-    _csv_ready(df.orderBy(order).drop(order).coalesce(1)).write.options(**CSV_OPTIONS).csv(f"{directory.rstrip('/')}/{name}")
+    write_ordered(df, f"{directory.rstrip('/')}/{name}", order, parts)
 
 
 def normalize_outputs(df: DataFrame) -> DataFrame:
     """``source`` from ``source`` or ``sources`` (both dialects), blank
     prediction → '', ``references`` parsed from the JSON ``reference`` column,
-    ``step`` from the file name when absent, ``pos`` = dense position in the file."""
-    if "path" in df.columns:
-        df = dense_index(df, "pos", ("path",))
+    ``step`` from the file name when absent."""
     src = [F.col(c) for c in ("source", "sources") if c in df.columns]
     cols = {"source": F.coalesce(*src) if src else F.lit(None).cast("string"),
             "prediction": F.coalesce(F.col("prediction"), F.lit(""))}

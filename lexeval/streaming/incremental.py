@@ -15,9 +15,10 @@ already seen is not picked up again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexeval.plans.posthoc import score_files
-from lexeval.sources.io import OUTPUTS
+from lexeval.sources.io import OUTPUTS, file_of
 
 #: Files of one micro-batch.
 FILES_PER_BATCH = 64
@@ -33,7 +34,8 @@ def score_new_outputs(spark: SparkSession, outputs_dir: str, dataset: DataFrame,
              .option("maxFilesPerTrigger", FILES_PER_BATCH).load(f"{outputs_dir.rstrip('/')}/{pattern}").select("path"))
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        paths = sorted(r.path for r in df.collect())  # FILES_PER_BATCH names at most
+        files = df.select(file_of(F.col("path")).alias("path")).distinct()  # the parts of a step are one file
+        paths = sorted(r.path for r in files.collect())  # FILES_PER_BATCH names at most
         if paths:
             score_files(spark, paths, dataset, metrics, run, summary_path, scores_path, log_path)
 

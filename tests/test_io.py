@@ -178,3 +178,53 @@ def test_tuple_predictions_and_batched_row_function(spark):
     nums = spark.range(10)
     out = map_batches(nums, lambda pdf: pdf.assign(id=pdf["id"] * 2), "id long")
     assert sorted(r.id for r in out.collect()) == list(range(0, 20, 2))
+
+
+def test_positions_follow_the_part_files(spark, tmp):
+    """Parts of unequal size, read by tasks in any order."""
+    rows = [(i, f"s{i}", f"p{i} " + "x" * (i % 7 * 50)) for i in range(500)]
+    df = spark.createDataFrame(rows, "example_id long, source string, prediction string").repartition(5)
+    io.write_outputs(df, tmp, 3, parts=7)
+    io.write_outputs(df.withColumnRenamed("source", "sources"), tmp, 4, older=True, parts=3)
+    assert len([f for f in os.listdir(os.path.join(tmp, "outputs_validation_3.csv")) if f.startswith("part-")]) == 7
+    got = io.read_outputs(spark, tmp)
+    assert got.select("path").distinct().count() == 2
+    assert sorted((r.step, r.pos, r.source, r.prediction) for r in got.collect()) == sorted((s, i, a, b) for s in (3, 4) for i, a, b in rows)
+
+
+def test_part_numbers_order_by_value(spark, tmp):
+    folder = os.path.join(tmp, "outputs_validation_1.csv")
+    os.makedirs(folder)
+    for k, part in enumerate(("part-00002-x", "part-99999-x", "part-100000-x")):
+        pd.DataFrame({"source": [f"s{k}"], "prediction": ["p"]}).to_csv(os.path.join(folder, part + ".csv"), index=False)
+    assert [(r.pos, r.source) for r in io.read_outputs(spark, tmp).orderBy("pos").collect()] == [(0, "s0"), (1, "s1"), (2, "s2")]
+
+
+def test_json_folder_keeps_its_order(spark, tmp):
+    df = spark.range(300).select(F.col("id").alias("example_id"), F.format_string("row %d", "id").alias("input"))
+    io.write_ordered(df.repartition(4), os.path.join(tmp, "train.json"), "example_id", 6)
+    got = io.load_custom_dataset(spark, train_file=os.path.join(tmp, "train.json"))
+    assert all(r.input == f"row {r.example_id}" for r in got.collect()) and got.count() == 300
+
+
+def test_fingerprints_find_one_changed_row(spark):
+    from lexeval.plans.posthoc import differing_rows
+    n = 1000
+    data = spark.range(n).select(F.col("id").alias("example_id"), F.when(F.col("id") % 9 != 0, F.format_string("t%d", "id")).alias("input"))
+    def file(name, **change):
+        return data.select(F.lit(name).alias("path"), "example_id", F.coalesce(*[F.when(F.col("example_id") == int(k[1:]), F.lit(v)) for k, v in change.items()], F.col("input")).alias("source"))
+    clean, one = file("clean", _5="t5"), file("one", _5="other")
+    swapped = file("swapped", _1="t2", _2="t1")
+    lost = file("lost", _5="t5").where("example_id <> 7")
+    null = file("null", _9="")
+    got = differing_rows(clean.union(one).union(swapped).union(lost).union(null), data, span=64).collect()
+    assert sorted((r.path, r.example_id, r.expected, r.got) for r in got) == [
+        ("lost", 7, "t7", None), ("null", 9, None, ""), ("one", 5, "t5", "other"), ("swapped", 1, "t1", "t2"), ("swapped", 2, "t2", "t1")]
+
+
+def test_a_clean_run_shuffles_no_text(spark):
+    from lexeval.plans.posthoc import fingerprints
+    data = spark.range(100).select(F.col("id").alias("example_id"), F.lit("a text").alias("input"))
+    plan = fingerprints(data, "input")._jdf.queryExecution().executedPlan().toString()
+    exchange = [x for x in plan.split("\n") if "partial_bit_xor" in x]
+    assert exchange and plan.index("Exchange") < plan.index("partial_bit_xor")  # texts become numbers before they move

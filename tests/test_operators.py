@@ -71,6 +71,13 @@ def test_subset_limits(spark):
     assert [r.example_id for r in recipes.select_subset(df, {"train": 3}).collect()] == [0, 1, 2]
 
 
+def test_subset_of_several_splits_keeps_null_splits(spark):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([None, "a", "b", None, "a", "c", "b", "a", "c"])], "example_id long, split string")
+    got = recipes.select_subset(df, {"a": 2, "b": 1, "c": 0, "d": 5})
+    assert sorted(r.example_id for r in got.collect()) == [0, 1, 2, 3, 4]
+    assert got._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2  # kept small in each task
+
+
 def test_prepare_custom_needs_columns(spark):
     df = spark.createDataFrame([(1, "x")], "example_id long, input string")
     with pytest.raises(ValueError):
