@@ -41,6 +41,7 @@ empty table gives an empty result.  Only doc_id and text are read;
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -54,6 +55,10 @@ from lexeval.llm.components import components
 BLOCKS, PAIRED = 4, 2
 #: Members from which on a key is hot.
 HOT = 64
+#: Parts of the keys that are paired one after another, so that a part's shuffles bound the disk.
+TURNS = 4
+#: Parity bits that travel with the keys.
+PRINT = ("m0", "m1")
 SIMILARITY = 0.8
 #: Pairs up to this many (16 bytes each) are broadcast to pick their texts.
 BROADCAST_PAIRS = 1_000_000
@@ -119,13 +124,16 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 
 def cross_pairs(rows: DataFrame, least: float) -> DataFrame:
     """(a, b, weak) for each key that two lines of ``rows(key, id, component, n,
-    weak, members)`` share, if they lie in different components and their lengths
-    allow the similarity.  Keys of up to HOT rows are joined with themselves; in
+    weak, m0, m1, members)`` share, if they lie in different components and their
+    lengths and half of their parity bits allow the similarity.  Keys of up to HOT rows are joined with themselves; in
     others, two components differ first in one binary digit of their ranks, and
     only there their lines meet."""
-    side = lambda df, less: df.select(*[c for c in df.columns if c not in ("id", "component", "n", "weak")],
-                                      *[F.col(c).alias(less + c) for c in ("id", "component", "n", "weak")])
-    fits = F.abs(F.col("x_n") - F.col("y_n")) <= most_edits(F.greatest("x_n", "y_n"), least)
+    own = ["id", "component", "n", "weak", *PRINT]
+    side = lambda df, less: df.select(*[c for c in df.columns if c not in own], *[F.col(c).alias(less + c) for c in own])
+    most = most_edits(F.greatest("x_n", "y_n"), least)
+    # of pairs that share many keys, as lines around one passage do, most end here and not after the shuffle of all pairs
+    apart = F.bit_count(F.col("x_m0").bitwiseXOR(F.col("y_m0"))) + F.bit_count(F.col("x_m1").bitwiseXOR(F.col("y_m1")))
+    fits = (F.abs(F.col("x_n") - F.col("y_n")) <= most) & (apart <= 2 * most)
     out = [F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), (F.col("x_weak") & F.col("y_weak")).alias("weak")]
     cold = rows.where(F.col("members") <= HOT).drop("members")
     few = side(cold, "x_").join(side(cold, "y_"), "key").where((F.col("x_component") < F.col("y_component")) & fits)
@@ -133,7 +141,7 @@ def cross_pairs(rows: DataFrame, least: float) -> DataFrame:
     rank = hot.withColumn("rank", F.dense_rank().over(Window.partitionBy("key").orderBy("component")) - 1)
     most = rank.groupBy("key").agg(F.max("rank").alias("last")).where("last > 0")
     digits = F.length(F.bin("last")) - 1
-    digit = rank.join(most, "key").select("key", "id", "component", "n", "weak", "rank", F.explode(F.sequence(F.lit(0), digits)).alias("digit"))
+    digit = rank.join(most, "key").select("key", *own, "rank", F.explode(F.sequence(F.lit(0), digits)).alias("digit"))
     digit = digit.withColumns({"above": F.expr("shiftright(rank, digit + 1)"), "bit": F.expr("shiftright(rank, digit) & 1")}).drop("rank")
     many = side(digit.where("bit = 0").drop("bit"), "x_").join(side(digit.where("bit = 1").drop("bit"), "y_"), ["key", "digit", "above"]).where(fits)
     return few.select(*out).union(many.select(*out))
@@ -181,15 +189,22 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     pairs = linecodes.rarest_pairs(word_classes(lines), least)
     shared = stage(shared_keys(lines.select("id", "code").mapInArrow(pairs, "key bigint, id bigint")), "keys")
     release(spark)
+    keyed = shared
     weak, length = (F.col("id") % 2 == 1).alias("weak"), (F.octet_length("code") / 2).cast("int").alias("n")
     half = lambda c: F.shiftright(c, 1)
     shared = shared.select("key", half("id").alias("id"), weak, half("low").alias("low"), "members")
     hot = stage(verified(stars(shared.where(F.col("members") > HOT), "low")), "links")
     label = components(links.union(hot))
-    known = lines.select("id", length).join(label, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    known = shared.drop("low").join(known, "id").select("key", "id", "component", "n", "weak", "members")
-    pairs = cross_pairs(known, least).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("weak").alias("weak"))
+    known = lines.select("id", length, *PRINT).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    met = []
+    for turn in range(TURNS):
+        part = shared.where(F.pmod("key", F.lit(TURNS)) == turn).drop("low").join(known, "id")
+        met.append(stage(cross_pairs(part.select("key", "id", "component", "n", "weak", *PRINT, "members"), least), "met"))
+        release(spark)
+    pairs = reduce(DataFrame.union, met).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("weak").alias("weak"))
     rest = stage(pairs.where("common > 1 or weak").select("a", "b"), "rest")
+    for part in (keyed, *met):
+        discard(part)
     release(spark)
     label = components(links.union(hot).union(verified(rest)))
     grouped = lines.join(label, "id", "left").where("n > 1 or component is not null").select(
