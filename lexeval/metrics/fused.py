@@ -11,13 +11,16 @@ per group yields all corpus scores.  Results equal the per-family functions
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexeval.functions.text import chrf_chars, chrf_words, meteor_tokens, rouge_tokens, ter_tokens, tok_13a
-from lexeval.metrics.ngram import best_chrf, bleu_from_sums, by_example, chrf_from_sums, over, usable_refs
+from lexeval.metrics.ngram import best_chrf, bleu_from_sums, by_example, chrf_from_sums, over, predicted, usable_refs
 from lexeval.metrics.sequence import rouge_scores, ter_from_sums
 from lexeval.operators import kernels
 
@@ -32,11 +35,61 @@ _OUT = T.StructType([
     T.StructField("t", _LL),                               # TER edits per reference
     T.StructField("w", _LL),                               # word edit distance per reference
     T.StructField("l", _LL),                               # LCS per reference
-    T.StructField("mt", T.ArrayType(T.DoubleType())),      # METEOR per reference
+    T.StructField("mt", T.ArrayType(T.ArrayType(T.DoubleType()))),  # METEOR per setting and reference
 ])
 
-
-def _kernel(sel: frozenset):
+#: Settings of each metric and their defaults.
+SETTINGS: dict[str, dict] = {
+    "BLEU": {"max_order": 4, "lowercase": False}, "BLEU_lower": {"max_order": 4},
+    "chrF++": {"char_order": 6, "word_order": 2, "beta": 2.0},
+    "TER": {}, "word_edit_rate": {}, "rougeL": {}, "meteor": {"alpha": 0.9, "beta": 3.0, "gamma": 0.5}}
+_MOST = {"max_order": (1, 4), "char_order": (1, 6), "word_order": (0, 2)}
+
+
+@dataclass(frozen=True)
+class Spec:
+    """A metric with settings, under the name of its result column."""
+    label: str
+    metric: str
+    config: Mapping = field(default_factory=dict, hash=False)
+
+    def settings(self) -> dict:
+        known = SETTINGS[self.metric]
+        strange = set(self.config) - set(known)
+        if strange:
+            raise ValueError(f"{self.metric} has no setting {sorted(strange)}; it has {sorted(known)}")
+        out = known | dict(self.config)
+        for name, (low, high) in _MOST.items():
+            if name in out and not low <= out[name] <= high:
+                raise ValueError(f"{self.metric}: {name} is {out[name]}, not in {low} to {high}")
+        return out
+
+    def family(self) -> str:
+        """The metric whose tokens and kernel serve this one."""
+        return "BLEU_lower" if self.metric == "BLEU" and self.settings()["lowercase"] else self.metric
+
+
+def specs_of(metrics) -> list[Spec]:
+    """Names, specs, or a mapping ``{label: settings | metric | (metric,
+    settings)}``: ``{"chrF++": {"word_order": 1}, "chrF": ("chrF++", {"word_order": 0})}``."""
+    if not isinstance(metrics, Mapping):
+        return [m if isinstance(m, Spec) else Spec(m, m) for m in metrics]
+    out = []
+    for label, what in metrics.items():
+        if isinstance(what, str):
+            what = (what, {})
+        elif what is None or isinstance(what, Mapping):
+            what = (label, what or {})
+        out.append(Spec(label, what[0], dict(what[1])))
+    return out
+
+
+def _meteor_settings(specs: list[Spec]) -> list[tuple]:
+    """The distinct METEOR settings, in order; the kernel returns one list of scores for each."""
+    return list(dict.fromkeys(tuple(s.settings().values()) for s in specs if s.metric == "meteor"))
+
+
+def _kernel(sel: frozenset, meteor: tuple = (tuple(SETTINGS["meteor"].values()),)):
     @F.pandas_udf(_OUT)
     def run(bh: pd.Series, br: pd.Series, lh: pd.Series, lr: pd.Series, ch: pd.Series, cw: pd.Series,
             crc: pd.Series, crw: pd.Series, th: pd.Series, tr: pd.Series, rh: pd.Series, rr: pd.Series,
@@ -60,7 +113,7 @@ def _kernel(sel: frozenset):
                 h = list(rh.iat[i])
                 out["l"][i] = [kernels.lcs_len(list(r), h) for r in rr.iat[i]]
             if "meteor" in sel:
-                out["mt"][i] = [kernels.meteor_row(mh.iat[i], r) for r in mr.iat[i]]
+                out["mt"][i] = [[kernels.meteor_row(mh.iat[i], r, *how) for r in mr.iat[i]] for how in meteor]
         return pd.DataFrame(out)
 
     return run
@@ -88,10 +141,10 @@ def prediction_columns(sel) -> dict:
     words = sel & {"TER", "word_edit_rate"}
     of = lambda on, c, empty: c if on else empty
     none = F.array().cast(_S)
-    return {"bh": of("BLEU" in sel, tok_13a("prediction"), none), "lh": of("BLEU_lower" in sel, tok_13a("prediction", True), none),
-            "ch": of("chrF++" in sel, chrf_chars("prediction"), F.lit("")), "cw": of("chrF++" in sel, chrf_words("prediction"), none),
-            "th": of(words, ter_tokens("prediction"), none), "rh": of("rougeL" in sel, rouge_tokens("prediction"), none),
-            "mh": of("meteor" in sel, meteor_tokens("prediction"), none)}
+    return {"bh": of("BLEU" in sel, tok_13a(predicted()), none), "lh": of("BLEU_lower" in sel, tok_13a(predicted(), True), none),
+            "ch": of("chrF++" in sel, chrf_chars(predicted()), F.lit("")), "cw": of("chrF++" in sel, chrf_words(predicted()), none),
+            "th": of(words, ter_tokens(predicted()), none), "rh": of("rougeL" in sel, rouge_tokens(predicted()), none),
+            "mh": of("meteor" in sel, meteor_tokens(predicted()), none)}
 
 
 def kernel_columns(sel, known=()) -> list:
@@ -102,54 +155,76 @@ def kernel_columns(sel, known=()) -> list:
     return [cols[n].alias(n) for n in NAMES]
 
 
-def evaluate_fused(pairs: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    sel = frozenset(metrics)
-    unknown = sel - set(FUSABLE)
+def _picked(places: list[int]):
+    return lambda r: F.array(*[r[x] for x in places])
+
+
+def _columns(specs: list[Spec]) -> tuple[dict[str, Column], dict[str, Column], dict[str, Column]]:
+    """Columns made once a row, statistics over them, and scores over the statistics' sums."""
+    unknown = {s.metric for s in specs} - set(FUSABLE)
     if unknown:
         raise KeyError(f"not fusable: {sorted(unknown)}")
-    base = by_example(pairs).select(*keys, "example_id", *kernel_columns(sel, pairs.columns))
-    st = base.select(*keys, "example_id", "tr", "rh", "rr", _kernel(sel)(*NAMES).alias("s"))
-
-    per_row = [*keys]
-    aggs = []
-    final = {}
-    if "BLEU" in sel or "BLEU_lower" in sel:
-        for m, f in (("BLEU", "b"), ("BLEU_lower", "bl")):
-            if m not in sel:
-                continue
-            v = F.col("s")[f]
-            aggs += [F.sum(v[0]).alias(f"{f}_sys"), F.sum(v[1]).alias(f"{f}_ref")]
-            aggs += [F.sum(v[2 + n]).alias(f"{f}_m{n}") for n in range(4)]
-            aggs += [F.sum(over(v[0], n)).alias(f"{f}_t{n}") for n in range(4)]
-            final[m] = bleu_from_sums(F.col(f"{f}_sys"), F.col(f"{f}_ref"),
-                                      [F.col(f"{f}_m{n}") for n in range(4)],
-                                      [F.col(f"{f}_t{n}") for n in range(4)])
-    if "chrF++" in sel:
-        per_row.append(best_chrf(F.col("s")["c"], ORDERS)["stats"].alias("chrf_best"))
-        aggs += [F.sum(F.col("chrf_best")[o][f]).alias(f"c{f}{o}") for o in range(ORDERS) for f in "hrm"]
-        final["chrF++"] = chrf_from_sums(*[[F.col(f"c{f}{o}") for o in range(ORDERS)] for f in "hrm"])
+    how = _meteor_settings(specs)
+    rows: dict[str, Column] = {}
+    stats: dict[str, Column] = {}
+    scores: dict[str, Column] = {}
     n_refs = F.size("tr")
     ref_len = F.aggregate("tr", F.lit(0).cast("long"), lambda a, r: a + F.size(r)) / n_refs
-    for m, f in (("TER", "t"), ("word_edit_rate", "w")):
-        if m in sel:
-            per_row += [F.when(n_refs > 0, F.array_min(F.col("s")[f])).alias(f"{f}_e"),
-                        F.when(n_refs > 0, ref_len).alias(f"{f}_l")]
-            aggs += [F.sum(f"{f}_e").alias(f"{f}_E"), F.sum(f"{f}_l").alias(f"{f}_L")]
-            final[m] = ter_from_sums(F.col(f"{f}_E"), F.col(f"{f}_L"))
-    if "rougeL" in sel:
-        scores = rouge_scores(F.col("rh"), F.col("rr"), F.col("s")["l"])
-        per_row.append(F.array_max(F.transform(scores, lambda x: x["f"])).alias("rouge_f"))
-        aggs.append(F.avg("rouge_f").alias("rouge_avg"))
-        final["rougeL"] = F.col("rouge_avg")
-    if "meteor" in sel:
-        per_row.append(F.array_max(F.col("s")["mt"]).alias("meteor_v"))
-        aggs.append(F.avg("meteor_v").alias("meteor_avg"))
-        final["meteor"] = F.col("meteor_avg")
-    per_row.append("s")
-    rows = st.select(*per_row)
-    sums = rows.groupBy(*keys).agg(*aggs, F.count("*").alias("_rows"))
+    for i, spec in enumerate(specs):
+        name, c, m = lambda x, i=i: f"_{i}_{x}", spec.settings(), spec.metric  # noqa: B023
+        col = lambda x, name=name: F.col(name(x))
+        if m in ("BLEU", "BLEU_lower"):
+            v, orders = F.col("s")["b" if spec.family() == "BLEU" else "bl"], range(c["max_order"])
+            stats |= {name("sys"): v[0], name("ref"): v[1]}
+            stats |= {name(f"m{n}"): v[2 + n] for n in orders} | {name(f"t{n}"): over(v[0], n) for n in orders}
+            scores[spec.label] = bleu_from_sums(col("sys"), col("ref"), [col(f"m{n}") for n in orders], [col(f"t{n}") for n in orders])
+        elif m == "chrF++":
+            n_orders = c["char_order"] + c["word_order"]
+            flat = F.col("s")["c"]
+            if (c["char_order"], c["word_order"]) != (ORDERS - 2, 2):  # the first orders of each kind
+                pick = [*range(3 * c["char_order"]), *range(18, 18 + 3 * c["word_order"])]
+                flat = F.transform(flat, _picked(pick))
+            rows[name("best")] = best_chrf(flat, n_orders, c["beta"])["stats"]
+            stats |= {name(f"{f}{o}"): col("best")[o][f] for o in range(n_orders) for f in "hrm"}
+            scores[spec.label] = chrf_from_sums(*[[col(f"{f}{o}") for o in range(n_orders)] for f in "hrm"], beta=c["beta"])
+        elif m in ("TER", "word_edit_rate"):
+            rows |= {name("e"): F.when(n_refs > 0, F.array_min(F.col("s")["t" if m == "TER" else "w"])), name("l"): F.when(n_refs > 0, ref_len)}
+            stats |= {name("e"): col("e"), name("l"): col("l")}
+            scores[spec.label] = ter_from_sums(col("e"), col("l"))
+        else:  # a mean over the examples that have a score
+            each = (F.array_max(F.transform(rouge_scores(F.col("rh"), F.col("rr"), F.col("s")["l"]), lambda x: x["f"])) if m == "rougeL"
+                    else F.array_max(F.col("s")["mt"][how.index(tuple(c.values()))]))
+            rows[name("v")] = each
+            stats |= {name("v"): col("v"), name("n"): col("v").isNotNull().cast("long")}
+            scores[spec.label] = F.when(col("n") > 0, col("v") / col("n"))
+    return rows, stats, scores
+
+
+def score_columns(specs: list[Spec]) -> dict[str, Column]:
+    """``label -> expression`` over the sums of the statistics of :func:`statistics`."""
+    return _columns(specs)[2]
+
+
+def statistics(pairs: DataFrame, keys: list[str], specs: list[Spec]) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """What every corpus score is made of: rows, one an example; statistics of a
+    row (``name -> number``, NULL where it counts in no score); and scores
+    (``label -> expression``) over columns of those names that hold their sums.
+    Sums over any parts of the rows add up, so they can be stored, merged,
+    weighted or replaced (``metrics.bootstrap``, ``plans.rescore``)."""
+    rows, stats, scores = _columns(specs)
+    sel = frozenset(s.family() for s in specs)
+    base = by_example(pairs).select(*keys, "example_id", *kernel_columns(sel, pairs.columns))
+    st = base.select(*keys, "example_id", "tr", "rh", "rr", _kernel(sel, tuple(_meteor_settings(specs)))(*NAMES).alias("s"))
+    return st.select(*keys, "example_id", *[c.alias(n) for n, c in rows.items()], "s"), stats, scores
+
+
+def evaluate_fused(pairs: DataFrame, keys: list[str], metrics) -> DataFrame:
+    """``metrics`` as for :func:`specs_of`: any number of settings of a metric
+    share its tokens and one kernel call a row."""
+    rows, stats, scores = statistics(pairs, keys, specs_of(metrics))
+    sums = rows.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in stats.items()], F.count("*").alias("_rows"))
     # an empty input (global summary, no keys) gives one row of NULL metrics
-    return sums.select(*keys, *[F.when(F.col("_rows") > 0, final[m]).alias(m) for m in metrics])
+    return sums.select(*keys, *[F.when(F.col("_rows") > 0, c).alias(label) for label, c in scores.items()])
 
 
 def per_example_fused(pairs: DataFrame, keys: list[str], carry=("source", "prediction", "references")) -> DataFrame:
@@ -162,4 +237,4 @@ def per_example_fused(pairs: DataFrame, keys: list[str], carry=("source", "predi
     st = base.select(*keys, "example_id", *carried, _kernel(sel)(*NAMES).alias("s"))
 
     return st.select(*keys, "example_id", *carried, best_chrf(F.col("s")["c"], ORDERS)["f"].alias("chrf"),
-                     F.array_max(F.col("s")["mt"]).alias("meteor"))
+                     F.array_max(F.col("s")["mt"][0]).alias("meteor"))

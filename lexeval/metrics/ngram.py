@@ -36,6 +36,11 @@ def usable_refs(col: str | Column = "references") -> Column:
                     lambda r: r.isNotNull() & (r != ""))
 
 
+def predicted() -> Column:
+    """The prediction as every metric reads it: NULL counts as the empty text."""
+    return F.coalesce(F.col("prediction"), F.lit(""))
+
+
 def by_example(pairs: DataFrame, partitioned: bool = True) -> DataFrame:
     """Per-example work needs no co-location beyond the row itself (prediction
     and references are already aligned in one row), so rows are scored where
@@ -54,7 +59,7 @@ def bleu_stats(pairs: DataFrame, keys: list[str], lowercase: bool = False, max_o
 
     Tokenisation is JVM regex; the multiset clipping is an Arrow-batched
     kernel over the two token arrays of the row (no explode, no shuffle)."""
-    hyp = tok_13a("prediction", lowercase)
+    hyp = tok_13a(predicted(), lowercase)
     refs = F.transform(usable_refs(), lambda r: tok_13a(r, lowercase))
     base = by_example(pairs, partitioned).select(*keys, "example_id", hyp.alias("hyp"), refs.alias("refs"))
     st = base.select(*keys, "example_id", F.when(F.size("refs") > 0, kernels.bleu_stats_udf("hyp", "refs")).alias("s"))
@@ -157,7 +162,7 @@ def chrf_stats(pairs: DataFrame, keys: list[str], char_order: int = CHAR_ORDER,
     refs = usable_refs()
     base = by_example(pairs, partitioned).select(
         *keys, "example_id",
-        chrf_chars("prediction").alias("hc"), chrf_words("prediction").alias("hw"),
+        chrf_chars(predicted()).alias("hc"), chrf_words(predicted()).alias("hw"),
         F.transform(refs, lambda r: chrf_chars(r)).alias("rc"),
         F.transform(refs, lambda r: chrf_words(r)).alias("rw"))
     st = base.select(*keys, "example_id", kernels.chrf_stats_udf(char_order, word_order)("hc", "hw", "rc", "rw").alias("per_ref"))

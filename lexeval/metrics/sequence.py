@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexeval.functions.text import meteor_tokens, rouge_tokens, ter_tokens
-from lexeval.metrics.ngram import by_example, usable_refs
+from lexeval.metrics.ngram import by_example, predicted, usable_refs
 from lexeval.operators import kernels
 from lexeval.operators.tokens import lookup
 
@@ -43,7 +43,7 @@ def rouge_scores(hyp, refs, lcs):
 def rouge_l_per_example(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Per example: LCS precision, recall and F1 of the reference with the
     highest F1 (lower-case ``[a-z0-9]+`` tokens; empty side → 0)."""
-    base = by_example(pairs).select(*keys, "example_id", rouge_tokens("prediction").alias("h"),
+    base = by_example(pairs).select(*keys, "example_id", rouge_tokens(predicted()).alias("h"),
                                     F.transform(usable_refs(), lambda r: rouge_tokens(r)).alias("rs"))
     st = base.select(*keys, "example_id", "h", "rs", kernels.lcs_udf("h", "rs").alias("lcs"))
     best = _best(rouge_scores(F.col("h"), F.col("rs"), F.col("lcs")), lambda a, b: a["f"] > b["f"])
@@ -62,7 +62,7 @@ def rouge_l(pairs: DataFrame, keys: list[str], name: str = "rougeL") -> DataFram
 def edit_stats(pairs: DataFrame, keys: list[str], shifts: bool = True, case_sensitive: bool = False) -> DataFrame:
     """Per example: ``edits`` (fewest edits over references) and ``ref_len``
     (mean reference length in words)."""
-    base = by_example(pairs).select(*keys, "example_id", ter_tokens("prediction", case_sensitive).alias("h"),
+    base = by_example(pairs).select(*keys, "example_id", ter_tokens(predicted(), case_sensitive).alias("h"),
                         F.transform(usable_refs(), lambda r: ter_tokens(r, case_sensitive)).alias("rs"))
     udf = kernels.ter_udf if shifts else kernels.word_edit_udf
     st = base.select(*keys, "example_id", "rs", udf("h", "rs").alias("e"))
@@ -96,7 +96,7 @@ def meteor_per_example(pairs: DataFrame, keys: list[str], classes: DataFrame | N
     Exact word matches first; with ``classes`` — a ``(token, cls)`` table of any
     size, such as stems or synonym sets — remaining words with equal classes
     match in a second stage."""
-    base = by_example(pairs).select(*keys, "example_id", meteor_tokens("prediction").alias("h"),
+    base = by_example(pairs).select(*keys, "example_id", meteor_tokens(predicted()).alias("h"),
                                     F.transform(usable_refs(), lambda r: meteor_tokens(r)).alias("rs"))
     if classes is None:
         st = base.select(*keys, "example_id", kernels.meteor_udf("h", "rs").alias("s"))

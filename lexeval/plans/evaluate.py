@@ -5,32 +5,47 @@ table (M13 / P12) and scoring from generated ids (U3).
 ``evaluate(pairs, keys, metrics)`` plans only the selected metric families;
 each family is one narrow pass over the aligned rows plus a tiny aggregation,
 and the per-group results (one row per group each) are joined on the keys.
+Every metric may be asked for several times with settings of its own, and a
+user may add metrics as DataFrame functions (:func:`register_metric`) or as
+aggregators (:func:`register_aggregator`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexeval.metrics import ngram, sequence
-from lexeval.metrics.fused import FUSABLE, evaluate_fused, per_example_fused
+from lexeval.metrics.aggregators import Aggregator, aggregate
+from lexeval.metrics.fused import FUSABLE, evaluate_fused, per_example_fused, specs_of
 from lexeval.operators import tokens
 
-MetricFn = Callable[[DataFrame, list[str], str], DataFrame]
+MetricFn = Callable[..., DataFrame]
 
 METRICS: dict[str, MetricFn] = {}
+AGGREGATORS: dict[str, Callable[..., Aggregator]] = {}
 
 
 def register_metric(name: str, fn: MetricFn) -> None:
-    """Add a metric: ``fn(pairs, keys, name) -> DataFrame(keys..., name)``."""
+    """Add a metric: ``fn(pairs, keys, name, **settings) -> DataFrame(keys..., name)``."""
+    AGGREGATORS.pop(name, None)
     METRICS[name] = fn
 
 
-register_metric("BLEU", lambda p, k, n: ngram.corpus_bleu(p, k, lowercase=False, name=n))
-register_metric("BLEU_lower", lambda p, k, n: ngram.corpus_bleu(p, k, lowercase=True, name=n))
-register_metric("chrF++", lambda p, k, n: ngram.corpus_chrf(p, k, name=n))
+def register_aggregator(name: str, make: Callable[..., Aggregator]) -> None:
+    """Add a metric as an aggregator: ``make(**settings)``.  All aggregators of a
+    call share one pass over the rows (see ``metrics.aggregators``)."""
+    METRICS.pop(name, None)
+    AGGREGATORS[name] = make
+
+
+register_metric("BLEU", lambda p, k, n, **c: ngram.corpus_bleu(p, k, name=n, **{"lowercase": False, **c}))
+register_metric("BLEU_lower", lambda p, k, n, **c: ngram.corpus_bleu(p, k, lowercase=True, name=n, **c))
+register_metric("chrF++", lambda p, k, n, **c: ngram.corpus_chrf(p, k, name=n, **c))
 register_metric("TER", lambda p, k, n: sequence.ter(p, k, name=n))
 register_metric("word_edit_rate", lambda p, k, n: sequence.word_edit_rate(p, k, name=n))
 register_metric("rougeL", lambda p, k, n: sequence.rouge_l(p, k, name=n))
@@ -40,31 +55,40 @@ BUILTIN = dict(METRICS)
 LIGHT = ["BLEU", "BLEU_lower", "chrF++", "TER", "rougeL", "meteor"]
 
 
-def evaluate(pairs: DataFrame, keys: list[str] | tuple = ("step",), metrics: list[str] | None = None, fused: bool = True,
+def evaluate(pairs: DataFrame, keys: list[str] | tuple = ("step",), metrics=None, fused: bool = True,
              heavy: dict[str, DataFrame] | None = None) -> DataFrame:
     """Wide summary: one row per group, one column per metric.
 
-    The built-in light metrics among the requested ones are computed in one pass
-    (``metrics.fused``): one projection, one kernel call per row, one
-    aggregation.  User metrics are planned one by one and joined on the keys, a
-    row a group.  ``heavy`` adds families whose per-example scores come from
-    their own tables (see :func:`heavy_per_example`): the mean of each score
-    column per group."""
+    ``metrics`` lists names, or maps result columns to settings:
+    ``{"BLEU": {}, "chrF": ("chrF++", {"word_order": 0})}`` (see
+    ``metrics.fused.SETTINGS``).  The built-in light metrics among them are
+    computed in one pass (``metrics.fused``): one projection, one kernel call per
+    row, one aggregation.  User aggregators share a second pass.  Other user
+    metrics are planned one by one; all are joined on the keys, a row a group.
+    ``heavy`` adds families whose per-example scores come from their own tables
+    (see :func:`heavy_per_example`): the mean of each score column per group."""
     keys = list(keys)
-    metrics = list(LIGHT if metrics is None else metrics)
-    unknown = [m for m in metrics if m not in METRICS]
+    specs = specs_of(LIGHT if metrics is None else metrics)
+    metrics = [s.label for s in specs]
+    if len(set(metrics)) < len(metrics):
+        raise ValueError(f"one result column asked for twice: {metrics}")
+    unknown = [s.metric for s in specs if s.metric not in METRICS and s.metric not in AGGREGATORS]
     if unknown:
-        raise KeyError(f"unknown metrics {unknown}; registered: {sorted(METRICS)}")
-    built_in = [m for m in metrics if fused and m in FUSABLE and METRICS[m] is BUILTIN[m]]
+        raise KeyError(f"unknown metrics {unknown}; registered: {sorted([*METRICS, *AGGREGATORS])}")
+    built_in = [s for s in specs if fused and s.metric in FUSABLE and METRICS.get(s.metric) is BUILTIN[s.metric]]
+    own = [s for s in specs if s.metric in AGGREGATORS]
     parts = [evaluate_fused(pairs, keys, built_in)] if built_in else []
-    parts += [METRICS[m](pairs, keys, m) for m in metrics if m not in built_in]
+    parts += [aggregate(pairs, keys, {s.label: AGGREGATORS[s.metric](**s.config) for s in own})] if own else []
+    parts += [METRICS[s.metric](pairs, keys, s.label, **s.config) for s in specs if s not in built_in and s not in own]
     if heavy:
         parts.append(heavy_summary(heavy_per_example(pairs.select(*keys, "example_id"), heavy, keys), keys))
     one = keys or ["_group"]  # without keys each part is one row
     parts = parts if keys else [p.withColumn("_group", F.lit(1)) for p in parts]
     out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, one, "full_outer")
+    for p in parts[1:]:  # groups of a NULL key are groups like any other
+        p = p.withColumnsRenamed({k: f"__{k}" for k in one})
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in one])
+        out = out.join(p, same, "full_outer").withColumns({k: F.coalesce(k, f"__{k}") for k in one}).drop(*[f"__{k}" for k in one])
     return out.drop("_group").select(*keys, *[F.col(f"`{m}`") for m in metrics], *[F.col(f"`{c}`") for c in out.columns if c not in (*one, *metrics)])
 
 

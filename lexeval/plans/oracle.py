@@ -9,7 +9,8 @@ from lexeval.plans.sql_views import with_views
 ORACLE: dict[str, str] = {}
 
 
-def _bleu_sql(lower: bool, name: str) -> str:
+def _bleu_sql(lower: bool, name: str, orders: int = 4) -> str:
+    each = lambda form, sep: sep.join(form.format(n) for n in range(1, orders + 1))
     grams_h = " UNION ALL ".join(
         f"SELECT step, example_id, hyp_len, ref_len, {n} AS n, -1 AS src, unnest({S.ngrams('hyp', n)}) AS gram FROM q"
         for n in range(1, 5))
@@ -17,9 +18,9 @@ def _bleu_sql(lower: bool, name: str) -> str:
         f"SELECT step, example_id, hyp_len, ref_len, {n} AS n, k AS src, unnest({S.ngrams('r', n)}) AS gram FROM qr"
         for n in range(1, 5))
     body = f"""
-SELECT step, round(CASE WHEN NOT (m1 > 0 OR m2 > 0 OR m3 > 0 OR m4 > 0) OR t1 = 0 OR t2 = 0 OR t3 = 0 OR t4 = 0
+SELECT step, round(CASE WHEN NOT ({each("m{} > 0", " OR ")}) OR {each("t{} = 0", " OR ")}
                    THEN 0.0
-                   ELSE bp * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) END, 6) AS {name}
+                   ELSE bp * exp(({each("ln(p{})", " + ")}) / {orders}) END, 6) AS {name}
 FROM (
   SELECT *,
     CASE WHEN sys_len >= ref_len THEN 1.0 WHEN sys_len > 0 THEN exp(1 - ref_len / sys_len) ELSE 0.0 END AS bp,
@@ -63,7 +64,11 @@ ORACLE["bleu"] = _bleu_sql(False, "bleu")
 ORACLE["bleu_lower"] = _bleu_sql(True, "bleu_lower")
 
 
-def _chrf_cte() -> list[tuple[str, str]]:
+def _chrf_f(beta: int) -> str:
+    return f"CASE WHEN p + rr > 0 THEN 100.0 * {1 + beta * beta} * p * rr / ({beta * beta} * p + rr) ELSE 0.0 END"
+
+
+def _chrf_cte(words: int = 2, beta: int = 2) -> list[tuple[str, str]]:
     """Per (step, example_id): best-reference chrF++ statistics."""
     hyp_items = " UNION ALL ".join(
         [f"SELECT step, example_id, {n} AS o, -1 AS src, unnest({S.char_ngrams('hc', n)}) AS gram FROM cp"
@@ -87,9 +92,9 @@ def _chrf_cte() -> list[tuple[str, str]]:
                      FROM (SELECT * FROM c1 WHERE src >= 0) r
                      LEFT JOIN (SELECT * FROM c1 WHERE src = -1) h USING (step, example_id, o, gram)
                      GROUP BY ALL"""),
-        ("cells", """SELECT cr0.step, cr0.example_id, cr0.k, o.o,
+        ("cells", f"""SELECT cr0.step, cr0.example_id, cr0.k, o.o,
                        coalesce(ht.h, 0) AS h, coalesce(rm.r, 0) AS r, coalesce(rm.m, 0) AS m
-                     FROM cr0 CROSS JOIN (SELECT unnest(range(1, 9)) AS o) o
+                     FROM cr0 CROSS JOIN (SELECT unnest(range(1, {7 + words})) AS o) o
                      LEFT JOIN hyp_tot ht ON ht.step = cr0.step AND ht.example_id = cr0.example_id AND ht.o = o.o
                      LEFT JOIN ref_m rm ON rm.step = cr0.step AND rm.example_id = cr0.example_id
                                         AND rm.k = cr0.k AND rm.o = o.o"""),
@@ -101,8 +106,7 @@ def _chrf_cte() -> list[tuple[str, str]]:
         ("fk2", """SELECT step, example_id, k,
                     CASE WHEN eff > 0 THEN sp / eff ELSE 0.0 END AS p, CASE WHEN eff > 0 THEN sr / eff ELSE 0.0 END AS rr
                    FROM fk"""),
-        ("fsent", """SELECT step, example_id, k,
-                      CASE WHEN p + rr > 0 THEN 100.0 * 5 * p * rr / (4 * p + rr) ELSE 0.0 END AS f FROM fk2"""),
+        ("fsent", f"SELECT step, example_id, k, {_chrf_f(beta)} AS f FROM fk2"),
         ("best", """SELECT step, example_id, k AS best_ref, f AS chrf FROM (
                       SELECT *, row_number() OVER (PARTITION BY step, example_id ORDER BY round(f, 9) DESC, k) AS rn FROM fsent)
                     WHERE rn = 1"""),
@@ -113,8 +117,9 @@ ORACLE["chrf_per_example"] = with_views(
     ["eval_pairs"], """SELECT step, example_id, best_ref, round(chrf, 6) AS chrf
 FROM eval_pairs LEFT JOIN best USING (step, example_id)""", extra=_chrf_cte())
 
-ORACLE["chrf_pp"] = with_views(["eval_pairs"], """
-SELECT step, round(CASE WHEN p + rr > 0 THEN 100.0 * 5 * p * rr / (4 * p + rr) ELSE 0.0 END, 6) AS chrf_pp
+def _chrf_sql(name: str, words: int = 2, beta: int = 2) -> str:
+    return with_views(["eval_pairs"], f"""
+SELECT step, round({_chrf_f(beta)}, 6) AS {name}
 FROM (SELECT step, CASE WHEN eff > 0 THEN sp / eff ELSE 0.0 END AS p, CASE WHEN eff > 0 THEN sr / eff ELSE 0.0 END AS rr
       FROM (SELECT step, sum(CASE WHEN h > 0 AND r > 0 THEN 1 ELSE 0 END) AS eff,
                    sum(CASE WHEN h > 0 AND r > 0 THEN m / h ELSE 0.0 END) AS sp,
@@ -122,7 +127,10 @@ FROM (SELECT step, CASE WHEN eff > 0 THEN sp / eff ELSE 0.0 END AS p, CASE WHEN
             FROM (SELECT c.step, c.o, sum(c.h) AS h, sum(c.r) AS r, sum(c.m) AS m
                   FROM cells c JOIN best b ON b.step = c.step AND b.example_id = c.example_id AND b.best_ref = c.k
                   GROUP BY ALL)
-            GROUP BY step))""", extra=_chrf_cte())
+            GROUP BY step))""", extra=_chrf_cte(words, beta))
+
+
+ORACLE["chrf_pp"] = _chrf_sql("chrf_pp")
 
 
 # ============================================================ sources / recipes
@@ -225,30 +233,36 @@ _LCS = """list_reduce(a, lambda prev, x: list_reduce(range(1, len(b) + 1),
             lambda cur, j: list_append(cur, CASE WHEN x = b[j] THEN prev[j] + 1 ELSE greatest(prev[j + 1], cur[j]) END),
             [0]), list_transform(range(len(b) + 1), lambda i: 0))[-1]"""
 
-WORD_EDIT_RATE = """
+#: Edits over the references and their mean length, of each example with references.
+EDIT_EACH = """
+SELECT step, example_id, min(CASE WHEN len(b) = 0 THEN len(a) ELSE d END) AS e, avg(len(b)) AS rl
+FROM (SELECT *, """ + _ED + """ AS d FROM (
+        SELECT step, example_id, """ + S.words("lower(prediction)") + """ AS a,
+               """ + S.words("lower(r)") + """ AS b
+        FROM (SELECT step, example_id, prediction, unnest(""" + S.usable_refs() + """) AS r FROM eval_pairs)))
+GROUP BY ALL"""
+
+WORD_EDIT_RATE = f"""
 SELECT step::BIGINT AS step,
        round(CASE WHEN sum(rl) > 0 THEN 100.0 * sum(e) / sum(rl) WHEN sum(e) > 0 THEN 100.0 ELSE 0.0 END, 6)
          AS word_edit_rate
-FROM (SELECT step, example_id, min(CASE WHEN len(b) = 0 THEN len(a) ELSE d END) AS e, avg(len(b)) AS rl
-      FROM (SELECT *, """ + _ED + """ AS d FROM (
-              SELECT step, example_id, """ + S.words("lower(prediction)") + """ AS a,
-                     """ + S.words("lower(r)") + """ AS b
-              FROM (SELECT step, example_id, prediction, unnest(""" + S.usable_refs() + """) AS r FROM eval_pairs)))
-      GROUP BY ALL)
+FROM ({EDIT_EACH})
 GROUP BY step"""
 
 ORACLE["word_edit_rate"] = with_views(["eval_pairs"], WORD_EDIT_RATE)
 
-ORACLE["rouge_l"] = with_views(["eval_pairs"], """
-SELECT step::BIGINT AS step, round(avg(f), 6) AS rougeL
-FROM (SELECT step, example_id, max(CASE WHEN la > 0 AND lb > 0 AND l > 0 THEN 2.0 * (l / la) * (l / lb) / (l / la + l / lb)
-                                       ELSE 0.0 END) AS f
-      FROM (SELECT *, len(a) AS lb, len(b) AS la, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE """ + _LCS + """ END AS l
-            FROM (SELECT step, example_id, """ + S.rouge_tokens("r") + """ AS a, """ + S.rouge_tokens("prediction") + """ AS b
-                  FROM (SELECT step, example_id, prediction,
-                               unnest(""" + S.usable_refs() + """) AS r FROM eval_pairs)))
-      GROUP BY ALL)
-GROUP BY step""")
+#: ROUGE-L F1 of the best reference, of each example with references.
+ROUGE_EACH = """
+SELECT step, example_id, max(CASE WHEN la > 0 AND lb > 0 AND l > 0 THEN 2.0 * (l / la) * (l / lb) / (l / la + l / lb)
+                                 ELSE 0.0 END) AS f
+FROM (SELECT *, len(a) AS lb, len(b) AS la, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE """ + _LCS + """ END AS l
+      FROM (SELECT step, example_id, """ + S.rouge_tokens("r") + """ AS a, """ + S.rouge_tokens("prediction") + """ AS b
+            FROM (SELECT step, example_id, prediction,
+                         unnest(""" + S.usable_refs() + """) AS r FROM eval_pairs)))
+GROUP BY ALL"""
+
+ORACLE["rouge_l"] = with_views(["eval_pairs"], f"""
+SELECT step::BIGINT AS step, round(avg(f), 6) AS rougeL FROM ({ROUGE_EACH}) GROUP BY step""")
 
 _MTOK = "regexp_extract_all(lower({x}), '[^" + S.WS_CLASS.replace("{", "{{").replace("}", "}}") + "\\p{{P}}\\p{{S}}]+|[\\p{{P}}\\p{{S}}]')"
 

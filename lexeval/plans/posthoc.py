@@ -68,8 +68,9 @@ def check_positions(outputs: DataFrame, dataset: DataFrame, limit: int = 5) -> N
         raise ValueError(f"outputs do not belong to these examples: {bad}")
 
 
-def aligned_outputs(outputs: DataFrame, dataset: DataFrame) -> DataFrame:
-    """(step, example_id, source, prediction, references) of checked outputs.
+def aligned_outputs(outputs: DataFrame, dataset: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(step, example_id, source, prediction, references) of checked outputs;
+    with ``carry=("path",)`` the file's path as well.
     ``dataset`` is one split: (example_id dense from 0, input, references).  The
     files are parsed once, into a table that the check and the scores read."""
     rows = positions(outputs).select("path", "step", "example_id", "source", "prediction")
@@ -77,7 +78,7 @@ def aligned_outputs(outputs: DataFrame, dataset: DataFrame) -> DataFrame:
     rows.write.parquet(path)
     rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
     check_positions(rows, dataset)
-    return rows.drop("path").join(dataset.select("example_id", "references"), "example_id")
+    return rows.drop(*{"path"} - set(carry)).join(dataset.select("example_id", "references"), "example_id")
 
 
 def evaluate_outputs(spark: SparkSession, directory: str, dataset: DataFrame, metrics: list[str] | None = None, run: str | None = None,

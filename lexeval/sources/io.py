@@ -110,12 +110,12 @@ def with_example_id(df: DataFrame, id_col: str | None = None) -> DataFrame:
     return file_index(df, "example_id")
 
 
-def write_ordered(df: DataFrame, path: str, order: str, parts: int | None = None) -> None:
+def write_ordered(df: DataFrame, path: str, order: str, parts: int | None = None, mode: str = "errorifexists") -> None:
     """CSV or JSON lines (by the path's suffix) as a folder of part files whose
     numbers follow ``order``; the column itself is left out.  Rows are dealt by
     ranges, so no task sees all of them."""
     dealt = df.repartitionByRange(parts, order) if parts else df.repartitionByRange(order)
-    w = _csv_ready(dealt.sortWithinPartitions(order).drop(order)).write
+    w = guarded_writer(_csv_ready(dealt.sortWithinPartitions(order).drop(order)), path, mode)
     if READERS[_suffix(path)] == "csv":
         w.options(**CSV_OPTIONS).csv(path)
     else:
@@ -188,11 +188,12 @@ def read_outputs(spark: SparkSession, directory: str, pattern: str = OUTPUTS) ->
     return read_output_files(spark, [f"{directory.rstrip('/')}/{pattern}"])
 
 
-def write_outputs(df: DataFrame, directory: str, step: int, order: str = "example_id", older: bool = False, parts: int | None = None) -> None:
+def write_outputs(df: DataFrame, directory: str, step: int, order: str = "example_id", older: bool = False, parts: int | None = None,
+                  mode: str = "errorifexists") -> None:
     """The outputs of a step, rows in the order of the examples: a folder of the
     file's name with ordered part files."""
     name = f"outputs_eval-{step}.csv" if older else f"outputs_validation_{step}.csv"
-    write_ordered(df, f"{directory.rstrip('/')}/{name}", order, parts)
+    write_ordered(df, f"{directory.rstrip('/')}/{name}", order, parts, mode)
 
 
 def normalize_outputs(df: DataFrame) -> DataFrame:
