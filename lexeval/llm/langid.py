@@ -8,8 +8,12 @@ N-grams of 1 to 3 are hashed to ``DIMS`` columns, weighted by
 counted over all learning rows.  The classifier is fitted on a bounded sample
 of their distinct (lang, text): at most ``SAMPLE``, the same number for each
 language where it has as many; what a rare language leaves is dealt to the
-others.  Each language's are those of the smallest text hashes.  A fifth of the
-sample is kept aside to fit the temperature.
+others.  Every language has a text at least, also if there are more than
+``SAMPLE`` of them.  Each language's are those of the smallest text hashes.  A
+fifth of the sample is kept aside to fit the temperature.  What grows with the
+languages alone: the trainer holds 16 bytes a language and column that occurs in
+the sample, the model 4 bytes a language and column; its weights reach the
+driver as one packed row a language.
 
 Defined cases.  A null text or one without a letter is ``und`` with score 0.
 Rows with a null language are not learned from.  With no learning row every
@@ -28,8 +32,6 @@ from pyspark.sql import functions as F
 DIMS = 1 << 15
 #: Bound on the rows that the classifier is fitted on.
 SAMPLE = 6000
-#: Most frequent languages that can be learned.
-MAX_LANGS = 1000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 UNKNOWN = "und"
@@ -91,10 +93,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int):
-    """Weights (classes, DIMS) and bias of FTRL-proximal with elastic net.  The
+def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, dims: int = DIMS):
+    """Weights (dims, classes) and bias of FTRL-proximal with elastic net.  The
     bias takes part without the l1 penalty."""
-    z, n = np.zeros((DIMS, classes)), np.zeros((DIMS, classes))
+    z, n = np.zeros((dims, classes)), np.zeros((dims, classes))
     zb, nb = np.zeros(classes), np.zeros(classes)
 
     def weights(z, n, l1):
@@ -116,7 +118,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes:
             step(zi, ni, w, value[:, None] * g)
             z[at], n[at] = zi, ni
             step(zb, nb, wb, g)
-    return weights(z, n, L1).T, weights(zb, nb, 0.0)
+    return weights(z, n, L1), weights(zb, nb, 0.0)
 
 
 def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
@@ -140,7 +142,7 @@ class Model:
 
     def __init__(self, langs, idf, weights, bias, temperature):
         self.langs, self.idf, self.bias, self.temperature = list(langs), idf, bias, temperature
-        self.weights = np.ascontiguousarray(weights.T, dtype=np.float32)
+        self.weights = weights  # (DIMS, languages), float32
 
     def predict(self, text: str | None) -> tuple[str, float]:
         at, value = _vector(text, self.idf) if text else (np.zeros(0, np.int64), None)
@@ -152,7 +154,8 @@ class Model:
 
 
 def _trainer(langs: list[str], idf: np.ndarray):
-    """One task over the bounded sample; the model leaves as sparse rows."""
+    """One task over the bounded sample; the model leaves as one row a language:
+    its bias, the columns of its weights and the weights, packed."""
     def run(batches):
         code = {x: i for i, x in enumerate(langs)}
         rows, y, aside = [], [], []
@@ -166,14 +169,16 @@ def _trainer(langs: list[str], idf: np.ndarray):
         y, aside = np.array(y, int), np.array(aside, bool)
         if len(y) < 50:  # too few to keep any aside
             aside[:] = False
-        w, b = fit_ftrl([r for r, a in zip(rows, aside) if not a], y[~aside], len(langs))
-        held = [(v @ w.T[at] + b) for (at, v), a in zip(rows, aside) if a]
+        used = np.unique(np.concatenate([at for at, _ in rows])) if rows else np.zeros(0, np.int64)
+        rows = [(np.searchsorted(used, at), v) for at, v in rows]
+        w, b = fit_ftrl([r for r, a in zip(rows, aside) if not a], y[~aside], len(langs), len(used))
+        held = [(v @ w[at] + b) for (at, v), a in zip(rows, aside) if a]
         t = fit_temperature(np.array(held), y[aside]) if held else 1.0
-        k, at = np.nonzero(w)
-        extra = np.arange(len(langs))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([k, extra, [-1]])), pa.array(np.concatenate([at, np.full(len(langs), -1), [-1]])),
-             pa.array(np.concatenate([w[k, at], b, [t]]))], names=["k", "at", "w"])
+        for k in range(len(langs)):
+            at = np.flatnonzero(w[:, k])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k]), pa.array([b[k]]), pa.array([t]), pa.array([used[at].astype("<i4").tobytes()], pa.binary()),
+                 pa.array([w[at, k].astype("<f4").tobytes()], pa.binary())], names=["k", "bias", "temperature", "at", "w"])
     return run
 
 
@@ -192,19 +197,18 @@ def sampled(labelled: DataFrame) -> tuple[list[str], DataFrame | None]:
     sample (text, lang, fold) of ``labelled(text, lang)``."""
     rows = labelled.where("text is not null and lang is not null")
     pick = F.shiftrightunsigned(F.xxhash64("text"), 1)
-    found = (rows.select("lang", pick.alias("pick")).distinct().groupBy("lang").count()
-             .orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
+    found = rows.select("lang", pick.alias("pick")).distinct().groupBy("lang").count().collect()  # a row a language
     if not found:
         return [], None
     counts = {r["lang"]: r["count"] for r in found}
-    share = shares(counts, SAMPLE)
     # wide enough that each language has its share below the bound; the rest goes by rank
-    bound = {x: min(1.0, (n + 8 * n ** 0.5 + 64) / counts[x]) for x, n in share.items()}
-    below = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(int(b * 2.0 ** 63), (1 << 63) - 1))) for x, b in bound.items()])
-    most = F.coalesce(*[F.when(F.col("lang") == x, F.lit(n)) for x, n in share.items()])
-    near = rows.where(pick <= below).select("lang", "text").distinct()
+    wide = [(x, n, int(min(1.0, (n + 8 * n ** 0.5 + 64) / counts[x]) * ((1 << 63) - 1024)))
+            for x, n in shares(counts, max(SAMPLE, len(counts))).items()]
+    bounds = rows.sparkSession.createDataFrame(wide, "lang string, most long, below long")
+    near = (rows.select("lang", "text", pick.alias("pick")).join(F.broadcast(bounds), "lang")  # as small as ``found``
+            .where((F.col("pick") <= F.col("below")) | (F.col("below") >= (1 << 63) - 1024)).distinct())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "text"))
-    sample = near.withColumn("pick", pick).withColumn("rank", rank).where(F.col("rank") <= most)
+    sample = near.withColumn("rank", rank).where(F.col("rank") <= F.col("most"))
     return sorted(counts), sample.orderBy("pick", "lang", "text").select("text", "lang", F.pmod(F.xxhash64("lang", "text"), F.lit(5)).alias("fold"))
 
 
@@ -220,17 +224,13 @@ def fit(labelled: DataFrame) -> Model:
         idf[g] = np.log((1 + total) / (1 + d)) + 1
     langs, sample = sampled(labelled)
     if not langs:
-        return Model([], idf, np.zeros((0, DIMS)), np.zeros(0), 1.0)
-    rows = sample.coalesce(1).mapInArrow(_trainer(langs, idf), "k long, at long, w double").collect()
-    weights, bias, temperature = np.zeros((len(langs), DIMS)), np.zeros(len(langs)), 1.0
-    for k, at, w in rows:
-        if k < 0:
-            temperature = w
-        elif at < 0:
-            bias[k] = w
-        else:
-            weights[k, at] = w
-    return Model(langs, idf, weights, bias, temperature)
+        return Model([], idf, np.zeros((DIMS, 0), np.float32), np.zeros(0), 1.0)
+    rows = sample.coalesce(1).mapInArrow(_trainer(langs, idf), "k long, bias double, temperature double, at binary, w binary").collect()
+    weights, bias = np.zeros((DIMS, len(langs)), np.float32), np.zeros(len(langs))
+    for r in rows:
+        weights[np.frombuffer(r.at, "<i4"), r.k] = np.frombuffer(r.w, "<f4")
+        bias[r.k] = r.bias
+    return Model(langs, idf, weights, bias, rows[0].temperature if rows else 1.0)
 
 
 def predictor(model: Model):

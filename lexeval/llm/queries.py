@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexeval.llm import archives, divergence, lexical, linededup, quality, sharding, urlfilter
-from lexeval.llm.common import prepare, table
+from lexeval.llm.common import prepare, shared_path, table
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +30,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(prepare(spark), sf_dir, "documents").select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
-    out = sharding.assign(docs, F.col("doc_id"), F.col("bytes"), sharding.SHARD_BYTES)
-    return out.select("doc_id", "shard", F.length("shard").alias("depth"), "bytes", "shard_bytes", "shard_rows",
-                      (F.col("shard_bytes") > sharding.SHARD_BYTES).alias("oversized"))
+    """The shards are written; the rows come from what then lies in their folders."""
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return sharding.sharded(docs, shared_path(spark, "shards"), F.col("doc_id")).select(
+        "doc_id", "shard", F.length("shard").alias("depth"), "bytes", "shard_bytes", "shard_rows",
+        (F.col("shard_bytes") > sharding.SHARD_BYTES).alias("oversized"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,14 +82,15 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexeval.llm.langid import held_out
-    from lexeval.llm.toxicity import fit, scorer
+    from lexeval.llm.toxicity import fit, judge
 
     docs = table(prepare(spark), sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
     model = fit(docs.select("doc_id", "text"), labels)
-    return docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"),
-                       scorer(model)(F.col("text")).alias("score")).select(
-        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), judge(model)(F.col("text")).alias("j")).select(
+        "doc_id", "held_out", F.col("j.score").alias("score"), (F.col("j.score") >= 0.5).cast("int").alias("predicted"),
+        F.size("j.offending").cast("long").alias("n_offending"),
+        F.array_join("j.offending.sentence", "\n").alias("offending"))  # no sentence holds a line feed
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,22 +16,35 @@ a row number, so rows that share a hot key beyond the limit are split as well;
 all bits of a key are spent first, so keys stay together where they can.  A
 single row above the limit makes a shard of its own, marked ``oversized``.
 
-Defined cases.  A null key hashes like the text ``null``; a null or empty text
-has 0 bytes.  Repeated rows are counted one by one.  An empty table gives an
-empty result.  Only the key and the sized column are read; ``write_shards``
-passes all columns through.
+``write_shards`` writes a folder per shard.  Its rows are dealt to one task per
+``FILE_BYTES`` of the shard, so neither a shard nor a hot key waits for one task,
+and a file stays small beside an executor's memory.
+
+Defined cases.  A null key hashes like the text ``null``; a null size counts as
+0, so an empty or null text adds nothing to ``row_bytes``.  Repeated rows are
+counted one by one.  An empty table gives an empty result and a folder without
+shards.  All columns are passed through; the column of the shard is called
+``shard``, with as many ``_`` after it as it takes to clash with none of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexeval.llm.common import fresh, stage
 
 KEY_BITS, ROW_BITS, CELL_BITS = 60, 60, 12
-#: Byte limit of a shard; small, so that small corpora are split as well.
-SHARD_BYTES = 1 << 20
+#: Byte limit of a shard, over the rows' values before encoding and compression.
+SHARD_BYTES = 64 << 20
+#: A shard is written by one task for each so many bytes, about.
+FILE_BYTES = 8 << 20
+#: A directory of at most so many shards (some 100 bytes each) is broadcast.
+BROADCAST_SHARDS = 100_000
 
 
 def _hash_bits(value: Column) -> Column:
@@ -88,36 +101,91 @@ def grow(rows: DataFrame, limit: int) -> DataFrame:
         at += CELL_BITS
 
 
-def assign(docs: DataFrame, key: Column, size: Column, limit: int, shard: str = "shard") -> DataFrame:
-    """``docs`` with column ``shard``, the bits of the row's shard (empty text if
-    one shard holds all), and ``shard``_bytes, ``shard``_rows."""
-    row = fresh(docs, "row")
+def row_bytes(docs: DataFrame) -> Column:
+    """Bytes of a row's values: text and binary by their length, nested values by
+    that of their JSON, 8 for any other."""
+    def size(f):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0))
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        return F.lit(8)
+    return reduce(add, [size(f).cast("long") for f in docs.schema.fields])
+
+
+def shard_column(docs: DataFrame) -> str:
+    """The name of the shard column beside the columns of ``docs``."""
+    taken, name = {c.lower() for c in docs.columns}, "shard"
+    while taken & {name, f"{name}_bytes", f"{name}_rows"}:
+        name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame, key: Column, size: Column, limit: int, shard: str, row: str) -> DataFrame:
+    """``assign`` with the row number that splits hot keys in column ``row``."""
     rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    hashed = rows.select(F.col(row).alias("row"), _hash_bits(key).alias("key"), _hash_bits(F.col(row)).alias("tail"),
-                         F.coalesce(size.cast("long"), F.lit(0)).alias("bytes"))
+    hashes = [_hash_bits(key).alias("key"), _hash_bits(F.col(row)).alias("tail")]
+    hashed = rows.select(F.col(row).alias("row"), *hashes, F.coalesce(size.cast("long"), F.lit(0)).alias("bytes"))
     directory = stage(grow(hashed, limit), "directory")
-    depths = [r.depth for r in directory.select("depth").distinct().collect()]  # KEY_BITS + ROW_BITS + 1 at most
-    if not depths:
-        return docs.select("*", F.lit("").alias(shard), F.lit(0).cast("long").alias(f"{shard}_bytes"), F.lit(0).cast("long").alias(f"{shard}_rows"))
+    found = directory.groupBy("depth").count().collect()  # KEY_BITS + ROW_BITS + 1 rows at most
+    if not found:
+        return rows.select("*", F.lit("").alias(shard), F.lit(0).cast("long").alias(f"{shard}_bytes"), F.lit(0).cast("long").alias(f"{shard}_rows"))
     text = F.concat(F.lpad(F.bin("key"), KEY_BITS, "0"), F.lpad(F.bin("tail"), ROW_BITS, "0"))
-    # a row's hash has one prefix in the directory; look for it at the depths that occur
-    found = (hashed.select("row", text.alias("bits"), F.explode(F.array(*[F.lit(d) for d in sorted(depths)])).alias("depth"))
-             .select("row", F.substring("bits", F.lit(1), F.col("depth")).alias("prefix"))
-             .join(directory, "prefix").select(F.col("row").alias(row), F.col("prefix").alias(shard),
-                                               F.col("bytes").alias(f"{shard}_bytes"), F.col("rows").alias(f"{shard}_rows")))
-    return rows.join(found, row).drop(row)
+    own = [F.col("prefix").alias(shard), F.col("bytes").alias(f"{shard}_bytes"), F.col("rows").alias(f"{shard}_rows")]
+
+    def look(df: DataFrame, carried: str, entries: DataFrame) -> DataFrame:
+        """A row's hash has one prefix in the directory: look at the depths that occur."""
+        depths = F.explode(F.array(*[F.lit(r.depth) for r in sorted(found, key=lambda r: r.depth)]))
+        return (df.select(carried, text.alias("bits"), depths.alias("at"))
+                .select(carried, F.substring("bits", F.lit(1), F.col("at")).alias("prefix")).join(entries.drop("depth"), "prefix"))
+
+    if sum(r["count"] for r in found) <= BROADCAST_SHARDS:  # whole rows, never moved
+        return look(rows.select(F.struct("*").alias("doc"), *hashes), "doc", F.broadcast(directory)).select("doc.*", *own)
+    return rows.join(look(hashed.drop("bytes"), "row", directory).select(F.col("row").alias(row), *own), row)
+
+
+def assign(docs: DataFrame, key: Column, size: Column, limit: int, shard: str | None = None) -> DataFrame:
+    """``docs`` with column ``shard``, the bits of the row's shard (empty text if
+    one shard holds all), and ``shard``_bytes, ``shard``_rows."""
+    row = fresh(docs, "row")
+    return _numbered(docs, key, size, limit, shard or shard_column(docs), row).drop(row)
 
 
 def write_shards(docs: DataFrame, path: str, key: Column, size: Column, limit: int = SHARD_BYTES) -> None:
     """One Parquet folder per shard under ``path``; its name is ``b`` and the bits."""
-    out = assign(docs, key, size, limit).drop("shard_bytes", "shard_rows").withColumn("shard", F.concat(F.lit("b"), "shard"))
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    shard, row = shard_column(docs), fresh(docs, "row")
+    out = _numbered(docs, key, size, limit, shard, row)
+    files = F.ceil(F.greatest(F.col(f"{shard}_bytes"), F.lit(1)) / F.lit(FILE_BYTES))
+    part = F.pmod(F.xxhash64(row), files)
+    out = out.withColumn(row, part).withColumn(shard, F.concat(F.lit("b"), shard)).drop(f"{shard}_bytes", f"{shard}_rows")
+    out.repartition(shard, row).drop(row).write.partitionBy(shard).option("compression", "zstd").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all shards under ``path``, columns of ``schema`` and the bits
+    of their shard, taken from the folder's name."""
+    shard = shard_column(spark.createDataFrame([], schema))
+    back = spark.read.schema(T.StructType([*schema.fields, T.StructField(shard, T.StringType())])).parquet(path)
+    return back.withColumn(shard, F.substring(shard, 2, KEY_BITS + ROW_BITS))
+
+
+def sharded(docs: DataFrame, path: str, key: Column, limit: int = SHARD_BYTES) -> DataFrame:
+    """Write the shards of ``docs`` and measure them where they lie: the rows of
+    ``read_shards`` with ``bytes`` each, and bytes and rows of their shards."""
+    if {"bytes", "shard", "shard_bytes", "shard_rows"} & {c.lower() for c in docs.columns}:
+        raise ValueError("a column is called like a measure; rename it or use write_shards")
+    write_shards(docs, path, key, row_bytes(docs), limit)
+    rows = read_shards(docs.sparkSession, path, docs.schema).withColumn("bytes", row_bytes(docs))
+    sizes = rows.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
+    return rows.join(sizes, "shard")
 
 
 def oracle_sql(limit: int) -> str:
     """DuckDB SQL of the assignment of ``documents`` by doc_id."""
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(octet_length(encode(text)), 0) AS bytes,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, 16 + coalesce(octet_length(encode(text)), 0)
+               + coalesce(octet_length(encode(lang)), 0) + coalesce(octet_length(encode(source)), 0) AS bytes,
              format('{{:060b}}', ('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 15))::BIGINT) AS bits FROM documents),
 p AS (SELECT rid, bytes, left(bits, k) AS prefix, k FROM d, range(0, {KEY_BITS + 1}) t(k)),
 b AS (SELECT prefix, k, sum(bytes) AS bytes, count(*) AS n FROM p GROUP BY prefix, k),

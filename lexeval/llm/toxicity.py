@@ -8,7 +8,8 @@ its distinct words and word beginnings (``PREFIXES`` bytes, for inflected
 forms), hashed to ``DIMS`` columns, as features of a logistic model.  It is
 fitted by AdaGrad with an l1 penalty on a bounded sample of labelled documents
 (``POSITIVES`` and ``NEGATIVES`` at most, about, picked by a hash).  Scores
-cover whole texts.
+cover whole texts.  A document may be toxic by many weak sentences, none of
+which offends by itself.
 
 Defined cases.  A null or empty text has no sentence and scores 0.  Ids with
 several labels count as toxic if one says so; null labels and ids are not
@@ -104,18 +105,25 @@ class Model:
         z = np.bincount(features >> 20, weights=self.weights[features & (DIMS - 1)], minlength=n) + self.bias
         return _sigmoid(z), sentence, bounds, starts, ends
 
-    def scores(self, column) -> np.ndarray:
+    def judge(self, column, least: float) -> tuple[np.ndarray, list[list[dict]]]:
+        """Scores of the rows and, for each, its sentences that score ``least``
+        or more, in order."""
         rows = len(column)
+        out, found = np.zeros(rows), [[] for _ in range(rows)]
         if self.weights is None:
-            return np.zeros(rows)
-        p, sentence, bounds, _, _ = self.sentence_scores(column)
-        total = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-12)))])
-        out = np.zeros(rows)
+            return out, found
+        p, sentence, bounds, starts, ends = self.sentence_scores(column)
+        clean = np.log1p(-np.minimum(p, 1 - 1e-12))
         for i in range(rows):
             lo, hi = bounds[i], bounds[i + 1]
             if hi > lo:
-                out[i] = -np.expm1(total[sentence[hi - 1] + 1] - total[sentence[lo]])
-        return np.clip(out, 0, 1)
+                out[i] = -np.expm1(clean[sentence[lo]:sentence[hi - 1] + 1].sum())  # alike for equal rows
+        data, _ = text_buffer(column)
+        for s in np.flatnonzero(p >= least):
+            lo, hi = np.searchsorted(sentence, s), np.searchsorted(sentence, s, side="right")
+            row = int(np.searchsorted(bounds, lo, side="right")) - 1
+            found[row].append({"sentence": data[starts[lo]:ends[hi - 1]].tobytes().decode(), "score": float(p[s])})
+        return np.clip(out, 0, 1), found
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -145,28 +153,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(weights.astype(np.float32), bias)
 
 
+def judge(model: Model, least: float = 0.5):
+    """Column function: text -> struct(score, offending), the document's score
+    and the sentences that score ``least`` or more, from their first word to
+    their last, each with its score."""
+    kind = pa.list_(pa.struct([("sentence", pa.string()), ("score", pa.float64())]))
+
+    @F.arrow_udf("struct<score:double,offending:array<struct<sentence:string,score:double>>>")
+    def run(text: pa.Array) -> pa.Array:
+        scores, found = model.judge(text, least)
+        return pa.StructArray.from_arrays([pa.array(scores), pa.array(found, kind)], names=["score", "offending"])
+    return lambda text: run(text.cast("string"))
+
+
 def scorer(model: Model):
     """Column function: text -> document score."""
-    @F.arrow_udf("double")
-    def score(text: pa.Array) -> pa.Array:
-        return pa.array(model.scores(text))
-    return lambda text: score(text.cast("string"))
+    return lambda text: judge(model)(text)["score"]
 
 
 def offending(model: Model, least: float = 0.5):
-    """Column function: text -> the sentences that score ``least`` or more,
-    with their score and character span of words."""
-    kind = pa.list_(pa.struct([("sentence", pa.string()), ("score", pa.float64())]))
-
-    @F.arrow_udf("array<struct<sentence:string,score:double>>")
-    def locate(text: pa.Array) -> pa.Array:
-        out = [[] for _ in range(len(text))]
-        if model.weights is not None:
-            p, sentence, bounds, starts, ends = model.sentence_scores(text)
-            data, _ = text_buffer(text)
-            for s in np.flatnonzero(p >= least):
-                lo, hi = np.searchsorted(sentence, s), np.searchsorted(sentence, s, side="right")
-                row = int(np.searchsorted(bounds, lo, side="right")) - 1
-                out[row].append({"sentence": data[starts[lo]:ends[hi - 1]].tobytes().decode(), "score": float(p[s])})
-        return pa.array(out, kind)
-    return lambda text: locate(text.cast("string"))
+    """Column function: text -> the offending sentences (see ``judge``)."""
+    return lambda text: judge(model, least)(text)["offending"]
