@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexeval.functions.text import chrf_chars, chrf_words, meteor_tokens, rouge_tokens, ter_tokens, tok_13a
+from lexeval.functions.text import chrf_chars, chrf_words, meteor_tokens, rouge_tokens, split_ws, ter_tokens, tok_13a
 from lexeval.metrics.ngram import best_chrf, bleu_from_sums, by_example, chrf_from_sums, over, predicted, usable_refs
 from lexeval.metrics.sequence import rouge_scores, ter_from_sums
 from lexeval.operators import kernels
 
-FUSABLE = ("BLEU", "BLEU_lower", "chrF++", "TER", "word_edit_rate", "rougeL", "meteor")
+FUSABLE = ("BLEU", "BLEU_lower", "chrF++", "TER", "word_edit_rate", "rougeL", "meteor", "gen_len")
 ORDERS = 8  # chrF++: 6 character + 2 word orders
 
 _LL = T.ArrayType(T.LongType())
@@ -42,7 +42,8 @@ _OUT = T.StructType([
 SETTINGS: dict[str, dict] = {
     "BLEU": {"max_order": 4, "lowercase": False}, "BLEU_lower": {"max_order": 4},
     "chrF++": {"char_order": 6, "word_order": 2, "beta": 2.0},
-    "TER": {}, "word_edit_rate": {}, "rougeL": {}, "meteor": {"alpha": 0.9, "beta": 3.0, "gamma": 0.5}}
+    "TER": {}, "word_edit_rate": {}, "rougeL": {}, "gen_len": {},
+    "meteor": {"alpha": 0.9, "beta": 3.0, "gamma": 0.5}}
 _MOST = {"max_order": (1, 4), "char_order": (1, 6), "word_order": (0, 2)}
 
 
@@ -192,8 +193,12 @@ def _columns(specs: list[Spec]) -> tuple[dict[str, Column], dict[str, Column], d
             stats |= {name("e"): col("e"), name("l"): col("l")}
             scores[spec.label] = ter_from_sums(col("e"), col("l"))
         else:  # a mean over the examples that have a score
-            each = (F.array_max(F.transform(rouge_scores(F.col("rh"), F.col("rr"), F.col("s")["l"]), lambda x: x["f"])) if m == "rougeL"
-                    else F.array_max(F.col("s")["mt"][how.index(tuple(c.values()))]))
+            if m == "gen_len":  # words of the prediction and the end of sequence; asks for no reference
+                each = F.col("gl").cast("double")
+            elif m == "rougeL":
+                each = F.array_max(F.transform(rouge_scores(F.col("rh"), F.col("rr"), F.col("s")["l"]), lambda x: x["f"]))
+            else:
+                each = F.array_max(F.col("s")["mt"][how.index(tuple(c.values()))])
             rows[name("v")] = each
             stats |= {name("v"): col("v"), name("n"): col("v").isNotNull().cast("long")}
             scores[spec.label] = F.when(col("n") > 0, col("v") / col("n"))
@@ -213,8 +218,9 @@ def statistics(pairs: DataFrame, keys: list[str], specs: list[Spec]) -> tuple[Da
     weighted or replaced (``metrics.bootstrap``, ``plans.rescore``)."""
     rows, stats, scores = _columns(specs)
     sel = frozenset(s.family() for s in specs)
-    base = by_example(pairs).select(*keys, "example_id", *kernel_columns(sel, pairs.columns))
-    st = base.select(*keys, "example_id", "tr", "rh", "rr", _kernel(sel, tuple(_meteor_settings(specs)))(*NAMES).alias("s"))
+    length = F.size(split_ws(predicted())) + 1 if "gen_len" in sel else F.lit(None).cast("int")
+    base = by_example(pairs).select(*keys, "example_id", length.alias("gl"), *kernel_columns(sel, pairs.columns))
+    st = base.select(*keys, "example_id", "gl", "tr", "rh", "rr", _kernel(sel, tuple(_meteor_settings(specs)))(*NAMES).alias("s"))
     return st.select(*keys, "example_id", *[c.alias(n) for n, c in rows.items()], "s"), stats, scores
 
 

@@ -40,7 +40,7 @@ def write_reference_table(references: DataFrame, table: str, metrics: list[str]
 
 
 def _needed(sel) -> set[str]:
-    of = {"BLEU": ("br",), "BLEU_lower": ("lr",), "chrF++": ("crc", "crw"), "TER": ("tr",), "word_edit_rate": ("tr",), "rougeL": ("rr",), "meteor": ("mr",)}
+    of = {"BLEU": ("br",), "BLEU_lower": ("lr",), "chrF++": ("crc", "crw"), "TER": ("tr",), "word_edit_rate": ("tr",), "rougeL": ("rr",), "meteor": ("mr",), "gen_len": ()}
     return {n for m in sel for n in of[m]}
 
 

@@ -51,6 +51,8 @@ register_metric("word_edit_rate", lambda p, k, n: sequence.word_edit_rate(p, k,
 register_metric("rougeL", lambda p, k, n: sequence.rouge_l(p, k, name=n))
 register_metric("meteor", lambda p, k, n: sequence.meteor(p, k, name=n))
 
+register_metric("gen_len", lambda p, k, n: evaluate_fused(p, k, {n: "gen_len"}))
+
 BUILTIN = dict(METRICS)
 LIGHT = ["BLEU", "BLEU_lower", "chrF++", "TER", "rougeL", "meteor"]
 
@@ -138,6 +140,6 @@ def evaluate_ids(generated: DataFrame, references: DataFrame, vocab: DataFrame,
     g = tokens.first_of_tuple(generated, ids_col)
     preds = tokens.decode(g, ids_col, vocab, [*keys, "example_id"], "prediction", carry={"_len": tokens.gen_len(F.col(ids_col))})
     pairs = preds.join(references, "example_id", "left")
-    wide = evaluate(pairs, keys, metrics)
+    wide = evaluate(pairs, keys, [s for s in specs_of(LIGHT if metrics is None else metrics) if s.label != "gen_len"])
     gl = preds.groupBy(*keys).agg(F.avg("_len").alias("gen_len"))
     return wide.join(gl, keys, "full_outer")

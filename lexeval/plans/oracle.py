@@ -327,10 +327,14 @@ SELECT example_id::BIGINT AS example_id, round(emb_precision, 5) AS emb_precisio
        round(emb_f1, 5) AS emb_f1 FROM prf""", extra=_EMB)
 
 # ============================================================ reports
+ORACLE["gen_len"] = with_views(["eval_preds"], f"""
+SELECT step::BIGINT AS step, round(avg(len({S.words('prediction')}) + 1), 6) AS gen_len
+FROM eval_preds GROUP BY step""")
+
 _SUMMARY_COLS = [("BLEU", "bleu"), ("BLEU_lower", "bleu_lower"), ("chrF++", "chrf_pp"), ("rougeL", "rouge_l"),
-                 ("meteor", "meteor")]
+                 ("meteor", "meteor"), ("gen_len", "gen_len")]
 _SUMMARY_SRC = {"bleu": "bleu", "bleu_lower": "bleu_lower", "chrf_pp": "chrf_pp", "rouge_l": "rougeL",
-                "meteor": "meteor"}
+                "meteor": "meteor", "gen_len": "gen_len"}
 
 
 def _summary_sql() -> str:
@@ -448,10 +452,6 @@ FROM enc e LEFT JOIN (
   WHERE u.id <> -100 AND u.id NOT IN (0, 1, 2, 3)
   GROUP BY u.example_id) d USING (example_id)""", extra=_encode_ctes(_TR_SRC, _ALL, _ALL))
 
-ORACLE["gen_len"] = with_views(["eval_preds"], f"""
-SELECT step::BIGINT AS step, round(avg(len({S.words('prediction')}) + 1), 6) AS gen_len
-FROM eval_preds GROUP BY step""")
-
 _fams = list(_T.LANG_CODES)
 ORACLE["lang_tag"] = with_views(["translations"], f"""
 SELECT e.example_id::BIGINT AS example_id, f.family, array_to_string(list_concat([v.id], e.lab), ' ') AS labels

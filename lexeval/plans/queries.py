@@ -24,8 +24,8 @@ SEP = " ||| "
 # Fixed query parameters (shared with the SQL twins).
 SUBSET_LIMITS = {"train": 50, "validation": 10, "test": None}
 VOCAB_K = 500
-# Metrics of the summary queries that have an SQL twin here; TER has its own query.
-SUMMARY = ["BLEU", "BLEU_lower", "chrF++", "rougeL", "meteor"]
+# Metrics of the summary queries with an SQL twin; ``summary_full`` has TER as well.
+SUMMARY = ["BLEU", "BLEU_lower", "chrF++", "rougeL", "meteor", "gen_len"]
 MAX_SRC, MAX_TGT = 1024, 128
 BATCH = 8
 
@@ -283,6 +283,15 @@ def q_summary(spark, sf_dir):
     return w.select(L("step").alias("step"), *[r6(F.col(m), m) for m in SUMMARY])
 
 
+@query("summary_full")
+def q_summary_full(spark, sf_dir):
+    """Every light metric, TER with shifts included, and the generated
+    length, of all steps in one pass."""
+    metrics = [*EV.LIGHT, "gen_len"]
+    w = EV.evaluate(V.eval_pairs(spark, sf_dir), KEYS, metrics)
+    return w.select(L("step").alias("step"), *[r6(F.col(m), m) for m in metrics])
+
+
 @query("metric_log")
 def q_metric_log(spark, sf_dir):
     """Step-keyed long metric log with the 'eval/' prefix."""

@@ -50,3 +50,6 @@ def test_ter_matches_sql(spark, con):
     from tests.ter_sql import TER
     info = compare(spark, SF, "ter", E.queries()["ter"], TER, con)
     assert info["ok"], info
+    full = f'SELECT s.*, t.ter AS "TER" FROM ({E.oracle_sql()["summary_wide"]}) s JOIN ({TER}) t USING (step)'
+    info = compare(spark, SF, "summary_full", E.queries()["summary_full"], full, con)
+    assert info["ok"], info
