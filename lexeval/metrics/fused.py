@@ -43,7 +43,7 @@ SETTINGS: dict[str, dict] = {
     "BLEU": {"max_order": 4, "lowercase": False}, "BLEU_lower": {"max_order": 4},
     "chrF++": {"char_order": 6, "word_order": 2, "beta": 2.0},
     "TER": {}, "word_edit_rate": {}, "rougeL": {}, "gen_len": {},
-    "meteor": {"alpha": 0.9, "beta": 3.0, "gamma": 0.5}}
+    "meteor": {"alpha": 0.9, "beta": 3.0, "gamma": 0.5, "stem": False}}
 _MOST = {"max_order": (1, 4), "char_order": (1, 6), "word_order": (0, 2)}
 
 
@@ -114,7 +114,7 @@ def _kernel(sel: frozenset, meteor: tuple = (tuple(SETTINGS["meteor"].values()),
                 h = list(rh.iat[i])
                 out["l"][i] = [kernels.lcs_len(list(r), h) for r in rr.iat[i]]
             if "meteor" in sel:
-                out["mt"][i] = [[kernels.meteor_row(mh.iat[i], r, *how) for r in mr.iat[i]] for how in meteor]
+                out["mt"][i] = [kernels.meteor_rows(mh.iat[i], mr.iat[i], *how) for how in meteor]
         return pd.DataFrame(out)
 
     return run

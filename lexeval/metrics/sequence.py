@@ -91,15 +91,17 @@ def word_edit_rate(pairs: DataFrame, keys: list[str], name: str = "word_edit_rat
 
 
 # ------------------------------------------------------------ METEOR
-def meteor_per_example(pairs: DataFrame, keys: list[str], classes: DataFrame | None = None) -> DataFrame:
+def meteor_per_example(pairs: DataFrame, keys: list[str], classes: DataFrame | None = None, stem: bool = False) -> DataFrame:
     """Per example: best METEOR over the references (α = 0.9, β = 3, γ = 0.5).
-    Exact word matches first; with ``classes`` — a ``(token, cls)`` table of any
-    size, such as stems or synonym sets — remaining words with equal classes
-    match in a second stage."""
+    Exact word matches first; in a second stage remaining words match whose
+    English stems are equal (``stem``), or whose classes are, with ``classes``, a
+    ``(token, cls)`` table of any size, such as synonym sets or other stems."""
+    if stem and classes is not None:
+        raise ValueError("the second stage takes stems or a class table, not both")
     base = by_example(pairs).select(*keys, "example_id", meteor_tokens(predicted()).alias("h"),
                                     F.transform(usable_refs(), lambda r: meteor_tokens(r)).alias("rs"))
     if classes is None:
-        st = base.select(*keys, "example_id", kernels.meteor_udf("h", "rs").alias("s"))
+        st = base.select(*keys, "example_id", (kernels.meteor_stem_udf if stem else kernels.meteor_udf)("h", "rs").alias("s"))
     else:  # array 0 is the prediction, array k + 1 reference k
         part = lambda a, c: F.transform(a, lambda t, i: F.struct(c.alias("c"), i.alias("p"), t.alias("t")))
         texts = F.concat(part(F.col("h"), F.lit(0)), F.flatten(F.transform("rs", lambda r, k: part(r, k + 1))))
@@ -108,5 +110,5 @@ def meteor_per_example(pairs: DataFrame, keys: list[str], classes: DataFrame | N
     return st.select(*keys, "example_id", F.array_max("s").alias("meteor"))
 
 
-def meteor(pairs: DataFrame, keys: list[str], name: str = "meteor", classes: DataFrame | None = None) -> DataFrame:
-    return meteor_per_example(pairs, keys, classes).groupBy(*keys).agg(F.avg("meteor").alias(name))
+def meteor(pairs: DataFrame, keys: list[str], name: str = "meteor", classes: DataFrame | None = None, stem: bool = False) -> DataFrame:
+    return meteor_per_example(pairs, keys, classes, stem).groupBy(*keys).agg(F.avg("meteor").alias(name))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexeval.operators.stem import stems
+
 
 # ----------------------------------------------------------------- n-grams of a batch
 # All texts of an Arrow batch are counted together: tokens (or characters) get
@@ -414,9 +416,21 @@ def meteor_row(hyp, ref, alpha=0.9, beta=3.0, gamma=0.5, hyp_cls=None, ref_cls=N
     return (1 - gamma * (chunks / m) ** beta) * fmean
 
 
+def meteor_rows(hyp, refs, alpha=0.9, beta=3.0, gamma=0.5, stem=False) -> list[float]:
+    """METEOR of one hypothesis against each reference; with ``stem`` the second
+    stage aligns words of equal English stems."""
+    own = stems(hyp) if stem else None
+    return [meteor_row(hyp, r, alpha, beta, gamma, own, stems(r) if stem else None) for r in refs]
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def meteor_udf(hyp: pd.Series, refs: pd.Series) -> pd.Series:
-    return pd.Series([[meteor_row(h, r) for r in rs] for h, rs in zip(hyp, refs)])
+    return pd.Series([meteor_rows(h, rs) for h, rs in zip(hyp, refs)])
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def meteor_stem_udf(hyp: pd.Series, refs: pd.Series) -> pd.Series:
+    return pd.Series([meteor_rows(h, rs, stem=True) for h, rs in zip(hyp, refs)])
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

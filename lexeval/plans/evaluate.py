@@ -49,7 +49,7 @@ register_metric("chrF++", lambda p, k, n, **c: ngram.corpus_chrf(p, k, name=n, *
 register_metric("TER", lambda p, k, n: sequence.ter(p, k, name=n))
 register_metric("word_edit_rate", lambda p, k, n: sequence.word_edit_rate(p, k, name=n))
 register_metric("rougeL", lambda p, k, n: sequence.rouge_l(p, k, name=n))
-register_metric("meteor", lambda p, k, n: sequence.meteor(p, k, name=n))
+register_metric("meteor", lambda p, k, n, **c: sequence.meteor(p, k, name=n, **c))
 
 register_metric("gen_len", lambda p, k, n: evaluate_fused(p, k, {n: "gen_len"}))
 

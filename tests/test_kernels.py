@@ -53,6 +53,21 @@ def test_ter_block_shift():
     assert ter_edits([], "a b".split()) == 2
 
 
+def test_stems_of_published_examples():
+    from lexeval.operators.stem import stem
+    pairs = """caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor
+        sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz
+        failing fail filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit
+        conformabli conform vietnamization vietnam operator oper feudalism feudal decisiveness decis hopefulness hope
+        sensibiliti sensibl triplicate triplic formative form electrical electr goodness good revival reviv allowance allow
+        inference infer adjustable adjust irritant irrit replacement replac adjustment adjust adoption adopt communism commun
+        angulariti angular effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll
+        generalizations gener oscillators oscil""".split()
+    assert {w: stem(w) for w in pairs[::2]} == dict(zip(pairs[::2], pairs[1::2]))
+    for same in ("", "as", "ies", "Caresses", "domů", "x1s", ",", "yy"):
+        assert stem(same) == ("i" if same == "ies" else same)
+
+
 def test_meteor_exact_and_chunks():
     assert meteor_row("a b c".split(), "a b c".split()) == (1 - 0.5 * (1 / 3) ** 3) * 1.0
     assert meteor_row("x y".split(), "a b".split()) == 0.0

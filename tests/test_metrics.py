@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexeval.metrics import ngram, sequence
 from lexeval.operators.kernels import lcs_len, ter_edits
+from lexeval.plans import evaluate as EV
 from lexeval.plans import queries, views
 
 SCHEMA = "step int, example_id long, prediction string, references array<string>"
@@ -68,6 +69,26 @@ def test_ter_and_rouge_queries_match_brute_force(spark):
         assert abs(got_ter[s] - round(100 * edits[s] / lens[s], 6)) < 1e-6
 
 
+def test_meteor_stem_stage_equals_a_join_on_a_table_of_stems(spark, sf="/root/testdata/sf0.001"):
+    """The stems of every token, looked up by a join, against the stage in the kernel."""
+    from lexeval.functions.text import meteor_tokens
+    from lexeval.operators.stem import stem
+    pairs = views.eval_pairs(spark, sf).where("step = 1").withColumn("prediction", F.array_join(
+        F.transform(F.split("prediction", " "), lambda x, i: F.when(i % 3 == 0, F.concat(x, F.lit("s"))).otherwise(x)), " "))
+    tokens = pairs.select(F.explode(F.flatten(F.array(meteor_tokens("prediction"), meteor_tokens(F.array_join("references", " ")))))).distinct()
+    table = spark.createDataFrame([(r[0], stem(r[0])) for r in tokens.collect()], "token string, cls string")
+    by_join = {r.example_id: r.meteor for r in sequence.meteor_per_example(pairs, ["step"], classes=table).collect()}
+    by_kernel = {r.example_id: r.meteor for r in sequence.meteor_per_example(pairs, ["step"], stem=True).collect()}
+    exact = {r.example_id: r.meteor for r in sequence.meteor_per_example(pairs, ["step"]).collect()}
+    assert by_join == by_kernel and sum((by_kernel[k] or 0) > (exact[k] or 0) for k in exact) > len(exact) / 2
+    one = _one(spark, "the cats sat", ["the cat sat"])
+    for fused in (True, False):
+        got = EV.evaluate(one, ["step"], {"m": ("meteor", {"stem": True}), "meteor": {}}, fused=fused).first()
+        assert abs(got.m - (1 - 0.5 * (1 / 3) ** 3)) < 1e-12 and got.meteor < got.m
+    with pytest.raises(ValueError):
+        sequence.meteor(one, ["step"], classes=table, stem=True)
+
+
 def test_meteor_class_stage(spark):
     df = _one(spark, "the cats sat", ["the cat sat"])
     exact = sequence.meteor(df, ["step"]).first().meteor
@@ -90,7 +111,6 @@ def test_evaluate_ids_decodes_and_scores(spark):
 
 
 def test_fused_evaluation_equals_separate_families(spark):
-    from lexeval.plans import evaluate as EV
     p = views.eval_pairs(spark, "/root/testdata/sf0.001")
     ms = ["BLEU", "BLEU_lower", "chrF++", "TER", "word_edit_rate", "rougeL", "meteor"]
     a = sorted(EV.evaluate(p, ["step"], ms).collect())
@@ -102,7 +122,6 @@ def test_fused_evaluation_equals_separate_families(spark):
 
 
 def test_empty_input_gives_one_row_of_nulls(spark):
-    from lexeval.plans import evaluate as EV
     empty = spark.createDataFrame([], SCHEMA)
     rows = EV.evaluate(empty, [], ["BLEU", "chrF++", "TER", "rougeL", "meteor"]).collect()
     assert len(rows) == 1 and all(v is None for v in rows[0])
@@ -113,7 +132,6 @@ NO_REFERENCES = ([], None, [""], [None, ""])
 
 @pytest.mark.parametrize("refs", NO_REFERENCES)
 def test_an_example_without_references_counts_nowhere(spark, refs):
-    from lexeval.plans import evaluate as EV
     ms = ["BLEU", "BLEU_lower", "chrF++", "TER", "word_edit_rate", "rougeL", "meteor"]
     text = "a b c d e f"
     rows = spark.createDataFrame([(1, 0, text, [text]), (1, 1, text, refs), (2, 2, text, refs)], SCHEMA)
