@@ -236,43 +236,90 @@ def edit_distance(a, b) -> int:
     return score
 
 
-def _rows(h, r):
-    """Edit-distance rows of ``h`` (ids) against ``r`` (id array): ``rows[i, j]``
-    is the distance of the first ``i`` words to the first ``j``."""
-    m = len(r)
-    ar = np.arange(m + 1, dtype=np.int32)
-    d = np.empty((len(h) + 1, m + 1), np.int32)
-    d[0] = ar
-    for i, w in enumerate(h, 1):
-        _next_row(d[i - 1], w, r, ar, d[i])
-    return d
-
-
-def _next_row(prev, w, r, ar, out):
-    """One more word: substitution and deletion, then insertions as a running minimum."""
-    out[0] = prev[0] + 1
-    np.minimum(prev[1:] + 1, prev[:-1] + (r != w), out=out[1:])
-    out -= ar
-    np.minimum.accumulate(out, out=out)
-    out += ar
-
-
-def _alignment(d, h, r):
-    """Back-trace of the edit-distance rows: (hyp_matched, ref_matched,
-    ref_to_hyp), the last the hypothesis index at which a reference word is
-    aligned or would be inserted."""
-    n, m = len(h), len(r)
-    hm, rm, r2h = [False] * n, [False] * m, [0] * m
-    i, j = n, m
-    while i > 0 or j > 0:
-        if i > 0 and j > 0 and d[i, j] == d[i - 1, j - 1] + (h[i - 1] != r[j - 1]):
-            if h[i - 1] == r[j - 1]:
-                hm[i - 1] = rm[j - 1] = True
-            r2h[j - 1] = i - 1
-            i, j = i - 1, j - 1
-        elif j > 0 and d[i, j] == d[i, j - 1] + 1:
-            r2h[j - 1] = i
-            j -= 1
+class _Columns:
+    """Edit-distance columns of a growing hypothesis against a reference, as
+    bit vectors (Myers / Hyyrö): bit ``j`` of ``pv`` and ``mv`` tells that the
+    distance of the first ``j + 1`` reference words is one above or below that
+    of the first ``j``."""
+
+    def __init__(self, ref: list[int], words: int):
+        self.masks = [0] * words + [0]  # the last stands for a word that the reference lacks
+        for j, w in enumerate(ref):
+            self.masks[w] |= 1 << j
+        self.full, self.top, self.m = (1 << len(ref)) - 1, len(ref) - 1, len(ref)
+
+    def run(self, h: list[int]):
+        """Columns ``pv, mv``, distances of the whole reference, and the steps
+        ``ph, mh`` that led to each column from the one before."""
+        full, top, masks = self.full, self.top, self.masks
+        pv, mv, score = full, 0, self.m
+        pvs, mvs, scores, phs, mhs = [pv], [mv], [score], [0], [0]
+        for w in h:
+            eq = masks[w]
+            xh = ((((eq & pv) + pv) & full) ^ pv) | eq
+            ph, mh = mv | (full ^ (xh | pv)), pv & xh
+            score += (ph >> top) - (mh >> top)
+            phs.append(ph)
+            mhs.append(mh)
+            ph = ((ph << 1) | 1) & full
+            xv = eq | mv
+            pv, mv = ((mh << 1) & full) | (full ^ (xv | ph)), ph & xv
+            pvs.append(pv)
+            mvs.append(mv)
+            scores.append(score)
+        return pvs, mvs, scores, phs, mhs
+
+    def distance(self, known, lo: int, moved: list[int], h: list[int], most: int) -> int:
+        """The distance of ``h`` with the words from ``lo`` on replaced by
+        ``moved``, from the columns of ``h``; any number above ``most`` where it
+        is larger than that.  Once a column is that of ``h`` again, so are the
+        steps that follow."""
+        pvs, mvs, scores = known[:3]
+        full, top, masks = self.full, self.top, self.masks
+        pv, mv, score, at = pvs[lo], mvs[lo], scores[lo], lo
+        hi, n = lo + len(moved), len(h)
+        for w in moved:
+            eq = masks[w]
+            xh = ((((eq & pv) + pv) & full) ^ pv) | eq
+            ph, mh = mv | (full ^ (xh | pv)), pv & xh
+            score += (ph >> top) - (mh >> top)
+            ph = ((ph << 1) | 1) & full
+            xv = eq | mv
+            pv, mv = ((mh << 1) & full) | (full ^ (xv | ph)), ph & xv
+        for at in range(hi, n):
+            if score - (n - at) > most:
+                return most + 1
+            if pv == pvs[at] and mv == mvs[at]:
+                return score + scores[n] - scores[at]
+            eq = masks[h[at]]
+            xh = ((((eq & pv) + pv) & full) ^ pv) | eq
+            ph, mh = mv | (full ^ (xh | pv)), pv & xh
+            score += (ph >> top) - (mh >> top)
+            ph = ((ph << 1) | 1) & full
+            xv = eq | mv
+            pv, mv = ((mh << 1) & full) | (full ^ (xv | ph)), ph & xv
+        return score
+
+
+def _alignment(known, h, r):
+    """Back-trace of the edit distance: (hyp_matched, ref_matched, ref_to_hyp),
+    the last the hypothesis index at which a reference word is aligned or would
+    be inserted."""
+    pvs, mvs, _, phs, mhs = known
+    i, j = len(h), len(r)
+    hm, rm, r2h = [False] * i, [False] * j, [0] * j
+    while i > 0 and j > 0:
+        b = j - 1
+        if h[i - 1] == r[b]:
+            hm[i - 1] = rm[b] = True
+            r2h[b] = i - 1
+            i, j = i - 1, b
+        elif (phs[i] >> b & 1) - (mhs[i] >> b & 1) + (pvs[i - 1] >> b & 1) - (mvs[i - 1] >> b & 1) == 1:
+            r2h[b] = i - 1
+            i, j = i - 1, b
+        elif pvs[i] >> b & 1:
+            r2h[b] = i
+            j = b
         else:
             i -= 1
     return hm, rm, r2h
@@ -296,27 +343,26 @@ def ter_edits(hyp, ref, max_size: int = MAX_SHIFT_SIZE, max_dist: int = MAX_SHIF
     Moving ``n`` words takes ``n`` deletions and ``n`` insertions, so it lowers
     the distance by 2n at most and gains 2n - 1 at most: spans are tried longest
     first, and the search ends when the bound falls to the best gain.  A
-    candidate shares its words before the moved part with the hypothesis and
-    its words after it with the reversed one, so only the part between is
-    computed anew, from stored rows."""
+    candidate shares its words before the moved part with the hypothesis, so its
+    distance starts from the column there (:class:`_Columns`), and ends where the
+    columns meet again or it can no longer beat the best."""
     ids: dict = {}
-    r = np.fromiter((ids.setdefault(t, len(ids)) for t in ref), np.int64, len(ref))
+    r = [ids.setdefault(t, len(ids)) for t in ref]
     h = [ids.get(t, -1) for t in hyp]
-    if not len(r):
+    if not r:
         return len(h)
     m = len(r)
-    ar = np.arange(m + 1, dtype=np.int32)
+    columns = _Columns(r, len(ids))
     starts: dict = {}
-    for j, w in enumerate(r.tolist()):
+    for j, w in enumerate(r):
         starts.setdefault(w, []).append(j)
-    ref_ids = r.tolist()
     shifts = 0
     while True:
-        ahead = _rows(h, r)
-        cur = int(ahead[-1, -1])
+        known = columns.run(h)
+        cur = known[2][-1]
         if cur == 0:
             break
-        hm, rm, r2h = _alignment(ahead, h, ref_ids)
+        hm, rm, r2h = _alignment(known, h, r)
         spans: dict[int, list] = {}
         for s, w in enumerate(h):
             if hm[s]:
@@ -326,35 +372,30 @@ def ter_edits(hyp, ref, max_size: int = MAX_SHIFT_SIZE, max_dist: int = MAX_SHIF
                 if rm[j] or abs(t - s) > max_dist:
                     continue
                 n = 0
-                while n < max_size and s + n < len(h) and j + n < m and h[s + n] == ref_ids[j + n]:
+                while n < max_size and s + n < len(h) and j + n < m and h[s + n] == r[j + n]:
                     n += 1
                     if not s <= t <= s + n:
                         spans.setdefault(n, []).append((s, t))
-        if not spans:
-            break
-        behind = _rows(h[::-1], r[::-1])[:, ::-1]  # behind[k, j]: the last k words against the reference from j
-        best, scored = None, {}
+        best, tried = None, set()
         for n in sorted(spans, reverse=True):
-            if best is not None and 2 * n - 1 <= best[0][0]:
+            if best is not None and 2 * n - 1 <= best[0]:
                 break
             for s, t in sorted(set(spans[n])):
-                if best is not None and best[0][:2] == (2 * n - 1, n):
+                if best is not None and best[:2] == (2 * n - 1, n):
                     break  # as good as this length gets, and the earliest
                 lo, hi = min(s, t), max(s + n, t)
+                if (lo, hi, n, t > s) in tried:
+                    continue
+                tried.add((lo, hi, n, t > s))
                 moved = h[s + n:t] + h[s:s + n] if t > s else h[s:s + n] + h[t:s]
-                if (lo, hi, n, t > s) not in scored:
-                    row, spare = ahead[lo].copy(), np.empty(m + 1, np.int32)
-                    for w in moved:
-                        _next_row(row, w, r, ar, spare)
-                        row, spare = spare, row
-                    scored[lo, hi, n, t > s] = int((row + behind[len(h) - hi]).min())
-                d = scored[lo, hi, n, t > s]
-                gain = cur - d - 1
-                if gain > 0 and (best is None or (gain, n, -s, -t) > best[0]):
-                    best = ((gain, n, -s, -t), h[:lo] + moved + h[hi:])
+                # longer spans and earlier places came first: only a larger gain is better
+                most = cur - 2 - (best[0] if best is not None else 0)
+                d = columns.distance(known, lo, moved, h, most)
+                if d <= most:
+                    best = (cur - d - 1, n, h[:lo] + moved + h[hi:])
         if best is None:
             break
-        h = best[1]
+        h = best[2]
         shifts += 1
     return shifts + cur
 

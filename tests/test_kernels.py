@@ -4,6 +4,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lexeval.operators import kernels
 from lexeval.operators.kernels import bleu_batch, chrf_batch, edit_distance, lcs_len, meteor_row, ter_edits
 
 words = st.lists(st.sampled_from(list("abcdef")), max_size=40)
@@ -194,3 +195,49 @@ def test_ter_of_long_texts_is_quick():
     began = time.process_time()
     ter_edits(hyp, ref)
     assert time.process_time() - began < 20
+
+
+def plain_ter(hyp, ref, max_size, max_dist):
+    """The rules of ``ter_edits`` with a whole distance for every candidate."""
+    hyp, shifts = list(hyp), 0
+    if not ref:
+        return len(hyp)
+    while True:
+        known = kernels._Columns(ids := [ref.index(w) for w in ref], len(ref)).run(h := [ref.index(w) if w in ref else -1 for w in hyp])
+        hm, rm, r2h = kernels._alignment(known, h, ids)
+        cur, found = dp_edit(hyp, ref), []
+        for s in range(len(hyp)):
+            for j in range(len(ref)):
+                for n in range(1, max_size + 1):
+                    t = r2h[j]
+                    if hm[s] or rm[j] or abs(t - s) > max_dist or s + n > len(hyp) or hyp[s:s + n] != ref[j:j + n] or s <= t <= s + n:
+                        continue
+                    rest = hyp[:s] + hyp[s + n:]
+                    at = t - n if t > s else t
+                    moved = rest[:at] + hyp[s:s + n] + rest[at:]
+                    found.append((cur - dp_edit(moved, ref) - 1, n, -s, -t, moved))
+        best = max(found, default=None, key=lambda x: x[:4])
+        if best is None or best[0] <= 0:
+            return shifts + cur
+        hyp, shifts = best[4], shifts + 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcx"), max_size=14), st.integers(1, 10), st.integers(1, 50))
+def test_ter_matches_every_candidate_in_full(h, r, size, dist):
+    assert ter_edits(h, r, size, dist) == plain_ter(h, r, size, dist)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=30), st.lists(st.integers(-1, 4), max_size=30), st.data())
+def test_a_shift_is_measured_from_the_stored_columns(r, h, data):
+    ref = [sorted(set(r)).index(w) for w in r]
+    h = [w if w < len(set(r)) else -1 for w in h]
+    columns = kernels._Columns(ref, len(set(r)))
+    known = columns.run(h)
+    assert known[2] == [dp_edit(h[:i], ref) for i in range(len(h) + 1)]
+    lo, hi = sorted((data.draw(st.integers(0, len(h))), data.draw(st.integers(0, len(h)))))
+    moved = data.draw(st.permutations(h[lo:hi]))
+    most = data.draw(st.integers(0, 30))
+    want, got = dp_edit(h[:lo] + moved + h[hi:], ref), columns.distance(known, lo, moved, h, most)
+    assert got == want or min(got, want) > most
