@@ -1,11 +1,12 @@
 """All light metrics in one pass over the aligned rows.
 
 Scoring a run with several metric families one after another reads and
-ships every row to Python once per family.  Here the tokenisations of every
-selected family are computed in one JVM projection, one Arrow kernel call per
-row returns every family's per-row statistics, the best reference is chosen
-per family with higher-order expressions, and a single partial aggregation
-per group yields all corpus scores.  Results equal the per-family functions
+ships every row to Python once per family.  Here one Arrow kernel takes the
+texts of a row once, cuts them into the tokens of every selected family
+(``functions.pytokens``; token columns, families times references, cost several
+times the counting) and returns every family's per-row statistics, the best
+reference is chosen per family with higher-order expressions, and a single
+partial aggregation per group yields all corpus scores.  Results equal the per-family functions
 (same definitions, same reference selection rules).
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexeval.functions import pytokens
 from lexeval.functions.text import chrf_chars, chrf_words, meteor_tokens, rouge_tokens, split_ws, ter_tokens, tok_13a
 from lexeval.metrics.ngram import best_chrf, bleu_from_sums, by_example, chrf_from_sums, over, predicted, usable_refs
 from lexeval.metrics.sequence import rouge_scores, ter_from_sums
@@ -32,8 +34,10 @@ _OUT = T.StructType([
     T.StructField("b", T.ArrayType(T.LongType())),       # hyp_len, ref_len, m1..m4
     T.StructField("bl", T.ArrayType(T.LongType())),
     T.StructField("c", T.ArrayType(_LL)),                  # per reference: [h, r, m] * 8
+    T.StructField("tl", _LL),                              # words of each reference
     T.StructField("t", _LL),                               # TER edits per reference
     T.StructField("w", _LL),                               # word edit distance per reference
+    T.StructField("rl", _LL),                              # ROUGE tokens of the prediction, then of each reference
     T.StructField("l", _LL),                               # LCS per reference
     T.StructField("mt", T.ArrayType(T.ArrayType(T.DoubleType()))),  # METEOR per setting and reference
 ])
@@ -90,41 +94,57 @@ def _meteor_settings(specs: list[Spec]) -> list[tuple]:
     return list(dict.fromkeys(tuple(s.settings().values()) for s in specs if s.metric == "meteor"))
 
 
-def _kernel(sel: frozenset, meteor: tuple = (tuple(SETTINGS["meteor"].values()),)):
+def _kernel(sel: frozenset, names: list[str], meteor: tuple = (tuple(SETTINGS["meteor"].values()),)):
+    """The kernel over the columns of :func:`kernel_columns`, by their names."""
     @F.pandas_udf(_OUT)
-    def run(bh: pd.Series, br: pd.Series, lh: pd.Series, lr: pd.Series, ch: pd.Series, cw: pd.Series,
-            crc: pd.Series, crw: pd.Series, th: pd.Series, tr: pd.Series, rh: pd.Series, rr: pd.Series,
-            mh: pd.Series, mr: pd.Series) -> pd.DataFrame:
-        n = len(bh)
-        out = {k: [None] * n for k in ("b", "bl", "c", "t", "w", "l", "mt")}
-        for m, key, hyps, refs in (("BLEU", "b", bh, br), ("BLEU_lower", "bl", lh, lr)):
+    def run(*columns: pd.Series) -> pd.DataFrame:
+        given = dict(zip(names, columns))
+        n = len(columns[0])
+        out = {f.name: [None] * n for f in _OUT.fields}
+        text = lambda c: given[c].tolist()
+
+        def cut(hyps, refs, known, f):
+            """Tokens of the predictions and, unless known, of their references."""
+            held = given[known].tolist() if known in given else [[f(r) for r in rs] for rs in text(refs)]
+            return [f(h) for h in text(hyps)], held
+
+        for m, key, hyps, refs, known in (("BLEU", "b", "p", "r", "br"), ("BLEU_lower", "bl", "pl", "rl", "lr")):
             if m in sel:
-                out[key] = [[hl, rl, *match] if len(r) else None
-                            for (hl, rl, match), r in zip(kernels.bleu_batch(hyps.tolist(), refs.tolist()), refs)]
+                h, r = cut(hyps, refs, known, pytokens.tok_13a)
+                out[key] = [[hl, rl, *match] if len(x) else None for (hl, rl, match), x in zip(kernels.bleu_batch(h, r), r)]
         if "chrF++" in sel:
-            out["c"] = kernels.chrf_batch(ch.tolist(), cw.tolist(), crc.tolist(), crw.tolist())
-        for i in range(n):
+            (hc, rc), (hw, rw) = cut("p", "r", "crc", pytokens.chrf_chars), cut("p", "r", "crw", pytokens.chrf_words)
+            out["c"] = kernels.chrf_batch(hc, hw, rc, rw)
+        if sel & {"TER", "word_edit_rate"}:
+            h, r = cut("pl", "rl", "tr", str.split)
+            out["tl"] = [[len(x) for x in rs] for rs in r]
             if "TER" in sel:
-                h = list(th.iat[i])
-                out["t"][i] = [kernels.ter_edits(h, r) for r in tr.iat[i]]
+                out["t"] = [[kernels.ter_edits(x, y) for y in rs] for x, rs in zip(h, r)]
             if "word_edit_rate" in sel:
-                h = list(th.iat[i])
-                out["w"][i] = [kernels.edit_distance(h, list(r)) for r in tr.iat[i]]
-            if "rougeL" in sel:
-                h = list(rh.iat[i])
-                out["l"][i] = [kernels.lcs_len(list(r), h) for r in rr.iat[i]]
-            if "meteor" in sel:
-                out["mt"][i] = [kernels.meteor_rows(mh.iat[i], mr.iat[i], *how) for how in meteor]
+                out["w"] = [[kernels.edit_distance(x, y) for y in rs] for x, rs in zip(h, r)]
+        if "rougeL" in sel:
+            h, r = cut("pl", "rl", "rr", pytokens.rouge_tokens)
+            out["rl"] = [[len(x), *map(len, rs)] for x, rs in zip(h, r)]
+            out["l"] = [[kernels.lcs_len(y, x) for y in rs] for x, rs in zip(h, r)]
+        if "meteor" in sel:
+            words = lambda t, beyond: pytokens.meteor_tokens(t) if t.isascii() else beyond
+            h = [words(*x) for x in zip(text("pl"), text("mh"))]
+            r = text("mr") if "mr" in given else [[words(*y) for y in zip(*x)] for x in zip(text("rl"), text("mx"))]
+            out["mt"] = [[s for s in each] for each in zip(*[[kernels.meteor_rows(x, rs, *how) for x, rs in zip(h, r)] for how in meteor])]
         return pd.DataFrame(out)
 
     return run
 
 
-#: Kernel arguments: tokens of the prediction and of each reference, family by family.
-NAMES = ["bh", "br", "lh", "lr", "ch", "cw", "crc", "crw", "th", "tr", "rh", "rr", "mh", "mr"]
 _S, _SS = "array<string>", "array<array<string>>"
 
 
+def family_tokens(sel) -> set[str]:
+    """Names of the reference tokens that the metrics of ``sel`` read."""
+    of = {"BLEU": ("br",), "BLEU_lower": ("lr",), "chrF++": ("crc", "crw"), "TER": ("tr",), "word_edit_rate": ("tr",), "rougeL": ("rr",), "meteor": ("mr",), "gen_len": ()}
+    return {n for m in sel for n in of[m]}
+
+
 def reference_columns(sel, refs=None) -> dict:
     """Tokens of the usable references, by argument name: the part of the work
     that does not depend on a prediction.  A family that is not selected has
@@ -138,22 +158,30 @@ def reference_columns(sel, refs=None) -> dict:
             "mr": each("meteor" in sel, lambda r: meteor_tokens(r), _SS)}
 
 
-def prediction_columns(sel) -> dict:
-    words = sel & {"TER", "word_edit_rate"}
-    of = lambda on, c, empty: c if on else empty
-    none = F.array().cast(_S)
-    return {"bh": of("BLEU" in sel, tok_13a(predicted()), none), "lh": of("BLEU_lower" in sel, tok_13a(predicted(), True), none),
-            "ch": of("chrF++" in sel, chrf_chars(predicted()), F.lit("")), "cw": of("chrF++" in sel, chrf_words(predicted()), none),
-            "th": of(words, ter_tokens(predicted()), none), "rh": of("rougeL" in sel, rouge_tokens(predicted()), none),
-            "mh": of("meteor" in sel, meteor_tokens(predicted()), none)}
-
-
 def kernel_columns(sel, known=()) -> list:
-    """The kernel's arguments in order.  Reference tokens that the rows already
-    hold (see ``metrics.shared``) are taken as they are."""
-    known = set(known)
-    cols = prediction_columns(sel) | {n: F.col(f"_ref_{n}") if f"_ref_{n}" in known else c for n, c in reference_columns(sel).items()}
-    return [cols[n].alias(n) for n in NAMES]
+    """The kernel's arguments: the prediction ``p`` and its references ``r``, both
+    lower-cased as ``pl`` and ``rl``, METEOR tokens of texts beyond ASCII as
+    ``mh`` and ``mx``; no text that the selected families do not read.  Reference
+    tokens that the rows already hold (see ``metrics.shared``) are taken as they
+    are, by the names of :func:`reference_columns`."""
+    known = {n for n in reference_columns(sel) if f"_ref_{n}" in set(known) and n in family_tokens(sel)}
+    plain, lowered = sel & {"BLEU", "chrF++"}, sel & {"BLEU_lower", "TER", "word_edit_rate", "rougeL", "meteor"}
+    low, refs = F.lower(predicted()), usable_refs()
+    beyond = lambda t: F.when(F.length(t) != F.octet_length(t), meteor_tokens(t))
+    cols = {"p": predicted() if plain else F.lit("")}
+    cols |= {"pl": low} if lowered else {}
+    cols |= {"mh": beyond(low)} if "meteor" in sel else {}
+    cols |= {n: F.col(f"_ref_{n}") for n in sorted(known)}
+    cols |= {"r": refs} if family_tokens(plain) - known else {}
+    cols |= {"rl": F.transform(refs, F.lower)} if family_tokens(lowered) - known else {}
+    cols |= {"mx": F.transform(refs, lambda t: beyond(F.lower(t)))} if family_tokens(sel & {"meteor"}) - known else {}
+    return [c.alias(f"_k_{n}") for n, c in cols.items()]
+
+
+def _called(base: DataFrame, sel, *how) -> Column:
+    """The kernel over the columns that ``base`` has for it."""
+    given = [c for c in base.columns if c.startswith("_k_")]
+    return _kernel(sel, [c.removeprefix("_k_") for c in given], *how)(*given)
 
 
 def _picked(places: list[int]):
@@ -169,8 +197,8 @@ def _columns(specs: list[Spec]) -> tuple[dict[str, Column], dict[str, Column], d
     rows: dict[str, Column] = {}
     stats: dict[str, Column] = {}
     scores: dict[str, Column] = {}
-    n_refs = F.size("tr")
-    ref_len = F.aggregate("tr", F.lit(0).cast("long"), lambda a, r: a + F.size(r)) / n_refs
+    n_refs = F.size(F.col("s")["tl"])
+    ref_len = F.aggregate(F.col("s")["tl"], F.lit(0).cast("long"), lambda a, n: a + n) / n_refs
     for i, spec in enumerate(specs):
         name, c, m = lambda x, i=i: f"_{i}_{x}", spec.settings(), spec.metric  # noqa: B023
         col = lambda x, name=name: F.col(name(x))
@@ -196,7 +224,7 @@ def _columns(specs: list[Spec]) -> tuple[dict[str, Column], dict[str, Column], d
             if m == "gen_len":  # words of the prediction and the end of sequence; asks for no reference
                 each = F.col("gl").cast("double")
             elif m == "rougeL":
-                each = F.array_max(F.transform(rouge_scores(F.col("rh"), F.col("rr"), F.col("s")["l"]), lambda x: x["f"]))
+                each = F.array_max(F.transform(rouge_scores(F.get(F.col("s")["rl"], F.lit(0)), F.slice(F.col("s")["rl"], 2, 1 << 30), F.col("s")["l"]), lambda x: x["f"]))
             else:
                 each = F.array_max(F.col("s")["mt"][how.index(tuple(c.values()))])
             rows[name("v")] = each
@@ -219,8 +247,9 @@ def statistics(pairs: DataFrame, keys: list[str], specs: list[Spec]) -> tuple[Da
     rows, stats, scores = _columns(specs)
     sel = frozenset(s.family() for s in specs)
     length = F.size(split_ws(predicted())) + 1 if "gen_len" in sel else F.lit(None).cast("int")
-    base = by_example(pairs).select(*keys, "example_id", length.alias("gl"), *kernel_columns(sel, pairs.columns))
-    st = base.select(*keys, "example_id", "gl", "tr", "rh", "rr", _kernel(sel, tuple(_meteor_settings(specs)))(*NAMES).alias("s"))
+    given = kernel_columns(sel, pairs.columns)
+    base = by_example(pairs).select(*keys, "example_id", length.alias("gl"), *given)
+    st = base.select(*keys, "example_id", "gl", _called(base, sel, tuple(_meteor_settings(specs))).alias("s"))
     return st.select(*keys, "example_id", *[c.alias(n) for n, c in rows.items()], "s"), stats, scores
 
 
@@ -240,7 +269,7 @@ def per_example_fused(pairs: DataFrame, keys: list[str], carry=("source", "predi
     sel = frozenset({"chrF++", "meteor"})
     carried = [c for c in carry if c in pairs.columns]
     base = by_example(pairs).select(*keys, "example_id", *carried, *kernel_columns(sel, pairs.columns))
-    st = base.select(*keys, "example_id", *carried, _kernel(sel)(*NAMES).alias("s"))
+    st = base.select(*keys, "example_id", *carried, _called(base, sel).alias("s"))
 
     return st.select(*keys, "example_id", *carried, best_chrf(F.col("s")["c"], ORDERS)["f"].alias("chrf"),
                      F.array_max(F.col("s")["mt"][0]).alias("meteor"))

@@ -117,15 +117,14 @@ BETA = 2.0
 def _f_score(stats: Column, n_orders: int, beta: float = BETA) -> Column:
     """chrF from an ``array<struct<h,r,m>>`` of per-order counts: average P and R
     over orders where both sides have n-grams, then F-beta, ×100."""
-    eff = F.aggregate(stats, F.lit(0), lambda a, s: a + F.when((s["h"] > 0) & (s["r"] > 0), 1).otherwise(0))
-    sp = F.aggregate(stats, F.lit(0.0), lambda a, s: a + F.when((s["h"] > 0) & (s["r"] > 0), s["m"] / s["h"])
-                     .otherwise(0.0))
-    sr = F.aggregate(stats, F.lit(0.0), lambda a, s: a + F.when((s["h"] > 0) & (s["r"] > 0), s["m"] / s["r"])
-                     .otherwise(0.0))
-    p = F.when(eff > 0, sp / eff).otherwise(0.0)
-    r = F.when(eff > 0, sr / eff).otherwise(0.0)
+    once = lambda value, body: F.transform(F.array(value), body)[0]
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("p"), F.lit(0.0).alias("r"))
+    sums = F.aggregate(stats, zero, lambda a, s: F.when((s["h"] > 0) & (s["r"] > 0), F.struct(
+        (a["n"] + 1).alias("n"), (a["p"] + s["m"] / s["h"]).alias("p"), (a["r"] + s["m"] / s["r"]).alias("r"))).otherwise(a))
     f2 = beta * beta
-    return F.when(p + r > 0, 100.0 * (1 + f2) * p * r / (f2 * p + r)).otherwise(0.0)
+    mean = once(sums, lambda x: F.when(x["n"] > 0, F.struct((x["p"] / x["n"]).alias("p"), (x["r"] / x["n"]).alias("r"))).otherwise(
+        F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("r"))))
+    return once(mean, lambda x: F.when(x["p"] + x["r"] > 0, 100.0 * (1 + f2) * x["p"] * x["r"] / (f2 * x["p"] + x["r"])).otherwise(0.0))
 
 
 def order_stats(flat: Column, orders: int) -> Column:
@@ -137,8 +136,8 @@ def order_stats(flat: Column, orders: int) -> Column:
 def best_chrf(per_ref: Column, orders: int, beta: float = BETA) -> Column:
     """``struct<k,stats,f>`` of the reference with the highest sentence chrF,
     the first on ties; NULL without references."""
-    scored = F.transform(per_ref, lambda flat, k: F.struct(
-        k.alias("k"), order_stats(flat, orders).alias("stats"), _f_score(order_stats(flat, orders), orders, beta).alias("f")))
+    scored = F.transform(F.transform(per_ref, lambda flat: order_stats(flat, orders)), lambda stats, k: F.struct(
+        k.alias("k"), stats.alias("stats"), _f_score(stats, orders, beta).alias("f")))
     return F.get(F.array_sort(scored, lambda a, b: F.when(a["f"] > b["f"], -1).when(a["f"] < b["f"], 1)
                               .otherwise(a["k"] - b["k"])), F.lit(0))
 

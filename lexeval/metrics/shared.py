@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexeval.metrics.fused import FUSABLE, evaluate_fused, per_example_fused, reference_columns
+from lexeval.metrics.fused import FUSABLE, evaluate_fused, family_tokens, per_example_fused, reference_columns
 from lexeval.session import scratch_path
 
 PREFIX = "_ref_"
@@ -32,25 +32,20 @@ def write_reference_table(references: DataFrame, table: str, metrics: list[str]
     if unknown:
         raise KeyError(f"no reference tokens for: {sorted(unknown)}")
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = {n: c for n, c in reference_columns(sel).items() if n in _needed(sel)}
+    wanted = {n: c for n, c in reference_columns(sel).items() if n in family_tokens(sel)}
     rows = references.select("*", *[c.alias(PREFIX + n) for n, c in wanted.items()])
     # dealt by the bucket's own hash, so that each bucket is one file
     (rows.repartition(buckets, "example_id").write.format("parquet").mode(mode).bucketBy(buckets, "example_id").sortBy("example_id")
      .option("path", path or scratch_path(spark, table)).saveAsTable(table))
 
 
-def _needed(sel) -> set[str]:
-    of = {"BLEU": ("br",), "BLEU_lower": ("lr",), "chrF++": ("crc", "crw"), "TER": ("tr",), "word_edit_rate": ("tr",), "rougeL": ("rr",), "meteor": ("mr",), "gen_len": ()}
-    return {n for m in sel for n in of[m]}
-
-
 def against(spark: SparkSession, predictions: DataFrame, table: str, metrics) -> DataFrame:
     """Aligned rows of ``predictions`` (example_id, prediction, keys) with the
     table's reference tokens for ``metrics``; tokens that the table lacks are an
     error.  An example without a row in the table counts as one without
     references."""
     known = spark.table(table)
-    columns = [PREFIX + n for n in sorted(_needed(frozenset(metrics)))]
+    columns = [PREFIX + n for n in sorted(family_tokens(frozenset(metrics)))]
     missing = [c for c in columns if c not in known.columns]
     if missing:
         raise ValueError(f"{table} has no {', '.join(missing)}: it was written for other metrics")

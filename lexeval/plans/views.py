@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexeval.functions.text import split_ws
-from lexeval.session import ship_package
+from lexeval.session import settings, ship_package
 
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
@@ -36,6 +36,7 @@ REF_LEX_SOURCE = "src1"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    settings(spark)
     ship_package(spark)
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return df.select(*columns) if columns else df

@@ -23,6 +23,9 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A kernel holds the tokens of a whole Arrow batch, many times its texts: short batches bound a worker's memory.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
@@ -45,9 +48,13 @@ def get_spark(master: str | None = None, app_name: str = "lexeval",
     return spark
 
 
-def configure(spark: SparkSession) -> SparkSession:
+def settings(spark: SparkSession) -> None:
     for k, v in SQL_DEFAULTS.items():
         spark.conf.set(k, v)
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    settings(spark)
     checkpoint_dir(spark)
     return spark
 

@@ -197,7 +197,7 @@ def test_ter_of_long_texts_is_quick():
     assert time.process_time() - began < 20
 
 
-def plain_ter(hyp, ref, max_size, max_dist):
+def ter_in_full(hyp, ref, max_size, max_dist):
     """The rules of ``ter_edits`` with a whole distance for every candidate."""
     hyp, shifts = list(hyp), 0
     if not ref:
@@ -225,7 +225,7 @@ def plain_ter(hyp, ref, max_size, max_dist):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcx"), max_size=14), st.integers(1, 10), st.integers(1, 50))
 def test_ter_matches_every_candidate_in_full(h, r, size, dist):
-    assert ter_edits(h, r, size, dist) == plain_ter(h, r, size, dist)
+    assert ter_edits(h, r, size, dist) == ter_in_full(h, r, size, dist)
 
 
 @settings(max_examples=200, deadline=None)
