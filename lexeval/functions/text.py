@@ -43,6 +43,13 @@ def split_ws(c) -> Column:
     return F.filter(F.split(_c(c), WS), lambda x: x != "")
 
 
+def first_words(c, n: int) -> Column:
+    """:func:`split_ws` whose first ``n`` tokens are right, for a caller that cuts
+    there: what lies behind them is left in one piece.  One more piece is cut than
+    asked for, since white space before the first word makes an empty one."""
+    return F.filter(F.split(_c(c), WS, n + 2), lambda x: x != "")
+
+
 def strip_ws(c) -> Column:
     """Strip leading/trailing whitespace of any kind (``str.strip()``)."""
     return F.regexp_replace(_c(c), f"^{WS}|{WS}$", "")

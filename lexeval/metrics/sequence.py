@@ -103,7 +103,7 @@ def meteor_per_example(pairs: DataFrame, keys: list[str], classes: DataFrame | N
     else:  # array 0 is the prediction, array k + 1 reference k
         part = lambda a, c: F.transform(a, lambda t, i: F.struct(c.alias("c"), i.alias("p"), t.alias("t")))
         texts = F.concat(part(F.col("h"), F.lit(0)), F.flatten(F.transform("rs", lambda r, k: part(r, k + 1))))
-        found = lookup(base.withColumn("n", F.size("rs")), [*keys, "example_id", "n"], texts, classes, "token", "cls")
+        found = lookup(base.withColumn("n", F.size("rs")), [*keys, "example_id", "n"], texts, classes, "token", "cls", words=True)
         st = found.select(*keys, "example_id", kernels.meteor_found_udf("found", "n").alias("s"))
     return st.select(*keys, "example_id", F.array_max("s").alias("meteor"))
 

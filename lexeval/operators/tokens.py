@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexeval.functions.text import split_ws, strip_ws
+from lexeval.functions.text import first_words, split_ws, strip_ws
 from lexeval.operators.sizing import DEFAULT_BROADCAST_BYTES, estimated_bytes, spread
 
 # --- fixed values -----------------------------------------------------------
@@ -54,6 +54,14 @@ def lang_tokens() -> list[str]:
     return out
 
 
+def fixed_tokens(spark, rows: list[tuple[str, int]]) -> DataFrame:
+    """``(token, id)`` of a few given rows.  Made of literals, so that the plan
+    knows their size; a table of local rows has none, and a vocabulary that held
+    one would never be broadcast."""
+    each = [F.struct(F.lit(t).alias("token"), F.lit(i).cast("int").alias("id")) for t, i in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*each)))
+
+
 # T1
 def build_vocab(texts: DataFrame, col: str = "text", k: int = 500, tokenizer=split_ws) -> DataFrame:
     """``(token, id)``: the specials, then the ``k`` most frequent tokens (count
@@ -65,12 +73,11 @@ def build_vocab(texts: DataFrame, col: str = "text", k: int = 500, tokenizer=spl
     counts = counts.where(~F.col("token").isin(SPECIALS + lang_tokens()))
     top = counts.orderBy(F.desc("count"), F.asc("token")).limit(k)
     spark = texts.sparkSession
-    specials = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIALS)], "token string, id int")
+    specials = fixed_tokens(spark, [(t, i) for i, t in enumerate(SPECIALS)])
     # row_number over the ≤ k rows of the top-k result only
     ranked = top.select("token", (F.row_number().over(Window.orderBy(F.desc("count"), F.asc("token")))
                                   + len(SPECIALS) - 1).cast("int").alias("id"))
-    langs = spark.createDataFrame([(t, i) for i, t in enumerate(lang_tokens())], "token string, rel int")
-    langs = langs.select("token", (F.col("rel") + len(SPECIALS) + F.lit(k)).cast("int").alias("id"))
+    langs = fixed_tokens(spark, [(t, i + len(SPECIALS) + k) for i, t in enumerate(lang_tokens())])
     return specials.unionByName(ranked).unionByName(langs)
 
 
@@ -82,17 +89,18 @@ def items(*arrays: Column) -> Column:
     return F.concat(*[F.transform(a, placed(c)) for c, a in enumerate(arrays)])
 
 
-def lookup(df: DataFrame, keys, found: Column, table: DataFrame, key: str, value: str) -> DataFrame:
+def lookup(df: DataFrame, keys, found: Column, table: DataFrame, key: str, value: str, words: bool = False) -> DataFrame:
     """``(keys..., found)``: for each row the :func:`items` with the ``value``
     that ``table`` has for them as ``v`` (NULL where it has none; the smallest
-    of several), in order.  Rows without items stay."""
+    of several), in order.  Rows without items stay.  The items' own values
+    travel back with them as ``t`` if ``words``."""
     known = table.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_t")).agg(F.min(value).alias("_v"))
     if estimated_bytes(table) is not None and estimated_bytes(table) <= DEFAULT_BROADCAST_BYTES:
         known = F.broadcast(known)
     rows = df.select(*keys, F.monotonically_increasing_id().alias("_row"), found.alias("_items"))
     each = rows.select(*keys, "_row", F.explode_outer("_items").alias("_x"))
     each = each.withColumn("_t", F.col("_x.t")).join(known, "_t", "left")
-    one = F.struct(F.col("_x.c").alias("c"), F.col("_x.p").alias("p"), F.col("_t").alias("t"), F.col("_v").alias("v"))
+    one = F.struct(F.col("_x.c").alias("c"), F.col("_x.p").alias("p"), *([F.col("_t").alias("t")] if words else []), F.col("_v").alias("v"))
     out = each.groupBy("_row").agg(*[F.any_value(k).alias(k) for k in keys],
                                    F.sort_array(F.collect_list(F.when(F.col("_x").isNotNull(), one))).alias("found"))
     return out.select(*keys, "found")
@@ -136,8 +144,10 @@ def encode(df: DataFrame, vocab: DataFrame, max_source_length: int | None = 1024
     keys = list(keys) + [c for c in ("split",) if c in df.columns and c not in keys]
 
     def tokens(col, split, limit):
-        t = split(F.coalesce(F.col(col), F.lit("")))
-        return t if limit is None else F.slice(t, 1, limit - 1)
+        text = F.coalesce(F.col(col), F.lit(""))
+        if limit is None:
+            return split(text)
+        return F.slice(first_words(text, limit - 1) if split is split_ws else split(text), 1, limit - 1)
 
     source, target = tokens("input", tokenizer, max_source_length), tokens("target", target_tokenizer or tokenizer, max_target_length)
     vocab = vocab.select("token", "id")

@@ -121,6 +121,27 @@ def test_vocabularies_of_any_size_have_one_plan(spark):
     assert nodes(tokens.encode(df, sizes[0])) == nodes(tokens.encode(df, sizes[1]))
 
 
+def test_a_learned_vocabulary_is_broadcast(spark):
+    texts = spark.range(300).select(F.concat(F.lit("w"), "id").alias("text"))
+    v = tokens.build_vocab(texts, k=100)
+    assert tokens.estimated_bytes(v) <= tokens.DEFAULT_BROADCAST_BYTES
+    assert dict(v.dtypes) == {"token": "string", "id": "int"}
+    df = texts.select(F.lit(1).alias("example_id"), F.col("text").alias("input"), F.lit("").alias("target"))
+    plan = tokens.encode(df, v)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    fixed = {r.token: r.id for r in v.collect() if r.token in tokens.SPECIALS + tokens.lang_tokens()}
+    assert [fixed[t] for t in tokens.SPECIALS] == [0, 1, 2, 3] and [fixed[t] for t in tokens.lang_tokens()] == list(range(104, 110))
+
+
+def test_first_words_are_those_of_the_whole_split(spark):
+    from lexeval.functions.text import first_words, split_ws
+    texts = ["", " ", "a", " a", "a ", "  a  b ", "a b c d e f", "\t a b\u00a0c\u2003d e ", "a b c ", " a b c d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 3, 4):
+        for r in df.select("t", F.slice(first_words("t", n), 1, n).alias("few"), F.slice(split_ws("t"), 1, n).alias("all")).collect():
+            assert r.few == r["all"] == r.t.split()[:n], (n, r)
+
+
 def test_sides_with_their_own_vocabulary(spark):
     df = spark.createDataFrame([(1, "a b", "a b")], "example_id long, input string, target string")
     other = spark.createDataFrame([(t, i) for i, t in enumerate(tokens.SPECIALS + ["b"])], "token string, id int")
