@@ -102,12 +102,14 @@ def base_failed() -> Column:
 
 
 def _measures() -> dict[str, Column]:
-    """The statistics that have thresholds; for texts with words."""
+    """The statistics that have thresholds, null for texts without words: an
+    expression that occurs twice is computed for every row, also for those that
+    the base rules fail, so the division itself must allow a zero."""
     n = F.col("n_words").cast("double")
-    return {"word_length": F.col("word_chars") / n, "symbol_share": F.col("n_symbols") / n,
-            "upper_share": F.col("n_upper") / F.col("word_chars").cast("double"),
-            "dup_line_share": F.col("n_dup_lines") / F.col("n_lines").cast("double"),
-            "repeat_share": F.col("n_repeat_words") / n}
+    return {"word_length": F.try_divide("word_chars", n), "symbol_share": F.try_divide("n_symbols", n),
+            "upper_share": F.try_divide("n_upper", F.col("word_chars").cast("double")),
+            "dup_line_share": F.try_divide("n_dup_lines", F.col("n_lines").cast("double")),
+            "repeat_share": F.try_divide("n_repeat_words", n)}
 
 
 def thresholds(stats: DataFrame) -> DataFrame:
