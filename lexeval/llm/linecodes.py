@@ -24,6 +24,9 @@ SYMBOLS, FIRST, TABLE = 55_000, 256, 1 << 16
 CHARS, WORDS = 1 << 22, 1 << 18
 #: Longs of a line's parity bits.
 MAP = 4
+#: Counters of hashed word pairs, the counters in a row, and the largest class of a pair's count.
+PAIR_BITS, CHUNK, HEAVIEST = 20, 1 << 14, 63
+PAIRS = 1 << PAIR_BITS
 #: Separators besides ASCII's: C1 and Latin-1 punctuation, general and CJK punctuation.
 _WIDE = re.compile("[\x80-\xbf -⁯　-〃]")
 _ODD = (0xC2B2AE3D27D4EB4F, 0x9E3779B97F4A7C15)
@@ -123,29 +126,80 @@ def _codes(column) -> tuple[np.ndarray, np.ndarray]:
     return flat, (at - at[0]) // 2
 
 
+def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The place of an adjacent word pair among PAIRS counters."""
+    return (mix((a.astype(np.uint64) << np.uint64(16)) | b.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
+def _pair_starts(bounds: np.ndarray, n: int) -> np.ndarray:
+    """Positions of the words that begin an adjacent pair: all but each line's last."""
+    inner = np.ones(n, bool)
+    inner[bounds[1:][np.diff(bounds) > 0] - 1] = False
+    return np.flatnonzero(inner)
+
+
 def frequencies(batches):
-    """Codes to (symbol, n), one row a symbol of the task."""
-    total = np.zeros(TABLE, np.int64)
+    """Codes to (part, n): the task's counts of TABLE characters and PAIRS
+    hashed word pairs, CHUNK of them a row."""
+    total, held, size = np.zeros(TABLE + PAIRS, np.int64), [], 0
+
+    def add():
+        for x in held:
+            total[:TABLE] += np.bincount(x[0], minlength=TABLE)
+        if held:
+            total[TABLE:] += np.bincount(np.concatenate([x[1] for x in held]), minlength=PAIRS)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        symbols, bounds = _codes(batch.column(0))
+        at = _pair_starts(bounds, len(symbols))
+        held.append((symbols, _bucket(symbols[at], symbols[at + 1])))
+        size += len(symbols)
+        if size >= 1 << 20:
+            add()
+            held, size = [], 0
+    add()
+    parts = total.reshape(-1, CHUNK)
+    some = np.flatnonzero(parts.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].astype("<u8").tobytes() for i in some], pa.binary())], ["part", "n"])
+
+
+def summed(batches):
+    """(part, n) added up for each part of the task."""
+    total = {}
     for batch in batches:
-        if batch.num_rows:
-            total += np.bincount(_codes(batch.column(0))[0], minlength=TABLE)
-    held = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["symbol", "n"])
+        for part, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            total[part] = total.get(part, 0) + np.frombuffer(n, "<u8")
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([n.tobytes() for n in total.values()], pa.binary())], ["part", "n"])
+
+
+def classes(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each character how often it stands in the lines, in quarters of a
+    power of two, and for each place of a pair how far its count lies above
+    twice the mean, in halves of one; 0 for most."""
+    words_, pairs = total[:TABLE], total[TABLE:]
+    common = np.where(words_ > 0, np.minimum(255, 1 + 4 * np.log2(np.maximum(words_, 1))), 0).astype(np.uint64)
+    beyond = np.ceil(2 * np.log2(np.maximum(pairs, 1) / (2 * pairs.mean() + 4)))
+    return common, np.clip(beyond, 0, HEAVIEST).astype(np.uint64)
 
 
 def most_edits(n: np.ndarray, least: float) -> np.ndarray:
     return np.floor(n * (1 - least) + 1e-9).astype(np.int64)
 
 
-def rarest_pairs(classes: np.ndarray, least: float):
-    """(id, code) to (key, id): the rarest adjacent word pairs of each line, by
-    the frequency classes of their words.
+def rarest_pairs(classes: np.ndarray, least: float, heavy: np.ndarray | None = None):
+    """(id, code) to (key, id, n): the rarest adjacent word pairs of each line of n words, by
+    the classes of the pairs' own counts where those stand out (``heavy``), then
+    by the frequency classes of their words.  A passage of rare words that many
+    lines hold would fill their keys if the words alone decided.
 
     A line of n words has one pair more than are needed to share one with every
     similar line, 1 + 2 d with d the edits possible at n + 1 words: an edit
     destroys two pairs at most, and a longer partner has as many insertions as
     it is longer, each of which destroys one.  The id's lowest bit tells that
-    the line has too few different pairs to promise two common ones."""
+    the line has too few different pairs to promise two common ones.  Any order
+    of all pairs keeps this promise."""
     def pairs(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -155,21 +209,22 @@ def rarest_pairs(classes: np.ndarray, least: float):
             n = np.diff(bounds)
             need = np.where(most_edits(n + 1, least) > 0, 2 + 2 * most_edits(n + 1, least), 0)
             line = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-            inner = np.ones(len(symbols), bool)
-            inner[bounds[1:][n > 0] - 1] = False  # the last word of a line begins no pair
-            at = np.flatnonzero(inner)
+            at = _pair_starts(bounds, len(symbols))
             if not len(at):
                 continue
             a, b = symbols[at], symbols[at + 1]
-            key = ((classes[a] + classes[b]) << np.uint64(32)) | (a.astype(np.uint64) << np.uint64(16)) | b.astype(np.uint64)
-            packed = np.unique((line[at] << np.uint64(41)) | key)
-            line = (packed >> np.uint64(41)).astype(np.int64)
+            order = classes[a] + classes[b]
+            if heavy is not None:
+                order = order + (heavy[_bucket(a, b)] << np.uint64(9))
+            key = (order << np.uint64(32)) | (a.astype(np.uint64) << np.uint64(16)) | b.astype(np.uint64)
+            packed = np.unique((line[at] << np.uint64(47)) | key)
+            line = (packed >> np.uint64(47)).astype(np.int64)
             first = np.searchsorted(line, np.arange(len(n)))
             kept = np.arange(len(packed)) - first[line] < need[line]
             weak = np.bincount(line, minlength=len(n)) < need
             line = line[kept]
-            yield pa.RecordBatch.from_arrays([pa.array((packed[kept] & np.uint64((1 << 41) - 1)).astype(np.int64)), pa.array(ids[line] * 2 + weak[line])],
-                                             ["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array((packed[kept] & np.uint64((1 << 47) - 1)).astype(np.int64)), pa.array(ids[line] * 2 + weak[line]),
+                                              pa.array(n[line].astype(np.int32))], ["key", "id", "n"])
     return pairs
 
 

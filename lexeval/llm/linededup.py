@@ -14,8 +14,9 @@ links give the first components.  What SimHashes cannot promise is closed by
 the rarest word pairs.  An edit destroys at most two of the adjacent word pairs
 of a line, so the second smallest pair that two similar lines share, in any
 order of all pairs, is among the first 2 d + 2 of both (d: edits possible at a
-line's length, see ``linecodes.rarest_pairs``).  The order is by the frequencies
-of the two words, so frequent phrases are keys only of lines without others.
+line's length, see ``linecodes.rarest_pairs``).  The order is by the pairs' own
+counts where these stand out, then by the frequencies of the two words, so
+frequent phrases and passages are keys only of lines without others.
 Lines that share two keys and still lie in different components are compared;
 one key is enough where both have too few different pairs to promise two.  No
 link asks anything of the SimHashes, so none is lost by them.
@@ -25,11 +26,12 @@ groups and components are Spark's.  The form in DataFrame functions alone
 did not fit the limits (README).
 
 Scale.  One shuffle moves the distinct lines as two bytes a word, one moves the
-keys.  Keys of one line end there.  Members of a key of more than ``HOT`` lines
+keys.  Keys of one line end there, and so do rows without a line of fitting
+length in their key.  Members of a key of more than ``BUSY`` lines
 meet its smallest line first; what then still lies in several components meets
 by the binary digits of the components' ranks within the key, so that no two
-lines of a component are ever looked at together.  Word frequencies are a table
-of 55,000 rows, whatever the size of the input.
+lines of a component are ever looked at together.  Frequencies of words and word
+pairs are counters of a fixed number, whatever the size of the input.
 
 Defined cases.  Null and empty texts have no lines.  Rows with the same doc_id
 and text are one document: each of them gets the same lines.  Rows with the
@@ -53,8 +55,8 @@ from lexeval.llm.common import discard, fresh, let, release, stage
 from lexeval.llm.components import components
 
 BLOCKS, PAIRED = 4, 2
-#: Members from which on a key is hot.
-HOT = 64
+#: Members from which on a key is hot, and from which on its lines meet its smallest one first.
+HOT, BUSY = 64, 16
 #: Parts of the keys that are paired one after another, so that a part's shuffles bound the disk.
 TURNS = 4
 #: Parity bits that travel with the keys.
@@ -89,14 +91,15 @@ def most_edits(longer: Column, least: float) -> Column:
     return F.floor(longer * (1 - least) + 1e-9).cast("int")
 
 
-def word_classes(lines: DataFrame) -> np.ndarray:
-    """For each character how often it stands in the distinct lines, in quarters
-    of a power of two.  A row a character reaches the driver, 55,000 at most."""
-    counts = lines.select("code").mapInArrow(linecodes.frequencies, "symbol int, n bigint").groupBy("symbol").agg(F.sum("n").alias("n"))
-    out = np.zeros(linecodes.TABLE, np.uint64)
-    for symbol, n in counts.collect():
-        out[symbol] = min(255, 1 + int(4 * np.log2(n)))
-    return out
+def rarity(lines: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequency classes of words and of hashed word pairs in the distinct
+    lines (``linecodes.classes``).  Counters of a fixed number are added up in
+    tasks; 9 MB reach the driver, however long the input."""
+    parts = lines.select("code").mapInArrow(linecodes.frequencies, "part int, n binary").repartition("part")
+    total = np.zeros((linecodes.TABLE + linecodes.PAIRS) // linecodes.CHUNK * linecodes.CHUNK, np.int64).reshape(-1, linecodes.CHUNK)
+    for part, n in parts.mapInArrow(linecodes.summed, "part int, n binary").collect():
+        total[part] += np.frombuffer(n, "<u8").astype(np.int64)
+    return linecodes.classes(total.ravel())
 
 
 def _doc_key() -> Column:
@@ -122,6 +125,16 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return dealt.join(several.hint("shuffle_hash"), "key")
 
 
+def fitting(rows: DataFrame, least: float) -> DataFrame:
+    """The rows of ``rows(key, n, ...)`` whose length allows the similarity to
+    another row of the key: if the next shorter and the next longer do not fit,
+    none does.  Rows dealt by key are sorted where they lie."""
+    order = Window.partitionBy("key").orderBy("n")
+    fits = lambda less, more: F.coalesce(F.col(more) - F.col(less) <= most_edits(F.col(more), least), F.lit(False))
+    beside = rows.withColumns({"below": F.lag("n").over(order), "above": F.lead("n").over(order)})
+    return beside.where(fits("below", "n") | fits("n", "above")).drop("below", "above")
+
+
 def cross_pairs(rows: DataFrame, least: float) -> DataFrame:
     """(a, b, weak) for each key that two lines of ``rows(key, id, component, n,
     weak, m0, m1, members)`` share, if they lie in different components and their
@@ -165,16 +178,20 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose texts are similar.  Lengths and parity bits
         rule most others out before texts are fetched."""
-        print_ = lambda c: lines.select(F.col("id").alias(c), (F.octet_length("code") / 2).cast("int").alias(f"{c}_n"),
-                                        *[F.col(m).alias(f"{c}_{m}") for m in maps])
+        def named(found: DataFrame) -> DataFrame:
+            ids = found.select(F.explode_outer(F.array("a", "b")).alias("id")).distinct()
+            return F.broadcast(ids) if found.count() <= BROADCAST_PAIRS else ids
+
+        pairs = stage(pairs, "pairs")
+        own = lines.join(named(pairs), "id", "left_semi")
+        print_ = lambda c: own.select(F.col("id").alias(c), (F.octet_length("code") / 2).cast("int").alias(f"{c}_n"),
+                                      *[F.col(m).alias(f"{c}_{m}") for m in maps])
         most = most_edits(F.greatest("a_n", "b_n"), least)
         apart = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in maps[1:]), F.bit_count(F.col("a_m0").bitwiseXOR(F.col("b_m0"))))
         near = pairs.join(print_("a"), "a").join(print_("b"), "b").where((F.abs(F.col("a_n") - F.col("b_n")) <= most) & (apart <= 2 * most))
         near = stage(near.select("a", "b"), "near")
         release(spark)
-        named = near.select(F.explode_outer(F.array("a", "b")).alias("id")).distinct()
-        named = F.broadcast(named) if near.count() <= BROADCAST_PAIRS else named
-        texts = lines.select("id", "code").join(named, "id", "left_semi")
+        texts = lines.select("id", "code").join(named(near), "id", "left_semi")
         both = near.join(texts.select(F.col("id").alias("a"), F.col("code").alias("ca")), "a").join(
             texts.select(F.col("id").alias("b"), F.col("code").alias("cb")), "b")
         return both.select("a", "b", "ca", "cb").mapInArrow(linecodes.similar_pairs(least), "a bigint, b bigint")
@@ -186,15 +203,17 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     blocks = shared_keys(lines.select(F.explode_outer(block_keys(F.col("sim"))).alias("key"), "id"))
     links = stage(verified(stars(blocks, "low", "high")), "links")
     release(spark)
-    pairs = linecodes.rarest_pairs(word_classes(lines), least)
-    shared = stage(shared_keys(lines.select("id", "code").mapInArrow(pairs, "key bigint, id bigint")), "keys")
+    common, heavy = rarity(lines)
+    pairs = linecodes.rarest_pairs(common, least, heavy)
+    shared = shared_keys(lines.select("id", "code").mapInArrow(pairs, "key bigint, id bigint, n int"))
+    shared = stage(fitting(shared, least).select("key", "id", "low", "members"), "keys")
     release(spark)
     keyed = shared
     weak, length = (F.col("id") % 2 == 1).alias("weak"), (F.octet_length("code") / 2).cast("int").alias("n")
     half = lambda c: F.shiftright(c, 1)
     shared = shared.select("key", half("id").alias("id"), weak, half("low").alias("low"), "members")
-    hot = stage(verified(stars(shared.where(F.col("members") > HOT), "low")), "links")
-    label = components(links.union(hot))
+    links = links.union(stage(verified(stars(shared.where(F.col("members") > BUSY), "low")), "links"))
+    label = components(links)
     known = lines.select("id", length, *PRINT).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     met = []
     for turn in range(TURNS):
@@ -202,11 +221,11 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         met.append(stage(cross_pairs(part.select("key", "id", "component", "n", "weak", *PRINT, "members"), least), "met"))
         release(spark)
     pairs = reduce(DataFrame.union, met).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("weak").alias("weak"))
-    rest = stage(pairs.where("common > 1 or weak").select("a", "b"), "rest")
+    rest = stage(verified(pairs.where("common > 1 or weak").select("a", "b")), "links")
     for part in (keyed, *met):
         discard(part)
     release(spark)
-    label = components(links.union(hot).union(verified(rest)))
+    label = components(links.union(rest))
     grouped = lines.join(label, "id", "left").where("n > 1 or component is not null").select(
         "h1", "h2", "first", F.coalesce("component", "id").alias("component"))
     keeper = grouped.groupBy("component").agg(F.min("first").alias("keeper"))

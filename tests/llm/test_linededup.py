@@ -209,3 +209,34 @@ def test_every_pair_at_the_stated_similarity_is_found(spark):
         # the two pairs of one line are unrelated: their words differ
         assert [tuple(x) for x in got[2 * i + 1]] == want, (len(a), len(b))
     assert sum(near(a, b) for a, b in pairs) > 150
+
+
+def staged_rows(spark, monkeypatch, docs, name):
+    """Rows of the staged table ``name`` while the lines of ``docs`` are grouped, and the dropped lines."""
+    rows, old = [], L.stage
+    monkeypatch.setattr(L, "stage", lambda df, n: (out := old(df, n), n == name and rows.append(out.count()))[0])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    dropped = {(r.doc_id, x.line) for r in L.dropped_lines(df).collect() for x in r.dropped}
+    return sum(rows), dropped
+
+
+def test_a_common_passage_makes_no_keys(spark, monkeypatch):
+    rng = random.Random(21)
+    passage = " ".join("rare%d" % i for i in range(12))
+    often = ["often%d" % i for i in range(700)]
+    docs = [passage + " " + " ".join(rng.sample(often, 28)) for _ in range(300)]
+    docs += [" ".join(rng.sample(often, 30)) for _ in range(300)] + [docs[7] + " one", docs[9].replace("rare3", "other")]
+    rows, dropped = staged_rows(spark, monkeypatch, docs, "keys")
+    assert dropped == {(600, 0), (601, 0)}
+    assert rows < 1500  # each of the 300 lines had ten keys of the passage: over 3,000
+
+
+def test_keys_of_lines_that_differ_too_much_in_length_are_not_paired(spark, monkeypatch):
+    head = "shared one two three"
+    word = iter("w%d" % i for i in range(10 ** 6))
+    docs = [head + " " + " ".join(next(word) for _ in range(n)) for n in (6, 20, 60, 180)]
+    docs += [docs[2] + " longer", " ".join(docs[3].split()[:-2])]
+    rows, dropped = staged_rows(spark, monkeypatch, docs, "keys")
+    assert dropped == {(4, 0), (5, 0)}
+    keyed = spark.createDataFrame([(1, 10), (1, 24), (2, 10), (2, 12), (2, 24), (3, 40), (3, 50), (3, 51)], "key long, n int")
+    assert sorted(map(tuple, L.fitting(keyed, 0.8).collect())) == [(2, 10), (2, 12), (3, 40), (3, 50), (3, 51)]
