@@ -24,6 +24,8 @@ SYMBOLS, FIRST, TABLE = 55_000, 256, 1 << 16
 CHARS, WORDS = 1 << 22, 1 << 18
 #: Longs of a line's parity bits.
 MAP = 4
+#: Keys that similar lines are sure to share: this many, in longer lines one for each so many words.
+COMMON, PER_COMMON = 4, 16
 #: Counters of hashed word pairs, the counters in a row, and the largest class of a pair's count.
 PAIR_BITS, CHUNK, HEAVIEST = 20, 1 << 14, 63
 PAIRS = 1 << PAIR_BITS
@@ -188,18 +190,26 @@ def most_edits(n: np.ndarray, least: float) -> np.ndarray:
     return np.floor(n * (1 - least) + 1e-9).astype(np.int64)
 
 
-def rarest_pairs(classes: np.ndarray, least: float, heavy: np.ndarray | None = None):
+def promised(n: np.ndarray) -> np.ndarray:
+    """Keys that a line of n words is sure to share with a similar one no shorter;
+    long lines share a few rare pairs by chance."""
+    return np.maximum(COMMON, n // PER_COMMON)
+
+
+def rarest_pairs(classes: np.ndarray, least: float, heavy: np.ndarray | None = None, common=lambda n: 2, numbered: bool = False):
     """(id, code) to (key, id, n): the rarest adjacent word pairs of each line of n words, by
     the classes of the pairs' own counts where those stand out (``heavy``), then
     by the frequency classes of their words.  A passage of rare words that many
     lines hold would fill their keys if the words alone decided.
 
-    A line of n words has one pair more than are needed to share one with every
-    similar line, 1 + 2 d with d the edits possible at n + 1 words: an edit
+    A line of n words has as many pairs as are needed to share c = ``common(n)`` with every
+    similar line no shorter, c + 2 d with d the edits possible at n + 1 words: an edit
     destroys two pairs at most, and a longer partner has as many insertions as
     it is longer, each of which destroys one.  The id's lowest bit tells that
-    the line has too few different pairs to promise two common ones.  Any order
-    of all pairs keeps this promise."""
+    the line has too few different pairs to promise c common ones.  Any order
+    of all pairs keeps this promise.  With ``numbered`` a line's second, third ...
+    occurrence of a pair are pairs of their own: each edit still destroys two at
+    most, and only short lines have too few."""
     def pairs(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -207,7 +217,7 @@ def rarest_pairs(classes: np.ndarray, least: float, heavy: np.ndarray | None = N
             ids = batch.column(0).to_numpy()
             symbols, bounds = _codes(batch.column(1))
             n = np.diff(bounds)
-            need = np.where(most_edits(n + 1, least) > 0, 2 + 2 * most_edits(n + 1, least), 0)
+            need = np.where(most_edits(n + 1, least) > 0, common(n) + 2 * most_edits(n + 1, least), 0)
             line = np.repeat(np.arange(len(n), dtype=np.uint64), n)
             at = _pair_starts(bounds, len(symbols))
             if not len(at):
@@ -217,13 +227,18 @@ def rarest_pairs(classes: np.ndarray, least: float, heavy: np.ndarray | None = N
             if heavy is not None:
                 order = order + (heavy[_bucket(a, b)] << np.uint64(9))
             key = (order << np.uint64(32)) | (a.astype(np.uint64) << np.uint64(16)) | b.astype(np.uint64)
-            packed = np.unique((line[at] << np.uint64(47)) | key)
+            packed = (line[at] << np.uint64(47)) | key
+            packed = np.sort(packed) if numbered else np.unique(packed)
             line = (packed >> np.uint64(47)).astype(np.int64)
             first = np.searchsorted(line, np.arange(len(n)))
             kept = np.arange(len(packed)) - first[line] < need[line]
             weak = np.bincount(line, minlength=len(n)) < need
-            line = line[kept]
-            yield pa.RecordBatch.from_arrays([pa.array((packed[kept] & np.uint64((1 << 47) - 1)).astype(np.int64)), pa.array(ids[line] * 2 + weak[line]),
+            line, key = line[kept], packed & np.uint64((1 << 47) - 1)
+            if numbered:  # beyond 2^16 occurrences numbers repeat, which only adds candidates
+                at = np.arange(len(packed))
+                number = at - np.maximum.accumulate(np.where(np.r_[True, packed[1:] != packed[:-1]], at, 0))
+                key |= (number.astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(47)
+            yield pa.RecordBatch.from_arrays([pa.array(key[kept].astype(np.int64)), pa.array(ids[line] * 2 + weak[line]),
                                               pa.array(n[line].astype(np.int32))], ["key", "id", "n"])
     return pairs
 

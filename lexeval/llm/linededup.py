@@ -12,13 +12,14 @@ Candidates.  First come the SimHashes: lines that share ``PAIRED`` of ``BLOCKS``
 blocks meet the smallest and largest line of the block pair, and the verified
 links give the first components.  What SimHashes cannot promise is closed by
 the rarest word pairs.  An edit destroys at most two of the adjacent word pairs
-of a line, so the second smallest pair that two similar lines share, in any
-order of all pairs, is among the first 2 d + 2 of both (d: edits possible at a
-line's length, see ``linecodes.rarest_pairs``).  The order is by the pairs' own
+of a line, so the c smallest pairs that two similar lines share, in any order
+of all pairs, are among the first 2 d + c of both (d: edits possible at a line's
+length, see ``linecodes.rarest_pairs``; c: ``linecodes.promised`` of the shorter).  The order is by the pairs' own
 counts where these stand out, then by the frequencies of the two words, so
 frequent phrases and passages are keys only of lines without others.
-Lines that share two keys and still lie in different components are compared;
-one key is enough where both have too few different pairs to promise two.  No
+The pairs of a line are numbered where they repeat, so lines of few words said many
+times promise as much as others.  Lines that share c keys and still lie in different
+components are compared; fewer are enough where both are too short to promise as many.  No
 link asks anything of the SimHashes, so none is lost by them.
 
 Style.  Signatures and keys are made in Arrow batches (``linecodes``), the joins,
@@ -91,6 +92,14 @@ def most_edits(longer: Column, least: float) -> Column:
     return F.floor(longer * (1 - least) + 1e-9).cast("int")
 
 
+def promised(x: Column, y: Column, least: float) -> Column:
+    """Keys that two similar lines of x and y words share at least: all the pairs
+    that the edits leave where these are fewer than ``linecodes.promised``."""
+    longer = F.greatest(x, y)
+    own = F.greatest(F.lit(linecodes.COMMON), F.floor(F.least(x, y) / linecodes.PER_COMMON)).cast("int")
+    return F.least(own, longer - 1 - 2 * most_edits(longer, least))
+
+
 def rarity(lines: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The frequency classes of words and of hashed word pairs in the distinct
     lines (``linecodes.classes``).  Counters of a fixed number are added up in
@@ -116,12 +125,19 @@ def signed_lines(docs: DataFrame) -> DataFrame:
     return _named(docs).select("doc_id", _doc_key().alias("doc"), "text").mapInArrow(linecodes.signed, linecodes.SIGNED)
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
+def shared_keys(keys: DataFrame, least: float | None = None) -> DataFrame:
     """The rows of ``keys(key, id, ...)`` whose key has two or more ids, with the
     key's smallest id and its number of rows: one exchange, and a lookup in the
-    partition's keys."""
+    partition's keys.  With ``least``, keys of two rows whose lengths ``n`` do not
+    allow the similarity go too."""
     dealt = keys.repartition("key")
-    several = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
+    found = [F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("members")]
+    if least is None:
+        several = dealt.groupBy("key").agg(*found).where("low <> high")
+    else:  # both branches read all columns of the rows: one that left n out would have an exchange of its own
+        several = dealt.groupBy("key").agg(*found, F.min("n").alias("short"), F.max("n").alias("long"))
+        fits = F.col("long") - F.col("short") <= most_edits(F.col("long"), least)
+        several = several.where((F.col("low") != F.col("high")) & ((F.col("members") > 2) | fits)).drop("short", "long")
     return dealt.join(several.hint("shuffle_hash"), "key")
 
 
@@ -136,18 +152,18 @@ def fitting(rows: DataFrame, least: float) -> DataFrame:
 
 
 def cross_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b, weak) for each key that two lines of ``rows(key, id, component, n,
-    weak, m0, m1, members)`` share, if they lie in different components and their
+    """(a, b, promised) for each key that two lines of ``rows(key, id, component, n,
+    m0, m1, members)`` share, if they lie in different components and their
     lengths and half of their parity bits allow the similarity.  Keys of up to HOT rows are joined with themselves; in
     others, two components differ first in one binary digit of their ranks, and
     only there their lines meet."""
-    own = ["id", "component", "n", "weak", *PRINT]
+    own = ["id", "component", "n", *PRINT]
     side = lambda df, less: df.select(*[c for c in df.columns if c not in own], *[F.col(c).alias(less + c) for c in own])
     most = most_edits(F.greatest("x_n", "y_n"), least)
     # of pairs that share many keys, as lines around one passage do, most end here and not after the shuffle of all pairs
     apart = F.bit_count(F.col("x_m0").bitwiseXOR(F.col("y_m0"))) + F.bit_count(F.col("x_m1").bitwiseXOR(F.col("y_m1")))
     fits = (F.abs(F.col("x_n") - F.col("y_n")) <= most) & (apart <= 2 * most)
-    out = [F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), (F.col("x_weak") & F.col("y_weak")).alias("weak")]
+    out = [F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), promised(F.col("x_n"), F.col("y_n"), least).alias("promised")]
     cold = rows.where(F.col("members") <= HOT).drop("members")
     few = side(cold, "x_").join(side(cold, "y_"), "key").where((F.col("x_component") < F.col("y_component")) & fits)
     hot = rows.where(F.col("members") > HOT).drop("members")
@@ -204,24 +220,24 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     links = stage(verified(stars(blocks, "low", "high")), "links")
     release(spark)
     common, heavy = rarity(lines)
-    pairs = linecodes.rarest_pairs(common, least, heavy)
-    shared = shared_keys(lines.select("id", "code").mapInArrow(pairs, "key bigint, id bigint, n int"))
+    pairs = linecodes.rarest_pairs(common, least, heavy, linecodes.promised, numbered=True)
+    shared = shared_keys(lines.select("id", "code").mapInArrow(pairs, "key bigint, id bigint, n int"), least)
     shared = stage(fitting(shared, least).select("key", "id", "low", "members"), "keys")
     release(spark)
     keyed = shared
-    weak, length = (F.col("id") % 2 == 1).alias("weak"), (F.octet_length("code") / 2).cast("int").alias("n")
+    length = (F.octet_length("code") / 2).cast("int").alias("n")
     half = lambda c: F.shiftright(c, 1)
-    shared = shared.select("key", half("id").alias("id"), weak, half("low").alias("low"), "members")
+    shared = shared.select("key", half("id").alias("id"), half("low").alias("low"), "members")
     links = links.union(stage(verified(stars(shared.where(F.col("members") > BUSY), "low")), "links"))
     label = components(links)
     known = lines.select("id", length, *PRINT).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     met = []
     for turn in range(TURNS):
         part = shared.where(F.pmod("key", F.lit(TURNS)) == turn).drop("low").join(known, "id")
-        met.append(stage(cross_pairs(part.select("key", "id", "component", "n", "weak", *PRINT, "members"), least), "met"))
+        met.append(stage(cross_pairs(part.select("key", "id", "component", "n", *PRINT, "members"), least), "met"))
         release(spark)
-    pairs = reduce(DataFrame.union, met).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("weak").alias("weak"))
-    rest = stage(verified(pairs.where("common > 1 or weak").select("a", "b")), "links")
+    pairs = reduce(DataFrame.union, met).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.max("promised").alias("promised"))
+    rest = stage(verified(pairs.where("common >= promised").select("a", "b")), "links")
     for part in (keyed, *met):
         discard(part)
     release(spark)
@@ -230,6 +246,7 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         "h1", "h2", "first", F.coalesce("component", "id").alias("component"))
     keeper = grouped.groupBy("component").agg(F.min("first").alias("keeper"))
     grouped = stage(grouped.join(keeper, "component").select("h1", "h2", "keeper"), "groups")
+    discard(lines)
     return seen.join(grouped, ["h1", "h2"]).where(~place.eqNullSafe(F.col("keeper"))).select("doc_id", "doc", "line", "keeper")
 
 

@@ -240,3 +240,55 @@ def test_keys_of_lines_that_differ_too_much_in_length_are_not_paired(spark, monk
     assert dropped == {(4, 0), (5, 0)}
     keyed = spark.createDataFrame([(1, 10), (1, 24), (2, 10), (2, 12), (2, 24), (3, 40), (3, 50), (3, 51)], "key long, n int")
     assert sorted(map(tuple, L.fitting(keyed, 0.8).collect())) == [(2, 10), (2, 12), (3, 40), (3, 50), (3, 51)]
+
+
+def test_similar_lines_share_as_many_numbered_pairs_as_promised(spark):
+    rng, pairs = random.Random(31), []
+    for n in [*range(5, 30), 60, 130, 300]:
+        for often in (2, 4, 1000):  # few words that repeat, or none
+            a = [rng.randrange(256, 256 + often) for _ in range(n)]
+            for k in {1, n // 10, n // 5}:
+                b = [x if isinstance(x, int) else 2000 + int(x[3:]) % 50_000 for x in changed(rng, a, k)]
+                most = int(0.2 * max(len(a), len(b)) + 1e-9)
+                if a != b and distance(a, b) <= most:
+                    pairs.append((a, b))
+    assert len(pairs) > 100
+    lines = [x for pair in pairs for x in pair]
+    classes = np.array([rng.randrange(1, 9) for _ in range(linecodes.TABLE)], np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines)), pa.int64()), pa.array([struct.pack(f">{len(x)}H", *x) for x in lines], pa.binary())], ["id", "code"])
+    got = {}
+    for out in linecodes.rarest_pairs(classes, 0.8, None, linecodes.promised, numbered=True)([batch]):
+        for key, i in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            assert key >= 0 and key not in got.setdefault(i >> 1, set())
+            got[i >> 1].add(key)
+    for i, (x, y) in enumerate(zip(lines[::2], lines[1::2])):
+        least = spark.range(1).select(L.promised(F.lit(len(x)), F.lit(len(y)), 0.8)).first()[0] if i % 20 == 0 else min(
+            max(linecodes.COMMON, min(len(x), len(y)) // linecodes.PER_COMMON), max(len(x), len(y)) - 1 - 2 * int(0.2 * max(len(x), len(y)) + 1e-9))
+        assert 1 <= least <= len(got[2 * i] & got[2 * i + 1]), (len(x), len(y))
+
+
+def test_lines_of_repeated_words_are_not_paired(spark, monkeypatch):
+    docs = [" ".join(["word%d" % i] * (100 + i % 7)) + " more of it" for i in range(120)]
+    rows, dropped = staged_rows(spark, monkeypatch, docs + [docs[5] + " today"], "pairs")
+    assert dropped == {(120, 0)}
+    assert rows < 2000  # all 7,140 pairs of them were compared: they share two keys, and their parity bits cancel out
+
+
+def test_keys_are_made_and_shuffled_once(spark):
+    keys = spark.createDataFrame([(1, 2, 10), (1, 4, 12), (2, 2, 10), (2, 6, 40), (3, 2, 10), (3, 4, 12), (3, 6, 40), (4, 8, 9)], "key long, id long, n int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = L.fitting(L.shared_keys(keys, 0.8), 0.8)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ReusedExchange") == 1 and plan.count("- Exchange hashpartitioning") == 1
+        assert sorted((r.key, r.id, r.low, r.members) for r in found.collect()) == [(1, 2, 2, 2), (1, 4, 2, 2), (3, 2, 2, 3), (3, 4, 2, 3)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_no_lines_stay_staged_behind_the_groups(spark, monkeypatch):
+    gone, old = [], L.discard
+    monkeypatch.setattr(L, "discard", lambda staged: (gone.append(staged.columns), old(staged))[1])
+    df = spark.createDataFrame([(1, "one two\nthree"), (2, "three\nfour five")], "doc_id long, text string")
+    assert [(r.doc_id, r.n_dropped) for r in L.dropped_lines(df).orderBy("doc_id").collect()] == [(1, 0), (2, 1)]
+    assert any("code" in c and "first" in c for c in gone)
