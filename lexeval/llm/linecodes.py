@@ -11,6 +11,7 @@ counts words.
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,16 @@ COMMON, PER_COMMON = 4, 16
 #: Counters of hashed word pairs, the counters in a row, and the largest class of a pair's count.
 PAIR_BITS, CHUNK, HEAVIEST = 20, 1 << 14, 63
 PAIRS = 1 << PAIR_BITS
+#: Rows that a task holds before it deals them, and rows of a message of crowded keys.
+HELD, MESSAGE = 1 << 19, 1 << 16
+#: Pairs of fitting lengths that a key may give for each of its rows; keys of more are crowded.
+CROWD = 8
+#: Columns of dealt block keys, word pair keys and pairs of lines, and of rows of crowded keys.
+BLOCKED, KEYS, MET, CROWDED = ("<i8", "<i8"), ("<i8", "<i8", "<i4"), ("<i8", "<i8", "<i4"), ("<i8", "<i8", "<i8", "<i4")
 #: Separators besides ASCII's: C1 and Latin-1 punctuation, general and CJK punctuation.
 _WIDE = re.compile("[\x80-\xbf -⁯　-〃]")
+#: Words that one byte can count, and each byte's bits as bytes of a long.
+LANE, _LANES = 255, np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 _ODD = (0xC2B2AE3D27D4EB4F, 0x9E3779B97F4A7C15)
 
 
@@ -53,20 +62,28 @@ def line_hash(hashes: np.ndarray, starts: np.ndarray, count: np.ndarray, which:
 
 
 def simhash(hashes: np.ndarray, starts: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The bits that more than half of each line's word hashes have."""
+    """The bits that more than half of each line's word hashes have.  Eight bits
+    are counted in one sum, a byte each, over pieces of no more than LANE words."""
     out, lo = np.zeros(len(starts), np.uint64), 0
-    bits = lambda h: np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + WORDS)))
         a, b = int(starts[lo]), int(starts[hi - 1] + count[hi - 1])
-        if b - a <= 2 * WORDS:
-            ones = np.add.reduceat(bits(hashes[a:b]), starts[lo:hi] - a, axis=0, dtype=np.int64)
-        else:  # a long last line: added up in pieces
-            ones = np.zeros((hi - lo, 64), np.int64)
-            for k in range(lo, hi):
-                for at in range(int(starts[k]), int(starts[k] + count[k]), WORDS):
-                    ones[k - lo] += bits(hashes[at:min(at + WORDS, int(starts[k] + count[k]))]).sum(0, dtype=np.int64)
-        most = 2 * ones > count[lo:hi, None]
+        pieces = -(-count[lo:hi] // LANE)
+        first = np.cumsum(pieces) - pieces
+        cuts = np.repeat(starts[lo:hi] - a, pieces) + LANE * (np.arange(int(pieces.sum())) - np.repeat(first, pieces))
+        ones = np.empty((len(cuts), 8), np.uint64)
+        for at in range(a, b, 2 * WORDS):  # a long last line: a part of its pieces at a time
+            own = slice(int(np.searchsorted(cuts, at - a)), int(np.searchsorted(cuts, at - a + 2 * WORDS)))
+            end = int(cuts[own.stop]) + a if own.stop < len(cuts) else b
+            if own.stop > own.start:
+                begin = int(cuts[own.start])
+                octets = hashes[a + begin:end].view(np.uint8).reshape(-1, 8)
+                for k in range(8):
+                    ones[own, k] = np.add.reduceat(_LANES[octets[:, k]], cuts[own] - begin)
+        ones = ones.view(np.uint8)
+        if len(cuts) > hi - lo:
+            ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
+        most = 2 * ones.astype(np.int64) > count[lo:hi, None]
         out[lo:hi] = np.packbits(most, axis=1, bitorder="little").view(np.uint64).ravel()
         lo = hi
     return out
@@ -243,6 +260,182 @@ def rarest_pairs(classes: np.ndarray, least: float, heavy: np.ndarray | None = N
     return pairs
 
 
+DEALT = "part int, n int, rows binary"
+
+
+def _message(part: list[int], n: list[int], rows: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n, pa.int32()), pa.array(rows, pa.binary())], ["part", "n", "rows"])
+
+
+def _deal(columns: list[np.ndarray], by: int, parts: int) -> pa.RecordBatch:
+    """One row for each part: the part's rows, column by column.  The part of a
+    row follows from its first ``by`` columns."""
+    spot = mix(columns[0].view(np.uint64))
+    for c in columns[1:by]:
+        spot = mix(spot + c.view(np.uint64))
+    part = (spot >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    n = np.bincount(part.astype(np.int64), minlength=parts)
+    ends, columns = np.cumsum(n), [c[order] for c in columns]
+    some = np.flatnonzero(n).tolist()
+    return _message(some, n[some].tolist(), [b"".join(c[ends[i] - n[i]:ends[i]].tobytes() for c in columns) for i in some])
+
+
+def dealt(kinds: tuple[str, ...], by: int, parts: int, made=iter):
+    """The rows that ``made`` gives for the batches, many of a part in one
+    message, so that Spark moves and reads messages and not rows."""
+    def deal(batches):
+        held, size = [], 0
+        whole = lambda: [np.concatenate([h[i] for h in held]) for i in range(len(kinds))]
+        for batch in made(batches):
+            held.append([c.to_numpy(zero_copy_only=False).astype(k) for c, k in zip(batch.columns, kinds)])
+            size += batch.num_rows
+            if size >= HELD:
+                yield _deal(whole(), by, parts)
+                held, size = [], 0
+        if size:
+            yield _deal(whole(), by, parts)
+    return deal
+
+
+def _read(batches, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The rows of all messages, by column."""
+    found, width = [[np.zeros(0, k)] for k in kinds], sum(np.dtype(k).itemsize for k in kinds)
+    for batch in batches:
+        for n, rows in zip(batch.column(1).to_pylist(), batch.column(2)):
+            rows, at = rows.as_buffer(), 0
+            if len(rows) != n * width:
+                raise ValueError(f"a message of {n} rows has {len(rows)} bytes")
+            for k, out in zip(kinds, found):
+                out.append(np.frombuffer(rows, k, n, at))
+                at += n * out[-1].itemsize
+    return [np.concatenate(x) for x in found]
+
+
+def block_keys(blocks: int, paired: int):
+    """(sim, id) to one (key, id) for each choice of ``paired`` of the SimHash's blocks."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in chosen) for chosen in combinations(range(blocks), paired)]
+
+    def keys(batches):
+        for batch in batches:
+            sim, ids = (c.to_numpy() for c in batch.columns)
+            for i, mask in enumerate(masks):
+                key = mix(mix(sim.view(np.uint64) & np.uint64(mask)) + np.uint64(i))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids)], ["key", "id"])
+    return keys
+
+
+def starred(batches):
+    """Dealt (key, id) to the pairs (a, b) of every line with the smallest and
+    the largest line of its keys; a pair may come several times."""
+    key, ids = _read(batches, BLOCKED)
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    order = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order
+    if not len(order):
+        return
+    key, ids = key[order], ids[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    members = np.diff(np.r_[first, len(key)])
+    for ends in (np.minimum, np.maximum):
+        hub = np.repeat(ends.reduceat(ids, first), members)
+        a, b = np.minimum(ids, hub), np.maximum(ids, hub)
+        yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b])], ["a", "b"])
+
+
+def _longest(n: np.ndarray, least: float) -> np.ndarray:
+    """The words of the longest line that may be similar to one of n words."""
+    out = (n / least).astype(np.int64) + 2
+    while (far := out - most_edits(out, least) > n).any():
+        out -= far
+    return out
+
+
+def _shared(key: np.ndarray, ids: np.ndarray, n: np.ndarray, least: float):
+    """The rows of keys with a partner of fitting length, sorted by key and
+    length: (key's number, key, id, n, how many rows behind fit)."""
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    order = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order
+    number = np.cumsum(np.r_[False, key[order[1:]] != key[order[:-1]]]) if len(order) else order
+    cell = number << 32 | n[order]
+    by = np.argsort(cell)
+    order, cell = order[by], cell[by]
+    longest = np.minimum(_longest(n[order].astype(np.int64), least), (1 << 31) - 1)
+    behind = np.searchsorted(cell, cell >> 32 << 32 | longest, side="right") - np.arange(len(cell)) - 1
+    fits = np.flatnonzero((behind > 0) | np.r_[False, behind[:-1] > 0][:len(behind)])  # a row that fits any before it fits the one before it
+    order = order[fits]
+    return cell[fits] >> 32, key[order], ids[order], n[order], behind[fits]
+
+
+def promises(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Keys that two similar lines of x and y words share at least."""
+    longer = np.maximum(x, y).astype(np.int64)
+    return np.minimum(promised(np.minimum(x, y)), longer - 1 - 2 * most_edits(longer, least))
+
+
+def paired(least: float, parts: int):
+    """Dealt (key, id, n) to dealt (a, b, promised): the pairs of lines of
+    fitting length that share a key, once for each key.  A key that would give
+    more than CROWD pairs for each of its rows is crowded: its rows (key, id,
+    smallest id, members) come as messages of part -1."""
+    def pairs(batches):
+        number, key, ids, n, behind = _shared(*_read(batches, KEYS), least)
+        if not len(number):
+            return
+        first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        members = np.diff(np.r_[first, len(number)])
+        crowd = np.repeat(np.add.reduceat(behind, first) > CROWD * members, members)
+        low, members = np.repeat(np.minimum.reduceat(ids, first), members), np.repeat(members, members)
+        at = np.flatnonzero(crowd)
+        for lo in range(0, len(at), MESSAGE):
+            own = at[lo:lo + MESSAGE]
+            columns = (key[own], ids[own], low[own], members[own])
+            yield _message([-1], [len(own)], [b"".join(c.astype(k).tobytes() for c, k in zip(columns, CROWDED))])
+        behind = np.where(crowd, 0, behind)
+        ends = np.cumsum(behind)
+        lo = 0
+        while lo < len(behind):  # about HELD pairs at once
+            done = int(ends[lo] - behind[lo])
+            hi = max(lo + 1, int(np.searchsorted(ends, done + HELD, side="right")))
+            x = np.repeat(np.arange(lo, hi), behind[lo:hi])
+            y = x + 1 + np.arange(len(x)) - (ends - behind)[x] + done
+            x, y = x[ids[x] != ids[y]], y[ids[x] != ids[y]]
+            if len(x):
+                yield _deal([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), promises(n[x], n[y], least).astype(np.int32)], 2, parts)
+            lo = hi
+    return pairs
+
+
+def crowded(batches):
+    """Messages of crowded keys to (key, id, low, members)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _read([batch.slice(i, 1)], CROWDED)], ["key", "id", "low", "members"])
+
+
+def counted(batches):
+    """Dealt (a, b, promised) to the pairs (a, b) that come at least as often as promised."""
+    a, b, least = _read(batches, MET)
+    order = np.lexsort((b, a))
+    a, b, least = a[order], b[order], least[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+    first = first[np.diff(np.r_[first, len(a)]) >= least[first]]
+    yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], ["a", "b"])
+
+
+def keys_of(pairs, full: np.ndarray, which: bool):
+    """Rows (key, id, n) of ``pairs``, the id without its lowest bit: those whose
+    word pair's counter is in ``full``, or the others."""
+    def rows(batches):
+        for batch in pairs(batches):
+            key, ids, n = (c.to_numpy() for c in batch.columns)
+            kept = full[_bucket(key >> 16 & 0xFFFF, key & 0xFFFF)] == which if full.any() else np.full(len(key), not which)
+            yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(ids[kept] >> 1), pa.array(n[kept])], ["key", "id", "n"])
+    return rows
+
+
 def bag_distances(x: np.ndarray, at: np.ndarray, y: np.ndarray, bt: np.ndarray) -> np.ndarray:
     """For each pair of lines the larger number of words that one has beyond the
     other's, order aside: no more than their edit distance."""

@@ -22,14 +22,18 @@ times promise as much as others.  Lines that share c keys and still lie in diffe
 components are compared; fewer are enough where both are too short to promise as many.  No
 link asks anything of the SimHashes, so none is lost by them.
 
-Style.  Signatures and keys are made in Arrow batches (``linecodes``), the joins,
-groups and components are Spark's.  The form in DataFrame functions alone
-did not fit the limits (README).
+Style.  Signatures, keys and the pairs of lines that share them are made in Arrow
+batches (``linecodes``), the joins and components are Spark's.  The form in
+DataFrame functions alone did not fit the limits (README).
 
 Scale.  One shuffle moves the distinct lines as two bytes a word, one moves the
-keys.  Keys of one line end there, and so do rows without a line of fitting
-length in their key.  Members of a key of more than ``BUSY`` lines
-meet its smallest line first; what then still lies in several components meets
+keys, packed in messages of many rows to parts of about ``PART`` keys.  There
+keys of one line end, and so do rows without a line of fitting
+length in their key; the others give their pairs, which meet in parts once more
+and are counted.  Keys that would give more than ``linecodes.CROWD`` pairs for each
+row are not paired there but go on as rows, and so do keys that may have more than
+``GATHERED`` rows, which Spark's own shuffle brings together.  Of these, members
+of a key of more than ``BUSY`` lines meet its smallest line first; what then still lies in several components meets
 by the binary digits of the components' ranks within the key, so that no two
 lines of a component are ever looked at together.  Frequencies of words and word
 pairs are counters of a fixed number, whatever the size of the input.
@@ -45,7 +49,7 @@ empty table gives an empty result.  Only doc_id and text are read;
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
+from math import comb
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -58,14 +62,17 @@ from lexeval.llm.components import components
 BLOCKS, PAIRED = 4, 2
 #: Members from which on a key is hot, and from which on its lines meet its smallest one first.
 HOT, BUSY = 64, 16
-#: Parts of the keys that are paired one after another, so that a part's shuffles bound the disk.
-TURNS = 4
+#: Rows of crowded keys that are paired at once, or two a line where that is more, so that a turn's shuffles bound the disk.
+TURN = 1 << 22
+#: Keys that a task gathers, and fewer where there are few.
+PART, LEAST_PART = 1 << 20, 1 << 14
+#: Word pairs that may stand more often than this are keys of Spark's own shuffle, so that no task gathers them.
+GATHERED = 1 << 20
 #: Parity bits that travel with the keys.
 PRINT = ("m0", "m1")
 SIMILARITY = 0.8
 #: Pairs up to this many (16 bytes each) are broadcast to pick their texts.
 BROADCAST_PAIRS = 1_000_000
-_WIDTHS = [64 // BLOCKS + (1 if i < 64 % BLOCKS else 0) for i in range(BLOCKS)]
 _PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF -⁯　-〃]+"
 
 
@@ -73,21 +80,6 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), _PUNCTUATION), "")
 
 
-def block_keys(sim: Column) -> Column:
-    """One key for each choice of PAIRED blocks: the choice and their bits."""
-    at, blocks = 0, []
-    for width in _WIDTHS:
-        blocks.append((F.shiftrightunsigned(sim, at).bitwiseAND((1 << width) - 1), width))
-        at += width
-    keys = []
-    for i, chosen in enumerate(combinations(blocks, PAIRED)):
-        key = F.lit(i).cast("long")
-        for value, width in chosen:
-            key = F.shiftleft(key, width).bitwiseOR(value)
-        keys.append(key)
-    return F.array(*keys)
-
-
 def most_edits(longer: Column, least: float) -> Column:
     return F.floor(longer * (1 - least) + 1e-9).cast("int")
 
@@ -100,15 +92,15 @@ def promised(x: Column, y: Column, least: float) -> Column:
     return F.least(own, longer - 1 - 2 * most_edits(longer, least))
 
 
-def rarity(lines: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The frequency classes of words and of hashed word pairs in the distinct
-    lines (``linecodes.classes``).  Counters of a fixed number are added up in
+def counters(lines: DataFrame) -> np.ndarray:
+    """How often words and hashed word pairs stand in the distinct lines.
+    Counters of a fixed number are added up in
     tasks; 9 MB reach the driver, however long the input."""
     parts = lines.select("code").mapInArrow(linecodes.frequencies, "part int, n binary").repartition("part")
     total = np.zeros((linecodes.TABLE + linecodes.PAIRS) // linecodes.CHUNK * linecodes.CHUNK, np.int64).reshape(-1, linecodes.CHUNK)
     for part, n in parts.mapInArrow(linecodes.summed, "part int, n binary").collect():
         total[part] += np.frombuffer(n, "<u8").astype(np.int64)
-    return linecodes.classes(total.ravel())
+    return total.ravel()
 
 
 def _doc_key() -> Column:
@@ -186,7 +178,8 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     place, maps = F.struct("doc_id", "doc", "line"), [f"m{k}" for k in range(linecodes.MAP)]
     lines = full.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"),
                                            *[F.any_value(c).alias(c) for c in (*maps, "code")])
-    lines = stage(lines.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    # the number of words stands beside the codes, so that who asks for it alone reads no codes
+    lines = stage(lines.withColumns({"id": F.monotonically_increasing_id(), "words": (F.octet_length("code") / 2).cast("int")}), "distinct")
     seen = stage(full.select("doc_id", "doc", "line", "h1", "h2"), "lines")
     discard(full)
     release(spark)
@@ -200,7 +193,7 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
         pairs = stage(pairs, "pairs")
         own = lines.join(named(pairs), "id", "left_semi")
-        print_ = lambda c: own.select(F.col("id").alias(c), (F.octet_length("code") / 2).cast("int").alias(f"{c}_n"),
+        print_ = lambda c: own.select(F.col("id").alias(c), F.col("words").alias(f"{c}_n"),
                                       *[F.col(m).alias(f"{c}_{m}") for m in maps])
         most = most_edits(F.greatest("a_n", "b_n"), least)
         apart = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in maps[1:]), F.bit_count(F.col("a_m0").bitwiseXOR(F.col("b_m0"))))
@@ -212,33 +205,46 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             texts.select(F.col("id").alias("b"), F.col("code").alias("cb")), "b")
         return both.select("a", "b", "ca", "cb").mapInArrow(linecodes.similar_pairs(least), "a bigint, b bigint")
 
-    def stars(rows: DataFrame, *hubs: str) -> DataFrame:
-        met = rows.select("id", F.explode(F.array(*hubs)).alias("hub")).where("id <> hub")
-        return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    def stars(rows: DataFrame, hub: str) -> DataFrame:
+        return rows.where(F.col("id") != F.col(hub)).select(F.least("id", hub).alias("a"), F.greatest("id", hub).alias("b")).distinct()
+
+    def parts_of(rows: int) -> int:
+        return 1 + max(rows // PART, min(spark.sparkContext.defaultParallelism, rows // LEAST_PART))
 
-    blocks = shared_keys(lines.select(F.explode_outer(block_keys(F.col("sim"))).alias("key"), "id"))
-    links = stage(verified(stars(blocks, "low", "high")), "links")
+    many = lines.count()
+    parts = parts_of(many * comb(BLOCKS, PAIRED))
+    blocks = lines.select("sim", "id").mapInArrow(linecodes.dealt(linecodes.BLOCKED, 1, parts, linecodes.block_keys(BLOCKS, PAIRED)), linecodes.DEALT)
+    blocks = blocks.repartitionById(parts, "part")
+    links = stage(verified(blocks.mapInArrow(linecodes.starred, "a bigint, b bigint").distinct()), "links")
     release(spark)
-    common, heavy = rarity(lines)
+    total = counters(lines)
+    common, heavy = linecodes.classes(total)
+    full, parts = total[linecodes.TABLE:] > GATHERED, parts_of(int(total[linecodes.TABLE:].sum()) // 2)
     pairs = linecodes.rarest_pairs(common, least, heavy, linecodes.promised, numbered=True)
-    shared = shared_keys(lines.select("id", "code").mapInArrow(pairs, "key bigint, id bigint, n int"), least)
-    shared = stage(fitting(shared, least).select("key", "id", "low", "members"), "keys")
+    coded = lines.select("id", "code")
+    keys = coded.mapInArrow(linecodes.dealt(linecodes.KEYS, 1, parts, linecodes.keys_of(pairs, full, False)), linecodes.DEALT)
+    dealt = stage(keys.repartitionById(parts, "part").mapInArrow(linecodes.paired(least, parts), linecodes.DEALT), "dealt")
+    shared = dealt.where("part < 0").mapInArrow(linecodes.crowded, "key bigint, id bigint, low bigint, members int")
+    if full.any():
+        rows = shared_keys(coded.mapInArrow(linecodes.keys_of(pairs, full, True), "key bigint, id bigint, n int"), least)
+        shared = shared.union(fitting(rows, least).select("key", "id", "low", F.col("members").cast("int")))
+    shared = stage(shared, "keys")
     release(spark)
-    keyed = shared
-    length = (F.octet_length("code") / 2).cast("int").alias("n")
-    half = lambda c: F.shiftright(c, 1)
-    shared = shared.select("key", half("id").alias("id"), half("low").alias("low"), "members")
     links = links.union(stage(verified(stars(shared.where(F.col("members") > BUSY), "low")), "links"))
     label = components(links)
-    known = lines.select("id", length, *PRINT).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    met = []
-    for turn in range(TURNS):
-        part = shared.where(F.pmod("key", F.lit(TURNS)) == turn).drop("low").join(known, "id")
+    known = lines.select("id", F.col("words").alias("n"), *PRINT).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    met, turns = [], 1 + shared.count() // max(TURN, 2 * many)
+    for turn in range(turns):
+        part = shared.where(F.pmod("key", F.lit(turns)) == turn).drop("low").join(known, "id")
         met.append(stage(cross_pairs(part.select("key", "id", "component", "n", *PRINT, "members"), least), "met"))
         release(spark)
-    pairs = reduce(DataFrame.union, met).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.max("promised").alias("promised"))
-    rest = stage(verified(pairs.where("common >= promised").select("a", "b")), "links")
-    for part in (keyed, *met):
+    both = dealt.where("part >= 0").union(reduce(DataFrame.union, met).mapInArrow(linecodes.dealt(linecodes.MET, 2, parts), linecodes.DEALT))
+    pairs = both.repartitionById(parts, "part").mapInArrow(linecodes.counted, "a bigint, b bigint")
+    of = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(
+        F.coalesce("a_component", "a") != F.coalesce("b_component", "b"))
+    rest = stage(verified(pairs.select("a", "b")), "links")
+    for part in (dealt, shared, *met):
         discard(part)
     release(spark)
     label = components(links.union(rest))

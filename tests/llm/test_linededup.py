@@ -292,3 +292,56 @@ def test_no_lines_stay_staged_behind_the_groups(spark, monkeypatch):
     df = spark.createDataFrame([(1, "one two\nthree"), (2, "three\nfour five")], "doc_id long, text string")
     assert [(r.doc_id, r.n_dropped) for r in L.dropped_lines(df).orderBy("doc_id").collect()] == [(1, 0), (2, 1)]
     assert any("code" in c and "first" in c for c in gone)
+
+
+def test_dealt_keys_give_the_pairs_that_share_them():
+    rng = random.Random(17)
+    rows = [(rng.randrange(-60, 60), rng.randrange(400), rng.choice([8, 10, 12, 20, 25])) for _ in range(600)]
+    length = {i: n for _, i, n in rows}
+    rows = sorted({(k, i, length[i]) for k, i, _ in rows})
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[lo:lo + 70]], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32()))],
+                                          ["key", "id", "n"]) for lo in range(0, len(rows), 70)]
+    fits = lambda x, y: abs(x - y) <= int(0.2 * max(x, y) + 1e-9)
+    want = {}
+    for k, a, n in rows:
+        for j, b, m in rows:
+            if k == j and a < b and fits(n, m):
+                want[a, b] = want.get((a, b), 0) + 1
+    dealt = [x for lo in range(0, len(batches), 4) for x in linecodes.dealt(linecodes.KEYS, 1, 3)(iter(batches[lo:lo + 4]))]
+    of = lambda found, part: [b.filter(pa.array([p == part for p in b.column(0).to_pylist()])) for b in found]
+    met = [x for part in range(3) for x in linecodes.paired(0.8, 5)(iter(of(dealt, part)))]
+    assert of(met, -1) and not sum(b.num_rows for b in of(met, -1))  # no key is crowded
+    got = {}
+    for b in met:
+        a, b, _ = linecodes._read([b], linecodes.MET)
+        for pair in zip(a.tolist(), b.tolist()):
+            got[pair] = got.get(pair, 0) + 1
+    assert got == want and len(want) > 500
+    least = {(a, b): int(linecodes.promises(np.array([length[a]]), np.array([length[b]]), 0.8)[0]) for a, b in want}
+    found = [(a, b) for part in range(5) for x in linecodes.counted(iter(of(met, part))) for a, b in zip(*(c.to_pylist() for c in x.columns))]
+    assert sorted(found) == sorted(pair for pair, n in want.items() if n >= least[pair])
+    assert [x.num_rows for x in linecodes.counted(iter([]))] == [0] and list(linecodes.paired(0.8, 5)(iter([]))) == []
+
+
+def test_crowded_and_very_frequent_keys_give_the_same_groups(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = []
+    for k in range(12):  # lines around a passage, some of them similar
+        passage = ["p%dw%d" % (k, i) for i in range(9)]
+        docs += [" ".join(passage + rng.sample(["some%d" % i for i in range(40)], rng.randrange(3, 9))) for _ in range(30)]
+    docs += [" ".join(changed(rng, d.split(), 1)) for d in docs[::7]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    found = lambda: {(r.doc_id, x.line, x.keeper_doc) for r in L.dropped_lines(df).collect() for x in r.dropped}
+    want = {(d, i, to[0]) for (d, i), to in brute([(i, t) for i, t in enumerate(docs)]).items() if to != (d, i)}
+    assert found() == want and len(want) > 40
+    for name, value in (("GATHERED", 20), ("PART", 500), ("TURN", 100)):
+        monkeypatch.setattr(L, name, value)
+    assert found() == want
+
+
+def test_keys_of_few_lines_are_not_staged_as_rows(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = [" ".join("w%d" % rng.randrange(3000) for _ in range(30)) for _ in range(400)]
+    docs += [" ".join(changed(rng, d.split(), 3)) for d in docs[:200]]
+    rows, dropped = staged_rows(spark, monkeypatch, docs, "keys")
+    assert rows == 0 and {(400 + i, 0) for i in range(200)} == dropped  # the rows of every shared key were
