@@ -58,7 +58,8 @@ def piece_vocab(texts: DataFrame, col: str = "text", k: int = 1000, tokenizer=sp
 class Trie:
     """Edges as one ascending array of ``node << 8 | byte``; the edge's place is
     its target's number, counted from 1.  ``ids`` has the piece that ends at a
-    node, or -1."""
+    node, or -1; ``heads`` the nodes after the first byte and the first two, 0
+    where there is none."""
 
     def __init__(self, pieces: dict[bytes, int]):
         pieces = {t: i for t, i in pieces.items() if t}
@@ -74,6 +75,10 @@ class Trie:
             edges.append(keys)
             made += len(keys)
         self.edges = np.concatenate(edges) if edges else np.zeros(0, np.int64)
+        self.heads = np.zeros(1 << 8, np.int32), np.zeros(1 << 16, np.int32)
+        for (depth, keys), before in zip(enumerate(edges[:2]), (0, len(edges[0]) if edges else 0)):
+            lead = edges[0][(keys >> 8) - 1] & 255 if depth else 0
+            self.heads[depth][lead << 8 | keys & 255] = before + 1 + np.arange(len(keys))
         self.ids = np.full(made + 1, -1, np.int32)
         self.ids[at] = np.array([pieces[t] for t in tokens], np.int32) if tokens else -1
 
@@ -85,10 +90,15 @@ class Trie:
             pos = np.arange(lo, min(lo + CHUNK, len(data)))
             node, step = np.zeros(len(pos), np.int64), 0
             while len(pos) and len(self.edges):
-                key = node << 8 | data[pos + step]
-                edge = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
-                on = self.edges[edge] == key
-                pos, node, step = pos[on], edge[on] + 1, step + 1
+                if step < 2:
+                    node = self.heads[step][data[pos + step] if step == 0 else data[pos].astype(np.int64) << 8 | data[pos + 1]]
+                    on = node > 0
+                    pos, node, step = pos[on], node[on].astype(np.int64), step + 1
+                else:
+                    key = node << 8 | data[pos + step]
+                    edge = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+                    on = self.edges[edge] == key
+                    pos, node, step = pos[on], edge[on] + 1, step + 1
                 done = self.ids[node] >= 0
                 size[pos[done]], found[pos[done]] = step, self.ids[node[done]]
                 on = pos + step < ends[pos]
@@ -133,7 +143,8 @@ def _cut(flat: np.ndarray, bounds: np.ndarray, size: np.ndarray, found: np.ndarr
     out, ends = [], [0]
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         for a in range(lo, hi, CHUNK):  # a long text's steps in pieces
-            own, b = step[a:a + CHUNK].tolist(), min(a + CHUNK, hi)
+            b = min(a + CHUNK, hi)
+            own = step[a:b].tolist()  # of this text only: the batch goes on behind it
             at = (carry if a > lo else a) - a  # noqa: F821
             while at < b - a:
                 out.append(a + at)
