@@ -32,7 +32,8 @@ keys of one line end, and so do rows without a line of fitting
 length in their key; the others give their pairs, which meet in parts once more
 and are counted.  Keys that would give more than ``linecodes.CROWD`` pairs for each
 row are not paired there but go on as rows, and so do keys that may have more than
-``GATHERED`` rows, which Spark's own shuffle brings together.  Of these, members
+``GATHERED`` rows, which Spark's own shuffle brings together (the rows of one
+SimHash block key always meet in one task, 16 bytes a row).  Of these, members
 of a key of more than ``BUSY`` lines meet its smallest line first; what then still lies in several components meets
 by the binary digits of the components' ranks within the key, so that no two
 lines of a component are ever looked at together.  Frequencies of words and word
